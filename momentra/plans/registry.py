@@ -2,5 +2,24 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under a name, with the SQL that gives the same rows."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+from momentra.plans import aggregate_queries, join_queries, scalar_queries, selection_queries, similarity_queries, source_queries, window_queries  # noqa: E402, F401
