@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
@@ -162,7 +163,7 @@ class PartitionCodec:
                 todo.append((word, i))
         w, pos, ids = zip(*done) if done else ((), (), ())
         done_table = pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())})
-        join = "INSERT INTO words SELECT w, len(part), array_to_string(list_transform(part, lambda x: x.id), ','), array_to_string(list_transform(part, lambda x: x.hex), '') FROM (SELECT w, list({{'id': id, 'hex': hex}} ORDER BY pos) AS part FROM ({}) JOIN vocab USING (id) GROUP BY w)"
+        join = "INSERT INTO words SELECT w, count(*), string_agg(id::VARCHAR, ','), string_agg(hex, '') FROM (SELECT w, id, hex FROM ({}) JOIN vocab USING (id) ORDER BY w, pos) GROUP BY w"
         if done:
             self.fill(join.format("SELECT * FROM done"), done=done_table)
         for at in range(0, len(todo), CHUNK_WORDS):
@@ -182,7 +183,7 @@ class PartitionCodec:
         k, place = np.array(w, np.int32), np.arange(len(w), dtype=np.int32)
         self.fill("INSERT INTO pieces SELECT p, n, ids, hex FROM given JOIN words USING (k)", given=pa.table({"p": p[one], "k": k[one]}))
         given = pa.table({"p": p[~one], "place": place[~one], "k": k[~one]})
-        self.fill("INSERT INTO pieces SELECT p, sum(n), string_agg(ids, ',' ORDER BY place), string_agg(hex, '' ORDER BY place) FROM given JOIN words USING (k) GROUP BY p", given=given)
+        self.fill("INSERT INTO pieces SELECT p, sum(n), string_agg(ids, ','), string_agg(hex, '') FROM (SELECT * FROM given JOIN words USING (k) ORDER BY place) GROUP BY p", given=given)
 
     def run(self, texts: list[str | None], out: str) -> pa.Table:
         """The texts' rows of the query's columns `out`, over (n_tokens, ids, hex) in their order."""
@@ -190,7 +191,8 @@ class PartitionCodec:
         if len(self.piece) > PIECES:
             self.forget()
         piece, first = self.piece, len(self.piece)
-        seq = np.fromiter((piece.setdefault(x, len(piece)) for ps in cuts for x in ps), np.int32)
+        parts = [np.fromiter((piece.setdefault(x, len(piece)) for x in ps), np.int32, len(ps)) for ps in cuts]
+        seq = np.concatenate([np.zeros(0, np.int32), *parts])
         if len(piece) > first:
             self.learn(list(piece)[first:], first)
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(ps) for ps in cuts])
@@ -198,11 +200,15 @@ class PartitionCodec:
         self.db.register("text", pa.table({"doc": np.arange(len(texts), dtype=np.int32)}))
         found = self.db.sql(f"""
             SELECT {out} FROM (
-                SELECT doc, n_tokens, array_to_string(list_transform(part, lambda x: x.ids), ',') AS ids, array_to_string(list_transform(part, lambda x: x.hex), '') AS hex
-                FROM (SELECT doc, sum(n)::BIGINT AS n_tokens, list({{'ids': ids, 'hex': hex}} ORDER BY place) AS part FROM token JOIN pieces USING (k) GROUP BY doc)
+                SELECT doc, sum(n)::BIGINT AS n_tokens, string_agg(ids, ',') AS ids, string_agg(hex, '') AS hex
+                FROM (SELECT * FROM token JOIN pieces USING (k) ORDER BY place) GROUP BY doc
             ) RIGHT JOIN text USING (doc) ORDER BY doc""").to_arrow_table()
         self.db.unregister("token")
         self.db.unregister("text")
+        want = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        same = found["decoded"].to_pylist() == want if "decoded" in found.column_names else found["decoded_sha256"].to_pylist() == [hashlib.sha256(x).hexdigest() for x in want]
+        if not same:
+            raise ValueError("decoded bytes differ from the text")
         return found
 
 
