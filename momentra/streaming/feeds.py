@@ -66,11 +66,12 @@ class Sieve:
         return out, sharp, hashes, head
 
 
-def stream_sieve(obs: DataFrame, state_rows: int = 200, state_hashes: int = 600, threshold: int = 5, dark: float = 0.1, idle_ms: int = 3_600_000) -> DataFrame:
+def stream_sieve(obs: DataFrame, state_rows: int = 200, state_hashes: int = 600, threshold: int = 5, dark: float = 0.1, event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
     """obs (scene_id, obs_id, timestamp_sec, sharpness, brightness, phash) -> each row's floor and verdict.
 
-    State of a scene: two bounded lists and the last time; rows before it are late, not put in order. A scene idle for
-    idle_ms of processing time is forgotten. On a batch frame a scene's rows are sieved in one group.
+    State of a scene: two bounded lists and the last time; rows before it are late, not put in order. With event_time, a
+    timestamp column, a scene idle for idle_ms beyond the watermark is forgotten; without, its state stays. On a batch
+    frame a scene's rows are sieved in one group.
     """
     sieve = Sieve(state_rows, state_hashes, threshold, dark)
     cols = [c.split()[0] for c in SIEVE.split(", ")]
@@ -82,10 +83,13 @@ def stream_sieve(obs: DataFrame, state_rows: int = 200, state_hashes: int = 600,
         sharp, hashes, head = state.get if state.exists else ([], [], float("-inf"))
         out, sharp, hashes, head = sieve.run(pd.concat(list(batches)), list(sharp), list(hashes), head)
         state.update((sharp, hashes, head))
-        state.setTimeoutDuration(idle_ms)
+        if event_time:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
         yield pd.DataFrame(out, columns=cols)
 
-    rows = obs.select("scene_id", "obs_id", "timestamp_sec", "sharpness", "brightness", "phash").where("phash is not null")
+    rows = obs.select("scene_id", "obs_id", "timestamp_sec", "sharpness", "brightness", "phash", *([event_time] if event_time else [])).where("phash is not null")
     if obs.isStreaming:
-        return rows.groupBy("scene_id").applyInPandasWithState(step, SIEVE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
+        rows = rows.withWatermark(event_time, watermark) if event_time else rows
+        return rows.groupBy("scene_id").applyInPandasWithState(step, SIEVE, STATE, "append", timeout)
     return rows.groupBy("scene_id").applyInPandas(lambda x: pd.DataFrame(sieve.run(x, [], [], float("-inf"))[0], columns=cols), SIEVE)

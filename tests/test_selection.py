@@ -126,7 +126,7 @@ def test_retrieval_against_brute_force(spark):
                 continue
             near = sum(k * (len(set(q[c]) & set(x[c])) / len(set(q[c]) | set(x[c])) if q[c] or x[c] else 0) for k, c in zip(w, range(2, 7)))
             best.append((-round(min(1, max(0, near + 0.08 * x[7] - 0.04 * x[8] + (0.22 if q[1] == x[1] else 0))), 6), x[0]))
-        assert sorted(i for a, i in got if a == q[0]) == sorted(i for _, i in sorted(best)[:4])
+        assert sorted(s for (a, _), s in got.items() if a == q[0]) == pytest.approx(sorted(-s for s, _ in sorted(best)[:4]), abs=2e-6)
 
 
 def test_text_near_dup(spark):
