@@ -44,7 +44,8 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     by_hash = found.repartitionByRange(shuffle_parts(docs.sparkSession), "h1", "h2", F.col("doc_id").desc()).sortWithinPartitions("h1", "h2", F.col("doc_id").desc(), "pos")
     firsts = by_hash.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("first_pos"))
     holders = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder")).where(F.col("n_docs") >= min_docs)
-    dropped = found.join(holders.select("h1", "h2", "holder"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+    holders = cut(holders.select("h1", "h2", "holder"))  # apart from its aggregate the join can split a hash that many lines share
+    dropped = found.join(holders, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     bit = F.expr("shiftleft(1L, pos % 64)")
     words = dropped.groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(bit).alias("mask"))
     return words.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("drop_bitmap"), F.sum(F.bit_count("mask")).cast("long").alias("n_dropped"))
