@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from momentra.llm.common import crc_mod
+from momentra.llm.common import crc_mod, cut
 
 #: Hashed n-gram features, and the n-gram lengths.
 FEATURES, GRAMS = 4096, (1, 2, 3, 4)
 #: Training rows a language at most: the ones with the least hash of id and text. The fit is bounded by this parameter.
 SAMPLE = 300
+#: The table of row counts by language is broadcast up to so many languages.
+MOST_LANGUAGES = 10_000
 #: A decision whose probability is less is flagged as ambiguous.
 SURE = 0.55
 #: ASCII letters in lower case and bytes of longer characters; all else is a blank.
@@ -87,8 +89,13 @@ class LanguageModel:
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs (doc_id, text, lang) -> (text, lang): up to `sample` rows a language, by least hash. Rows without lang or text never train."""
     keyed = docs.where("lang is not null and text is not null and text != ''").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    size = cut(keyed.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("n")))
+    size = F.broadcast(size) if size.count() <= MOST_LANGUAGES else size
+    # only rows whose hash is small enough to be among a language's first ones are brought together
+    place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    few = keyed.join(size, F.col("lang") == F.col("_lang")).where(place * F.col("n") < 4 * sample).drop("_lang", "n")
     order = Window.partitionBy("lang").orderBy("h")
-    return keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("text", "lang", "h")
+    return few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("text", "lang", "h")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = 300, rate: float = 20.0, decay: float = 1e-5) -> LanguageModel:
