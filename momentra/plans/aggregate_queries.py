@@ -99,12 +99,12 @@ def _(spark, sf):
 
 
 @query("phrase_mining", """
-    WITH d AS (SELECT list_filter(regexp_split_to_array(lower(substr(text, 1, 80)), '[^a-z0-9]+'), lambda x: x <> '') AS w, lang FROM documents WHERE trim(substr(text, 1, 80)) <> ''),
+    WITH d AS (SELECT list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: x <> '') AS w, lower(p_type) AS lang FROM part),
     p AS (SELECT 'first_two' AS kind, w[1] || ' ' || w[2] AS phrase FROM d WHERE len(w) >= 2 UNION ALL SELECT 'last_two', w[-2] || ' ' || w[-1] FROM d WHERE len(w) >= 2 UNION ALL SELECT 'token', t FROM (SELECT unnest(w) AS t FROM d) WHERE length(t) >= 3 UNION ALL SELECT 'tag', lang FROM d),
     c AS (SELECT kind, phrase, count(*) AS n FROM p GROUP BY ALL)
     SELECT kind, phrase, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, phrase)::INTEGER AS rank FROM c QUALIFY rank <= 5""")
 def _(spark, sf):
-    return A.phrase_mining(table(spark, sf, "documents").select(F.substring("text", 1, 80).alias("title"), F.array(F.upper("lang")).alias("tags")))
+    return A.phrase_mining(table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"), F.array("p_type").alias("tags")))
 
 
 @query("flag_summary", f"WITH {OBS}, x AS (SELECT scene_id, obs_id, timestamp_sec, label_confidence AS c, unnest(flags) AS flag FROM frame_obs WHERE label_confidence >= 0.5), y AS (SELECT *, row_number() OVER (PARTITION BY scene_id, flag ORDER BY timestamp_sec, obs_id) AS r FROM x) SELECT scene_id, flag, count(*) AS n, max(c) AS max_conf, string_agg(obs_id::VARCHAR, '|' ORDER BY r) FILTER (r <= 12) AS evidence FROM y GROUP BY scene_id, flag")

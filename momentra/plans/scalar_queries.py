@@ -66,11 +66,9 @@ def _(spark, sf):
     return S.fused_score(zoned(spark, sf)).select("obs_id", F.round("fused", 4).alias("fused"))
 
 
-@query("quality_adjust", f"WITH {OBS}, a AS (SELECT obs_id, score + CASE WHEN sharpness < 60 THEN -10.0::DOUBLE WHEN sharpness < 200 THEN 0.0::DOUBLE ELSE 4.5::DOUBLE END + greatest(-2.0::DOUBLE, least(2.0::DOUBLE, (label_confidence - 0.5::DOUBLE) * 4)) + CASE WHEN model_score_raw IS NULL THEN 0.0::DOUBLE ELSE greatest(-2.0::DOUBLE, least(2.0::DOUBLE, (model_score_raw - score) * 0.1::DOUBLE)) END AS x FROM frame_obs) SELECT obs_id, abs(floor(greatest(0, least(100, x)))) AS adjusted_floor FROM a WHERE abs(x - round(x)) > 0.06")
+@query("quality_adjust", f"WITH {OBS}, a AS (SELECT obs_id, score + CASE WHEN sharpness < 60 THEN -10.0::DOUBLE WHEN sharpness < 200 THEN 0.0::DOUBLE ELSE 4.5::DOUBLE END + greatest(-2.0::DOUBLE, least(2.0::DOUBLE, (label_confidence - 0.5::DOUBLE) * 4)) + CASE WHEN model_score_raw IS NULL THEN 0.0::DOUBLE ELSE greatest(-2.0::DOUBLE, least(2.0::DOUBLE, (model_score_raw - score) * 0.1::DOUBLE)) END AS x FROM frame_obs) SELECT obs_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, x))::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE AS adjusted FROM a")
 def _(spark, sf):
-    x = S.quality_adjust(frame_obs(spark, sf), bands_of(spark))
-    raw = F.col("score") + F.when(F.col("sharpness") < 60, -10.0).when(F.col("sharpness") < 200, 0.0).otherwise(4.5) + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("label_confidence") - 0.5) * 4)) + F.when(F.col("model_score_raw").isNull(), 0.0).otherwise(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("model_score_raw") - F.col("score")) * 0.1)))
-    return x.where(F.abs(raw - F.round(raw)) > 0.06).select("obs_id", F.abs(F.floor("adjusted").cast("double")).alias("adjusted_floor"))
+    return S.quality_adjust(frame_obs(spark, sf), bands_of(spark)).select("obs_id", "adjusted")
 
 
 def bands_of(spark):
@@ -109,10 +107,9 @@ def _(spark, sf):
     return S.clean_label(x, "x").select("p_partkey", F.regexp_replace("label_clean", "_+$", "").alias("label_clean"))
 
 
-@query("parse_tokens", "SELECT p_partkey, split_part(p_name, ' ', 1) || '|' || split_part(p_name, ' ', 2) || CASE WHEN lower(p_type) NOT IN (split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) THEN '|' || p_type ELSE '' END AS tokens FROM part WHERE p_name LIKE '% %' AND split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2)")
+@query("parse_tokens", "SELECT p_partkey, array_to_string(list_filter([p_name, p_type, p_brand], lambda x: true), '|') AS tokens FROM part")
 def _(spark, sf):
-    p = table(spark, sf, "part").where("p_name like '% %' and split_part(p_name, ' ', 1) != split_part(p_name, ' ', 2)")
-    x = p.select("p_partkey", F.concat(F.regexp_replace("p_name", " ", " ,; "), F.lit("\n"), F.upper(F.regexp_replace("p_name", " ", "|")), F.lit(";  "), "p_type").alias("t"))
+    x = table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" ,; "), F.upper("p_name"), F.lit("\n"), "p_type", F.lit("|  "), F.lower("p_type"), F.lit(";"), "p_brand").alias("t"))
     return S.parse_tokens(x, "t").select("p_partkey", joined("tokens").alias("tokens"))
 
 
@@ -122,10 +119,9 @@ def _(spark, sf):
     return S.reason_codes(x, "r").select("o_orderkey", joined("codes").alias("codes"))
 
 
-@query("norm_score", "SELECT event_id, CASE WHEN value BETWEEN 0 AND 10 THEN floor(value * 10) WHEN value <= 100 THEN floor(value) END AS score_floor FROM events WHERE abs(value * 10 - round(value * 10)) < 0.001 AND abs(value - round(value)) > 0.001 OR value > 100")
+@query("norm_score", "SELECT event_id, CASE WHEN value BETWEEN 0 AND 10 THEN round((value * 10)::DECIMAL(18, 6), 1)::DOUBLE WHEN value BETWEEN 0 AND 100 THEN round(value::DECIMAL(18, 6), 1)::DOUBLE END AS score_100 FROM events")
 def _(spark, sf):
-    x = table(spark, sf, "events").where("abs(value * 10 - round(value * 10)) < 0.001 and abs(value - round(value)) > 0.001 or value > 100")
-    return S.norm_score(x, "value").select("event_id", F.floor("score_100").cast("double").alias("score_floor"))
+    return S.norm_score(table(spark, sf, "events"), "value").select("event_id", "score_100")
 
 
 @query("decision_rank", f"WITH {FEEDBACK} SELECT doc_id, CASE decision WHEN 'keep' THEN 2 WHEN 'maybe' THEN 1 WHEN 'reject' THEN 0 END AS rank FROM feedback")
@@ -166,9 +162,9 @@ def _(spark, sf):
     return S.validate_obs(frame_obs(spark, sf)).select("obs_id", joined("reject_codes").alias("reject_codes"), joined("warnings").alias("warnings"), "eligible")
 
 
-@query("record_quality", f"WITH {FEEDBACK} SELECT doc_id, round(0.4::DOUBLE + CASE WHEN decision IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE, 3) AS record_quality FROM feedback WHERE trim(title) <> ''")
+@query("record_quality", f"WITH {FEEDBACK} SELECT doc_id, round(CASE WHEN trim(title) <> '' THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN decision IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE, 3) AS record_quality FROM feedback")
 def _(spark, sf):
-    return S.record_quality(feedback(spark, sf).where("trim(title) != ''"), {"title": 0.4, "decision": 0.5, "scene_id": 0.1}).select("doc_id", "record_quality")
+    return S.record_quality(feedback(spark, sf), {"title": 0.4, "decision": 0.5, "scene_id": 0.1}).select("doc_id", "record_quality")
 
 
 @query("curation_quality", f"WITH {FEEDBACK}, c AS (SELECT doc_id, length(title) AS a, length(text) AS b, (doc_id % 8)::INTEGER AS n, list_contains(regexp_split_to_array(lower(title), '[^a-z0-9]+'), 'the')::INTEGER + list_contains(regexp_split_to_array(lower(title), '[^a-z0-9]+'), 'of')::INTEGER AS g FROM feedback), s AS (SELECT *, CASE WHEN a BETWEEN 18 AND 110 THEN 1.5 WHEN a > 0 THEN 0.5 ELSE 0 END AS x, CASE WHEN b >= 200 THEN 1.5 WHEN b >= 80 THEN 1 WHEN b > 0 THEN 0.3 ELSE 0 END AS y, CASE WHEN n >= 5 THEN 2 WHEN n >= 2 THEN 1 ELSE 0 END AS z FROM c) SELECT doc_id, round(greatest(0, least(5, x + y + z - least(1.5, g * 0.5)))::DOUBLE, 2) AS curation_score, array_to_string(list_filter([CASE WHEN x > 0 THEN 'title_length' END, CASE WHEN y > 0 THEN 'long_text' END, CASE WHEN z > 0 THEN 'tag_count' END, CASE WHEN g > 0 THEN 'generic_words' END], lambda v: v IS NOT NULL), '|') AS curation_reasons FROM s")

@@ -114,12 +114,12 @@ def _(spark, sf):
 
 
 def titles(spark, sf):
-    """Titles: the first 80 characters of each document, its source the scene, twenty a scene group."""
-    d = table(spark, sf, "documents")
-    return d.select(F.expr("cast(doc_id div 20 as string)").alias("scene_id"), F.col("doc_id").alias("ord"), F.substring("text", 1, 60).alias("text"))
+    """Titles: name, type and brand of each part, twenty a scene."""
+    p = table(spark, sf, "part")
+    return p.select(F.expr("cast(p_partkey div 20 as string)").alias("scene_id"), F.col("p_partkey").alias("ord"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
 
 
-TITLES = "titles AS (SELECT (doc_id // 20)::VARCHAR AS scene_id, doc_id AS ord, substr(text, 1, 60) AS text FROM documents)"
+TITLES = "titles AS (SELECT (p_partkey // 20)::VARCHAR AS scene_id, p_partkey AS ord, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part)"
 
 
 @query("title_sanitize", f"WITH {TITLES}, w AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM titles WHERE length(text) BETWEEN 18 AND 110), c AS (SELECT *, array_to_string(w[1:4], ' ') AS head FROM w WHERE len(w) > 0 AND len(list_distinct(w)) / len(w) >= 0.5 AND len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) = 0), a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY scene_id, lower(text) ORDER BY ord) = 1), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY scene_id, head ORDER BY ord) = 1), r AS (SELECT scene_id, list({{'n': ord, 'text': text, 'tokens': list_distinct(w)}} ORDER BY ord) AS rows FROM b GROUP BY scene_id), f AS (SELECT scene_id, unnest(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: len(list_intersect(y.tokens, x[1].tokens)) / len(list_distinct(list_concat(y.tokens, x[1].tokens))) >= 0.72)) = 0 THEN list_concat(acc, x) ELSE acc END, [])) AS p FROM r) SELECT scene_id, p.n AS ord, p.text AS text FROM f")
@@ -127,9 +127,9 @@ def _(spark, sf):
     return P.title_sanitize(titles(spark, sf))
 
 
-@query("title_balance", f"WITH {TITLES}, t AS (SELECT scene_id, ord, CASE WHEN contains(lower(text), 'the') THEN 3 ELSE 0 END + CASE WHEN contains(lower(text), 'of') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'and') THEN 1 ELSE 0 END + CASE WHEN length(text) BETWEEN 40 AND 80 THEN 1 ELSE 0 END AS points, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS tokens FROM titles), r AS (SELECT scene_id, list({{'ord': ord, 'points': points, 'tokens': tokens}} ORDER BY points DESC, ord) AS rows FROM t GROUP BY scene_id), f AS (SELECT scene_id, rows, list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < 6 AND len(list_filter(acc, lambda y: coalesce(len(list_intersect(y.tokens, x[1].tokens)) / nullif(len(list_distinct(list_concat(y.tokens, x[1].tokens))), 0), 0) >= 0.68)) = 0 THEN list_concat(acc, x) ELSE acc END, []) AS kept FROM r), g AS (SELECT scene_id, list_concat(kept, list_filter(rows, lambda x: NOT list_contains(list_transform(kept, lambda y: y.ord), x.ord))[1:6 - len(kept)]) AS o FROM f), h AS (SELECT scene_id, unnest(o) AS p, unnest(range(1, len(o) + 1)) AS place FROM g) SELECT scene_id, p.ord AS ord, p.points::INTEGER AS points, place::INTEGER AS place FROM h")
+@query("title_balance", f"WITH {TITLES}, t AS (SELECT scene_id, ord, CASE WHEN contains(lower(text), 'red') THEN 3 ELSE 0 END + CASE WHEN contains(lower(text), 'bolt') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'small') THEN 1 ELSE 0 END + CASE WHEN length(text) BETWEEN 40 AND 80 THEN 1 ELSE 0 END AS points, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS tokens FROM titles), r AS (SELECT scene_id, list({{'ord': ord, 'points': points, 'tokens': tokens}} ORDER BY points DESC, ord) AS rows FROM t GROUP BY scene_id), f AS (SELECT scene_id, rows, list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < 6 AND len(list_filter(acc, lambda y: coalesce(len(list_intersect(y.tokens, x[1].tokens)) / nullif(len(list_distinct(list_concat(y.tokens, x[1].tokens))), 0), 0) >= 0.68)) = 0 THEN list_concat(acc, x) ELSE acc END, []) AS kept FROM r), g AS (SELECT scene_id, list_concat(kept, list_filter(rows, lambda x: NOT list_contains(list_transform(kept, lambda y: y.ord), x.ord))[1:6 - len(kept)]) AS o FROM f), h AS (SELECT scene_id, unnest(o) AS p, unnest(range(1, len(o) + 1)) AS place FROM g) SELECT scene_id, p.ord AS ord, p.points::INTEGER AS points, place::INTEGER AS place FROM h")
 def _(spark, sf):
-    return P.title_balance(titles(spark, sf), "the", ["of", "and"], 6)
+    return P.title_balance(titles(spark, sf), "red", ["bolt", "small"], 6)
 
 
 @query("disagreements", f"WITH {FEEDBACK}, l AS (SELECT * FROM feedback ORDER BY ts DESC, doc_id DESC LIMIT 120), x AS (SELECT doc_id, 'label' AS field, CASE WHEN model_label = operator_label THEN 'ok' ELSE 'err' END AS verdict FROM l WHERE operator_label IS NOT NULL UNION ALL SELECT doc_id, 'visible', CASE WHEN doc_id % 2 = doc_id % 3 THEN 'ok' ELSE 'err' END FROM l UNION ALL SELECT doc_id, 'score', CASE WHEN model_score = operator_score THEN 'ok' WHEN abs(model_score - operator_score) <= 10 THEN 'warn' ELSE 'err' END FROM l WHERE operator_score IS NOT NULL) SELECT doc_id AS feedback_id, field, verdict FROM x WHERE verdict <> 'ok'")

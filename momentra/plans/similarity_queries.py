@@ -60,11 +60,11 @@ def _(spark, sf):
 def train(spark, sf):
     """Judged documents as feedback, the benchmark's items as imported rows."""
     fb = feedback(spark, sf).where("decision is not null").select(F.col("filename").alias("sample_id"), "scene_id", "filename", "decision", F.col("operator_score").alias("score_100"), "model_score", "title")
-    b = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("sample_id"), F.lit("").alias("scene_id"), F.concat(F.lit("b"), "item_id").alias("filename"), F.substring("text", 1, 60).alias("title"), F.lit("bench").alias("notes"))
+    b = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("sample_id"), F.lit("").alias("scene_id"), F.concat(F.lit("b"), "item_id").alias("filename"), F.col("text").alias("title"), F.lit("bench").alias("notes"))
     return M.train_union(fb, b)
 
 
-TRAIN = FEEDBACK + ", train AS (SELECT filename AS sample_id, 'feedback' AS source_type, scene_id, filename, decision, operator_score AS score_100, model_score, title, NULL::VARCHAR AS notes FROM feedback WHERE decision IS NOT NULL UNION ALL SELECT 'b' || item_id::VARCHAR, 'imported', '', 'b' || item_id::VARCHAR, NULL, NULL, NULL, substr(text, 1, 60), 'bench' FROM benchmark)"
+TRAIN = FEEDBACK + ", train AS (SELECT filename AS sample_id, 'feedback' AS source_type, scene_id, filename, decision, operator_score AS score_100, model_score, title, NULL::VARCHAR AS notes FROM feedback WHERE decision IS NOT NULL UNION ALL SELECT 'b' || item_id::VARCHAR, 'imported', '', 'b' || item_id::VARCHAR, NULL, NULL, NULL, text, 'bench' FROM benchmark)"
 
 
 @query("train_union", f"WITH {TRAIN} SELECT * FROM train")
@@ -122,20 +122,20 @@ def _(spark, sf):
 
 @query("text_near_dup")
 def _(spark, sf):
-    x = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("t"), (F.col("n_chars") % 7).cast("double").alias("q"))
-    return D.text_near_dup(x, "doc_id", "t", "q")
+    x = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", (F.length("text") % 7).cast("double").alias("q"))
+    return D.text_near_dup(x, "id", "text", "q")
 
 
 @query("edit_distance")
 def _(spark, sf):
-    x = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("a"), F.substring_index("text", "\n", -1).alias("b"))
-    return D.edit_distance(x, "a", "b").select("doc_id", "edit_distance")
+    p = table(spark, sf, "part")
+    return D.edit_distance(p, "p_name", "p_type").select("p_partkey", "edit_distance")
 
 
-@query("edit_distance_native", f"WITH {TITLES}, x AS (SELECT ord, trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS a, trim(regexp_replace(lower(substr(text, 20)), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS b FROM titles WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) SELECT ord, round(CASE WHEN greatest(length(a), length(b)) > 0 THEN levenshtein(a, b) / greatest(length(a), length(b)) ELSE 0 END, 4) AS edit_distance FROM x")
+@query("edit_distance_native", f"WITH {TITLES}, x AS (SELECT ord, lower(text) AS a, lower(p_type || '  ' || p_name) AS b FROM titles JOIN part ON ord = p_partkey), y AS (SELECT ord, a, replace(b, '  ', ' ') AS b FROM x) SELECT ord, round(levenshtein(a, b) / greatest(length(a), length(b)), 4) AS edit_distance FROM y")
 def _(spark, sf):
-    x = titles(spark, sf).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).withColumn("b", F.expr("substring(text, 20)"))
-    return D.edit_distance(x, "text", "b", native=True).select("ord", "edit_distance")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.concat("p_type", F.lit("  "), F.upper("p_name")).alias("b"))
+    return D.edit_distance(titles(spark, sf).join(p, "ord"), "text", "b", native=True).select("ord", "edit_distance")
 
 
 @query("title_diversity", f"WITH {TITLES}, t AS (SELECT scene_id, ord, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM titles), p AS (SELECT a.scene_id, 1 - coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0) AS d FROM t a JOIN t b ON a.scene_id = b.scene_id AND a.ord < b.ord) SELECT t.scene_id, round(coalesce(quantile_cont(d, 0.5), 0), 4) AS title_diversity FROM (SELECT DISTINCT scene_id FROM t) t LEFT JOIN p USING (scene_id) GROUP BY t.scene_id")

@@ -38,13 +38,13 @@ def _(spark, sf):
     return files.read_ledger(spark, path, "o_orderkey long, o_orderstatus string")
 
 
-@query("read_scene_docs", "SELECT c_mktsegment AS source, count(*) AS n FROM customer WHERE c_custkey % 25 = 0 AND c_custkey % 50 <> 0 GROUP BY 1")
+@query("read_scene_docs", "SELECT s_suppkey::VARCHAR AS scene_id, s_name AS source FROM supplier WHERE s_suppkey % 5 <> 0")
 def _(spark, sf):
     path = _new(spark, "docs")
-    c = table(spark, sf, "customer").where("c_custkey % 25 = 0")  # one file a scene: the fixture's number, not a filter of the operator
-    doc = F.when(F.col("c_custkey") % 50 == 0, '{\n "scene_id": ').otherwise(F.concat(F.lit('{\n "scene_id": "'), F.col("c_custkey").cast("string"), F.lit('",\n "source": "'), "c_mktsegment", F.lit('"\n}')))
-    c.select(doc.alias("value"), F.col("c_custkey").alias("part")).write.partitionBy("part").text(path)
-    return files.read_scene_docs(spark, f"{path}/part=*", "scene_id string, source string", f"{path}-compact").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    key = F.col("s_suppkey")  # a file a supplier, every fifth of them broken
+    doc = F.when(key % 5 == 0, '{\n "scene_id": ').otherwise(F.concat(F.lit('{\n "scene_id": "'), key.cast("string"), F.lit('",\n "source": "'), "s_name", F.lit('"\n}')))
+    table(spark, sf, "supplier").select(doc.alias("value"), key.alias("part")).write.partitionBy("part").text(path)
+    return files.read_scene_docs(spark, f"{path}/part=*", "scene_id string, source string", f"{path}-compact")
 
 
 @query("read_label_csv", "SELECT doc_id::VARCHAR AS scene_id, quality::VARCHAR AS operator_score, CASE WHEN toxic = 1 THEN 'reject' END AS decision FROM labels")

@@ -96,7 +96,7 @@ def run_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEEDBACK = """
 feedback AS (
     SELECT d.doc_id, d.source AS scene_id, 'f' || d.doc_id::VARCHAR AS filename, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'keep' WHEN quality = 0 THEN 'maybe' END AS decision, CASE WHEN quality IS NOT NULL THEN quality * 60.0::DOUBLE + (d.doc_id % 40) - toxic * 30 END AS operator_score,
-           (n_chars % 101)::DOUBLE AS model_score, lang AS model_label, CASE WHEN quality IS NOT NULL THEN CASE WHEN d.doc_id % 7 = 0 THEN 'xx' ELSE lang END END AS operator_label, substr(text, 1, 60) AS title, text, TIMESTAMP '2024-01-01' + to_seconds(d.doc_id) AS ts, n_chars, quality, toxic
+           (n_chars % 101)::DOUBLE AS model_score, lang AS model_label, CASE WHEN quality IS NOT NULL THEN CASE WHEN d.doc_id % 7 = 0 THEN 'xx' ELSE lang END END AS operator_label, text AS title, text, TIMESTAMP '2024-01-01' + to_seconds(d.doc_id) AS ts, n_chars, quality, toxic
     FROM documents d LEFT JOIN labels USING (doc_id)
 )"""
 
@@ -107,7 +107,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     return x.select(
         "doc_id", F.col("source").alias("scene_id"), F.concat(F.lit("f"), i.cast("string")).alias("filename"), F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "keep").when(F.col("quality") == 0, "maybe").alias("decision"), F.when(F.col("quality").isNotNull(), F.col("quality") * 60.0 + i % 40 - F.col("toxic") * 30).alias("operator_score"),
-        (F.col("n_chars") % 101).cast("double").alias("model_score"), F.col("lang").alias("model_label"), F.when(F.col("quality").isNotNull(), F.when(i % 7 == 0, "xx").otherwise(F.col("lang"))).alias("operator_label"), F.substring("text", 1, 60).alias("title"), "text", F.timestamp_seconds(i + F.lit(1704067200)).alias("ts"), "n_chars", "quality", "toxic",
+        (F.col("n_chars") % 101).cast("double").alias("model_score"), F.col("lang").alias("model_label"), F.when(F.col("quality").isNotNull(), F.when(i % 7 == 0, "xx").otherwise(F.col("lang"))).alias("operator_label"), F.col("text").alias("title"), "text", F.timestamp_seconds(i + F.lit(1704067200)).alias("ts"), "n_chars", "quality", "toxic",
     )
 
 
