@@ -6,13 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentra.llm import bpe, decontam, langid, linededup, queries, simhash
+from momentra.llm import bpe, decontam, langid, linededup, nearcopies, queries
 from momentra.llm.common import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies: 5-word shingles, 256-bit fingerprints. A pair of similarity 0.8 differs in 39 bits on average, with
-#: a deviation of 6; RADIUS takes in nearly all of them. MASKS masks of MASK_BITS bits find such a pair at 0.98.
-SHINGLE, WORDS, RADIUS, MASK_BITS, MASKS = 5, 4, 48, 16, 48
+#: Near copies: Jaccard similarity of 0.8 or more of the sets of 5-word shingles.
+SHINGLE = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +29,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group stays. Rows that share a doc_id are copies of one document."""
-    masks = simhash.sampled_masks(WORDS, MASK_BITS, MASKS)
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, WORDS, RADIUS, masks)
-    keep = found.groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_n")).where(F.col("doc_id") == F.col("_c")).select(F.col("doc_id").alias("_d"), "_n")
-    kept = docs.join(keep, docs["doc_id"] == keep["_d"]).select(*COLUMNS, "_n")
-    again = kept.where("_n > 1").dropDuplicates(["doc_id"])
-    return kept.where("_n = 1").unionAll(again).select(*COLUMNS)
+    """One row of each group of near copies stays, that of the least doc_id; a row without an id only if no other has one."""
+    keep = nearcopies.survivors(docs, SHINGLE).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("copies").alias("_n"))
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")))
+    again = kept.where("_n > 1").dropDuplicates(["doc_id", "_t"])
+    return kept.where("_n = 1").unionByName(again).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
