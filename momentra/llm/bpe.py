@@ -1,9 +1,9 @@
-"""Byte-level BPE by recursive DuckDB queries, one database a Spark partition.
+"""Byte-level BPE by recursive DuckDB queries, one database a Python worker.
 
-Pretokens are numbered once a partition. New ones are contracted by a recursive query: rows are (word, position,
-token), each step joins neighbouring tokens with the merge table and contracts every word's leftmost pair of least
-rank, until no word has a pair. Documents are then joined from their words' tokens by ordered aggregation, and decoded
-by ordered aggregation of the tokens' bytes.
+Pretokens are numbered once. New ones are contracted by a recursive query: rows are (word, position, token), each step
+joins neighbouring tokens with the merge table and contracts every word's leftmost pair of least rank, until no word has
+a pair. Documents are then joined from their words' tokens by ordered aggregation, and the ids so found are decoded by
+ordered aggregation of their bytes, which must give the text again.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -23,16 +22,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text characters that go through the database at once, and words that one recursive query contracts.
-CHUNK_CHARS, CHUNK_WORDS = 2 << 20, 20_000
+#: Text characters that go through the database at once; longer texts go in segments of so many.
+CHUNK_CHARS = 2 << 20
 #: Pieces that the word tables hold before they are begun anew.
 PIECES = 600_000
-#: Words of more bytes are contracted by a heap outside the database: a step contracts one pair of each word, and a
-#: word of n bytes takes up to n steps over n rows.
-LONG_BYTES = 512
-
-#: start and step: a token (id) of word w at pos, the places before and after it (-1: none) and the next token.
-#: best: a word's leftmost pair of least rank, the second place of the pair and what follows it.
+#: Words of up to STEP_BYTES go through CONTRACT, whose rows are as many as the sum of the words' squares: SQUARES at once.
+#: Longer ones go through CONTRACT_RUNS, which keeps one row a byte: RUN_BYTES at once, or one word if that is longer.
+STEP_BYTES, SQUARES, RUN_BYTES = 64, 4 << 20, 256 << 10
+#: What the database may hold in memory.
+MEMORY = "700MB"
+
+#: start: a token (id) of word w at pos, the places before and after it (-1: none) and the next token.
+#: best: a word's leftmost pair of least rank, the second place of the pair and what follows it. One pair a word and step.
 CONTRACT = """
 WITH RECURSIVE step(w, pos, after, before, id, next_id, depth) AS (
     SELECT w, pos, after, before, id, next_id, 0 FROM start
@@ -55,6 +56,54 @@ WITH RECURSIVE step(w, pos, after, before, id, next_id, depth) AS (
 SELECT step.w, pos, id FROM step JOIN (SELECT w, max(depth) AS depth FROM step GROUP BY w) USING (w, depth)
 """
 
+#: The same for long words, with all the pairs of least rank from the left in one step. The table is keyed, so a place
+#: has one row whatever the number of steps, and only changed rows go on. hit: the pairs of least rank; chosen: every
+#: other one where they overlap; take: up to the first that makes a pair of still lesser rank, which has to come before
+#: the rest. That is the order of one leftmost least pair after the other.
+CONTRACT_RUNS = """
+WITH RECURSIVE token(w, pos, id, before, after, next_id, rank) USING KEY (w, pos) AS (
+    SELECT w, pos, id, before, after, next_id, rank FROM start LEFT JOIN merges ON pair = id::BIGINT * 65536 + next_id
+    UNION
+    SELECT w, pos, id, before, after, next_id, CASE WHEN id >= 0 THEN merges.rank END
+    FROM (
+        WITH live AS MATERIALIZED (SELECT * FROM recurring.token WHERE id >= 0 AND w IN (SELECT w FROM token)),
+        hit AS (
+            SELECT w, pos, before, after AS second, least, coalesce(lag(after) OVER place = pos, false) AS linked, row_number() OVER place AS i
+            FROM live JOIN (SELECT w, min(rank) AS least FROM live GROUP BY w) USING (w) WHERE rank = least
+            WINDOW place AS (PARTITION BY w ORDER BY pos)
+        ),
+        chosen AS (
+            SELECT * FROM (SELECT *, i - max(CASE WHEN linked THEN 0 ELSE i END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING) AS turn FROM hit) WHERE turn % 2 = 0
+        ),
+        pair AS (
+            SELECT c.w, c.pos, c.before, c.second, c.least, s.after AS next, s.next_id AS right_id, b.id AS left_id,
+                   lag(c.pos) OVER place AS last, coalesce(lag(c.second) OVER place = c.before, false) AS joined
+            FROM chosen c JOIN live s ON s.w = c.w AND s.pos = c.second LEFT JOIN live b ON b.w = c.w AND b.pos = c.before
+            WINDOW place AS (PARTITION BY c.w ORDER BY c.pos)
+        ),
+        take AS (
+            SELECT *, lead(pos) OVER place AS following FROM (
+                SELECT p.*, coalesce(bool_or(l.rank < least OR r.rank < least) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late
+                FROM pair p
+                LEFT JOIN merges l ON l.pair = (CASE WHEN joined THEN least ELSE left_id END)::BIGINT * 65536 + least
+                LEFT JOIN merges r ON r.pair = least::BIGINT * 65536 + right_id
+            ) WHERE NOT late WINDOW place AS (PARTITION BY w ORDER BY pos)
+        ),
+        mark AS (
+            SELECT w, pos, max(id) AS id, max(before) AS before, max(after) AS after, max(next_id) AS next_id FROM (
+                SELECT w, pos, least AS id, CASE WHEN joined THEN last END AS before, next AS after, CASE WHEN following = next THEN least ELSE right_id END AS next_id FROM take
+                UNION ALL SELECT w, second, -1, NULL, NULL, NULL FROM take
+                UNION ALL SELECT w, next, NULL, pos, NULL, NULL FROM take WHERE next >= 0 AND following IS DISTINCT FROM next
+                UNION ALL SELECT w, before, NULL, NULL, NULL, least FROM take WHERE before >= 0 AND NOT joined
+            ) GROUP BY w, pos
+        )
+        SELECT w, pos, coalesce(mark.id, live.id) AS id, coalesce(mark.before, live.before) AS before, coalesce(mark.after, live.after) AS after, coalesce(mark.next_id, live.next_id) AS next_id
+        FROM live JOIN mark USING (w, pos)
+    ) LEFT JOIN merges ON pair = id::BIGINT * 65536 + next_id
+)
+SELECT w, pos, id FROM token WHERE id >= 0
+"""
+
 
 #: Where a text may be cut: before a space after a non-blank. BLANK_SPACE: there is a space where it may not.
 CUT, BLANK_SPACE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
@@ -73,38 +122,11 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int32())})
 
 
-def contract_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The tokens of one long word: the leftmost pair of least rank first, by a heap over a linked list."""
-    part = [piece[i : i + 1] for i in range(len(piece))]
-    after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-    heap: list[tuple[int, int, bytes]] = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and after[i] < len(part):
-            both = part[i] + part[after[i]]
-            if both in ranks:
-                heapq.heappush(heap, (ranks[both], i, both))
-
-    for i in range(len(part)):
-        offer(i)
-    while heap:
-        _, i, both = heapq.heappop(heap)
-        if not part[i] or after[i] >= len(part) or part[i] + part[after[i]] != both:
-            continue
-        j = after[i]
-        part[i], part[j], after[i] = both, b"", after[j]
-        if after[j] < len(part):
-            before[after[j]] = i
-        offer(before[i])
-        offer(i)
-    return [ranks[x] for x in part if x]
-
-
-class PartitionCodec:
-    """One partition's database: vocab, merges, words (w, n, ids, hex) and pieces (p, n, ids, hex) of the text so far.
+class Codec:
+    """A database of vocab, merges, words (k, n, ids) and pieces (k, n, ids) of the text so far; ids are decimal, comma-joined.
 
     A text is cut before each single space that follows a non-blank; pretokens never cross such a cut, so repeated
-    pieces are split and looked up once. ids is decimal and comma-joined, hex the decoded bytes.
+    pieces are split and looked up once.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -112,9 +134,7 @@ class PartitionCodec:
         if max(self.ranks.values(), default=0) >= 65_536:
             raise ValueError("pairs are packed for ranks below 65536")
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
-        vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
-        self.fill("CREATE TABLE vocab AS SELECT * FROM given", given=vocab)
+        self.db = vocabulary(self.ranks)
         self.fill("CREATE TABLE merges AS SELECT * FROM given", given=merge_table(self.ranks))
         self.forget()
 
@@ -129,9 +149,9 @@ class PartitionCodec:
         self.word: dict[str, int] = {}
         self.piece: dict[str | tuple[str], int] = {}
         for name in ("words", "pieces"):
-            self.db.execute(f"CREATE OR REPLACE TABLE {name} (k INTEGER, n BIGINT, ids VARCHAR, hex VARCHAR)")
+            self.db.execute(f"CREATE OR REPLACE TABLE {name} (k INTEGER, n BIGINT, ids VARCHAR)")
 
-    def cut(self, text: str | None) -> list[str | tuple[str]]:
+    def cut(self, text: str) -> list[str | tuple[str]]:
         """The text's pieces: a string stands for itself after a space, a tuple for its content alone."""
         if not text:
             return []
@@ -140,35 +160,31 @@ class PartitionCodec:
         first, *rest = text.split(" ")
         return [(first,), *rest]
 
-    def start(self, pieces: list[bytes], number: list[int]) -> pa.Table:
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    def start(self, words: list[bytes], number: list[int]) -> pa.Table:
+        size = np.fromiter(map(len, words), np.int64, len(words))
         w = np.repeat(np.array(number, np.int32), size)
         pos = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        ids = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         last = pos == np.repeat(size, size) - 1
         return pa.table({"w": w, "pos": pos, "after": np.where(last, -1, pos + 1).astype(np.int32), "before": pos - 1, "id": ids, "next_id": np.where(last, -1, np.roll(ids, -1)).astype(np.int32)})
 
     def learn_words(self, new: list[str], first: int) -> None:
         """Contract the words numbered from `first` on."""
-        todo: list[tuple[bytes, int]] = []
-        done: list[tuple[int, int, int]] = []
+        todo: dict[str, list[tuple[bytes, int]]] = {CONTRACT: [], CONTRACT_RUNS: []}
+        whole: list[tuple[int, int]] = []
         for i, x in enumerate(new, first):
             word = x.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(word)
-            if whole is not None:
-                done.append((i, 0, whole))
-            elif len(word) > LONG_BYTES:
-                done += [(i, p, t) for p, t in enumerate(contract_long(word, self.ranks))]
+            if (rank := self.ranks.get(word)) is not None:
+                whole.append((i, rank))
             else:
-                todo.append((word, i))
-        w, pos, ids = zip(*done) if done else ((), (), ())
-        done_table = pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())})
-        join = "INSERT INTO words SELECT w, count(*), string_agg(id::VARCHAR, ','), string_agg(hex, '') FROM (SELECT w, id, hex FROM ({}) JOIN vocab USING (id) ORDER BY w, pos) GROUP BY w"
-        if done:
-            self.fill(join.format("SELECT * FROM done"), done=done_table)
-        for at in range(0, len(todo), CHUNK_WORDS):
-            part = todo[at : at + CHUNK_WORDS]
-            self.fill(join.format(CONTRACT), start=self.start([x for x, _ in part], [i for _, i in part]))
+                todo[CONTRACT if len(word) <= STEP_BYTES else CONTRACT_RUNS].append((word, i))
+        if whole:
+            k, rank = zip(*whole)
+            self.fill("INSERT INTO words SELECT k, 1, id::VARCHAR FROM given", given=pa.table({"k": pa.array(k, pa.int32()), "id": pa.array(rank, pa.int32())}))
+        join = "INSERT INTO words SELECT w, count(*), string_agg(id::VARCHAR, ',') FROM (SELECT w, id FROM ({}) ORDER BY w, pos) GROUP BY w"
+        for query, cost, most in ((CONTRACT, lambda n: n * n, SQUARES), (CONTRACT_RUNS, lambda n: n, RUN_BYTES)):
+            for part in chunks(todo[query], [cost(len(x)) for x, _ in todo[query]], most):
+                self.fill(join.format(query), start=self.start([x for x, _ in part], [i for _, i in part]))
 
     def learn(self, new: list[str | tuple[str]], first: int) -> None:
         """Split the pieces numbered from `first` on, contract their new words and join the pieces from them."""
@@ -181,12 +197,12 @@ class PartitionCodec:
         p = np.repeat(np.arange(first, first + len(new), dtype=np.int32), size)
         one = np.repeat(size == 1, size)
         k, place = np.array(w, np.int32), np.arange(len(w), dtype=np.int32)
-        self.fill("INSERT INTO pieces SELECT p, n, ids, hex FROM given JOIN words USING (k)", given=pa.table({"p": p[one], "k": k[one]}))
+        self.fill("INSERT INTO pieces SELECT p, n, ids FROM given JOIN words USING (k)", given=pa.table({"p": p[one], "k": k[one]}))
         given = pa.table({"p": p[~one], "place": place[~one], "k": k[~one]})
-        self.fill("INSERT INTO pieces SELECT p, sum(n), string_agg(ids, ','), string_agg(hex, '') FROM (SELECT * FROM given JOIN words USING (k) ORDER BY place) GROUP BY p", given=given)
+        self.fill("INSERT INTO pieces SELECT p, sum(n), string_agg(ids, ',') FROM (SELECT * FROM given JOIN words USING (k) ORDER BY place) GROUP BY p", given=given)
 
-    def run(self, texts: list[str | None], out: str) -> pa.Table:
-        """The texts' rows of the query's columns `out`, over (n_tokens, ids, hex) in their order."""
+    def encode(self, texts: list[str]) -> pa.Table:
+        """(doc, n, ids) of the texts, in their order."""
         cuts = [self.cut(t) for t in texts]
         if len(self.piece) > PIECES:
             self.forget()
@@ -198,77 +214,140 @@ class PartitionCodec:
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(ps) for ps in cuts])
         self.db.register("token", pa.table({"doc": doc, "place": np.arange(len(seq), dtype=np.int32), "k": seq}))
         self.db.register("text", pa.table({"doc": np.arange(len(texts), dtype=np.int32)}))
-        found = self.db.sql(f"""
-            SELECT {out} FROM (
-                SELECT doc, sum(n)::BIGINT AS n_tokens, string_agg(ids, ',') AS ids, string_agg(hex, '') AS hex
-                FROM (SELECT * FROM token JOIN pieces USING (k) ORDER BY place) GROUP BY doc
+        found = self.db.sql("""
+            SELECT doc, coalesce(n, 0)::BIGINT AS n, coalesce(ids, '') AS ids FROM (
+                SELECT doc, sum(n) AS n, string_agg(ids, ',') AS ids FROM (SELECT * FROM token JOIN pieces USING (k) ORDER BY place) GROUP BY doc
             ) RIGHT JOIN text USING (doc) ORDER BY doc""").to_arrow_table()
         self.db.unregister("token")
         self.db.unregister("text")
-        want = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        same = found["decoded"].to_pylist() == want if "decoded" in found.column_names else found["decoded_sha256"].to_pylist() == [hashlib.sha256(x).hexdigest() for x in want]
-        if not same:
-            raise ValueError("decoded bytes differ from the text")
         return found
 
-
-DIGESTS = "coalesce(n_tokens, 0) AS n_tokens, sha256(coalesce(ids, '')) AS ids_sha256, sha256(unhex(coalesce(hex, ''))) AS decoded_sha256"
-WHOLE = "coalesce(n_tokens, 0) AS n_tokens, coalesce(ids, '') AS ids, unhex(coalesce(hex, '')) AS decoded"
-
-
-def _through(docs: DataFrame, path: str, pattern: str, out: str, schema: str) -> DataFrame:
-    keep = [c for c in docs.columns if c != "text"]
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = None
-        for batch in batches:
-            codec = codec or PartitionCodec(path, pattern)
-            texts = [None if t is None else t for t in batch["text"]]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK_CHARS):
-                    size += len(texts[end] or "")
-                    end += 1
-                found = codec.run(texts[at:end], out).to_pandas()
-                yield pd.concat([batch[keep][at:end].reset_index(drop=True), found], axis=1)
-                at = end
-
-    return docs.mapInPandas(run, schema)
+    def run(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
+        """(number of tokens, ids, the bytes that the ids decode to) of each text; an error if these aren't the text's."""
+        found = self.encode(texts)
+        decoded = decode_ids(self.db, found)
+        if decoded != [t.encode("utf-8", "surrogatepass") for t in texts]:
+            raise ValueError("decoded bytes differ from the text")
+        return list(zip(found["n"].to_pylist(), found["ids"].to_pylist(), decoded))
+
+    def documents(self, texts: Iterable[str]) -> Iterator[list[tuple[int, str, bytes]]]:
+        """For each text what run gives for its segments."""
+        flat = [(i, x) for i, t in enumerate(texts) for x in segments(t)]
+        out: list[tuple[int, str, bytes]] = []
+        last = 0
+        for part in chunks(flat, [len(x) for _, x in flat], CHUNK_CHARS):
+            for (i, _), row in zip(part, self.run([x for _, x in part])):
+                if i != last:
+                    yield out
+                    out, last = [], i
+                out.append(row)
+        if flat:
+            yield out
+
+
+def chunks(rows: list, cost: list[int], most: int) -> Iterator[list]:
+    """rows in runs whose cost is `most` together, or one row."""
+    at = 0
+    while at < len(rows):
+        end, total = at, 0
+        while end < len(rows) and (end == at or total + cost[end] <= most):
+            total += cost[end]
+            end += 1
+        yield rows[at:end]
+        at = end
+
+
+def segments(text: str) -> list[str]:
+    """A text in parts of CHUNK_CHARS or a little more, cut where no pretoken crosses; at least one."""
+    out, at = [], 0
+    while len(text) - at > CHUNK_CHARS and (m := CUT.search(text, at + CHUNK_CHARS)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
+def vocabulary(ranks: dict[bytes, int]) -> duckdb.DuckDBPyConnection:
+    """A database with the table vocab (id, hex)."""
+    db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+    db.register("given", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
+    db.execute("CREATE TABLE vocab AS SELECT * FROM given")
+    db.unregister("given")
+    return db
+
+
+def decode_ids(db: duckdb.DuckDBPyConnection, encoded: pa.Table) -> list[bytes]:
+    """encoded (doc, n, ids) -> the bytes of each row's ids, in their order; an unknown id is an error."""
+    db.register("encoded", encoded)
+    found = db.sql("""
+        SELECT coalesce(h.n, 0) = encoded.n AS known, coalesce(unhex(hex), ''::BLOB) AS decoded FROM (
+            SELECT doc, count(*) AS n, string_agg(hex, '') AS hex FROM (
+                SELECT doc, hex FROM (
+                    SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS place FROM (SELECT doc, string_split(ids, ',')::INTEGER[] AS ids FROM encoded WHERE ids <> '')
+                ) JOIN vocab USING (id) ORDER BY doc, place
+            ) GROUP BY doc
+        ) h RIGHT JOIN encoded USING (doc) ORDER BY doc""").to_arrow_table()
+    db.unregister("encoded")
+    if not all(found["known"].to_pylist()):
+        raise ValueError("an id is not in the vocabulary")
+    return found["decoded"].to_pylist()
+
+
+@functools.lru_cache(maxsize=1)
+def worker_codec(path: str, pattern: str) -> Codec:
+    """The codec of this Python worker; the words it has learned serve all tasks that the worker runs."""
+    return Codec(path, pattern)
+
+
+def _digests(texts: pd.Series, path: str, pattern: str) -> pd.DataFrame:
+    rows = []
+    for parts in worker_codec(path, pattern).documents(t or "" for t in texts):
+        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        for i, (k, x, raw) in enumerate(parts):
+            n += k
+            ids.update(f"{',' * (i > 0)}{x}".encode())
+            decoded.update(raw)
+        rows.append((n, ids.hexdigest(), decoded.hexdigest()))
+    return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _whole(texts: pd.Series, path: str, pattern: str) -> pd.DataFrame:
+    rows = []
+    for parts in worker_codec(path, pattern).documents(t or "" for t in texts):
+        ids = [int(i) for _, x, _ in parts if x for i in x.split(",")]
+        rows.append((len(ids), ids, b"".join(raw for *_, raw in parts)))
+    return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
+
+
+def _through(docs: DataFrame, run: Callable[..., pd.DataFrame], path: str, pattern: str, schema: str) -> DataFrame:
+    """Python sees the texts alone; ids of any size stay as they are."""
+
+    @F.pandas_udf(schema)
+    def coded(texts: pd.Series) -> pd.DataFrame:
+        return run(texts, path, pattern)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), coded(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_tokens, ids_sha256, decoded_sha256), one row a row of docs; null text is empty.
 
-    ids_sha256: of the decimal ids joined by commas; decoded_sha256: of the bytes that the ids decode to.
+    ids_sha256: of the decimal ids joined by commas; decoded_sha256: of the bytes that these ids decode to.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _through(rows, path, pattern, DIGESTS, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _through(docs, _digests, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_tokens, ids array<int>, decoded binary)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = _through(rows, path, pattern, WHOLE, "doc_id long, n_tokens long, ids string, decoded binary")
-    return found.withColumn("ids", F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>")))
+    return _through(docs, _whole, path, pattern, "n_tokens long, ids array<int>, decoded binary")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """tokens (doc_id, ids array<int>) -> (doc_id, decoded binary), by ordered aggregation; an unknown id is an error."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks = load_ranks(path)
-        db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
-        db.register("given", pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]}))
-        db.execute("CREATE TABLE vocab AS SELECT * FROM given")
-        for b in batches:
-            size = [0 if x is None else len(x) for x in b["ids"]]
-            ids = np.concatenate([np.asarray(x, np.int64) for x in b["ids"] if x is not None and len(x)] or [np.zeros(0, np.int64)])
-            db.register("token", pa.table({"doc": np.repeat(np.arange(len(b)), size), "place": np.arange(len(ids)), "id": ids}))
-            db.register("text", pa.table({"doc": np.arange(len(b))}))
-            rows = db.sql("SELECT n, coalesce(unhex(h), ''::BLOB) AS decoded FROM (SELECT doc, count(*) AS n, string_agg(hex, '' ORDER BY place) AS h FROM token JOIN vocab USING (id) GROUP BY doc) RIGHT JOIN text USING (doc) ORDER BY doc").to_arrow_table().to_pandas()
-            if (rows["n"].fillna(0).to_numpy() != size).any():
-                raise ValueError("an id is not in the vocabulary")
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "decoded": rows["decoded"]})
-
-    return tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInPandas(run, "doc_id long, decoded binary")
+    """tokens (doc_id, ids array<int>) -> (doc_id, decoded binary); null ids decode to nothing, an unknown id is an error."""
+
+    @F.pandas_udf("binary")
+    def decoded(ids: pd.Series) -> pd.Series:
+        lists = [[] if x is None else list(x) for x in ids]
+        table = pa.table({"doc": np.arange(len(lists), dtype=np.int32), "n": [len(x) for x in lists], "ids": [",".join(map(str, x)) for x in lists]})
+        return pd.Series(decode_ids(vocabulary(load_ranks(path)), table))
+
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), decoded(F.col("ids").cast("array<int>")).alias("decoded"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentra.llm.common import cut
@@ -19,7 +20,7 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: Characters of patterns that one automaton holds. A larger benchmark is dealt over several, with a scan each.
 AUTOMATON_CHARS = 32 << 20
 #: An automaton is kept between the tasks of a Python worker.
-_built: dict[int, ahocorasick.Automaton] = {}
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -33,28 +34,36 @@ def item_windows(text: str | None, n: int) -> set[str]:
 
 
 def window_table(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """benchmark (item_id, text) -> (window, item_ids sorted as strings), one row a distinct window."""
+    """benchmark (item_id, text) -> (window, key, item_id): the distinct windows of each item; key is the window's hash."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(x, str(i)) for i, t in zip(b["item_id"], b["text"]) for x in item_windows(t, n)]
-            yield pd.DataFrame(rows, columns=["window", "item_id"])
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(item_windows(t, n)) for t in texts])
 
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "window string, item_id string").groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    windows = F.pandas_udf(run, "array<string>")(F.col("text"))
+    return rows.select("item_id", F.explode(windows).alias("window")).select("window", F.xxhash64("window").alias("key"), "item_id").distinct()
 
 
-def build(windows: list[tuple[str, list[str]]]) -> ahocorasick.Automaton:
+def build(windows: list[tuple[str, int]]) -> ahocorasick.Automaton:
+    """windows: (window, key)."""
     a = ahocorasick.Automaton()
-    for window, items in windows:
-        a.add_word(f" {window} ", (window.count(" ") + 1, items))
+    for window, key in windows:
+        a.add_word(f" {window} ", (window.count(" ") + 1, key))
     if windows:
         a.make_automaton()
     return a
 
 
-def scan(a: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tuple[int, int, list[str]]]]:
-    """The number of words, and (first word, last word + 1, items) of each occurrence of a window."""
+def automaton_of(name: str, windows: list[tuple[str, int]]) -> ahocorasick.Automaton:
+    """The automaton of this name; a worker builds it once and keeps the last one."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = build(windows)
+    return _built[name]
+
+
+def scan(a: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tuple[int, int, int]]]:
+    """The number of words, and (first word, last word + 1, key) of each occurrence of a window."""
     w = words_of(text)
     if not w or not len(a):
         return len(w), []
@@ -63,9 +72,9 @@ def scan(a: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tuple[in
         return len(w), []
     ends = np.cumsum([len(x.decode("utf-8", "surrogatepass")) + 1 for x in w])
     out = []
-    for end, (n, items) in found:
+    for end, (n, key) in found:
         last = int(np.searchsorted(ends, end)) + 1  # the match ends with the blank after its last word
-        out.append((last - n, last, items))
+        out.append((last - n, last, key))
     return len(w), out
 
 
@@ -85,26 +94,55 @@ def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-HITS = "doc_id long, text_hash long, n_words long, spans array<struct<begin: int, end: int>>, items array<string>, offsets array<struct<begin: int, end: int>>"
+FOUND = "n_words long, spans array<struct<begin: int, end: int>>, keys array<long>, offsets array<struct<begin: int, end: int>>"
+
+
+def _pairs(spans: Iterable[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"begin": a, "end": b} for a, b in spans]
+
+
+def scanner(windows: list[tuple[str, int]], spark: SparkSession) -> Callable[[Column], Column]:
+    """A column function text -> struct of FOUND."""
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, windows))
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        a = automaton_of(*shared.value)
+        rows = []
+        for text in texts:
+            n, found = scan(a, text)
+            spans = merged((x, y) for x, y, _ in found)
+            rows.append((n, _pairs(spans), sorted({k for *_, k in found}), _pairs(original_offsets(text, spans)) if spans else []))
+        return pd.DataFrame(rows, columns=["n_words", "spans", "keys", "offsets"])
+
+    return F.pandas_udf(run, FOUND)
+
 
+def _joined(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Two scans of the same texts as one."""
+    spans = lambda x, y, c: _pairs(merged((int(s["begin"]), int(s["end"])) for z in (x, y) for s in z[c]))
+    rows = [(x["n_words"], spans(x, y, "spans"), sorted({int(k) for z in (x, y) for k in z["keys"]}), spans(x, y, "offsets")) for x, y in zip(a.to_dict("records"), b.to_dict("records"))]
+    return pd.DataFrame(rows, columns=["n_words", "spans", "keys", "offsets"])
 
-def _scan_with(docs: DataFrame, windows: list[tuple[str, list[str]]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if shared.value is not None and id(shared.value) not in _built:
-            _built.clear()
-            _built[id(shared.value)] = build(shared.value)
-        a = _built[id(shared.value)]
-        for b in batches:
-            rows = []
-            for doc_id, key, text in zip(b["doc_id"], b["text_hash"], b["text"]):
-                n, found = scan(a, text)
-                spans = merged((x, y) for x, y, _ in found)
-                rows.append((doc_id, key, n, [{"begin": x, "end": y} for x, y in spans], sorted({i for *_, items in found for i in items}), [{"begin": x, "end": y} for x, y in original_offsets(text, spans)] if spans else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_words", "spans", "items", "offsets"]).astype({"doc_id": "Int64"})
+def scanned(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """docs with found, a struct of FOUND, by one scan; windows as in window_table.
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")).mapInPandas(run, HITS)
+    The windows reach the tasks as one broadcast list of AUTOMATON_CHARS characters or less (the size is checked). A
+    larger benchmark is dealt over several such lists; each scans the texts in turn and the hits are merged row by row.
+    """
+    distinct = windows.groupBy("window").agg(F.first("key").alias("key"))
+    chars = distinct.agg(F.sum(F.length("window") + 2)).first()[0] or 0
+    slices = int(chars // AUTOMATON_CHARS) + 1
+    out = docs
+    for k in range(slices):
+        part = distinct if slices == 1 else distinct.where(F.pmod("key", F.lit(slices)) == k)
+        hits = scanner([(r["window"], r["key"]) for r in part.collect()], docs.sparkSession)(F.col("text"))
+        if not k:
+            out = out.withColumn("found", hits)
+        else:
+            out = cut(out.withColumn("_more", hits))  # one automaton a worker at a time
+            out = out.withColumn("found", F.pandas_udf(_joined, FOUND)("found", "_more")).drop("_more")
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -113,29 +151,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     (doc_id, text_hash, n_words, spans, items, offsets): spans are merged runs of hit words, [begin, end); items the ids
     of items with an occurring window, sorted as strings; offsets the spans in code points of the original text.
     Null and wordless texts have no words and no hits; an item without words has no window; items with the same window
-    are all named. The windows reach the tasks as one broadcast list while they have AUTOMATON_CHARS characters or
-    less (the size is checked); beyond, each slice of that size scans the documents by itself and the hits are merged.
+    are all named. Item ids don't travel with the automaton: the windows that a document holds are joined with the
+    items that have them, so a window of very many items is nowhere one row.
     """
-    table = cut(window_table(benchmark, n))
-    chars = table.agg(F.sum(F.length("window") + 2)).first()[0] or 0
-    slices = int(chars // AUTOMATON_CHARS) + 1
-    found = None
-    for k in range(slices):
-        part = table if slices == 1 else table.where(F.pmod(F.xxhash64("window"), F.lit(slices)) == k)
-        hits = _scan_with(docs, [(r["window"], r["item_ids"]) for r in part.collect()])
-        found = hits if found is None else found.unionAll(hits)
-    if slices == 1:
-        return found
-
-    def merge(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        copies = len(x) // slices  # repeated rows are given back as often as they came
-        join = lambda c: [{"begin": a, "end": b} for a, b in merged((s["begin"], s["end"]) for l in x[c] for s in l)]
-        row = (x["doc_id"].iloc[0], x["text_hash"].iloc[0], x["n_words"].iloc[0], join("spans"), sorted({i for l in x["items"] for i in l}), join("offsets"))
-        return pd.DataFrame([row] * copies, columns=["doc_id", "text_hash", "n_words", "spans", "items", "offsets"])
-
-    return found.groupBy("doc_id", "text_hash").applyInPandas(merge, HITS)
+    windows = cut(window_table(benchmark, n))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    hits = cut(scanned(rows, windows).select("doc_id", "text_hash", "found.*").withColumn("row", F.monotonically_increasing_id()))
+    held = hits.where(F.size("keys") > 0).select("row", F.explode("keys").alias("key"))
+    items = held.join(windows.select("key", "item_id"), "key").select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    named = hits.join(items, "row", "left")
+    return named.select("doc_id", "text_hash", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "offsets")
 
 
 def n_hit(c: str = "spans"):
     return F.aggregate(c, F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["begin"]))
-

@@ -19,9 +19,9 @@ from momentra.llm.common import crc_mod, cut
 
 #: Hashed n-gram features, and the n-gram lengths.
 FEATURES, GRAMS = 4096, (1, 2, 3, 4)
-#: Training rows a language at most: the ones with the least hash of id and text. The fit is bounded by this parameter.
+#: Training texts a language at most, distinct, the ones of the least hash. The fit is bounded by this parameter.
 SAMPLE = 300
-#: The table of row counts by language is broadcast up to so many languages.
+#: The table of the last hash by language is broadcast up to so many languages.
 MOST_LANGUAGES = 10_000
 #: A decision whose probability is less is flagged as ambiguous.
 SURE = 0.55
@@ -87,19 +87,23 @@ class LanguageModel:
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs (doc_id, text, lang) -> (text, lang): up to `sample` rows a language, by least hash. Rows without lang or text never train."""
-    keyed = docs.where("lang is not null and text is not null and text != ''").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    size = cut(keyed.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("n")))
-    size = F.broadcast(size) if size.count() <= MOST_LANGUAGES else size
-    # only rows whose hash is small enough to be among a language's first ones are brought together
-    place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
-    few = keyed.join(size, F.col("lang") == F.col("_lang")).where(place * F.col("n") < 4 * sample).drop("_lang", "n")
+    """docs (text, lang) -> (text, lang, h): up to `sample` distinct texts a language, those of the least hash.
+
+    Rows without lang or text never train. Hashes go first: a language's `sample` least are found on distinct (lang,
+    hash) rows, and only texts up to the greatest of them are brought together. Repeats count once, so a language
+    that has `sample` distinct texts trains on so many.
+    """
+    keyed = docs.where("lang is not null and text is not null and text != ''").select("lang", "text", F.xxhash64("text").alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
-    return few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("text", "lang", "h")
+    first = keyed.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    last = cut(first.groupBy(F.col("lang").alias("_lang")).agg(F.max("h").alias("_last")))
+    last = F.broadcast(last) if last.count() <= MOST_LANGUAGES else last
+    few = keyed.join(last, (F.col("lang") == F.col("_lang")) & (F.col("h") <= F.col("_last")))
+    return few.groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang", "h")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = 300, rate: float = 20.0, decay: float = 1e-5) -> LanguageModel:
-    """Learn from docs (doc_id, text, lang). At most `sample` rows a language reach the driver, as features."""
+    """Learn from docs (text, lang). At most `sample` texts a language reach the driver, as features."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

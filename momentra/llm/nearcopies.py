@@ -1,10 +1,12 @@
-"""Near copies by the exact Jaccard similarity of word shingles: prefix join, overlap bound, verification.
+"""SimHash near-dedup with an exact check: word-shingle Jaccard similarity of MIN_NUM / MIN_DEN or more.
 
-All shingles have one order, with those that many texts hold at the end. Two sets of similarity MIN_NUM / MIN_DEN or
-more share a shingle among the first n - ceil(t n) + 1 of each, so a join over these prefixes misses no pair, whatever
-the order. The number of prefix shingles that a pair shares bounds its whole overlap; pairs below the bound go, the
-others are compared set by set. A large group of near copies is first tied to centres, since pairs of one component
-need no comparison; the last round takes all pairs of different components, so the components are exact.
+SimHash fingerprints of the shingle sets are compared bit-sliced inside blocks, as in simhash; the pairs that lie within
+the radius are then checked shingle by shingle. Blocks are keyed by shingles: with one order of all shingles, those that
+many texts hold at the end, two similar sets share one among the first n - ceil(t n) + 1 of each, so no similar pair is
+kept apart by the blocks. What the radius loses is a matter of the fingerprint's bits (RADIUS).
+
+First links that connect each block's near rows are checked, so a large group of copies gives few links; then all near
+pairs that are still in different groups. A wrong link can't hide a right one.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ from pyspark.sql import functions as F
 
 from momentra.llm.common import cut, shuffle_parts
 from momentra.llm.components import connected_components
-from momentra.llm.simhash import shingle_hashes
+from momentra.llm.simhash import block_links, majority, shingle_hashes
 
 #: Least similarity of near copies.
 MIN_NUM, MIN_DEN = 4, 5
 #: The share of texts (1 in so many) that shows which shingles are frequent, the least count there and the most
 #: shingles so marked. They only set the order, never the result.
 HINT, HINT_COUNT, HINT_ROWS = 16, 4, 200_000
-#: Groups are tied to centres while a row has more open pairs than this on average and that helps.
-OPEN_PAIRS = 8
+#: Words of a fingerprint and the radius within which pairs are checked. Two sets of similarity 0.8 differ in 39 of 256
+#: bits on average with a deviation of 6 (small sets: in 48 at most), so fewer than 1 in 5,000 lie beyond 72 bits.
+WORDS, RADIUS = 4, 72
+#: Rounds of connecting links before all remaining pairs are checked.
+ROUNDS = 2
 #: Bits of the map of text hashes by which texts that no pair needs are left out before they are shuffled.
 MAP_BITS = 1 << 26
 
@@ -61,8 +66,10 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, k: int) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_hash, id, n, keys): id is a hash of the shingle set, n its size, keys its prefix."""
+    """docs (doc_id, text) -> (doc_id, text_hash, id, n, keys, w0, ...): id is a hash of the shingle set, n its size, keys its
+    prefix, w0.. its fingerprint."""
     hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
+    cols = [f"w{i}" for i in range(WORDS)]
 
     def run(texts: pd.Series) -> pd.DataFrame:
         often, count = hot.value
@@ -74,32 +81,25 @@ def prefixes(docs: DataFrame, k: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                 rank = np.where(often[at] == s, count[at], 0)
             first = s[np.lexsort((s, rank))[: prefix_size(len(s))]]
-            out.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).astype(np.int64), len(s), first.view(np.int64)))
-        return pd.DataFrame(out, columns=["id", "n", "keys"])
+            out.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).astype(np.int64), len(s), first.view(np.int64), *majority(s, WORDS)))
+        return pd.DataFrame(out, columns=["id", "n", "keys", *cols])
 
-    made = F.pandas_udf(run, "id long, n int, keys array<long>")(F.col("text"))
+    made = F.pandas_udf(run, "id long, n int, keys array<long>, " + ", ".join(f"{c} long" for c in cols))(F.col("text"))
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), made.alias("s")).select("doc_id", "text_hash", "s.*")
 
 
-def _may_be_near(n: Column, m: Column) -> Column:
-    return F.least(n, m) * MIN_DEN >= F.greatest(n, m) * MIN_NUM
-
-
 def _after_prefix(n: Column) -> Column:
     return F.floor((n * MIN_NUM + (MIN_DEN - 1)) / MIN_DEN).cast("int") - 1
 
 
 def _bounded(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, n, m), a row for each shared key -> distinct (a, b) whose overlap can reach the similarity."""
+    """pairs (a, b, n, m), a row for each shared key -> distinct (a, b), a < b, whose overlap can reach the similarity."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m")
     most = F.count(F.lit(1)) + F.max(F.greatest(_after_prefix(F.col("n")), _after_prefix(F.col("m"))))
     need = F.max((F.col("n") + F.col("m")) * MIN_NUM)
     return pairs.groupBy("a", "b").agg(most.alias("most"), need.alias("need")).where(F.col("most") * (MIN_NUM + MIN_DEN) >= F.col("need")).select("a", "b")
 
 
-def _pair(x: str, n: str, y: str, m: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(n).alias("n"), F.col(m).alias("m")]
-
-
 def _listed(rows: DataFrame, col: str) -> Callable[[Column], Column]:
     """A test that every value of rows' long column passes, and few others."""
     slot = F.pmod(F.col(col), F.lit(MAP_BITS)) + 1
@@ -133,51 +133,42 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> Data
     return cut(both.where(F.pandas_udf(same, "boolean")(F.col("ta"), F.col("tb"))).select("a", "b"))
 
 
-def components(docs: DataFrame, keyed: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """keyed (id, n, key), prefixes; reps (id, doc_id, text_hash) -> (node, component) of all ids linked by similar pairs."""
+def components(docs: DataFrame, keyed: DataFrame, prints: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """keyed (id, key), prefixes; prints (id, n, w0, ...); reps (id, doc_id, text_hash) -> (node, component) of all ids
+    linked by similar pairs."""
     held = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = cut(keyed.repartition(shuffle_parts(docs.sparkSession), "key").withColumn("_c", held).where("_c > 1").select("key", "id", "n"))
+    shared = cut(keyed.repartition(shuffle_parts(docs.sparkSession), "key").withColumn("_c", held).where("_c > 1").select("key", "id"))
     edges = docs.sparkSession.createDataFrame([], "a long, b long")
-    comp, open_before, turn = None, None, 0
-    while True:
-        if comp is None:
-            rows = shared.withColumn("comp", F.col("id"))
-        else:
-            rows = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        rows = cut(rows)
-        parts = cut(rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")))
-        per_key = parts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        open_now, n_rows = per_key.agg(F.sum(F.col("s") * F.col("s") - F.col("q")), F.sum("s")).first()
-        if not open_now:
-            return connected_components(edges)
-        if open_now <= 2 * OPEN_PAIRS * n_rows or (open_before is not None and open_now > 0.9 * open_before):
+    rows = shared.join(prints.withColumns({"comp": F.col("id"), "size": F.col("n")}), "id")
+    for _ in range(ROUNDS):
+        links = cut(block_links(rows, WORDS, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        good = verified(links, docs, reps, k)
+        tried, right = links.count(), good.count()
+        edges = cut(edges.unionAll(good))
+        comp = connected_components(edges)
+        if right == tried:
+            return comp
+        named = prints.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumns({"comp": F.coalesce("component", "id"), "size": F.col("n")})
+        rows = shared.join(cut(named), "id")
+        if 2 * right < tried:
             break
-        open_before = open_now
-        centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "n", "comp")).alias("x")).select("key", F.col("x.id").alias("j"), F.col("x.n").alias("m"), F.col("x.comp").alias("cj"))
-        tied = rows.join(centre, "key").where((F.col("comp") != F.col("cj")) & _may_be_near(F.col("n"), F.col("m"))).select(*_pair("id", "n", "j", "m"))
-        edges = cut(edges.unionAll(verified(_bounded(tied), docs, reps, k)))
-        comp, turn = connected_components(edges), turn + 1
-    one, two = parts.select("key", F.col("comp").alias("p")), parts.select("key", F.col("comp").alias("q"))
-    lanes = one.join(two, "key").where("p < q")
-    first = rows.select("key", F.col("comp").alias("p"), "id", "n")
-    second = rows.select("key", F.col("comp").alias("q"), F.col("id").alias("j"), F.col("n").alias("m"))
-    pairs = lanes.join(first, ["key", "p"]).join(second, ["key", "q"]).where(_may_be_near(F.col("n"), F.col("m"))).select(*_pair("id", "n", "j", "m"))
-    return connected_components(edges.unionAll(verified(_bounded(pairs), docs, reps, k)))
+    rest = cut(_bounded(block_links(rows, WORDS, RADIUS, every=True)))
+    return connected_components(edges.unionAll(verified(rest, docs, reps, k)))
 
 
 def survivors(docs: DataFrame, k: int) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, text_hash, copies), one row for each group of near copies.
+    """docs (doc_id, text, ...) -> (doc_id, text_hash), one row for each group of near copies.
 
-    Groups are the components over pairs of similar texts. The least doc_id stays, null ids last, and of rows with
-    one doc_id that of the least hash; copies is the number of rows with that id and text. Texts without a word are
-    copies of each other.
+    Groups are the components over pairs of similar texts, found by fingerprint and checked exactly. The least doc_id stays, null ids last, and of rows with
+    one doc_id that of the least hash. Texts without a word are copies of each other.
     """
     docs = docs.select("doc_id", "text")
     rows = cut(prefixes(docs, k))
-    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")
-    told = rows.groupBy("id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
-    first = cut(told.groupBy("id").agg(F.min(best).alias("row")))
-    keyed = rows.groupBy("id").agg(F.min(F.struct("n", "keys")).alias("s")).select("id", "s.n", F.explode("s.keys").alias("key"))
-    comp = components(docs, keyed, first.select("id", "row.doc_id", "row.text_hash"), k)
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = cut(rows.groupBy("id").agg(F.min(best).alias("row")))
+    one = rows.groupBy("id").agg(F.min(F.struct("n", "keys", *[f"w{i}" for i in range(WORDS)])).alias("s"))
+    prints = cut(one.select("id", "s.n", "s.keys", *[f"s.w{i}" for i in range(WORDS)]))
+    keyed = prints.select("id", F.explode("keys").alias("key"))
+    comp = components(docs, keyed, prints.drop("keys"), first.select("id", "row.doc_id", "row.text_hash"), k)
     named = first.join(comp, first["id"] == comp["node"], "left").groupBy(F.coalesce("component", "id").alias("c")).agg(F.min("row").alias("row"))
-    return named.select("row.doc_id", "row.text_hash", "row.copies")
+    return named.select("row.doc_id", "row.text_hash")

@@ -1,9 +1,8 @@
 """Quality rules: text statistics, and lines that too many documents of a host share.
 
-Normalised lines are hashed and the distinct documents that hold each are counted per host. Lines above the limit are
-removed; a document that has lost too many of its words with them is depleted and goes. Copies must not condemn each
-other, so documents are told apart by a sketch, the least hash of their other lines: exact copies count as one, near
-copies as few, unrelated documents that share a notice as many.
+Normalised lines are hashed and the distinct documents that hold each are counted per host, where documents with one
+text are one. Lines above the limits are removed; a document that has lost too many of its words with them is depleted
+and goes.
 """
 
 from __future__ import annotations
@@ -18,8 +17,11 @@ from momentra.llm.linededup import BLANKS, text_lines
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: A line is removed where over MAX_SHARE of the host's documents, and over MAX_DOCS of them, hold it.
-MAX_SHARE, MAX_DOCS = 0.05, 20
+#: A line is removed where over MAX_SHARE of the host's documents, and over MAX_DOCS of them, hold it, and where over
+#: MOST_DOCS of them do, whatever the host's size.
+MAX_SHARE, MAX_DOCS, MOST_DOCS = 0.05, 20, 10_000
+#: Common lines that are broadcast at most; more are joined.
+BROADCAST_LINES = 200_000
 #: A document is depleted if fewer than MIN_WORDS words, or less than MIN_LEFT of its words, remain.
 MIN_WORDS, MIN_LEFT = 20, 0.3
 
@@ -74,41 +76,56 @@ def statistics(text: Column) -> Column:
     return F.pandas_udf(run, ", ".join(f"{c} long" for c in STATS))(text)
 
 
+def host_of() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def hash_of_text() -> Column:
+    """Tells texts apart; null is the empty text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def host_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source) -> (doc_id, text_hash, host, line, words): words of each distinct normalised line of a document.
+    """docs (text, source) -> (host, text_hash, line, words, n): each distinct normalised line of each text of a host, its
+    words and how often it stands in all rows of that text.
 
     Normalised: stripped, A-Z lower-cased, each run of digits as 0. line: the first 60 bits of its MD5.
     """
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.explode(text_lines(F.col("text"))).alias("x"))
+    lines = docs.select(host_of().alias("host"), hash_of_text().alias("text_hash"), F.explode(text_lines(F.col("text"))).alias("x"))
     norm = F.regexp_replace(ascii_lower(F.trim("x", F.lit(BLANKS))), "[0-9]+", "0")
-    keyed = lines.select("doc_id", "text_hash", "host", norm.alias("k")).where("k != ''")
+    keyed = lines.select("host", "text_hash", norm.alias("k")).where("k != ''")
     words = F.size(F.split("k", r"[ \t-\r]+"))
-    return keyed.select("doc_id", "text_hash", "host", F.conv(F.substring(F.md5("k"), 1, 15), 16, 10).cast("long").alias("line"), words.alias("w")).groupBy("doc_id", "text_hash", "host", "line").agg(F.sum("w").alias("words"))
+    line = F.conv(F.substring(F.md5("k"), 1, 15), 16, 10).cast("long").alias("line")
+    return keyed.select("host", "text_hash", line, words.alias("words")).groupBy("host", "text_hash", "line").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
 
 
-def removed_words(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
-    """docs (doc_id, text, source) -> (doc_id, text_hash, removed_words), documents that lose a line only."""
+def common_lines(lines: DataFrame, sizes: DataFrame, max_share: float, max_docs: int, most_docs: int) -> DataFrame:
+    """host_lines, sizes (host, docs) -> (host, line) of the lines that too many distinct documents of their host hold."""
+    held = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"))
+    over = (F.col("held") > max_docs) & (F.col("held") > max_share * F.col("docs")) | (F.col("held") > most_docs)
+    common = cut(held.where(F.col("held") > max_docs).join(sizes, "host").where(over).select("host", "line"))
+    return F.broadcast(common) if common.count() <= BROADCAST_LINES else common
+
+
+def removed_words(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, most_docs: int = MOST_DOCS) -> DataFrame:
+    """docs (text, source) -> (host, text_hash, removed_words), texts that lose a line only."""
     lines = cut(host_lines(docs))
-    doc = ["doc_id", "text_hash"]
-    pair = F.array_agg("line")  # one document's distinct lines; only the two least are kept
-    least = lines.groupBy(*doc).agg(F.slice(F.sort_array(pair), 1, 2).alias("m"))
-    rest = least.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("m")[0].alias("m1"), F.try_element_at("m", F.lit(2)).alias("m2"))
-    sketched = lines.join(rest, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("host", "line", F.when(F.col("line") == F.col("m1"), F.coalesce("m2", "m1")).otherwise(F.col("m1")).alias("sketch"))
-    held = sketched.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    size = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("docs"))
-    common = held.where(F.col("n") > max_docs).join(size, "host").where(F.col("n") > max_share * F.col("docs")).select("host", "line")
-    return lines.join(common, ["host", "line"]).groupBy("doc_id", "text_hash").agg(F.sum("words").alias("removed_words"))
-
-
-def judge_quality(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
+    sizes = cut(docs.groupBy(host_of().alias("host"), hash_of_text().alias("text_hash")).agg(F.count(F.lit(1)).alias("copies")))
+    common = common_lines(lines, sizes.groupBy("host").agg(F.count(F.lit(1)).alias("docs")), max_share, max_docs, most_docs)
+    gone = lines.join(common, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum(F.col("words") * F.col("n")).alias("w"))
+    return gone.join(sizes, ["host", "text_hash"]).select("host", "text_hash", F.expr("w div copies").alias("removed_words"))
+
+
+def judge_quality(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, most_docs: int = MOST_DOCS) -> DataFrame:
     """docs (doc_id, text, source) -> (doc_id, the statistics, removed_words, base_failed, kept), one row a row of docs.
 
-    Null text has no words and fails; a null source is a host of its own; rows with one doc_id and text are one
-    document for the line counts. A host's documents are counted as rows.
+    Null text has no words and fails; a null source is a host of its own; rows of a host with one text are one document
+    for all counts.
     """
-    stats = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), statistics(F.col("text").cast("string")).alias("s")).select("doc_id", "text_hash", "s.*")
-    gone = removed_words(docs, max_share, max_docs).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("removed_words").alias("_r"))
-    joined = stats.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left").withColumn("removed_words", F.coalesce("_r", F.lit(0)))
+    stats = docs.select("doc_id", host_of().alias("host"), hash_of_text().alias("text_hash"), statistics(F.col("text").cast("string")).alias("s")).alias("s")
+    gone = removed_words(docs, max_share, max_docs, most_docs).alias("g")
+    joined = stats.join(gone, (F.col("s.host") == F.col("g.host")) & (F.col("s.text_hash") == F.col("g.text_hash")), "left")
+    joined = joined.select("doc_id", "s.s.*", F.coalesce("g.removed_words", F.lit(0).cast("long")).alias("removed_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < MIN_WORDS) | (left < MIN_LEFT * F.col("n_words")))

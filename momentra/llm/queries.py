@@ -91,11 +91,9 @@ ORACLE = {
         dup AS (SELECT r, (count(*) - count(DISTINCT x))::BIGINT AS n FROM l WHERE regexp_matches(x, '[^ \t\n\x0B\f\r]') GROUP BY r),
         nl AS (SELECT r, doc_id, host, regexp_replace(translate(regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g'), '{UPPER}', '{LOWER}'), '[0-9]+', '0', 'g') AS k FROM l),
         hl AS (SELECT r, host, ('0x' || substr(md5(k), 1, 15))::BIGINT AS line, sum(len(regexp_split_to_array(k, '{BLANK}+'))) AS words FROM nl WHERE k <> '' GROUP BY r, host, line),
-        m1 AS (SELECT r, min(line) AS m1 FROM hl GROUP BY r),
-        m2 AS (SELECT r, m1, (SELECT min(line) FROM hl WHERE hl.r = m1.r AND hl.line > m1.m1) AS m2 FROM m1),
-        held AS (SELECT host, line, count(DISTINCT CASE WHEN line = m1 THEN coalesce(m2, m1) ELSE m1 END) AS n FROM hl JOIN m2 USING (r) GROUP BY host, line),
-        size AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
-        common AS (SELECT host, line FROM held JOIN size USING (host) WHERE n > {quality.MAX_DOCS} AND n > {quality.MAX_SHARE} * docs),
+        held AS (SELECT hl.host, line, count(DISTINCT text) AS n FROM hl JOIN d USING (r) GROUP BY hl.host, line),
+        size AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
+        common AS (SELECT host, line FROM held JOIN size USING (host) WHERE n > {quality.MAX_DOCS} AND n > {quality.MAX_SHARE} * docs OR n > {quality.MOST_DOCS}),
         gone AS (SELECT r, sum(words) AS removed FROM hl JOIN common USING (host, line) GROUP BY r),
         a AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                      (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

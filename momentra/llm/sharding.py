@@ -6,7 +6,7 @@ shards; rebalancing edits the map and moves whole slots. Only the per-slot sums
 
 from __future__ import annotations
 
-import heapq
+import bisect
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,14 +31,34 @@ def slot_sizes(slotted: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["virtual_slot"]: (r["b"], r["n"]) for r in rows}
 
 
-def plan_map(sizes: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> dict[int, int]:
-    """Version 1 of a map: slots by falling bytes, each to the shard that has the least so far."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for slot in sorted(range(slots), key=lambda s: (-sizes.get(s, (0, 0))[0], s)):
-        total, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (total + sizes.get(slot, (0, 0))[0], shard))
+def first_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """Version 1 of a map, before anything is known of the data: the slots in turn."""
+    return {slot: slot % shards for slot in range(slots)}
+
+
+def rebalance(old: dict[int, int], sizes: dict[int, tuple[int, int]], shards: int) -> dict[int, int]:
+    """The next version: one slot after the other is edited from the fullest shard to the emptiest, the one whose bytes come
+    nearest half their difference, while that narrows it. A shard that has none such is settled."""
+    out, load, members = dict(old), [0] * shards, [[] for _ in range(shards)]
+    for slot, shard in sorted(old.items()):
+        size = sizes.get(slot, (0, 0))[0]
+        load[shard] += size
+        if size:
+            bisect.insort(members[shard], (size, slot))
+    open_shards = set(range(shards))
+    while open_shards:
+        full, empty = max(open_shards, key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
+        gap, rows = load[full] - load[empty], members[full]
+        at = bisect.bisect_left(rows, (gap / 2, -1))
+        near = min(rows[max(0, at - 1) : at + 1], key=lambda r: abs(r[0] - gap / 2), default=None)
+        if near is None or near[0] >= gap:
+            open_shards.remove(full)
+            continue
+        rows.remove(near)
+        bisect.insort(members[empty], near)
+        load[full] -= near[0]
+        load[empty] += near[0]
+        out[near[1]] = empty
     return out
 
 
@@ -96,10 +116,15 @@ def assign(slotted: DataFrame, slot_map: DataFrame, sizes: dict[int, tuple[int,
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, size, text_crc32, virtual_slot, shard, slot, map_version), one row a row of docs.
 
-    Law: bytes. Sizes of shards differ by about one slot's bytes at most (by one row's where a row is larger). Repeated
-    rows are numbered apart; empty tables give empty ones; other columns are not read.
+    Law: bytes. Version 1 of the map deals the slots in turn; version 2, which is used, is version 1 edited by the
+    slots' bytes. Sizes of shards differ by about one slot's bytes at most (by one row's where a row is larger). Both
+    versions stay in the shared folder. Repeated rows are numbered apart; equal texts share a checksum but not a slot,
+    as a group of them may be larger than a shard; empty tables give empty ones; other columns are not read.
     """
+    spark = docs.sparkSession
     slotted = with_slots(docs, slots)
     sizes = slot_sizes(slotted)
-    path = store_map(docs.sparkSession, plan_map(sizes, shards, slots), 1)
-    return assign(slotted, load_map(docs.sparkSession, path, 1), sizes).withColumn("map_version", F.lit(1))
+    first = first_map(shards, slots)
+    path = store_map(spark, first, 1)
+    store_map(spark, rebalance(first, sizes, shards), 2, path)
+    return assign(slotted, load_map(spark, path, 2), sizes).withColumn("map_version", F.lit(2))

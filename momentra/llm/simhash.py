@@ -67,18 +67,18 @@ def majority(h: np.ndarray, words: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, w0, w1, ...): the fingerprint's words as longs. Null and wordless texts give zeros."""
+    """docs (doc_id, text) -> (doc_id, w0, w1, ...): the fingerprint's words as longs. Null and wordless texts give zeros.
+
+    Python sees the texts alone, so ids of any size stay as they are.
+    """
     cols = [f"w{i}" for i in range(words)]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [majority(shingle_hashes(t, shingle), words) for t in b["text"]]
-            out = pd.DataFrame(np.array(rows, np.int64).reshape(-1, words), columns=cols)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [majority(shingle_hashes(t, shingle), words) for t in texts]
+        return pd.DataFrame(np.array(rows, np.int64).reshape(-1, words), columns=cols)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in cols))
+    made = F.pandas_udf(run, ", ".join(f"{c} long" for c in cols))(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("f")).select("doc_id", "f.*")
 
 
 def fingerprint_hex(words: int) -> Column:
@@ -157,27 +157,31 @@ def within(planes: np.ndarray, d: int, alive: np.ndarray, radius: int) -> np.nda
     return out
 
 
-def spanning_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(key: np.ndarray, fp: np.ndarray, radius: int, root: np.ndarray | None = None, size: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key -> positions (i, j) of near rows of one key that connect all near rows of it.
 
     A pair already connected is not compared again, so a group of copies gives about as many links as it has rows.
+    root: the first place of those rows of the key that are connected from the start. size: only rows whose sizes
+    differ by a quarter at most are linked. every: all near pairs not connected from the start, none passed over.
     """
     n = len(key)
-    planes, root = bit_planes(fp), np.arange(n)
+    planes, root = bit_planes(fp), np.arange(n) if root is None else root.copy()
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[begin, n])
-    left = np.repeat(begin + size, size) - 1 - np.arange(n)  # rows of the key that follow
+    rows_of = np.diff(np.r_[begin, n])
+    left = np.repeat(begin + rows_of, rows_of) - 1 - np.arange(n)  # rows of the key that follow
     found: list[tuple[np.ndarray, np.ndarray]] = []
     rows = np.flatnonzero(left > 0)
     d = 1
     while len(rows):
         test = rows[root[rows] != root[rows + d]]
+        if size is not None and len(test):
+            test = test[5 * np.minimum(size[test], size[test + d]) >= 4 * np.maximum(size[test], size[test + d])]
         if len(test):
             marks = np.zeros((planes.shape[1] - 1) * 64, bool)
             marks[test] = True
             near = within(planes, d, np.packbits(marks, bitorder="little").view(np.uint64), radius)
             hit = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
-            if len(hit):
+            if len(hit) and not every:
                 links = []
                 for i in hit.tolist():
                     a, b = i, i + d
@@ -191,6 +195,7 @@ def spanning_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
                 while (root != root[root]).any():
                     root = root[root]
                 hit = np.array(links, np.int64)
+            if len(hit):
                 found.append((hit, hit + d))
         d += 1
         rows = rows[left[rows] >= d]
@@ -199,25 +204,34 @@ def spanning_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def near_links(reps: DataFrame, words: int, radius: int, masks: list[list[int]]) -> DataFrame:
-    """reps (id, w0, ...), distinct fingerprints -> (a, b): links that connect all within `radius` sharing a mask's bits."""
-    cols = [f"w{i}" for i in range(words)]
-    keys = [F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(cols, mask) if m]) for i, mask in enumerate(masks)]
-    dealt = reps.select("id", *cols, F.explode(F.array(*keys)).alias("key"))
+def split_hot(dealt: DataFrame) -> DataFrame:
+    """dealt (key, id, ...) with every key of over BLOCK_ROWS rows dealt anew to pairs of blocks: any two of its rows meet."""
     hint = dealt.where(F.pmod(F.xxhash64("id"), F.lit(HINT)) == 0).groupBy("key").count()
-    hot = cut(hint.where(F.col("count") > BLOCK_ROWS // HINT).select("key", F.ceil(F.col("count") * HINT * 2 / BLOCK_ROWS).cast("int").alias("n")))
+    hot = cut(hint.where(F.col("count") > BLOCK_ROWS // HINT).select("key", F.ceil(F.col("count") * HINT * 2 / BLOCK_ROWS).cast("int").alias("n_blocks")))
     keys_hot = hot.count()
-    if keys_hot:
-        marked = dealt.join(F.broadcast(hot) if keys_hot <= 100_000 else hot, "key", "left")
-        own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("n"))
-        pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-        dealt = marked.select("id", *cols, F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(pair)).alias("key"))
-    rows = dealt.repartition(shuffle_parts(reps.sparkSession), "key").sortWithinPartitions("key", "id")
+    if not keys_hot:
+        return dealt
+    marked = dealt.join(F.broadcast(hot) if keys_hot <= 100_000 else hot, "key", "left")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_blocks"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    keys = F.explode(F.when(F.col("n_blocks").isNull(), F.array("key")).otherwise(pair))
+    return marked.select(*[c for c in dealt.columns if c != "key"], keys.alias("key"))
+
+
+def block_links(dealt: DataFrame, words: int, radius: int, every: bool = False) -> DataFrame:
+    """dealt (key, id, comp, size, w0, ...) -> (a, b, n, m): links between near rows of one key and different comp, with
+    their sizes; spanning ones, or every one. size null: sizes don't matter."""
+    cols = [f"w{i}" for i in range(words)]
+    rows = split_hot(dealt.select("key", "id", "comp", F.coalesce("size", F.lit(-1)).cast("int").alias("size"), *cols))
+    rows = rows.repartition(shuffle_parts(dealt.sparkSession), "key").sortWithinPartitions("key", "comp", "id")
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
-        i, j = spanning_links(x["key"].to_numpy(), x[cols].to_numpy().view(np.uint64).reshape(len(x), words), radius)
-        ids = x["id"].to_numpy()
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+        key, comp, size, ids = (x[c].to_numpy() for c in ("key", "comp", "size", "id"))
+        begin = np.r_[True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])]
+        root = np.flatnonzero(begin)[np.cumsum(begin) - 1]
+        fp = np.ascontiguousarray(x[cols].to_numpy()).view(np.uint64).reshape(len(x), words)
+        i, j = spanning_links(key, fp, radius, root, size if size.min() >= 0 else None, every)
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "n": size[i], "m": size[j]})
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -233,20 +247,30 @@ def near_links(reps: DataFrame, words: int, radius: int, masks: list[list[int]])
         if held:
             yield links(pd.concat(held, ignore_index=True))
 
-    return rows.mapInPandas(run, "a long, b long")
+    return rows.mapInPandas(run, "a long, b long, n int, m int")
+
+
+def near_links(reps: DataFrame, words: int, radius: int, masks: list[list[int]]) -> DataFrame:
+    """reps (id, w0, ...), distinct fingerprints -> (a, b): links that connect all within `radius` sharing a mask's bits."""
+    cols = [f"w{i}" for i in range(words)]
+    keys = [F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(cols, mask) if m]) for i, mask in enumerate(masks)]
+    dealt = reps.select("id", F.col("id").alias("comp"), F.lit(None).cast("int").alias("size"), *cols, F.explode(F.array(*keys)).alias("key"))
+    return block_links(dealt, words, radius).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, masks: list[list[int]] | None = None) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, w0.., component_id): the least doc_id reachable over links of <= radius bits.
 
-    One row per row of docs; rows with one doc_id share its component only through their fingerprints. Rows whose id is
-    null keep their fingerprint and join a component as any other, but never name one. Copies meet as one fingerprint
-    before anything is compared. With masks=None the search is exact (pigeonhole); other masks set its recall.
+    One row per row of docs; rows with one doc_id share its component only through their fingerprints. Fingerprints are
+    linked, not ids: a row without an id links and bridges as any other, but names its component only if no row of it
+    has an id; component_id is null then. Copies meet as one fingerprint before anything is compared. With masks=None
+    the search is exact (pigeonhole); other masks set its recall.
     """
     cols = [f"w{i}" for i in range(words)]
     fps = cut(fingerprints(docs, shingle, words))
-    reps = cut(fps.groupBy(*cols).agg(F.min("doc_id").alias("id")))
-    edges = near_links(reps.where("id is not null"), words, radius, masks or pigeonhole_masks(radius))
-    comp = connected_components(edges)
-    named = reps.join(comp, reps["id"] == comp["node"], "left").select(*[F.col(c).alias(f"r_{c}") for c in cols], F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, [F.col(c) == F.col(f"r_{c}") for c in cols], "left").select("doc_id", *cols, "component_id")
+    reps = cut(fps.groupBy(*cols).agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()))
+    comp = connected_components(near_links(reps.select("id", *cols), words, radius, masks or pigeonhole_masks(radius)))
+    named = cut(reps.join(comp, reps["id"] == comp["node"], "left").withColumn("c", F.coalesce("component", "id")))
+    least = cut(named.groupBy("c").agg(F.min("doc_id").alias("component_id")))
+    found = named.join(least, "c").select(*[F.col(c).alias(f"r_{c}") for c in cols], "component_id")
+    return fps.join(found, [F.col(c) == F.col(f"r_{c}") for c in cols], "left").select("doc_id", *cols, "component_id")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from momentra.llm import url_labels
 from momentra.llm.common import ascii_lower
 
 #: (verdict, host, path): fixed by the policy that is asked for.
@@ -97,14 +98,20 @@ def scorer(model: UrlModel, spark: SparkSession):
     return probability
 
 
+def labelled_table(spark: SparkSession) -> DataFrame:
+    """The hand-labelled URLs of url_labels: (url, verdict)."""
+    return spark.createDataFrame([(u, "allow") for u in url_labels.ALLOW] + [(u, "block") for u in url_labels.BLOCK], "url string, verdict string")
+
+
 def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple = RULES, limit: float = LIMIT) -> DataFrame:
     """pages (page_id, url) -> (page_id, host, path, rule, verdict, block_probability), one row a row of pages.
 
-    Without a labelled table the URLs that a rule decides are it. A rule's verdict holds; else the model's. Null URLs
-    have an empty host and path, which the model judges as any other.
+    The model learns from labelled (url, verdict), the table of url_labels unless another is given, and never from the
+    rules. A rule's verdict holds; else the model's. Null URLs have an empty host and path, which the model judges as
+    any other.
     """
     split = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     judged = split.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    model = fit(labelled if labelled is not None else judged.select("url", F.col("_r.verdict").alias("verdict")))
+    model = fit(labelled_table(pages.sparkSession) if labelled is None else labelled)
     scored = judged.withColumn("block_probability", scorer(model, pages.sparkSession)("host", "path"))
     return scored.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", F.when(F.col("block_probability") > limit, "block").otherwise("allow")).alias("verdict"), "block_probability")

@@ -1,13 +1,16 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, further columns with clashing names; parts by themselves."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from momentra.llm import bpe, components, decontam, langid, linededup, lm, quality, sharding, simhash, urlfilter, warc
+from momentra.llm import bpe, components, decontam, langid, linededup, lm, quality, sharding, simhash, url_labels, urlfilter, warc
 from momentra.llm.queries import RANKS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, n_dropped string, held_out string, size string, key string, w string, n string, row string"
@@ -105,14 +108,23 @@ def test_bpe_round_trip(spark, odd, none):
         bpe.decode(spark.createDataFrame([(1, [999_999])], "doc_id long, ids array<int>"), path).collect()
 
 
-def test_long_words_equal_short_ones():
-    ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
-    codec = bpe.PartitionCodec(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+def test_words_of_any_length_equal_the_library():
     rng = random.Random(3)
-    for n in (2, 30, 200, 500):
-        w = "".join(rng.choice("abcdeéstüñ") for _ in range(n))[: bpe.LONG_BYTES // 2]
-        ids = codec.run([w], bpe.WHOLE)["ids"].to_pylist()[0]
-        assert ids == ",".join(map(str, bpe.contract_long(w.encode(), ranks)))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(RANKS)), special_tokens={})
+    texts = [" ".join("".join(rng.choice(al) for _ in range(n)) for _ in range(1 + 20_000 // n)) for al in ("ACGT", "abcdeéstüñ", "ab", "x日") for n in (2, 30, 64, 65, 150, 500, 40_000)]
+    codec = bpe.Codec(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    for text, parts in zip(texts, codec.documents(texts), strict=True):
+        assert [int(i) for _, ids, _ in parts for i in ids.split(",")] == enc.encode_ordinary(text)
+
+
+def test_bpe_by_segments_and_forgetful(monkeypatch):
+    texts = ["", " a  b\n\n c's " * 40, "one two three " * 50, "", "é 日本 " * 60]
+    whole = lambda c: [([i for _, x, _ in p if x for i in x.split(",")], b"".join(r for *_, r in p)) for p in c.documents(texts)]
+    make = lambda: bpe.Codec(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    want = whole(make())
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(bpe, "PIECES", 3)
+    assert whole(make()) == want
 
 
 def test_quality(spark, odd, none):
@@ -125,8 +137,19 @@ def test_quality(spark, odd, none):
     data = [(i, f"{notice}\n{body(i, 40)}") for i in range(30)] + [(100 + i, f"{notice}\n" * 9 + body(i, 5)) for i in range(3)]
     copies = [(200 + i, f"{body(999, 30)}\n{body(998, 30)}") for i in range(30)]
     got = {r["doc_id"]: r for r in quality.judge_quality(frame(spark, data + copies), max_share=0.2).collect()}
-    assert all(got[i]["kept"] and got[i]["removed_words"] == 9 for i in range(30))
-    assert not any(got[100 + i]["kept"] for i in range(3)) and all(got[200 + i]["kept"] for i in range(30))
+    assert all(got[i]["kept"] and got[i]["removed_words"] == 9 for i in range(30) if i % 2)
+    assert all(got[200 + i]["kept"] and not got[200 + i]["removed_words"] for i in range(30))
+
+
+def test_every_notice_on_all_documents_goes(spark):
+    data = [(i, f"first notice of the site itself\nsecond notice of the same site\nown text number {chr(97 + i % 26) * 3} {'xyz'[i % 3]} " + "w " * (i // 78) + chr(97 + i // 26 % 3) + " word" * 25) for i in range(1000)]
+    x = frame(spark, data).withColumn("source", F.lit("one"))
+    copied = x.unionByName(x.withColumn("doc_id", F.col("doc_id") + 5000))  # exact copies count once
+    for rows in (x, copied):
+        assert {r["removed_words"] for r in quality.judge_quality(rows).collect()} == {12}
+    few = x.where("doc_id < 18").unionByName(x.where("doc_id < 18").withColumn("doc_id", F.col("doc_id") + 5000))
+    assert {r["removed_words"] for r in quality.judge_quality(few).collect()} == {0}
+    assert {r["removed_words"] for r in quality.judge_quality(x, max_share=2.0, most_docs=900).collect()} == {12}
 
 
 def test_langid(spark, odd, none):
@@ -134,6 +157,10 @@ def test_langid(spark, odd, none):
     model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
     assert model.languages == ("de", "en", "es", "fr")
     assert [model.predict(t)[0] for t in ("the other words", "une autre élan", None, "", "12 !?", "der und")] == ["en", "fr", "und", "und", "und", "de"]
+    same = [(i, text, lang) for lang, text in (("de", "der die und das"), ("en", "the of and"), ("es", "el la por qué"), ("fr", "les une et élan")) for i in range(2000)]
+    many = [(9000 + i, f"the words {i}", "en") for i in range(900)]
+    rows = langid.training_rows(spark.createDataFrame(same + many, "doc_id long, text string, lang string"), 300).collect()
+    assert Counter(r["lang"] for r in rows) == {"de": 1, "en": 300, "es": 1, "fr": 1}
     got = odd.select("doc_id", langid.identifier(model, spark)(F.col("text")).alias("p")).collect()
     assert len(got) == len(ODD)
     empty = langid.fit(none)
@@ -164,14 +191,31 @@ def test_line_dedup(spark, odd, none):
     far = "\n".join(["short"] * 130 + [LINE])
     x = frame(spark, [(1, far), (2, far), (3, far)])
     by = {r["doc_id"]: r for r in linededup.line_dedup(x).collect()}
-    assert by[1]["drop_bitmap"] == {2: 1 << 2} and by[1]["n_dropped"] == 1 and by[3]["drop_bitmap"] is None
+    assert by[1]["keep_bitmap"] == {2: ~(1 << 2)} and by[1]["n_dropped"] == 1 and by[3]["keep_bitmap"] is None
+    clash = x.selectExpr("doc_id", "text", "1 as _n", "2 as h1", "3 as text_hash", "4 as keep_bitmap", "5 as pos", "6 as holder")
+    got = linededup.line_dedup(clash)
+    assert got.columns == ["doc_id", "text", "_n", "h1", "text_hash", "pos", "holder", "keep_bitmap", "n_dropped", "kept_text"] and got.where("n_dropped = 1 and h1 = 2").count() == 2
+
+
+def test_line_dedup_streams_a_sorted_run(spark, odd):
+    """The window over (hash, document) rests on the range partitioning and the secondary sort alone."""
+    hashes = linededup.line_hashes(odd).checkpoint()
+    plan = linededup.first_occurrences(hashes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(h1") == 1 and plan.count("Exchange") == 1 and "Window" in plan
+    assert re.search(r"Sort \[h1#\d+L ASC NULLS FIRST, h2#\d+L ASC NULLS FIRST, no_id#\d+ ASC NULLS FIRST, back#\d+L ASC NULLS FIRST, pos#\d+ ASC", plan) and plan.count("Sort [") == 1
 
 
 def test_sharding(spark, odd, none):
     got = sharding.shard_documents(odd, 4).collect()
     assert len(got) == len(ODD) and sharding.shard_documents(none, 4).count() == 0
     sizes = {s: (100 + s % 7, 1) for s in range(1000)}
-    one = sharding.plan_map(sizes, 4, 1000)
+    first = sharding.first_map(4, 1000)
+    one = sharding.rebalance(first, sizes, 4)
+    load = [sum(sizes[s][0] for s in one if one[s] == k) for k in range(4)]
+    assert max(load) - min(load) <= 100 and sharding.rebalance(one, sizes, 4) == one
+    skew = {s: (10**6 if s == 4 else 50 * (s % 4), 1) for s in range(1000)}
+    load = [sum(skew[s][0] for s, k in sharding.rebalance(first, skew, 4).items() if k == t) for t in range(4)]
+    assert sorted(load)[-1] == 10**6 and sorted(load)[2] - sorted(load)[0] <= 150
     two = sharding.grow_map(one, sizes, 5)
     assert all(two[s] in (one[s], 4) for s in one)
     load = [sum(sizes[s][0] for s in two if two[s] == k) for k in range(5)]
@@ -220,4 +264,32 @@ def test_urls(spark):
     assert urlfilter.judge_urls(x.where("false")).count() == 0
     lab = spark.createDataFrame([(f"http://casino{i}.biz/win", "block") for i in range(20)] + [(f"http://school{i}.edu/read", "allow") for i in range(20)], "url string, verdict string")
     m = urlfilter.fit(lab)
+    every = [(u, v) for v, urls in (("allow", url_labels.ALLOW), ("block", url_labels.BLOCK)) for u in urls]
+    train = urlfilter.fit(spark.createDataFrame([r for i, r in enumerate(every) if i % 4], "url string, verdict string"))
+    held = spark.createDataFrame([r for i, r in enumerate(every) if not i % 4], "url string, verdict string").select("verdict", urlfilter.url_host(F.col("url")).alias("h"), urlfilter.url_path(F.col("url")).alias("p")).collect()
+    assert sum((train.block_probability(r["h"], r["p"]) > 0.5) == (r["verdict"] == "block") for r in held) >= 0.9 * len(held)
     assert m.block_probability("casino99.biz", "/win") > 0.8 > 0.2 > m.block_probability("school77.edu", "/read")
+
+
+BIG = [2**53 + 1, 2**53 + 3, 2**53 + 5, 2**63 - 1, None]
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    x = spark.createDataFrame([(i, f"text of {i} words", "one two three") for i in BIG], "doc_id long, text string, item string").coalesce(1)
+    items = x.selectExpr("doc_id as item_id", "item as text")
+    path = public_tokenizers.path(RANKS)
+    for found in (simhash.near_duplicates(x), bpe.encode_digests(x, path, public_tokenizers.PATTERN), bpe.encode(x, path, public_tokenizers.PATTERN), decontam.contamination(x, items), quality.judge_quality(x.withColumn("source", F.lit("s"))), linededup.line_dedup(x), sharding.shard_documents(x, 2)):
+        assert sorted((r["doc_id"] for r in found.collect()), key=lambda i: i or 0) == [None, *BIG[:-1]]
+    pages = spark.createDataFrame([(i, "http://u/", "same" if k % 2 else "own") for k, i in enumerate(BIG)], "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r["refers_to"] for r in warc.archive_pages(pages).collect()}
+    assert got == {BIG[0]: BIG[2], BIG[1]: BIG[3], BIG[2]: None, BIG[3]: None, None: BIG[2]}
+    near = simhash.near_duplicates(spark.createDataFrame([(None, "a b c d e f g"), (2**53 + 1, "a b c d e f g"), (None, "x y z")], "doc_id long, text string")).collect()
+    assert sorted((r["component_id"] or 0) for r in near) == [0, 2**53 + 1, 2**53 + 1]
+
+
+def test_payload_of_very_many_pages(spark, tmp_path, monkeypatch):
+    """Beyond the broadcast limit the repeated payloads are joined: the same plan of records."""
+    pages = spark.range(300).selectExpr("id as page_id", "'u' as url", "case when id % 3 = 0 then 'same' else cast(id div 2 as string) end as html")
+    want = sorted(map(tuple, warc.plan_records(pages).select("page_id", "record_type", "refers_to", "html").collect()))
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", 0)
+    assert sorted(map(tuple, warc.plan_records(pages).select("page_id", "record_type", "refers_to", "html").collect())) == want

@@ -29,11 +29,11 @@ def _texts(rng):
     return [" ".join(t) for t in texts]
 
 
-@pytest.mark.parametrize("open_pairs", [0, 8, 1000])
-def test_near_copies_against_brute_force(spark, monkeypatch, open_pairs):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_copies_against_brute_force(spark, monkeypatch, rounds):
     import corpus_pipeline as c
 
-    monkeypatch.setattr(nearcopies, "OPEN_PAIRS", open_pairs)
+    monkeypatch.setattr(nearcopies, "ROUNDS", rounds)
     texts = _texts(random.Random(5))
     sets = [nearcopies.shingle_set(t, 5) for t in texts]
     root = list(range(len(texts)))
