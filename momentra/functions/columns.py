@@ -14,6 +14,16 @@ def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+def split_keys(dealt: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """dealt with lane: rows of a key of over `block` rows are dealt to pairs of blocks, so that any two of them share a lane
+    and no task compares a whole hot key; the rows of other keys have lane 0. Only the counts of hot keys are shared."""
+    hot = dealt.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n")).where("_n > 1")
+    own = F.pmod(F.xxhash64("id"), F.col("_n"))
+    lanes = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.least(own, j) * F.col("_n") + F.greatest(own, j))
+    x = dealt.join(small(hot), keys, "left")
+    return x.withColumn("lane", F.explode(F.when(F.col("_n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(lanes))).drop("_n")
+
+
 def clamp(c: Column, lo: float, hi: float) -> Column:
     """Null stays null; greatest and least alone would skip it."""
     return F.when(c.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c)))

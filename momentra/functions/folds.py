@@ -1,7 +1,4 @@
-"""Greedy selections as folds over one scene's sorted array: SQL higher-order functions, no Python in the tasks.
-
-A fold is for arrays that a caller has bounded first (its pool argument), as one scene's array lives in one row.
-"""
+"""Folds over one row's short array: SQL higher-order functions, no Python in the tasks."""
 
 from __future__ import annotations
 
@@ -9,56 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def keep_apart(rows: Column, gap: float | Column, k: int | Column | None = None) -> Column:
-    """rows (array of structs with t) in order of preference -> those at least gap from all kept before, up to k."""
-    empty = F.filter(rows, lambda _: F.lit(False))
-
-    def step(kept: Column, x: Column) -> Column:
-        near = F.exists(kept, lambda y: F.abs(y["t"] - x["t"]) < gap)
-        full = F.lit(False) if k is None else F.size(kept) >= k
-        return F.when(near | full, kept).otherwise(F.concat(kept, F.array(x)))
-
-    return F.aggregate(rows, empty, step)
-
-
-def keep_disjoint(rows: Column) -> Column:
-    """rows (array of structs with lo, hi) in order of preference -> those that overlap none kept before (touching is apart)."""
-    empty = F.filter(rows, lambda _: F.lit(False))
-
-    def step(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda y: (x["lo"] < y["hi"]) & (y["lo"] < x["hi"])), kept).otherwise(F.concat(kept, F.array(x)))
-
-    return F.aggregate(rows, empty, step)
-
-
-def keep_unlike_bits(rows: Column, threshold: int | Column, horizon: int | None = None) -> Column:
-    """rows (array of structs with h, a long) in time order -> those over threshold bits from all kept (the last `horizon`); null h is kept."""
-    empty = F.filter(rows, lambda _: F.lit(False))
-
-    def step(kept: Column, x: Column) -> Column:
-        seen = kept if horizon is None else F.slice(kept, F.greatest(F.lit(1), F.size(kept) - horizon + 1), F.lit(horizon))
-        near = F.exists(seen, lambda y: F.coalesce(F.bit_count(y["h"].bitwiseXOR(x["h"])) <= threshold, F.lit(False)))
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
-
-    return F.aggregate(rows, empty, step)
-
-
-def keep_unlike_tokens(rows: Column, limit: float, k: int | None = None) -> Column:
-    """rows (array of structs with tokens) in order of preference -> those whose Jaccard with all kept is below limit."""
-    empty = F.filter(rows, lambda _: F.lit(False))
-
-    def like(x: Column, y: Column) -> Column:
-        both = F.size(F.array_intersect(x["tokens"], y["tokens"]))
-        either = F.size(x["tokens"]) + F.size(y["tokens"]) - both
-        return F.coalesce(both / F.nullif(either, F.lit(0)), F.lit(0.0)) >= limit
-
-    def step(kept: Column, x: Column) -> Column:
-        full = F.lit(False) if k is None else F.size(kept) >= k
-        return F.when(F.exists(kept, lambda y: like(x, y)) | full, kept).otherwise(F.concat(kept, F.array(x)))
-
-    return F.aggregate(rows, empty, step)
-
-
 def first_by_key(values: Column, key) -> Column:
     """values in order, each kept if no earlier one has the same key."""
     empty = F.filter(values, lambda _: F.lit(False))

@@ -7,34 +7,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentra.functions import columns as C
-from momentra.functions.folds import keep_apart, keep_disjoint, keep_unlike_bits, keep_unlike_tokens
-
-#: Rows of a scene that a fold looks at, best first: an array of one scene lives in one row.
-POOL = 2000
+from momentra.functions import streams
 
 
 def _ranked(df: DataFrame, order: list, name: str = "_n") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy("scene_id").orderBy(*order)))
 
 
-def min_gap_select(df: DataFrame, score_col: str, k: int | Column, gap_sec: float, top_off: bool = True, pool: int = POOL) -> DataFrame:
+PICKED = "scene_id string, obs_id long, timestamp_sec double, score double, rank int, relaxed boolean"
+
+
+def min_gap_select(df: DataFrame, score_col: str, k: int | Column, gap_sec: float, top_off: bool = True) -> DataFrame:
     """Per scene, best score first: rows at least gap_sec from all accepted, up to k; then, with top_off, the best others up to k.
 
-    -> (scene_id, obs_id, timestamp_sec, score, rank, relaxed). Ties go to the earlier time, then the lesser id. A scene's
-    `pool` best rows are looked at.
+    -> (scene_id, obs_id, timestamp_sec, score, rank, relaxed). Ties go to the earlier time, then the lesser id. k may be
+    a column; a scene's greatest counts.
     """
-    order = [F.desc(score_col), "timestamp_sec", "obs_id"]
-    x = _ranked(df, order).where(F.col("_n") <= pool)
-    row = F.struct(F.col("_n").alias("n"), F.col("timestamp_sec").alias("t"), F.col("obs_id").alias("id"), F.col(score_col).cast("double").alias("s"))
-    k = k if isinstance(k, Column) else F.lit(k)
-    per = x.groupBy("scene_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max(k).alias("k"))
-    per = per.withColumn("apart", keep_apart(F.col("rows"), gap_sec, F.col("k")))
-    ids = F.transform("apart", lambda r: r["id"])
-    rest = F.filter("rows", lambda r: ~F.array_contains(ids, r["id"]))
-    more = F.slice(rest, F.lit(1), F.greatest(F.lit(0), F.col("k") - F.size("apart"))) if top_off else F.slice("rows", 1, 0)
-    picked = F.concat(F.transform("apart", lambda r: F.struct(r.alias("r"), F.lit(False).alias("relaxed"))), F.transform(more, lambda r: F.struct(r.alias("r"), F.lit(True).alias("relaxed"))))
-    out = per.select("scene_id", F.posexplode(picked).alias("i", "p"))
-    return out.select("scene_id", F.col("p.r.id").alias("obs_id"), F.col("p.r.t").alias("timestamp_sec"), F.col("p.r.s").alias("score"), (F.col("i") + 1).alias("rank"), F.col("p.relaxed").alias("relaxed"))
+    most = F.max(k).over(Window.partitionBy("scene_id")) if isinstance(k, Column) else F.lit(k)
+    x = df.select("scene_id", "obs_id", "timestamp_sec", F.col(score_col).cast("double").alias("score"), most.cast("int").alias("k"))
+    return streams.sorted_pass(x, [F.desc("score"), "timestamp_sec", "obs_id"], PICKED, lambda: streams.Apart(gap_sec, top_off))
 
 
 def sharp_gate(df: DataFrame, k: int, pct: float = 25.0, relaxed: float = 10.0, hard_floor: float = 100.0, relaxed_floor: float = 50.0) -> DataFrame:
@@ -55,13 +46,12 @@ def live_select(obs: DataFrame, k: int, gap_sec: float = 20.0) -> DataFrame:
     return min_gap_select(sharp_gate(fused_score(obs), k), "fused", k, gap_sec)
 
 
-def interval_consolidate(seeds: DataFrame, pool: int = POOL) -> DataFrame:
+def interval_consolidate(seeds: DataFrame) -> DataFrame:
     """seeds (scene_id, obs_id, timestamp_sec, score, window_sec) -> windows kept, best score first, that overlap none kept before."""
-    x = _ranked(seeds.where("window_sec > 0"), [F.desc("score"), "timestamp_sec", "obs_id"]).where(F.col("_n") <= pool)
-    row = F.struct(F.col("_n").alias("n"), (F.col("timestamp_sec") - F.col("window_sec")).alias("lo"), (F.col("timestamp_sec") + F.col("window_sec")).alias("hi"), F.col("obs_id").alias("id"), F.col("score").cast("double").alias("score"))
-    per = x.groupBy("scene_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    out = per.select("scene_id", F.explode(keep_disjoint(F.col("rows"))).alias("r"))
-    return out.select("scene_id", F.col("r.id").alias("obs_id"), F.round("r.lo", 3).alias("lo"), F.round("r.hi", 3).alias("hi"), "r.score")
+    t, w = F.col("timestamp_sec"), F.col("window_sec")
+    x = seeds.where("window_sec > 0 and timestamp_sec is not null").select("scene_id", "obs_id", (t - w).alias("lo"), (t + w).alias("hi"), F.col("score").cast("double").alias("score"), "timestamp_sec")
+    kept = streams.sorted_pass(x, [F.desc("score"), "timestamp_sec", "obs_id"], "scene_id string, obs_id long, lo double, hi double, score double", streams.Disjoint)
+    return kept.select("scene_id", "obs_id", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"), "score")
 
 
 def window_expand(seeds: DataFrame, seen: DataFrame) -> DataFrame:
@@ -75,12 +65,10 @@ def window_expand(seeds: DataFrame, seen: DataFrame) -> DataFrame:
     return first.join(s, (F.col("scene_id") == F.col("_s")) & (F.col("t") == F.col("_t")), "left_anti")
 
 
-def near_dup_keep_first(obs: DataFrame, hash_col: str, threshold: int = 5, horizon: int | None = None, pool: int = POOL) -> DataFrame:
+def near_dup_keep_first(obs: DataFrame, hash_col: str, threshold: int = 5, horizon: int | None = None) -> DataFrame:
     """Rows in time order, each kept if over threshold bits from all kept before it (the last `horizon`); a null hash is kept."""
-    x = _ranked(obs, ["timestamp_sec", "obs_id"])
-    row = F.struct(F.col("_n").alias("n"), F.col("obs_id").alias("id"), F.col(hash_col).cast("long").alias("h"))
-    per = x.groupBy("scene_id", F.floor((F.col("_n") - 1) / pool).alias("_part")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kept = per.select("scene_id", F.explode(keep_unlike_bits(F.col("rows"), threshold, horizon)).alias("r")).select("scene_id", F.col("r.id").alias("obs_id"))
+    x = obs.select("scene_id", "obs_id", F.col(hash_col).cast("long").alias("h"), "timestamp_sec")
+    kept = streams.sorted_pass(x, ["timestamp_sec", "obs_id"], "scene_id string, obs_id long", lambda: streams.UnlikeBits(threshold, horizon))
     return obs.join(kept, ["scene_id", "obs_id"], "left_semi")
 
 
@@ -139,24 +127,47 @@ def recheck_queue(picks: DataFrame, results: DataFrame, n: int = 8) -> DataFrame
 RETRIEVAL = {"tags": 0.30, "labels": 0.22, "title_tokens": 0.24, "contributors": 0.14, "categories": 0.10}
 
 
+def _token_sets(sets: list[str]) -> list[Column]:
+    return [F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))).alias(c) for c in sets]
+
+
+def _tokens(df: DataFrame, sets: list[str]) -> DataFrame:
+    """(id, s, t): each token of each set, s the set's name."""
+    marked = lambda c: F.transform(c, lambda t: F.struct(F.lit(c).alias("s"), t.alias("t")))
+    return df.select("id", F.explode(F.concat(*[marked(c) for c in sets])).alias("x")).select("id", "x.s", "x.t")
+
+
 def retrieve_topk(queries: DataFrame, bank: DataFrame, weights: dict[str, float] = RETRIEVAL, k: int = 3, max_df: int = 10_000) -> DataFrame:
     """queries, bank (id, source, one array a set; bank also acceptance, reject_rate) -> (query_id, id, signal, rank).
 
     Weighted Jaccard of the sets, +.08 acceptance, -.04 reject rate, +.22 for one source, clamped to 0..1; only rows
-    over 0 and with a token in common are ranked. Set sizes are counted before an equi join on (set, token), which is
-    partially aggregated to one row a pair. Tokens in over max_df bank rows only count where a rarer one is shared.
+    over 0 and with a token in common are ranked, by signal, the sum before clamping, and id.
+
+    Candidates come from an equi join on (set, token) for tokens of up to max_df bank rows. Rows that agree in all their
+    commoner tokens, in the sets' sizes and in the source differ for a query, beyond rarer shared tokens, by acceptance and
+    reject rate only, so of each such group the k + 1 best are candidates. Every pair with a token in common is so
+    ranked as if it were compared; max_df moves cost, not the result.
     """
-    token = lambda df: df.select("id", F.explode(F.concat(*[F.transform(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))), lambda t, c=c: F.struct(F.lit(c).alias("s"), t.alias("t"))) for c in weights])).alias("x")).select("id", "x.s", "x.t")
-    q, b = token(queries).select(F.col("id").alias("q"), "s", "t"), token(bank)
-    common = b.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_df).select("s", "t")
-    pairs = q.join(b.join(common, ["s", "t"], "left_anti"), ["s", "t"]).select("q", "id").where("q != id").distinct()
-    arrays = lambda df, p: df.select(F.col("id").alias(p), F.col("source").alias(f"{p}_source"), *[F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))).alias(f"{p}_{c}") for c in weights], *([F.col("acceptance"), F.col("reject_rate")] if p == "id" else []))
-    x = pairs.join(arrays(queries, "q"), "q").join(arrays(bank, "id"), "id")
+    sets = list(weights)
+    q0 = queries.select("id", "source", *_token_sets(sets))
+    b0 = bank.select("id", "source", "acceptance", "reject_rate", *_token_sets(sets))
+    extra = F.col("acceptance") * 0.08 - F.col("reject_rate") * 0.04
+    q, b = _tokens(q0, sets).withColumnRenamed("id", "q"), _tokens(b0, sets)
+    common = C.small(b.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_df).select("s", "t"))
+    rare = q.join(b.join(common, ["s", "t"], "left_anti"), ["s", "t"]).select("q", "id")
+    often = b.join(common, ["s", "t"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "t"))).alias("often"))
+    alike = F.xxhash64("often", F.lower("source"), *[F.size(c) for c in sets])
+    best = F.row_number().over(Window.partitionBy("alike").orderBy(F.desc("extra"), "id"))
+    groups = often.join(b0, "id").select("id", "often", alike.alias("alike"), extra.alias("extra")).withColumn("n", best).where(F.col("n") <= k + 1)
+    frequent = q.join(groups.select("id", F.explode("often").alias("x")).select("id", "x.s", "x.t"), ["s", "t"]).select("q", "id")
+    pairs = rare.unionAll(frequent).where("q != id").distinct()
+    named = lambda df, p, *more: df.select(F.col("id").alias(p), F.col("source").alias(f"{p}_source"), *[F.col(c).alias(f"{p}_{c}") for c in sets], *more)
+    x = pairs.join(named(q0, "q"), "q").join(named(b0, "id", extra.alias("extra")), "id")
     near = sum((C.jaccard(F.col(f"q_{c}"), F.col(f"id_{c}")) * w for c, w in weights.items()), F.lit(0.0))
-    signal = near + F.col("acceptance") * 0.08 - F.col("reject_rate") * 0.04 + F.when(F.lower("q_source") == F.lower("id_source"), 0.22).otherwise(0.0)
-    x = x.select(F.col("q").alias("query_id"), "id", F.round(C.clamp(signal, 0, 1), 6).alias("signal")).where("signal > 0")
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("signal"), "id"))
-    return x.withColumn("rank", n).where(F.col("rank") <= k)
+    total = F.round(near + F.col("extra") + F.when(F.lower("q_source") == F.lower("id_source"), 0.22).otherwise(0.0), 6)
+    x = x.select(F.col("q").alias("query_id"), "id", total.alias("total"), C.clamp(total, 0, 1).alias("signal")).where("signal > 0")
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "id"))
+    return x.withColumn("rank", n).where(F.col("rank") <= k).drop("total")
 
 
 def external_accept(scored: DataFrame, n: int, min_score: float = 80.0) -> DataFrame:
@@ -179,23 +190,17 @@ def title_sanitize(titles: DataFrame, jaccard: float = 0.72, low: int = 18, high
     x = x.withColumn("head", F.array_join(F.slice("w", 1, 4), " "))
     first = lambda *k: F.row_number().over(Window.partitionBy("scene_id", *k).orderBy("ord"))
     x = x.withColumn("_a", first(F.lower("text"))).where("_a = 1").withColumn("_b", first("head")).where("_b = 1")
-    row = F.struct(F.col("ord").alias("n"), "text", F.array_distinct("w").alias("tokens"))
-    per = x.groupBy("scene_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return per.select("scene_id", F.explode(keep_unlike_tokens(F.col("rows"), jaccard)).alias("r")).select("scene_id", F.col("r.n").alias("ord"), "r.text")
+    x = x.select("scene_id", "ord", "text", F.array_distinct("w").alias("tokens"))
+    return streams.sorted_pass(x, ["ord"], "scene_id string, ord long, text string, place int", lambda: streams.UnlikeTokens(jaccard)).drop("place")
 
 
-def title_balance(titles: DataFrame, lead: str, hints: list[str], n: int, jaccard: float = 0.68, pool: int = 200) -> DataFrame:
+def title_balance(titles: DataFrame, lead: str, hints: list[str], n: int, jaccard: float = 0.68) -> DataFrame:
     """titles (scene_id, ord, text) -> n a scene: by points (lead term 3, each hint 1, length 40..80 1), unlike those taken
     before; then the best others fill up. -> (scene_id, ord, points, place)."""
     low = F.lower("text")
     points = F.when(F.contains(low, F.lit(lead.lower())), 3).otherwise(0) + sum((F.when(F.contains(low, F.lit(h.lower())), 1).otherwise(0) for h in hints), F.lit(0)) + F.when(F.length("text").between(40, 80), 1).otherwise(0)
-    x = _ranked(titles.withColumn("points", points), [F.desc("points"), "ord"]).where(F.col("_n") <= pool)
-    row = F.struct(F.col("_n").alias("n"), "ord", "points", C.token_set(F.col("text")).alias("tokens"))
-    per = x.groupBy("scene_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("taken", keep_unlike_tokens(F.col("rows"), jaccard, n))
-    ids = F.transform("taken", lambda r: r["n"])
-    rest = F.slice(F.filter("rows", lambda r: ~F.array_contains(ids, r["n"])), F.lit(1), F.greatest(F.lit(0), F.lit(n) - F.size("taken")))
-    out = per.select("scene_id", F.posexplode(F.concat("taken", rest)).alias("i", "r"))
-    return out.select("scene_id", "r.ord", "r.points", (F.col("i") + 1).alias("place"))
+    x = titles.select("scene_id", "ord", points.cast("int").alias("points"), C.token_set(F.col("text")).alias("tokens"))
+    return streams.sorted_pass(x, [F.desc("points"), "ord"], "scene_id string, ord long, points int, place int", lambda: streams.UnlikeTokens(jaccard, n))
 
 
 def disagreements(feedback: DataFrame, limit: int = 120, only_errors: bool = True) -> DataFrame:
@@ -240,7 +245,7 @@ def failure_stop(scored: DataFrame, min_completed: int = 12, rate: float = 0.75)
 # quota fill -----------------------------------------------------------------------------------------------------
 
 PICKS = "scene_id string, obs_id long, timestamp_sec double, label string, bucket string, run_label string, score double, pick_pass int, rank int"
-STATS = "scene_id string, eligible int, runs int, effective_max int, picks int"
+STATS = "eligible int, runs int, effective_max int, picks int"
 
 
 def _fill(x: pd.DataFrame, spec: dict[str, int], per_label: int, per_run: int, gap: float, tight: float, run_gap: float, max_total: int, min_total: int, cap: int) -> tuple[list, dict]:
@@ -284,21 +289,24 @@ def _fill(x: pd.DataFrame, spec: dict[str, int], per_label: int, per_run: int, g
     return picked, {"eligible": len(rows), "runs": len(runs), "effective_max": total, "picks": len(picked)}
 
 
-def quota_fill(obs: DataFrame, spec: dict[str, int], max_total: int, min_total: int, per_label: int = 0, per_run: int = 3, gap_sec: float = 20.0, tight_sec: float = 8.0, run_gap: float = 120.0, cap: int = 36, pool: int = 500) -> tuple[DataFrame, DataFrame]:
+def quota_fill(obs: DataFrame, spec: dict[str, int], max_total: int, min_total: int, per_label: int = 0, per_run: int = 3, gap_sec: float = 20.0, tight_sec: float = 8.0, run_gap: float = 120.0, cap: int = 36) -> tuple[DataFrame, DataFrame]:
     """obs (scene_id, obs_id, timestamp_sec, label, label_confidence, bucket, score, motion) -> (picks, stats).
 
     Pass 0 covers each run of a label, pass 1 fills buckets and labels with the gap, 2 tops off with the gap to
-    min_total, 3 without. The total grows with the runs, up to cap. Grouped map on the `pool` best rows of each scene,
-    as later picks depend on all earlier ones.
+    min_total, 3 without. The total grows with the runs, up to cap. One grouped map over each whole scene, as later picks
+    depend on all earlier ones; it holds the eight columns of one scene.
     """
-    x = _ranked(obs, [F.desc("score"), "obs_id"]).where(F.col("_n") <= pool).select("scene_id", "obs_id", "timestamp_sec", "label", "label_confidence", "bucket", "score", "motion")
+    x = obs.select("scene_id", "obs_id", "timestamp_sec", "label", "label_confidence", "bucket", "score", "motion")
     args = (spec, per_label, per_run, gap_sec, tight_sec, run_gap, max_total, min_total, cap)
-
-    def picks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found, _ = _fill(rows, *args)
-        return pd.DataFrame([(key[0], p["obs_id"], p["timestamp_sec"], p["label"], p["bucket"], p["run_label"], p["score"], n, i) for i, (p, n) in enumerate(found, 1)], columns=[c.split()[0] for c in PICKS.split(", ")])
-
-    def stats(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"scene_id": key[0], **_fill(rows, *args)[1]}])
-
-    return x.groupBy("scene_id").applyInPandas(picks, PICKS), x.groupBy("scene_id").applyInPandas(stats, STATS)
+    names = [c.split()[0] for c in f"{PICKS}, {STATS}".split(", ")]
+
+    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The stats as the row of rank 0, then the picks."""
+        found, stats = _fill(rows, *args)
+        head = (key[0], None, None, None, None, None, None, None, 0, *stats.values())
+        out = [(key[0], p["obs_id"], p["timestamp_sec"], p["label"], p["bucket"], p["run_label"], p["score"], n, i, None, None, None, None) for i, (p, n) in enumerate(found, 1)]
+        return pd.DataFrame([head, *out], columns=names, dtype=object)
+
+    both = x.groupBy("scene_id").applyInPandas(fill, f"{PICKS}, {STATS}")
+    stats = [c.split()[0] for c in STATS.split(", ")]
+    return both.where("rank > 0").drop(*stats), both.where("rank = 0").select("scene_id", *stats)

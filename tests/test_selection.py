@@ -148,3 +148,85 @@ def test_score_with(spark):
 
     got = score_with(spark.range(10), lambda x: pd.DataFrame({"y": x["id"] * 2}), "y long", batch_rows=3)
     assert sorted(r[0] for r in got.collect()) == list(range(0, 20, 2))
+
+
+def big_scene(spark, n=5000):
+    """One scene of n rows with copies across row 2000."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(62) for _ in range(n // 2)]
+    data = [("s", i, float(i) * 0.5, float(rng.randrange(100)), 100.0, base[i % (n // 2)] ^ (i // (n // 2))) for i in range(n)]
+    return data, spark.createDataFrame(data, OBS + ", phash long")
+
+
+def test_scenes_of_any_size(spark):
+    data, x = big_scene(spark)
+    best = sorted(data, key=lambda r: (-r[3], r[2], r[1]))
+    kept = []
+    for r in best:
+        if len(kept) < 60 and all(abs(r[2] - y[2]) >= 40 for y in kept):
+            kept.append(r)
+    want = [(r[1], False) for r in kept] + [(r[1], True) for r in best if r not in kept][: 60 - len(kept)]
+    got = P.min_gap_select(x, "score", 60, 40.0).orderBy("rank").collect()
+    assert [(r["obs_id"], r["relaxed"]) for r in got] == want and len(kept) > 30
+    windows = []
+    for r in best:
+        if all(abs(r[2] - y[2]) >= 3 for y in windows):
+            windows.append(r)
+    assert rows(P.interval_consolidate(x.withColumn("window_sec", F.lit(1.5))), "obs_id") == sorted((r[1],) for r in windows)
+    assert rows(P.near_dup_keep_first(x, "phash", 1), "obs_id") == [(i,) for i in range(2500)]
+    got = D.near_dup_clusters(x, "phash", 1).collect()
+    assert {(r["obs_id"], r["cluster_id"]) for r in got} == {(i, i % 2500) for i in range(5000)}
+
+
+def test_keep_first_forgets_beyond_the_horizon(spark):
+    x = spark.createDataFrame([("s", i, float(i), h, 1.0) for i, h in enumerate((0, 255, 255 << 8, 0, 255 << 8))], HASHED)
+    assert rows(P.near_dup_keep_first(x, "phash", 1, horizon=2), "obs_id") == [(0,), (1,), (2,), (3,)]
+
+
+def test_quota_fill_sees_the_whole_scene(spark):
+    x = [("s", i, float(i), "ABC"[i // 500 % 3], 0.9, "other", float(i % 97), 1.0) for i in range(3000)]
+    picks, stats = P.quota_fill(spark.createDataFrame(x, "scene_id string, obs_id long, timestamp_sec double, label string, label_confidence double, bucket string, score double, motion double"), {}, 6, 0)
+    assert tuple(stats.select("eligible", "runs", "effective_max", "picks").first()) == (3000, 6, 18, 18)
+    assert picks.where("score = 96").count() == 18
+
+
+def test_retrieval_by_common_tokens_is_exact(spark):
+    rng = random.Random(4)
+    data = [(i, f"src{i % 2}", rng.sample("abc", 2), [], rng.sample([f"r{j}" for j in range(40)], 1), [], [], rng.randrange(10) / 10, rng.randrange(10) / 10) for i in range(120)]
+    b = spark.createDataFrame(data, "id long, source string, tags array<string>, labels array<string>, title_tokens array<string>, contributors array<string>, categories array<string>, acceptance double, reject_rate double")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["signal"], 6)) for r in df.collect())
+    assert key(P.retrieve_topk(b.where("id < 30"), b, k=4, max_df=5)) == key(P.retrieve_topk(b.where("id < 30"), b, k=4))
+
+
+def test_text_near_dup_recall(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(8, 16))]
+        texts.append(base)
+        texts.append([word(), *base])
+        for _ in range(2):
+            t = list(base)
+            t[rng.randrange(len(t))] = word()
+            texts.append(t)
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    near = {j: {i for i in range(j) if round(D.difflib.SequenceMatcher(None, texts[i], texts[j]).ratio(), 4) >= 0.86} for j in range(len(texts))}
+    accepted = set()
+    for j in range(len(texts)):
+        if not near[j] & accepted:
+            accepted.add(j)
+    x = spark.createDataFrame([(i, t, 5.0) for i, t in enumerate(texts)], "id long, t string, q double")
+    found = {r["id"]: r["dup_of"] for r in D.text_near_dup(x, "id", "t", "q").where("reason = 'near'").collect()}
+    want = set(range(len(texts))) - accepted
+    assert len(want) > 60 and len(want & set(found)) >= 0.97 * len(want)
+    assert all(d in near[i] for i, d in found.items())
+
+
+def test_hot_keys_are_dealt_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_ROWS", 16)
+    x = spark.createDataFrame([(i, (1 << 40) + (1 << i % 12) + (i << 50)) for i in range(120)], "id long, h long")
+    vals = [r["h"] for r in x.orderBy("id").collect()]
+    want = sorted((a, b, (vals[a] ^ vals[b]).bit_count()) for a, b in itertools.combinations(range(120), 2) if (vals[a] ^ vals[b]).bit_count() <= 3)
+    assert rows(D.near_dup_pairs(x, "h", 3), "a", "b", "distance") == want
