@@ -63,9 +63,11 @@ def calibrate_scene(obs: DataFrame, pcts: tuple[int, int, int] = (75, 50, 25), h
     return x.select("scene_id", F.size("v").alias("n"), *floors, F.coalesce((F.element_at("v", -1) - F.element_at("v", 1)) < 50, none).alias("no_variation"), F.coalesce(ranks[0] < hard_floors[0], none).alias("all_blurry"))
 
 
-def calibrate_source(logs: DataFrame, min_scenes: int = 5, keep: int = 50, mode: str = "batch") -> DataFrame:
-    """Per source of min_scenes scores: avg, values at n // 4 and 3n // 4, verdict against the average of all before the kept ones.
+def calibrate_source(logs: DataFrame, old: DataFrame | None = None, min_scenes: int = 5, keep: int = 50, mode: str = "batch", tolerance: float = 5.0) -> DataFrame:
+    """Per source of min_scenes scores: n, avg_score, values at n // 4 and 3n // 4, and against old (source, avg_score) the change
+    in percent, 1 place, and a verdict.
 
+    verdict: shifted beyond `tolerance` percent, else stable; a source without an old average has delta 0 and is stable.
     batch keeps the `keep` largest scores, online the last `keep` by time.
     """
     order = [F.desc("top_score"), "scene_id"] if mode == "batch" else [F.desc("processed_at"), F.desc("scene_id")]
@@ -74,7 +76,12 @@ def calibrate_source(logs: DataFrame, min_scenes: int = 5, keep: int = 50, mode:
     x = kept.groupBy("source").agg(F.sort_array(F.collect_list("top_score")).alias("v"))
     size = F.size("v")
     at = lambda i: F.element_at("v", i.cast("int") + 1)
-    return x.where(size >= min_scenes).select("source", size.alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / size, 2).alias("avg_score"), at(F.floor(size / 4)).alias("p25"), at(F.floor(size * 3 / 4)).alias("p75"))
+    avg = F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / size
+    x = x.where(size >= min_scenes).select("source", size.alias("n"), avg.alias("_avg"), at(F.floor(size / 4)).alias("p25"), at(F.floor(size * 3 / 4)).alias("p75"))
+    before = old.select("source", F.col("avg_score").cast("double").alias("_old")) if old is not None else x.select("source", F.lit(None).cast("double").alias("_old"))
+    delta = F.coalesce(F.when(F.col("_old") != 0, (F.col("_avg") - F.col("_old")) / F.col("_old") * 100), F.lit(0.0))
+    x = x.join(before, "source", "left").withColumn("_delta", delta)
+    return x.select("source", "n", F.round("_avg", 2).alias("avg_score"), "p25", "p75", F.round("_delta", 1).alias("delta_pct"), F.when(F.abs("_delta") > tolerance, "shifted").otherwise("stable").alias("verdict"))
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
@@ -110,15 +117,27 @@ def text_completeness(train: DataFrame) -> DataFrame:
 def rule_kpis(reviews: DataFrame, cohort_col: str = "cohort") -> DataFrame:
     """reviews (cohort, scene_id, title_edit, description_edit, accepted, ready, severity, n_titles, title_diversity) -> KPIs a cohort.
 
-    Denominators are distinct scenes; edit distances are clamped to 0..1 and .25 where missing; medians are linear.
+    Denominators are distinct scenes; edit distances are clamped to 0..1 and .25 where missing; medians are linear. Rows
+    are reduced to one a scene first, so no row is expanded for a distinct count.
     """
     edit = lambda c: F.coalesce(C.clamp(F.col(c), 0, 1), F.lit(0.25))
-    scenes = F.countDistinct("scene_id")
-    of = lambda cond: F.round(F.countDistinct(F.when(cond, F.col("scene_id"))) / scenes, 4)
-    return reviews.groupBy(cohort_col).agg(
-        scenes.alias("scene_count"), of(F.col("accepted")).alias("accept_rate"), of(F.col("ready")).alias("ready_rate"), F.round(F.percentile(edit("title_edit"), 0.5), 4).alias("median_title_edit"), F.round(F.percentile(edit("description_edit"), 0.5), 4).alias("median_description_edit"),
-        of(edit("title_edit") <= 0.1).alias("light_edit_rate"), F.round(F.sum("severity") / scenes, 4).alias("severity_per_scene"), of(F.col("severity") >= 2).alias("severe_rate"), F.round(F.avg("n_titles"), 2).alias("avg_titles"), F.round(F.avg("title_diversity"), 4).alias("title_diversity"),
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    scene = reviews.withColumns({"title_edit": edit("title_edit"), "description_edit": edit("description_edit")}).groupBy(cohort_col, "scene_id").agg(
+        any_of(F.col("accepted")).alias("accepted"), any_of(F.col("ready")).alias("ready"), any_of(F.col("title_edit") <= 0.1).alias("light"), any_of(F.col("severity") >= 2).alias("severe"), F.sum("severity").alias("severity"),
+        F.collect_list("title_edit").alias("title_edits"), F.collect_list("description_edit").alias("description_edits"), F.sum("n_titles").alias("titles"), F.count("n_titles").alias("titled"), F.sum("title_diversity").alias("diversity"), F.count("title_diversity").alias("diverse"),
     )
+    known = F.col("scene_id").isNotNull()
+    scenes = F.count_if(known)
+    of = lambda c: F.round(F.count_if(F.col(c) & known) / scenes, 4)
+    counted = scene.groupBy(cohort_col).agg(
+        scenes.alias("scene_count"), of("accepted").alias("accept_rate"), of("ready").alias("ready_rate"), of("light").alias("light_edit_rate"), F.round(F.sum("severity") / scenes, 4).alias("severity_per_scene"), of("severe").alias("severe_rate"),
+        F.round(F.sum("titles") / F.sum("titled"), 2).alias("avg_titles"), F.round(F.sum("diversity") / F.sum("diverse"), 4).alias("title_diversity"),
+    )
+    edits = scene.select(cohort_col, F.explode(F.arrays_zip("title_edits", "description_edits")).alias("e"))
+    medians = edits.groupBy(cohort_col).agg(F.round(F.percentile("e.title_edits", 0.5), 4).alias("median_title_edit"), F.round(F.percentile("e.description_edits", 0.5), 4).alias("median_description_edit"))
+    out = [cohort_col, "scene_count", "accept_rate", "ready_rate", "median_title_edit", "median_description_edit", "light_edit_rate", "severity_per_scene", "severe_rate", "avg_titles", "title_diversity"]
+    a, m = counted.alias("a"), medians.alias("m")
+    return a.join(m, F.col(f"a.{cohort_col}").eqNullSafe(F.col(f"m.{cohort_col}"))).select(F.col(f"a.{cohort_col}"), *out[1:])
 
 
 #: (name, KPI, at least, at most): a candidate's checks; the numbers are defaults that a caller may replace.
@@ -149,18 +168,32 @@ def retrain_gates(metrics: DataFrame, minimums: dict[str, int], max_mae: float =
     return gates(metrics, (*[(f"few_{c}", c, n, None) for c, n in minimums.items()], ("mae", "mae", None, max_mae)))
 
 
+NO_PHRASES = "array<struct<kind:string,phrase:string>>"
+
+
+def _phrases(kind: str, values: Column) -> Column:
+    return F.coalesce(F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("phrase"))), F.array().cast(NO_PHRASES))
+
+
 def phrase_mining(reviews: DataFrame, min_rows: int = 10, top: int = 5) -> DataFrame:
-    """reviews (title, tags) -> (kind, phrase, n, rank): the top first two words, last two words, tokens (3 letters or more) and tags.
+    """reviews (title, tags; optionally description, categories, tone) -> (kind, phrase, n, rank), the `top` of each kind.
 
-    Equal counts are ranked by phrase. Under min_rows titled rows there is one row, kind 'default', with their number.
+    Kinds: first_two and last_two words and tokens (3 letters or more) of the title, sentence (the description's first
+    three of 12 to 72 characters), tag, category (each word's first letter large), tone. Equal counts are ranked by phrase. Under min_rows titled rows
+    there is one row, kind 'default', with their number.
     """
     w = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
-    x = reviews.where(C.truthy(F.col("title")).isNotNull()).select(w.alias("w"), "tags")
+    strings = lambda c: F.col(c) if c in reviews.columns else F.array().cast("array<string>")
+    text = lambda c: F.col(c) if c in reviews.columns else F.lit(None).cast("string")
+    sentences = F.filter(F.transform(F.split(F.coalesce(text("description"), F.lit("")), r"[.!?]+"), lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))), lambda s: F.length(s).between(12, 72))
+    x = reviews.where(C.truthy(F.col("title")).isNotNull()).select(w.alias("w"), "tags", F.slice(sentences, 1, 3).alias("sentences"), strings("categories").alias("categories"), F.lower(C.truthy(text("tone"))).alias("tone"))
+    two = F.size("w") >= 2
+    named = lambda values: F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
     pairs = F.concat(
-        F.when(F.size("w") >= 2, F.array(F.struct(F.lit("first_two").alias("kind"), F.array_join(F.slice("w", 1, 2), " ").alias("phrase")), F.struct(F.lit("last_two").alias("kind"), F.array_join(F.slice("w", -2, 2), " ").alias("phrase")))).otherwise(F.array().cast("array<struct<kind:string,phrase:string>>")),
-        F.transform(F.filter("w", lambda t: F.length(t) >= 3), lambda t: F.struct(F.lit("token").alias("kind"), t.alias("phrase"))),
-        F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.struct(F.lit("tag").alias("kind"), F.lower(t).alias("phrase"))),
-    )
+        _phrases("first_two", F.when(two, F.array(F.array_join(F.slice("w", 1, 2), " ")))), _phrases("last_two", F.when(two, F.array(F.array_join(F.slice("w", -2, 2), " ")))),
+        _phrases("token", F.filter("w", lambda t: F.length(t) >= 3)), _phrases("sentence", F.col("sentences")), _phrases("tag", F.transform(named(F.col("tags")), F.lower)),
+        _phrases("category", F.transform(named(F.col("categories")), F.initcap)), _phrases("tone", F.when(F.col("tone").isNotNull(), F.array("tone"))),
+    )
     counts = x.select(F.explode(pairs).alias("p")).groupBy("p.kind", "p.phrase").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "phrase"))).where(F.col("rank") <= top)
     rows = x.agg(F.count(F.lit(1)).alias("rows"))
@@ -271,9 +304,17 @@ def cohort_timing(logs: DataFrame, predicate: Column, stages: list[str]) -> Data
 
 
 def call_percentiles(calls: DataFrame, pcts: tuple[int, ...] = (50, 95), key: str = "mode") -> DataFrame:
-    """calls (key, ms) -> percentiles by the rounded nearest rank, round((n - 1) * p / 100) with halves to even."""
-    x = calls.groupBy(key).agg(F.sort_array(F.collect_list("ms")).alias("v"))
-    return x.select(key, F.size("v").alias("n"), *[C.rounded_rank(F.col("v"), p).alias(f"p{p}") for p in pcts])
+    """calls (key, ms) -> percentiles by the rounded nearest rank, round((n - 1) * p / 100) with halves to even.
+
+    Calls are counted by value first, so a key of very many calls is as many rows as it has values, spread by value; the
+    ranks run over the counts. Null times are no calls.
+    """
+    counts = calls.where("ms is not null").groupBy(key, "ms").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(key)
+    upto = F.sum("c").over(w.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0))
+    x = counts.withColumns({"upto": upto, "n": F.sum("c").over(w)})
+    rank = lambda p: F.bround((F.col("n") - 1) * F.lit(p / 100), 0)
+    return x.groupBy(key).agg(F.first("n").cast("int").alias("n"), *[F.min(F.when(F.col("upto") > rank(p), F.col("ms"))).alias(f"p{p}") for p in pcts])
 
 
 def library_facets(summaries: DataFrame) -> DataFrame:

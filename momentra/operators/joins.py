@@ -95,15 +95,13 @@ def temporal_support(df: DataFrame, window_sec: float = 45.0, strong: float = 0.
     return df.withColumn("supported", (F.col("label_confidence") >= strong) | (others > 0))
 
 
-def preference_pairs(points: DataFrame, max_per_scene: int | None = None, pool: int = 500) -> DataFrame:
+def preference_pairs(points: DataFrame, max_per_scene: int | None = None) -> DataFrame:
     """points (scene_id, idx, rank, score) -> (scene_id, better, worse, by): higher rank wins, else higher score; ties give none.
 
-    Pairs grow with the square of a scene's points, so only `pool` points of a scene are paired, those of least hash:
-    a limit of the operator. max_per_scene keeps the pairs of least hash.
+    All pairs of a scene are the result, so it grows with the square of a scene's points; a scene is a short group by
+    nature, and what a training run wants of a longer one is max_per_scene, the pairs of least hash.
     """
-    order = F.xxhash64("scene_id", "idx")
-    x = points.withColumn("_n", F.row_number().over(Window.partitionBy("scene_id").orderBy(order, "idx"))).where(F.col("_n") <= pool).drop("_n")
-    a, b = (x.select("scene_id", *[F.col(c).alias(f"{p}_{c}") for c in ("idx", "rank", "score")]) for p in "ab")
+    a, b = (points.select("scene_id", *[F.col(c).alias(f"{p}_{c}") for c in ("idx", "rank", "score")]) for p in "ab")
     pair = a.join(b, "scene_id").where("a_idx < b_idx")
     key = lambda c: F.coalesce(F.col(c), F.lit(-1.0))
     by_rank = F.col("a_rank").isNotNull() & F.col("b_rank").isNotNull() & (F.col("a_rank") != F.col("b_rank"))
@@ -187,8 +185,13 @@ def cohort_delta(kpis: DataFrame, names: list[str], cohort_col: str = "cohort")
 
 
 def canary_assign(scenes: DataFrame, pointer: DataFrame) -> DataFrame:
-    """scenes with applied_pack: the pointer's pack where it is on in full, or as a canary for the scene's hash bucket."""
-    p = F.broadcast(pointer.select("enabled", "mode", "rule_pack_id", "canary_pct").limit(1))
+    """scenes with applied_pack: the pointer's pack where it is on in full, or as a canary for the scene's hash bucket.
+
+    The pointer is its latest row, by updated_at and rule_pack_id; without a row no scene has a pack.
+    """
+    fields = ("enabled", "mode", "rule_pack_id", "canary_pct")
+    last = pointer.agg(F.max_by(F.struct(*fields), F.struct("updated_at", "rule_pack_id")).alias("p"))  # one row
+    p = F.broadcast(last.select(*[F.col(f"p.{c}") for c in fields]))
     bucket = C.hash_fraction(F.col("scene_id"), 10_000) / 100
     on = F.col("enabled") & ((F.col("mode") == "full") | ((F.col("mode") == "canary") & (bucket < F.col("canary_pct"))))
     x = scenes.crossJoin(p)

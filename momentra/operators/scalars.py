@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from momentra.functions import columns as C
+from momentra.functions import streams
 from momentra.functions.folds import first_by_key
 
 
@@ -52,9 +55,23 @@ def tier_assign(df: DataFrame, floors: dict[str, float], motion_caps: dict[str,
     return df.withColumn("tier", out)
 
 
-def obs_sieve(df: DataFrame, motion_cap: float = 4.5, dark: float = 0.1) -> DataFrame:
-    """drop_reason in the order dark, below_floor, high_motion; null for what passes. df has floor, the sharpness floor."""
-    return df.withColumn("drop_reason", F.when(F.col("brightness") < dark, "dark").when(F.col("sharpness") < F.col("floor"), "below_floor").when(F.col("motion") > motion_cap, "high_motion"))
+def obs_sieve(df: DataFrame, motion_cap: float = 4.5, dark: float = 0.1, dup_threshold: int = 5, horizon: int = 600) -> DataFrame:
+    """drop_reason in the order dark, below_floor, high_motion, duplicate; null for what passes. df has floor, the sharpness floor.
+
+    A duplicate is within dup_threshold bits of one of the scene's last `horizon` rows that passed, in time order; a null
+    hash is none.
+    """
+    reason = F.when(F.col("brightness") < dark, "dark").when(F.col("sharpness") < F.col("floor"), "below_floor").when(F.col("motion") > motion_cap, "high_motion")
+    x = df.withColumn("drop_reason", reason)
+    fit = x.where("drop_reason is null").select("scene_id", "obs_id", F.col("phash").cast("long").alias("h"), "timestamp_sec")
+    kept = streams.sorted_pass(fit, ["timestamp_sec", "obs_id"], "scene_id string, obs_id long", lambda: streams.UnlikeBits(dup_threshold, horizon))
+    joined = x.join(kept.withColumn("_kept", F.lit(True)), ["scene_id", "obs_id"], "left")
+    return joined.withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("_kept").isNull(), "duplicate"))).drop("_kept")
+
+
+def sieve_counts(sieved: DataFrame, by: list[str | Column], reason: str = "drop_reason") -> DataFrame:
+    """Counters of a sieve: rows by reason, 'passed' for none, and by the columns given (scene, segment)."""
+    return sieved.groupBy(*by, F.coalesce(reason, F.lit("passed")).alias(reason)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def candidate_priority(df: DataFrame) -> DataFrame:
@@ -173,14 +190,27 @@ def obs_confidence(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", C.clamp(c, 0, 1))
 
 
+#: Rules that quota_bucket takes at most: each row is tested against all of them.
+MOST_RULES = 1000
+
+
 def quota_bucket(df: DataFrame, rules: DataFrame, default: str = "other") -> DataFrame:
-    """bucket of the first rule (by priority) whose given tier, type and label all agree; a null in a rule agrees with all."""
-    fields = ("tier", "type", "label", "min_confidence", "bucket")
-    one = rules.agg(F.array_sort(F.collect_list(F.struct("priority", *fields))).alias("_rules"))  # a rule table is small
-    same = lambda r, c: r[c].isNull() | (r[c] == F.col(c))
-    fits = lambda r: same(r, "tier") & same(r, "type") & same(r, "label") & (r["min_confidence"].isNull() | (F.col("label_confidence") >= r["min_confidence"]))
-    first = F.try_element_at(F.filter("_rules", lambda r: F.coalesce(fits(r), F.lit(False))), F.lit(1))
-    return df.crossJoin(F.broadcast(one)).withColumn("bucket", F.coalesce(first["bucket"], F.lit(default))).drop("_rules")
+    """bucket of the first rule (by priority) whose given tier, type and label all agree; a null in a rule agrees with all.
+
+    The rules become one literal expression; more than MOST_RULES of them are an error.
+    """
+    fields = ("priority", "tier", "type", "label", "min_confidence", "bucket")
+    given = rules.select(*fields).orderBy(*fields).limit(MOST_RULES + 1).collect()
+    if len(given) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} bucket rules")
+    bucket = F.lit(default)
+    for r in reversed(given):
+        fits = F.lit(True)
+        for c in ("tier", "type", "label"):
+            fits = fits & (F.col(c) == r[c]) if r[c] is not None else fits
+        fits = fits & (F.col("label_confidence") >= r["min_confidence"]) if r["min_confidence"] is not None else fits
+        bucket = F.when(fits, F.lit(r["bucket"])).otherwise(bucket)
+    return df.withColumn("bucket", F.coalesce(bucket, F.lit(default)))
 
 
 def validate_obs(df: DataFrame, min_score: float = 40.0, min_sharpness: float = 60.0, warn_confidence: float = 0.4, mode: str = "hard_block") -> DataFrame:
@@ -216,11 +246,23 @@ def acceptance_score(df: DataFrame) -> DataFrame:
     return df.withColumn("acceptance", F.round(F.greatest(F.lit(0.0), base - F.least(F.lit(0.6), F.col("blockers") * 0.08)), 4))
 
 
+#: Dictionary patterns that one expression tests; a larger dictionary is an error.
+MOST_PATTERNS = 2000
+
+
 def dictionary_tags(df: DataFrame, col: str, patterns: DataFrame, key: str) -> DataFrame:
-    """(key, tags): the tags of which a pattern matches the lower-cased text, sorted; the dictionary is a checked broadcast."""
-    p = C.small(patterns.select(F.col("tag").alias("_tag"), F.col("pattern").alias("_pattern")))
-    hits = df.select(key, F.lower(F.col(col)).alias("_t")).join(p, F.expr("_t rlike _pattern")).groupBy(key).agg(F.array_sort(F.collect_set("_tag")).alias("tags"))
-    return df.select(key).join(hits, key, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    """(key, tags): the tags of which a pattern matches the lower-cased text, sorted. The dictionary becomes one expression a
+    row, without a join; over MOST_PATTERNS patterns are an error."""
+    given = patterns.select("tag", "pattern").where("tag is not null and pattern is not null").distinct().limit(MOST_PATTERNS + 1).collect()
+    if len(given) > MOST_PATTERNS:
+        raise ValueError(f"over {MOST_PATTERNS} patterns")
+    low = F.lower(F.col(col))
+    by_tag: dict[str, list[Column]] = {}
+    for r in sorted(given):
+        by_tag.setdefault(r["tag"], []).append(low.rlike(r["pattern"]))
+    hits = [F.when(functools.reduce(lambda a, b: a | b, tests), F.lit(tag)) for tag, tests in sorted(by_tag.items())]
+    tags = F.filter(F.array(*hits), lambda t: t.isNotNull()) if hits else F.array().cast("array<string>")
+    return df.select(key, tags.alias("tags"))
 
 
 def source_detect(df: DataFrame, col: str, patterns: DataFrame, key: str) -> DataFrame:
@@ -281,9 +323,16 @@ def scene_status(logs: DataFrame, reviews: DataFrame, enough: int = 6) -> DataFr
     return logs.join(done, "scene_id", "left").withColumn("status", status).drop("_done")
 
 
-def latency_per_unit(df: DataFrame) -> DataFrame:
-    """latency_ms: milliseconds of work a second of video, null for no duration, 1 place."""
-    return df.withColumn("latency_ms", F.when(F.col("video_sec") > 0, F.round(F.col("elapsed_sec") * 1000 / F.col("video_sec"), 1)))
+#: Stage time: (from, to), columns of seconds since some start.
+STAGES = {"download_sec": ("download_started", "download_finished"), "wait_sec": ("wait_started", "pipeline_started"), "pipeline_sec": ("pipeline_started", "pipeline_finished")}
+
+
+def latency_per_unit(df: DataFrame, stages: dict[str, tuple[str, str]] = STAGES) -> DataFrame:
+    """latency_ms: milliseconds of work a second of video, null for no duration, 1 place; and each stage's time, 2 places,
+    null where an end of it is missing or 0 (not reached)."""
+    at = lambda c: F.nullif(F.col(c).cast("double"), F.lit(0.0))
+    spans = {name: F.round(at(b) - at(a), 2) for name, (a, b) in stages.items()}
+    return df.withColumns({"latency_ms": F.when(F.col("video_sec") > 0, F.round(F.col("elapsed_sec") * 1000 / F.col("video_sec"), 1)), **spans})
 
 
 def bottleneck(df: DataFrame, stages: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,6 +126,26 @@ def recheck_queue(picks: DataFrame, results: DataFrame, n: int = 8) -> DataFrame
     return x.select("scene_id", "obs_id", "queue_rank", F.coalesce("verdict", F.lit("pending")).alias("verdict"), (F.coalesce("verdict", F.lit("")) != "reject").alias("still_eligible"))
 
 
+def recheck_rounds(candidates: DataFrame, results: DataFrame, select: Callable[[DataFrame], DataFrame], n: int = 8, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Select, recheck and select again: (picks, queue), `rounds` times at most.
+
+    select gives picks (scene_id, obs_id, rank) of candidates (scene_id, obs_id, eligible, needs_recheck). The first n of
+    each scene that need it are rechecked against results, the outcome of the external check. A rejected one is no
+    candidate any more, and its scene is selected anew; what a first round has passed is not checked again. queue: the
+    rows of recheck_queue with their round. The rounds are a fixed number, so this is one plan.
+    """
+    flags = candidates.select("scene_id", "obs_id", "eligible", "needs_recheck")
+    left, queues = candidates.where("eligible"), []
+    for turn in range(1, rounds + 1):
+        picked = select(left).select("scene_id", "obs_id", "rank").join(flags, ["scene_id", "obs_id"])
+        for q in queues:
+            picked = picked.join(q.select("scene_id", "obs_id"), ["scene_id", "obs_id"], "left_anti")
+        q = recheck_queue(picked, results, n).withColumn("round", F.lit(turn))
+        queues.append(q)
+        left = left.join(q.where("not still_eligible"), ["scene_id", "obs_id"], "left_anti")
+    return select(left), functools.reduce(DataFrame.unionByName, queues)
+
+
 #: Weights of the five token sets of retrieve_topk, and the terms beside them.
 RETRIEVAL = {"tags": 0.30, "labels": 0.22, "title_tokens": 0.24, "contributors": 0.14, "categories": 0.10}
 
@@ -223,15 +246,25 @@ def repair_fill(meta: DataFrame, want: int) -> DataFrame:
     return meta.withColumn("repaired", F.slice(F.concat("have", more), F.lit(1), F.greatest(F.size("have"), F.lit(want))))
 
 
-def coverage_ready(obs: DataFrame, picks: DataFrame, target: int, span: float = 0.8) -> DataFrame:
-    """(scene_id, enough, labels_missing, span_share, ready): picks enough, each label seen is picked, and they span the scene."""
-    o = obs.groupBy("scene_id").agg(F.collect_set("label").alias("seen"), (F.max("timestamp_sec") - F.min("timestamp_sec")).alias("len"))
-    p = picks.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("label").alias("picked"), (F.max("timestamp_sec") - F.min("timestamp_sec")).alias("plen"))
+def coverage_ready(obs: DataFrame, picks: DataFrame, target: int, segments: int = 1, span: float = 0.8, span_in_segments: float = 0.65) -> DataFrame:
+    """(scene_id, enough, labels_missing, span_share, segments_covered, ready): picks enough, each label seen is picked, they span
+    the scene, and they lie in enough of its equal segments.
+
+    With one segment the span is `span` of the scene and no segment is asked for; with more it is span_in_segments, and
+    all segments but one (two at least) have to be covered.
+    """
+    t = F.col("timestamp_sec")
+    o = obs.groupBy("scene_id").agg(F.collect_set("label").alias("seen"), F.min("timestamp_sec").alias("start"), (F.max("timestamp_sec") - F.min("timestamp_sec")).alias("len"))
+    length = o.select("scene_id", "start", "len")
+    segment = F.least(F.lit(segments - 1), F.floor(F.when(F.col("len") > 0, (t - F.col("start")) / F.col("len") * segments).otherwise(0.0)))
+    p = picks.join(length, "scene_id").groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("label").alias("picked"), (F.max("timestamp_sec") - F.min("timestamp_sec")).alias("plen"), F.countDistinct(segment).alias("covered"))
     x = o.join(p, "scene_id", "left")
     missing = F.array_sort(F.array_except("seen", F.coalesce("picked", F.array().cast("array<string>"))))
     share = F.round(F.when(F.col("len") > 0, F.coalesce("plen", F.lit(0.0)) / F.col("len")).otherwise(1.0), 4)
     enough = F.coalesce("n", F.lit(0)) >= target
-    return x.select("scene_id", enough.alias("enough"), missing.alias("labels_missing"), share.alias("span_share"), (enough & (F.size(missing) == 0) & (share >= span)).alias("ready"))
+    covered = F.coalesce("covered", F.lit(0)).cast("int")
+    wide = (share >= (span_in_segments if segments > 1 else span)) & (covered >= (min(segments, max(2, segments - 1)) if segments > 1 else 0))
+    return x.select("scene_id", enough.alias("enough"), missing.alias("labels_missing"), share.alias("span_share"), covered.alias("segments_covered"), (enough & (F.size(missing) == 0) & wide).alias("ready"))
 
 
 def failure_stop(scored: DataFrame, min_completed: int = 12, rate: float = 0.75) -> DataFrame:

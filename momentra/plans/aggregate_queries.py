@@ -44,9 +44,11 @@ def _(spark, sf):
     return A.calibrate_scene(frame_obs(spark, sf))
 
 
-@query("calibrate_source", f"WITH {LOGS}, k AS (SELECT source, top_score FROM scene_log WHERE top_score > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY top_score DESC, scene_id) <= 50), l AS (SELECT source, list_sort(list(top_score)) AS v, count(*) AS n, round(avg(top_score), 2) AS a FROM k GROUP BY source) SELECT source, n::INTEGER AS n, a AS avg_score, v[n // 4 + 1] AS p25, v[3 * n // 4 + 1] AS p75 FROM l WHERE n >= 5")
+@query("calibrate_source", f"WITH {LOGS}, k AS (SELECT source, top_score FROM scene_log WHERE top_score > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY top_score DESC, scene_id) <= 50), l AS (SELECT source, list_sort(list(top_score)) AS v, count(*) AS n, avg(top_score) AS a FROM k GROUP BY source), o AS (SELECT source, avg(top_score) * 1.4 AS b FROM scene_log WHERE n % 2 = 0 AND source <> 'building' GROUP BY source), d AS (SELECT *, coalesce((a - b) / b * 100, 0) AS delta FROM l LEFT JOIN o USING (source)) SELECT source, n::INTEGER AS n, round(a, 2) AS avg_score, v[n // 4 + 1] AS p25, v[3 * n // 4 + 1] AS p75, round(delta, 1) AS delta_pct, CASE WHEN abs(delta) > 5 THEN 'shifted' ELSE 'stable' END AS verdict FROM d WHERE n >= 5")
 def _(spark, sf):
-    return A.calibrate_source(scene_log(spark, sf))
+    x = scene_log(spark, sf)
+    old = x.where("n % 2 = 0 and source != 'building'").groupBy("source").agg((F.avg("top_score") * 1.4).alias("avg_score"))
+    return A.calibrate_source(x, old)
 
 
 @query("batch_summary", f"WITH {LOGS} SELECT strftime(processed_at, '%Y-%m') AS batch_id, count(*) AS attempted, count(*) FILTER (outcome = 'completed') AS completed, count(*) FILTER (outcome = 'warning') AS warnings, count(*) FILTER (outcome = 'aborted') AS aborted, round(count(*) FILTER (outcome = 'completed') * 100.0::DOUBLE / count(*), 1) AS success_rate, min(duration_sec) AS min_sec, round(avg(duration_sec), 2) AS avg_sec, max(duration_sec) AS max_sec FROM scene_log GROUP BY batch_id")
@@ -99,12 +101,14 @@ def _(spark, sf):
 
 
 @query("phrase_mining", """
-    WITH d AS (SELECT list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: x <> '') AS w, lower(p_type) AS lang FROM part),
-    p AS (SELECT 'first_two' AS kind, w[1] || ' ' || w[2] AS phrase FROM d WHERE len(w) >= 2 UNION ALL SELECT 'last_two', w[-2] || ' ' || w[-1] FROM d WHERE len(w) >= 2 UNION ALL SELECT 'token', t FROM (SELECT unnest(w) AS t FROM d) WHERE length(t) >= 3 UNION ALL SELECT 'tag', lang FROM d),
-    c AS (SELECT kind, phrase, count(*) AS n FROM p GROUP BY ALL)
+    WITH d AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w, source AS tag, lang, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(regexp_replace(lower(s), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda s: length(s) BETWEEN 12 AND 72)[1:3] AS ss FROM documents WHERE trim(text) <> ''),
+    p AS (SELECT 'first_two' AS kind, w[1] || ' ' || w[2] AS phrase FROM d WHERE len(w) >= 2 UNION ALL SELECT 'last_two', w[-2] || ' ' || w[-1] FROM d WHERE len(w) >= 2 UNION ALL SELECT 'token', t FROM (SELECT unnest(w) AS t FROM d) WHERE length(t) >= 3
+        UNION ALL SELECT 'sentence', unnest(ss) FROM d UNION ALL SELECT 'tag', lower(tag) FROM d UNION ALL SELECT 'category', upper(lang[1]) || lang[2:] || ' ' || upper(tag[1]) || tag[2:] FROM d UNION ALL SELECT 'tone', lower(lang) FROM d),
+    c AS (SELECT kind, phrase, count(*) AS n FROM p WHERE phrase IS NOT NULL GROUP BY ALL)
     SELECT kind, phrase, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, phrase)::INTEGER AS rank FROM c QUALIFY rank <= 5""")
 def _(spark, sf):
-    return A.phrase_mining(table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"), F.array("p_type").alias("tags")))
+    d = table(spark, sf, "documents").select(F.col("text").alias("title"), F.col("text").alias("description"), F.array("source").alias("tags"), F.array(F.concat("lang", F.lit(" "), "source")).alias("categories"), F.col("lang").alias("tone"))
+    return A.phrase_mining(d)
 
 
 @query("flag_summary", f"WITH {OBS}, x AS (SELECT scene_id, obs_id, timestamp_sec, label_confidence AS c, unnest(flags) AS flag FROM frame_obs WHERE label_confidence >= 0.5), y AS (SELECT *, row_number() OVER (PARTITION BY scene_id, flag ORDER BY timestamp_sec, obs_id) AS r FROM x) SELECT scene_id, flag, count(*) AS n, max(c) AS max_conf, string_agg(obs_id::VARCHAR, '|' ORDER BY r) FILTER (r <= 12) AS evidence FROM y GROUP BY scene_id, flag")

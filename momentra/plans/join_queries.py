@@ -172,5 +172,5 @@ def _(spark, sf):
 
 @query("canary_assign", "SELECT c_custkey, CASE WHEN (('0x' || substr(sha1(c_name), 1, 8))::BIGINT % 10000) / 100.0 < 25 THEN 'pack7' END AS applied_pack FROM customer")
 def _(spark, sf):
-    p = values(spark, [(True, "canary", "pack7", 25.0)], "enabled boolean, mode string, rule_pack_id string, canary_pct double")
+    p = values(spark, [("2024-01-01", True, "full", "pack6", 0.0), ("2024-02-01", True, "canary", "pack7", 25.0), ("2023-12-01", False, "full", "pack5", 0.0)], "updated_at string, enabled boolean, mode string, rule_pack_id string, canary_pct double")
     return J.canary_assign(table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("scene_id")), p).select("c_custkey", "applied_pack")

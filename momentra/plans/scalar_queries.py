@@ -42,10 +42,17 @@ def _(spark, sf):
     return S.tier_assign(frame_obs(spark, sf), {"TIER_1": 300, "TIER_2": 120, "TIER_3": 60}, {"TIER_1": 2, "TIER_2": 3, "TIER_3": 4.5}).select("obs_id", "tier")
 
 
-@query("obs_sieve", f"WITH {OBS}, s AS (SELECT scene_id, floor(timestamp_sec / 600)::BIGINT AS segment, CASE WHEN brightness < 0.1 THEN 'dark' WHEN sharpness < 50 THEN 'below_floor' WHEN motion > 4.5 THEN 'high_motion' ELSE 'passed' END AS drop_reason FROM frame_obs) SELECT scene_id, segment, drop_reason, count(*) AS n FROM s GROUP BY ALL")
+SIEVED = OBS + """,
+first AS (SELECT *, CASE WHEN brightness < 0.1 THEN 'dark' WHEN sharpness < 50 THEN 'below_floor' WHEN motion > 4.5 THEN 'high_motion' END AS why FROM frame_obs),
+fit AS (SELECT scene_id, list({'id': obs_id, 'h': phash} ORDER BY timestamp_sec, obs_id) AS rows FROM first WHERE why IS NULL GROUP BY scene_id),
+passed AS (SELECT scene_id, unnest(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: bit_count(xor(y.h, x[1].h)) <= 5)) = 0 THEN list_concat(acc, x) ELSE acc END, [])) AS p FROM fit),
+sieved AS (SELECT first.*, coalesce(why, CASE WHEN p.id IS NULL THEN 'duplicate' ELSE 'passed' END) AS drop_reason FROM first LEFT JOIN passed ON p.id = obs_id)"""
+
+
+@query("obs_sieve", f"WITH {SIEVED} SELECT scene_id, floor(timestamp_sec / 600)::BIGINT AS segment, drop_reason, count(*) AS n FROM sieved GROUP BY ALL")
 def _(spark, sf):
     x = S.obs_sieve(frame_obs(spark, sf).withColumn("floor", F.lit(50.0)))
-    return x.groupBy("scene_id", F.floor(F.col("timestamp_sec") / 600).alias("segment"), F.coalesce("drop_reason", F.lit("passed")).alias("drop_reason")).agg(F.count(F.lit(1)).alias("n"))
+    return S.sieve_counts(x, ["scene_id", F.floor(F.col("timestamp_sec") / 600).alias("segment")])
 
 
 @query("candidate_priority", f"WITH {ZONED} SELECT obs_id, round(sharpness - least(50, greatest(0, (motion - 1) * 10)) + CASE WHEN list_contains(zone_tags, 'late') THEN 200 ELSE 0 END + CASE WHEN list_contains(zone_tags, 'build') THEN 120 ELSE 0 END, 4) AS priority FROM zoned")
@@ -230,10 +237,15 @@ def _(spark, sf):
     return S.scene_status(scene_log(spark, sf), final_reviews(spark, sf)).select("scene_id", "status")
 
 
-@query("latency_per_unit", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 1000 / 50 AS latency_ms FROM lineitem")
+@query("latency_per_unit", """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 1000 / 50 AS latency_ms,
+           CASE WHEN l_linenumber > 1 THEN l_quantity / 4 END AS download_sec, CASE WHEN l_linenumber < 5 THEN l_quantity END AS wait_sec, CASE WHEN l_linenumber < 5 AND l_linenumber <> 3 THEN l_quantity * 2 END AS pipeline_sec
+    FROM lineitem""")
 def _(spark, sf):
-    x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("elapsed_sec"), F.lit(50.0).alias("video_sec"))
-    return S.latency_per_unit(x).drop("elapsed_sec", "video_sec")
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    at = {"download_started": F.when(n > 1, 100.0).otherwise(0.0), "download_finished": 100 + q / 4, "wait_started": F.lit(200.0), "pipeline_started": F.when(n < 5, 200 + q), "pipeline_finished": F.when(n != 3, 200 + q * 3)}
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("elapsed_sec"), F.lit(50.0).alias("video_sec"), *[c.alias(k) for k, c in at.items()])
+    return S.latency_per_unit(x).drop("elapsed_sec", "video_sec", *at)
 
 
 @query("bottleneck", f"WITH {PHASES}, p AS (SELECT job_id, coalesce(max(sec) FILTER (phase = 'AF'), 0) AS a, coalesce(max(sec) FILTER (phase = 'NO'), 0) AS b, coalesce(max(sec) FILTER (phase = 'RF'), 0) AS c FROM phase_rows GROUP BY job_id) SELECT job_id, CASE WHEN greatest(a, b, c) <= 0 THEN 'need_data' WHEN a >= b AND a >= c THEN 'AF' WHEN b >= c THEN 'NO' ELSE 'RF' END AS bottleneck FROM p")

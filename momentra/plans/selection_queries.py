@@ -1,4 +1,4 @@
-"""Queries of the selections. Folds have SQL folds beside them; quota_fill, retrieve_topk and the hashed ones have tests."""
+"""Queries of the selections. Sorted passes have SQL folds beside them; quota_fill and floor_cascade have tests."""
 
 from __future__ import annotations
 
@@ -94,6 +94,35 @@ def _(spark, sf):
     return P.recheck_queue(picks, x.where(k % 3 == 0).select("scene_id", "obs_id", F.when(k % 4 == 0, "reject").otherwise("ok").alias("verdict")))
 
 
+ROUNDS = OBS + """,
+c AS (SELECT scene_id, obs_id, score, k % 2 = 0 AS recheck, k % 3 = 0 AS known, k % 4 = 0 AS bad FROM frame_obs WHERE score >= 20),
+p1 AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, obs_id)::INTEGER AS rank FROM c QUALIFY rank <= 8),
+q1 AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY rank)::INTEGER AS queue_rank FROM p1 WHERE recheck QUALIFY queue_rank <= 3),
+c2 AS (SELECT * FROM c WHERE obs_id NOT IN (SELECT obs_id FROM q1 WHERE known AND bad)),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, obs_id)::INTEGER AS rank FROM c2 QUALIFY rank <= 8),
+q2 AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY rank)::INTEGER AS queue_rank FROM p2 WHERE recheck AND obs_id NOT IN (SELECT obs_id FROM q1) QUALIFY queue_rank <= 3),
+c3 AS (SELECT * FROM c2 WHERE obs_id NOT IN (SELECT obs_id FROM q2 WHERE known AND bad)),
+p3 AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, obs_id)::INTEGER AS rank FROM c3 QUALIFY rank <= 8)"""
+
+
+def rechecked(spark, sf):
+    x = frame_obs(spark, sf).where("score >= 20")
+    k = F.col("k")
+    best = lambda c: P._ranked(c, [F.desc("score"), "obs_id"], "rank").where("rank <= 8").select("scene_id", "obs_id", "rank")
+    candidates = x.select("scene_id", "obs_id", "score", F.lit(True).alias("eligible"), (k % 2 == 0).alias("needs_recheck"))
+    return P.recheck_rounds(candidates, x.where(k % 3 == 0).select("scene_id", "obs_id", F.when(k % 4 == 0, "reject").otherwise("ok").alias("verdict")), best, 3)
+
+
+@query("recheck_rounds", f"WITH {ROUNDS} SELECT scene_id, obs_id, rank FROM p3")
+def _(spark, sf):
+    return rechecked(spark, sf)[0]
+
+
+@query("recheck_rounds_queue", f"WITH {ROUNDS}, q AS (SELECT *, 1 AS round FROM q1 UNION ALL SELECT *, 2 FROM q2) SELECT scene_id, obs_id, queue_rank, round, CASE WHEN known THEN CASE WHEN bad THEN 'reject' ELSE 'ok' END ELSE 'pending' END AS verdict, NOT (known AND bad) AS still_eligible FROM q")
+def _(spark, sf):
+    return rechecked(spark, sf)[1]
+
+
 def bank_rows(spark, sf):
     """Orders as examples: their attributes are the token sets."""
     n = F.col("n")
@@ -101,7 +130,13 @@ def bank_rows(spark, sf):
     return scene_log(spark, sf).select(n.alias("id"), "source", F.array("mode", F.concat(F.lit("p"), F.col("picks"))).alias("tags"), F.col("error_codes").alias("labels"), F.split(F.lower("title"), "[ #]+").alias("title_tokens"), F.array(F.concat(F.lit("c"), F.col("c_custkey"))).alias("contributors"), none.alias("categories"), ((n % 10) / 10.0).alias("acceptance"), ((n % 3) / 10.0).alias("reject_rate"))
 
 
-@query("retrieve_topk")
+BANK = LOGS + """,
+bank AS (SELECT n AS id, source, [mode, 'p' || picks::VARCHAR] AS a, error_codes AS b, list_distinct(list_filter(regexp_split_to_array(lower(title), '[ #]+'), lambda x: true)) AS c, ['c' || c_custkey::VARCHAR] AS d, (n % 10) / 10.0::DOUBLE AS acceptance, (n % 3) / 10.0::DOUBLE AS reject FROM scene_log),
+pairs AS (SELECT q.id AS query_id, x.id, x.acceptance, x.reject, q.source = x.source AS same, q.a AS a, x.a AS xa, q.b AS b, x.b AS xb, q.c AS c, x.c AS xc, q.d AS d, x.d AS xd FROM bank q JOIN bank x ON q.id <> x.id WHERE q.id % 100 = 0 AND (list_has_any(q.a, x.a) OR list_has_any(q.b, x.b) OR list_has_any(q.c, x.c) OR q.d = x.d)),
+summed AS (SELECT query_id, id, round(0.30 * len(list_intersect(a, xa)) / len(list_distinct(a || xa)) + coalesce(0.22 * len(list_intersect(b, xb)) / nullif(len(list_distinct(b || xb)), 0), 0) + 0.24 * len(list_intersect(c, xc)) / len(list_distinct(c || xc)) + CASE WHEN d = xd THEN 0.14 ELSE 0 END + 0.08 * acceptance - 0.04 * reject + CASE WHEN same THEN 0.22 ELSE 0 END, 6)::DOUBLE AS total FROM pairs)"""
+
+
+@query("retrieve_topk", f"WITH {BANK} SELECT query_id, id, least(1.0::DOUBLE, total) AS signal, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, id)::INTEGER AS rank FROM summed WHERE total > 0 QUALIFY rank <= 3")
 def _(spark, sf):
     b = bank_rows(spark, sf)
     return P.retrieve_topk(b.where("id % 100 = 0"), b)
@@ -145,12 +180,25 @@ def _(spark, sf):
     return P.repair_fill(x, 4).select("scene_id", joined("repaired").alias("repaired"))
 
 
-@query("coverage_ready", f"WITH {OBS}, o AS (SELECT scene_id, list_sort(list_distinct(list(label))) AS seen, max(timestamp_sec) - min(timestamp_sec) AS l FROM frame_obs GROUP BY scene_id), p AS (SELECT scene_id, count(*) AS n, list_distinct(list(label)) AS picked, max(timestamp_sec) - min(timestamp_sec) AS pl FROM frame_obs WHERE score >= 90 GROUP BY scene_id), x AS (SELECT scene_id, coalesce(n, 0) >= 8 AS enough, list_filter(seen, lambda y: NOT list_contains(coalesce(picked, []), y)) AS missing, round(CASE WHEN l > 0 THEN coalesce(pl, 0) / l ELSE 1 END, 4) AS span_share FROM o LEFT JOIN p USING (scene_id)) SELECT scene_id, enough, array_to_string(missing, '|') AS labels_missing, span_share, enough AND len(missing) = 0 AND span_share >= 0.8 AS ready FROM x")
+COVERED = OBS + """,
+o AS (SELECT scene_id, list_sort(list_distinct(list(label))) AS seen, min(timestamp_sec) AS a, max(timestamp_sec) - min(timestamp_sec) AS l FROM frame_obs GROUP BY scene_id),
+p AS (SELECT scene_id, count(*) AS n, list_distinct(list(label)) AS picked, max(timestamp_sec) - min(timestamp_sec) AS pl, count(DISTINCT least({s} - 1, floor(CASE WHEN l > 0 THEN (timestamp_sec - a) / l * {s} ELSE 0 END))) AS covered FROM frame_obs JOIN o USING (scene_id) WHERE score >= 90 GROUP BY scene_id),
+x AS (SELECT scene_id, coalesce(n, 0) >= 8 AS enough, list_filter(seen, lambda y: NOT list_contains(coalesce(picked, []), y)) AS missing, round(CASE WHEN l > 0 THEN coalesce(pl, 0) / l ELSE 1 END, 4) AS span_share, coalesce(covered, 0)::INTEGER AS segments_covered FROM o LEFT JOIN p USING (scene_id))
+SELECT scene_id, enough, array_to_string(missing, '|') AS labels_missing, span_share, segments_covered, enough AND len(missing) = 0 AND span_share >= {span} AND segments_covered >= {need} AS ready FROM x"""
+
+
+@query("coverage_ready", f"WITH {COVERED.format(s=1, span=0.8, need=0)}")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     return P.coverage_ready(x, x.where("score >= 90"), 8).withColumn("labels_missing", joined("labels_missing"))
 
 
+@query("coverage_ready_segments", f"WITH {COVERED.format(s=6, span=0.65, need=5)}")
+def _(spark, sf):
+    x = frame_obs(spark, sf)
+    return P.coverage_ready(x, x.where("score >= 90"), 8, segments=6).withColumn("labels_missing", joined("labels_missing"))
+
+
 @query("failure_stop", f"WITH {OBS}, x AS (SELECT scene_id, row_number() OVER w AS n, count(*) FILTER (k > 60 AND k % 10 <> 9 AND score > 0) OVER w AS ok, count(*) FILTER (k <= 60 OR k % 10 = 9) OVER w AS bad FROM frame_obs WINDOW w AS (PARTITION BY scene_id ORDER BY timestamp_sec, obs_id ROWS UNBOUNDED PRECEDING)) SELECT scene_id, min(n) FILTER (n >= 3 AND ok = 0 AND bad >= 0.75 * n) AS stop_at FROM x GROUP BY scene_id")
 def _(spark, sf):
     x = frame_obs(spark, sf).withColumn("parse_succeeded", (F.col("k") > 60) & (F.col("k") % 10 != 9))

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from momentra.functions import columns as C
 from momentra.operators import merges as M
 from momentra.operators import similarity as D
-from momentra.operators import windows as W
 from momentra.operators.scoring import score_with
 from momentra.plans.registry import query
 from momentra.plans.selection_queries import TITLES, titles
 from momentra.plans.tables import FEEDBACK, LOGS, OBS, feedback, frame_obs, scene_log, table, values
-from momentra.plans.window_queries import SIGNED
 
 
 @query("pool_union", f"WITH {OBS}, p AS (SELECT *, 0 AS pool FROM frame_obs WHERE score >= 80 UNION ALL SELECT *, 1 AS pool FROM frame_obs WHERE k % 2 = 0) SELECT obs_id, pool FROM p QUALIFY row_number() OVER (PARTITION BY scene_id, timestamp_sec, label ORDER BY pool, obs_id) = 1")
@@ -50,9 +48,9 @@ def _(spark, sf):
     return M.erase_scene(e, e.where("scene_id % 7 = 0").select("scene_id"))[1]
 
 
-@query("pointer_update", "WITH r AS (SELECT o_custkey % 5 AS lane, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS pack, arg_max(o_totalprice > 50000, (o_orderdate, o_orderkey)) AS ok FROM orders WHERE o_custkey % 5 = 2 GROUP BY 1) SELECT 'O' AS rule_pack_id, 'canary_5' AS stage, true AS enabled UNION ALL SELECT pack, CASE WHEN pack = 'O' THEN 'canary_25' ELSE 'canary_5' END, true FROM r WHERE ok")
+@query("pointer_update", "WITH r AS (SELECT arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS pack, arg_max(o_totalprice > 50000, (o_orderdate, o_orderkey)) AS ok FROM orders) SELECT 'O' AS rule_pack_id, 'canary_5' AS stage, true AS enabled UNION ALL SELECT pack, CASE WHEN pack = 'O' THEN 'canary_25' ELSE 'canary_5' END, true FROM r WHERE ok")
 def _(spark, sf):
-    runs = table(spark, sf, "orders").where("o_custkey % 5 = 2").select(F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("rule_pack_id"), (F.col("o_totalprice") > 50000).alias("gates_pass"))
+    runs = table(spark, sf, "orders").select(F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("rule_pack_id"), (F.col("o_totalprice") > 50000).alias("gates_pass"))
     pointer = values(spark, [("2020-01-01", "O", "canary_5", True)], "updated_at string, rule_pack_id string, stage string, enabled boolean").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
     return M.pointer_update(pointer, runs, "promote", "2025-01-01").select("rule_pack_id", "stage", "enabled")
 
@@ -107,15 +105,18 @@ def _(spark, sf):
     return D.import_labels(rows).select("scene_id", "filename", "decision", "score_100", "record_quality")
 
 
-@query("near_dup_pairs", f"WITH {SIGNED}, h AS (SELECT xor(hash, 0) & 1152921504606846975 AS x, min(vec_id) AS id FROM (SELECT vec_id, hash & ~(((1::BIGINT << 40) - 1)) AS hash FROM signed) GROUP BY 1) SELECT a.id AS a, b.id AS b, bit_count(xor(a.x, b.x))::INTEGER AS distance FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.x, b.x)) <= 3")
+@query("near_dup_pairs", f"WITH {OBS}, h AS (SELECT phash AS x, min(obs_id) AS id FROM frame_obs GROUP BY 1) SELECT a.id AS a, b.id AS b, bit_count(xor(a.x, b.x))::INTEGER AS distance FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.x, b.x)) <= 3")
 def _(spark, sf):
-    # the lower 40 bits are masked, so that vectors which differ little have near hashes
-    mask = ~((1 << 40) - 1) & ((1 << 60) - 1)
-    x = W.signature(table(spark, sf, "embeddings"), "embedding").select(F.col("vec_id").alias("id"), F.col("hash").bitwiseAND(F.lit(mask)).alias("hash"))
-    return D.near_dup_pairs(x, "hash", 3)
+    return D.near_dup_pairs(frame_obs(spark, sf).select(F.col("obs_id").alias("id"), "phash"), "phash", 3, bits=60)
 
 
-@query("near_dup_clusters")
+CLUSTERS = OBS + """,
+l AS (SELECT scene_id, list({'id': obs_id, 'h': phash} ORDER BY timestamp_sec, obs_id) AS rows FROM frame_obs GROUP BY scene_id),
+f AS (SELECT scene_id, rows, list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: bit_count(xor(y.h, x[1].h)) <= 5)) = 0 THEN list_concat(acc, x) ELSE acc END, []) AS heads FROM l),
+m AS (SELECT scene_id, unnest(list_transform(rows, lambda r: {'id': r.id, 'c': list_filter(heads, lambda y: bit_count(xor(y.h, r.h)) <= 5)[1].id})) AS p FROM f)"""
+
+
+@query("near_dup_clusters", f"WITH {CLUSTERS} SELECT m.scene_id, p.id AS obs_id, p.c AS cluster_id, row_number() OVER (PARTITION BY m.scene_id, p.c ORDER BY sharpness DESC, p.id) = 1 AS is_best FROM m JOIN frame_obs ON obs_id = p.id")
 def _(spark, sf):
     return D.near_dup_clusters(frame_obs(spark, sf), "phash")
 

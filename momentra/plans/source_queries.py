@@ -69,7 +69,19 @@ a0 AS (SELECT *, CASE p_partkey % 5 WHEN 0 THEN 'mp4' WHEN 1 THEN 'jpg' WHEN 2 T
 assets AS (SELECT p_partkey AS n, folder || CASE WHEN p_partkey % 35 = 0 THEN '/_work/' ELSE '/' END || nm || CASE WHEN nm = 'identity_record' THEN '' ELSE p_partkey::VARCHAR END || '.' || ext AS path, folder AS scene_id, (p_retailprice * 2000)::BIGINT AS length, p_size::DOUBLE AS duration_sec, p_partkey AS size, ext, nm FROM a0)"""
 
 
-@query("asset_inventory", f"WITH {ASSETS} SELECT path FROM assets WHERE lower(ext) IN ('mp4', 'mov') AND length >= 1850000 AND path NOT LIKE '%/_work/%'")
+@query("asset_inventory", "SELECT 'part=' || event_type || '.' || CASE WHEN event_id % 3 = 0 THEN 'mp4' ELSE 'doc' END AS folder, count(*) * 2 AS length FROM events WHERE event_id % 3 = 0 AND event_type <> 'click' GROUP BY ALL HAVING count(*) * 2 >= 20")
+def _(spark, sf):
+    """Writes a file of two bytes a row for each kind of event, then lists the folder; click files lie in a work folder."""
+    path = _new(spark, "assets")
+    kind = F.concat("event_type", F.lit("."), F.when(F.col("event_id") % 3 == 0, "mp4").otherwise("doc"))
+    e = table(spark, sf, "events").select(F.lit("x").alias("value"), F.when(F.col("event_type") == "click", "_work").otherwise("files").alias("place"), kind.alias("part"))
+    e.repartition(1, "part").write.partitionBy("place", "part").text(path)
+    extension = r"part=[^/]*\.(mp4|mov|doc)/"
+    found = files.asset_inventory(spark, path, min_bytes=20, skip=r"place=_work/", kind_of=extension)
+    return found.select(F.regexp_extract("path", r"(part=[^/]*)/", 1).alias("folder"), "length")
+
+
+@query("inventory_filter", f"WITH {ASSETS} SELECT path FROM assets WHERE lower(ext) IN ('mp4', 'mov') AND length >= 1850000 AND path NOT LIKE '%/_work/%'")
 def _(spark, sf):
     return files.inventory_filter(assets(spark, sf), min_bytes=1_850_000).select("path")
 
@@ -150,9 +162,32 @@ def _(spark, sf):
     return run_available(feeds.stream_feedback_mix(d.select(F.col("source").alias("scene_id"), decision.alias("decision"))), "complete")
 
 
-@query("stream_sieve")
+SIEVE = """
+x AS (SELECT user_id::VARCHAR AS scene_id, event_id AS obs_id, epoch_us(ts) AS t, value * 6 AS sharpness, value / 20.0::DOUBLE AS brightness, regexp_extract(props, '"k": *([0-9]+)', 1)::INTEGER AS k, event_id FROM events),
+y AS (SELECT *, k / 20.0::DOUBLE AS motion, xor(('0x' || substr(md5(k::VARCHAR), 1, 15))::BIGINT, event_id % 4) AS phash FROM x),
+lit AS (SELECT *, quantile_cont(sharpness, 0.1) OVER w AS low, count(*) OVER w AS c FROM y WHERE brightness >= 0.1 WINDOW w AS (PARTITION BY scene_id ORDER BY t, obs_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+floored AS (SELECT *, greatest(50.0::DOUBLE, CASE WHEN c >= 30 THEN low ELSE 25 END) AS floor FROM lit),
+why AS (SELECT *, CASE WHEN sharpness < floor THEN 'below_floor' WHEN motion > 4.5 THEN 'high_motion' END AS verdict FROM floored),
+fit AS (SELECT scene_id, list({'id': obs_id, 'h': phash} ORDER BY t, obs_id) AS rows FROM why WHERE verdict IS NULL GROUP BY scene_id),
+kept AS (SELECT unnest(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: bit_count(xor(y.h, x[1].h)) <= 5)) = 0 THEN list_concat(acc, x) ELSE acc END, [])) AS p FROM fit),
+sieved AS (SELECT scene_id, obs_id, round(floor, 4) AS floor, coalesce(verdict, CASE WHEN p.id IS NULL THEN 'duplicate' ELSE 'kept' END) AS verdict FROM why LEFT JOIN kept ON p.id = obs_id UNION ALL SELECT scene_id, obs_id, NULL, 'dark' FROM y WHERE brightness < 0.1)"""
+
+
+def sieve_feed(spark, sf):
+    """The events as a stream of observations."""
+    e, k, v = open_stream(spark, sf, "events"), F.get_json_object("props", "$.k").cast("int"), F.col("value")
+    hashed = F.conv(F.substring(F.md5(k.cast("string").cast("binary")), 1, 15), 16, 10).cast("long").bitwiseXOR(F.col("event_id") % 4)
+    return e.select(F.col("user_id").cast("string").alias("scene_id"), F.col("event_id").alias("obs_id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("timestamp_sec"), (v * 6).alias("sharpness"), (v / 20.0).alias("brightness"), (k / 20.0).alias("motion"), hashed.alias("phash"))
+
+
+@query("stream_sieve", f"WITH {SIEVE} SELECT * FROM sieved")
+def _(spark, sf):
+    return run_available(feeds.stream_sieve(sieve_feed(spark, sf))).drop("timestamp_sec")
+
+
+@query("stream_sieve_counts", f"WITH {SIEVE} SELECT scene_id, verdict, count(*) AS n FROM sieved GROUP BY ALL")
 def _(spark, sf):
-    return feeds.stream_sieve(frame_obs(spark, sf))
+    return feeds.verdict_counts(run_available(feeds.stream_sieve(sieve_feed(spark, sf))))
 
 
 @query("feedback_rows", f"WITH {FEEDBACK} SELECT doc_id, scene_id, decision, operator_score, model_score FROM feedback")

@@ -46,17 +46,21 @@ def read_label_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]
     return x.select(*[F.coalesce(*[C.truthy(c) for c in cs]).alias(n) if cs else F.lit(None).cast("string").alias(n) for n, cs in cols.items()])
 
 
+EXTENSION = r"\.([^./]+)$"
 VIDEO = ("mp4", "mov", "mkv", "avi", "m4v", "wmv", "webm")
 
 
-def asset_inventory(spark: SparkSession, root: str, extensions: tuple[str, ...] = VIDEO, min_bytes: int = 1 << 20, skip: str = r"/(_work|\.cache|output)/") -> DataFrame:
-    """Files below root with a known extension and min_bytes, work folders left out; contents are not read."""
+def asset_inventory(spark: SparkSession, root: str, extensions: tuple[str, ...] = VIDEO, min_bytes: int = 1 << 20, skip: str = r"/(_work|\.cache|output)/", kind_of: str = EXTENSION) -> DataFrame:
+    """Files below root with a known extension and min_bytes, work folders left out; contents are not read.
+
+    kind_of: the pattern whose first group is a path's extension.
+    """
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    return inventory_filter(x, extensions, min_bytes, skip)
+    return inventory_filter(x, extensions, min_bytes, skip, kind_of)
 
 
-def inventory_filter(files: DataFrame, extensions: tuple[str, ...] = VIDEO, min_bytes: int = 1 << 20, skip: str = r"/(_work|\.cache|output)/") -> DataFrame:
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+def inventory_filter(files: DataFrame, extensions: tuple[str, ...] = VIDEO, min_bytes: int = 1 << 20, skip: str = r"/(_work|\.cache|output)/", kind_of: str = EXTENSION) -> DataFrame:
+    ext = F.lower(F.regexp_extract("path", kind_of, 1))
     return files.where(ext.isin(*extensions) & (F.col("length") >= min_bytes) & ~F.col("path").rlike(skip))
 
 

@@ -40,11 +40,11 @@ STATE = "sharp array<double>, hashes array<long>, head double"
 class Sieve:
     """One scene's rolling floor over the last state_rows values and its last state_hashes kept hashes."""
 
-    def __init__(self, state_rows: int, state_hashes: int, threshold: int, dark: float) -> None:
-        self.args = (state_rows, state_hashes, threshold, dark)
+    def __init__(self, state_rows: int, state_hashes: int, threshold: int, dark: float, motion_cap: float) -> None:
+        self.args = (state_rows, state_hashes, threshold, dark, motion_cap)
 
     def run(self, x: pd.DataFrame, sharp: list[float], hashes: list[int], head: float) -> tuple[list[tuple], list[float], list[int], float]:
-        rows, keep, threshold, dark = self.args
+        rows, keep, threshold, dark, motion_cap = self.args
         out = []
         for r in x.sort_values(["timestamp_sec", "obs_id"]).itertuples():
             if r.timestamp_sec < head:
@@ -58,6 +58,8 @@ class Sieve:
             floor = max(50.0, float(np.percentile(sharp, 10)) if len(sharp) >= 30 else 25.0)
             if r.sharpness < floor:
                 verdict = "below_floor"
+            elif r.motion > motion_cap:
+                verdict = "high_motion"
             elif any(((int(r.phash) ^ h) & (2**64 - 1)).bit_count() <= threshold for h in hashes):
                 verdict = "duplicate"
             else:
@@ -66,14 +68,14 @@ class Sieve:
         return out, sharp, hashes, head
 
 
-def stream_sieve(obs: DataFrame, state_rows: int = 200, state_hashes: int = 600, threshold: int = 5, dark: float = 0.1, event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
-    """obs (scene_id, obs_id, timestamp_sec, sharpness, brightness, phash) -> each row's floor and verdict.
+def stream_sieve(obs: DataFrame, state_rows: int = 200, state_hashes: int = 600, threshold: int = 5, dark: float = 0.1, motion_cap: float = 4.5, event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """obs (scene_id, obs_id, timestamp_sec, sharpness, brightness, motion, phash) -> each row's floor and verdict; see verdict_counts.
 
     State of a scene: two bounded lists and the last time; rows before it are late, not put in order. With event_time, a
     timestamp column, a scene idle for idle_ms beyond the watermark is forgotten; without, its state stays. On a batch
     frame a scene's rows are sieved in one group.
     """
-    sieve = Sieve(state_rows, state_hashes, threshold, dark)
+    sieve = Sieve(state_rows, state_hashes, threshold, dark, motion_cap)
     cols = [c.split()[0] for c in SIEVE.split(", ")]
 
     def step(key: tuple[Any, ...], batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -87,9 +89,14 @@ def stream_sieve(obs: DataFrame, state_rows: int = 200, state_hashes: int = 600,
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
         yield pd.DataFrame(out, columns=cols)
 
-    rows = obs.select("scene_id", "obs_id", "timestamp_sec", "sharpness", "brightness", "phash", *([event_time] if event_time else [])).where("phash is not null")
+    rows = obs.select("scene_id", "obs_id", "timestamp_sec", "sharpness", "brightness", "motion", "phash", *([event_time] if event_time else [])).where("phash is not null")
     if obs.isStreaming:
         timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
         rows = rows.withWatermark(event_time, watermark) if event_time else rows
         return rows.groupBy("scene_id").applyInPandasWithState(step, SIEVE, STATE, "append", timeout)
     return rows.groupBy("scene_id").applyInPandas(lambda x: pd.DataFrame(sieve.run(x, [], [], float("-inf"))[0], columns=cols), SIEVE)
+
+
+def verdict_counts(sieved: DataFrame) -> DataFrame:
+    """The sieve's counters: rows of each scene and verdict, over its rows so far."""
+    return sieved.groupBy("scene_id", "verdict").agg(F.count(F.lit(1)).alias("n"))

@@ -140,9 +140,9 @@ def test_pass_streak(spark):
 
 
 def test_drop_counters_add_up(spark):
-    x = spark.createDataFrame([("s", i, (i % 7) / 10, float(i * 9), float(i % 6)) for i in range(60)], "scene_id string, obs_id long, brightness double, sharpness double, motion double").withColumn("floor", F.lit(100.0))
-    got = S.obs_sieve(x).groupBy(F.coalesce("drop_reason", F.lit("passed")).alias("r")).count().collect()
-    assert sum(r["count"] for r in got) == 60 and {r["r"] for r in got} == {"dark", "below_floor", "high_motion", "passed"}
+    x = spark.createDataFrame([("s", i, (i % 7) / 10, float(i * 9), float(i % 6), float(i), i // 20 * 4095 if i != 59 else None) for i in range(60)], "scene_id string, obs_id long, brightness double, sharpness double, motion double, timestamp_sec double, phash long").withColumn("floor", F.lit(100.0))
+    got = {r["drop_reason"]: r["n"] for r in S.sieve_counts(S.obs_sieve(x), []).collect()}
+    assert sum(got.values()) == 60 and set(got) == {"dark", "below_floor", "high_motion", "duplicate", "passed"} and got["passed"] <= 4
 
 
 def test_call_percentiles_round_half_even(spark):
@@ -170,3 +170,16 @@ def test_inventory_and_sums(spark, tmp_path):
     (tmp_path / "_work" / "c.mp4").write_bytes(b"x" * 2000)
     assert files.asset_inventory(spark, str(tmp_path), min_bytes=1000).count() == 1
     assert files.checksum_manifest(spark, str(tmp_path)).where("length = 1").first()["sha256"] == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+
+
+def test_canary_takes_the_latest_pointer(spark):
+    rows = [("2024-02-01", True, "full", "new", 0.0), ("2024-01-01", True, "full", "old", 0.0)]
+    p = spark.createDataFrame(rows, "updated_at string, enabled boolean, mode string, rule_pack_id string, canary_pct double")
+    scenes = spark.createDataFrame([("a",), ("b",)], "scene_id string")
+    assert {r["applied_pack"] for r in J.canary_assign(scenes, p.repartition(2)).collect()} == {"new"}
+    assert {r["applied_pack"] for r in J.canary_assign(scenes, p.where("false")).collect()} == {None}
+
+
+def test_few_reviews_give_the_default(spark):
+    x = spark.createDataFrame([("a title", ["t"])], "title string, tags array<string>")
+    assert [tuple(r) for r in A.phrase_mining(x).collect()] == [("default", "", 1, 1)]

@@ -22,11 +22,11 @@ def test_status_counts_an_event_once(spark, tmp_path):
     assert [(r["status"], r["events"]) for r in got] == [("published", 2)]
 
 
-OBS = "scene_id string, obs_id long, timestamp_sec double, sharpness double, brightness double, phash long"
+OBS = "scene_id string, obs_id long, timestamp_sec double, sharpness double, brightness double, motion double, phash long"
 
 
 def test_sieve_stream_equals_batch(spark, tmp_path):
-    data = [{"scene_id": f"s{i % 2}", "obs_id": i, "timestamp_sec": float(i), "sharpness": 40.0 + (i * 37 % 100), "brightness": 0.05 if i % 11 == 0 else 0.5, "phash": (i * 2654435761) % 2**31} for i in range(150)]
+    data = [{"scene_id": f"s{i % 2}", "obs_id": i, "timestamp_sec": float(i), "sharpness": 40.0 + (i * 37 % 100), "brightness": 0.05 if i % 11 == 0 else 0.5, "motion": 1.0, "phash": (i * 2654435761) % 2**31} for i in range(150)]
     (tmp_path / "a.json").write_text("\n".join(map(json.dumps, data)))
     s = run_available(feeds.stream_sieve(stream(spark, tmp_path, OBS)))
     b = feeds.stream_sieve(spark.read.schema(OBS).json(str(tmp_path)))
@@ -36,7 +36,7 @@ def test_sieve_stream_equals_batch(spark, tmp_path):
 
 
 def test_sieve_flags_late_rows(spark, tmp_path):
-    row = lambda i, t: json.dumps({"scene_id": "s", "obs_id": i, "timestamp_sec": t, "sharpness": 90.0, "brightness": 0.5, "phash": i * 1023})
+    row = lambda i, t: json.dumps({"scene_id": "s", "obs_id": i, "timestamp_sec": t, "sharpness": 90.0, "brightness": 0.5, "motion": 1.0, "phash": i * 1023})
     (tmp_path / "a.json").write_text(row(1, 10.0))
     (tmp_path / "b.json").write_text(row(2, 5.0))
     x = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).json(str(tmp_path))
@@ -45,7 +45,7 @@ def test_sieve_flags_late_rows(spark, tmp_path):
 
 
 def test_sieve_with_event_time_ends(spark, tmp_path):
-    row = lambda i: json.dumps({"scene_id": "s", "obs_id": i, "timestamp_sec": float(i), "sharpness": 90.0, "brightness": 0.5, "phash": i * 1023, "at": f"2024-01-0{i}T00:00:00Z"})
+    row = lambda i: json.dumps({"scene_id": "s", "obs_id": i, "timestamp_sec": float(i), "sharpness": 90.0, "brightness": 0.5, "motion": 1.0, "phash": i * 1023, "at": f"2024-01-0{i}T00:00:00Z"})
     (tmp_path / "a.json").write_text("\n".join(map(row, (1, 2, 3))))
     x = spark.readStream.schema(OBS + ", at timestamp").json(str(tmp_path))
     assert run_available(feeds.stream_sieve(x, event_time="at")).count() == 3
