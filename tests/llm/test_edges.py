@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, further columns with clashing names; parts by themselves."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -226,34 +227,107 @@ def test_sharding(spark, odd, none):
 
 
 def test_lm(spark, odd, none):
-    got = {r["doc_id"]: r for r in lm.score_documents(odd, odd).collect()}
+    every = F.lit(True)
+    got = {r["doc_id"]: r for r in lm.score_documents(odd, every).collect()}
+    assert len(lm.score_documents(odd, every).collect()) == len(ODD)
     assert got[1]["n_tokens"] == 1 and got[1]["score"] <= 0
-    assert lm.score_documents(none, odd).count() == 0
-    bare = lm.score_documents(odd, none).where("doc_id = 2").first()
-    assert bare["train_tokens"] == 0 and bare["score"] == pytest.approx(8 * np.log10(0.5), rel=1e-5)
-
-
-def test_context_tree_against_direct_recursion():
-    rng = np.random.default_rng(2)
-    n = np.zeros((32, 256))
-    for _ in range(60):
-        n[rng.integers(0, 3), rng.integers(90, 100)] += 1
-    total, one = lm.weighted(n)
-
-    def kt(a, b):
-        p = 1.0
-        for k in range(a):
-            p *= (k + 0.5) / (k + 1)
-        for k in range(b):
-            p *= (k + 0.5) / (a + k + 1)
-        return p
-
-    zeros, ones = lm._bit_counts(n)
-    for node in (1, 2, 3, 5):
-        leaves = [kt(int(a), int(b)) for a, b in zip(zeros[:, node], ones[:, node])]
-        want = 0.5 * kt(int(zeros[:, node].sum()), int(ones[:, node].sum())) + 0.5 * float(np.prod(leaves))
-        assert total[node] == pytest.approx(np.log(want), rel=1e-9, abs=1e-9)
-    assert np.power(10, lm.byte_log10(one)).sum(axis=-1) == pytest.approx(np.ones(32))
+    assert lm.score_documents(none, every).count() == 0
+    bare = lm.score_documents(odd, F.lit(None).cast("boolean")).where("doc_id = 2").first()
+    assert bare["train_tokens"] == 0 and bare["n_known"] == 0 and bare["score"] == pytest.approx(8 * np.log10(0.5), rel=1e-5)
+
+
+BLANKS = b" \t\n\x0b\x0c\r"
+
+
+def symbols(text):
+    """(context path, symbol, ending) of each byte by the definition: the path is the nodes below the root."""
+    raw = [*lm.lowered(text), lm.END]
+    out, run, seq = [], b"", [0, 0]
+    for b in raw:
+        blank = b in BLANKS or b == lm.END
+        ends = blank and run != b""
+        s = 32 if ends else b
+        path = [("1", seq[-1]), ("2", seq[-1], seq[-2])]
+        path.append(("word", run) if len(run) >= 3 and (ends or not blank) else ("none", seq[-1], seq[-2]))
+        out.append((path, s, b if ends else None))
+        seq.append(s)
+        run = b"" if blank else run + bytes([b])
+    return out
+
+
+def direct_scores(training, texts):
+    """The context-tree model by plain recursion over dictionaries."""
+    count, children, endings = {}, {}, Counter()
+    for t in training:
+        for path, s, e in symbols(t):
+            endings[e] += e is not None
+            parent = ("root",)
+            for node in [("root",), *path]:
+                if node != ("root",):
+                    children.setdefault(parent, set()).add(node)
+                parent = node
+                for k in range(8):
+                    v, bit = 1 << k | s >> 8 - k, s >> 7 - k & 1
+                    count.setdefault((node, v), [0, 0])[bit] += 1
+    seen = {n for n, _ in count}
+
+    def log_kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    memo = {}
+
+    def weighted(node, v):
+        if (node, v) not in memo:
+            own = log_kt(*count.get((node, v), (0, 0)))
+            if node[0] in ("word", "none"):
+                memo[node, v] = own, 1.0
+            else:
+                deeper = sum(weighted(c, v)[0] for c in children.get(node, ()))
+                total = np.logaddexp(own, deeper) - math.log(2)
+                memo[node, v] = total, math.exp(own - math.log(2) - total)
+        return memo[node, v]
+
+    kt = lambda node, v: (count.get((node, v), (0, 0))[1] + 0.5) / (sum(count.get((node, v), (0, 0))) + 1)
+
+    def one(path, v):
+        nodes, out, left = [("root",), *path], 0.0, 1.0
+        for node, deeper in zip(nodes, [*nodes[1:], None]):
+            leaf = deeper is None or (deeper not in seen if deeper[0] in "12" else deeper[0] == "word" and (deeper, v) not in count or deeper[0] == "none" and node not in seen)
+            stay = 1.0 if leaf else weighted(node, v)[1]
+            out += left * stay * kt(node, v)
+            left *= 1 - stay
+            if leaf:
+                return out
+        return out
+
+    total = sum(n for e, n in endings.items() if e is not None)
+    for t in texts:
+        score = 0.0
+        for path, s, e in symbols(t):
+            for k in range(8):
+                p = one(path, 1 << k | s >> 8 - k)
+                score += math.log10(p if s >> 7 - k & 1 else 1 - p)
+            if e is not None:
+                score += math.log10((endings[e] + 0.5) / (total + 3.5))
+        yield score
+
+
+@pytest.mark.parametrize(("head", "split", "words"), [(1_000_000, 1_000_000, 100_000), (5, 1_000_000, 7), (5, 2, 7)])
+def test_lm_against_direct_recursion(spark, monkeypatch, head, split, words):
+    for name, value in (("HEAD", head), ("SPLIT_WORDS", split), ("WORDS", words)):
+        monkeypatch.setattr(lm, name, value)
+    train = ["The theme there, then they thaw.\n\nThermal x", "a bb ccc dddd theorem theory\tthe the", "", "élan élans éland naïve", "thereabouts thereafter there"]
+    other = ["The theories of therapy", "zebra qqq\r\n élan", " \n ", "theoremtheoremtheorem"]
+    x = spark.createDataFrame([(i, t, i < len(train)) for i, t in enumerate(train + other)], "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(x, F.col("learn")).collect()}
+    for i, want in enumerate(direct_scores(train, train + other)):
+        assert got[i] == pytest.approx(want, rel=2e-6), i
+
+
+def test_lm_is_a_distribution():
+    counts = np.random.default_rng(2).integers(0, 9, (5, 256)).astype(float)
+    zeros, ones = lm._bit_counts(counts)
+    assert np.power(10, lm.byte_log10(lm._kt(zeros, ones))).sum(axis=-1) == pytest.approx(np.ones(5))
 
 
 def test_urls(spark):
@@ -278,7 +352,7 @@ def test_ids_stay_exact_beside_nulls(spark):
     x = spark.createDataFrame([(i, f"text of {i} words", "one two three") for i in BIG], "doc_id long, text string, item string").coalesce(1)
     items = x.selectExpr("doc_id as item_id", "item as text")
     path = public_tokenizers.path(RANKS)
-    for found in (simhash.near_duplicates(x), bpe.encode_digests(x, path, public_tokenizers.PATTERN), bpe.encode(x, path, public_tokenizers.PATTERN), decontam.contamination(x, items), quality.judge_quality(x.withColumn("source", F.lit("s"))), linededup.line_dedup(x), sharding.shard_documents(x, 2)):
+    for found in (simhash.near_duplicates(x), bpe.encode_digests(x, path, public_tokenizers.PATTERN), bpe.encode(x, path, public_tokenizers.PATTERN), decontam.contamination(x, items), lm.score_documents(x, F.lit(True)), quality.judge_quality(x.withColumn("source", F.lit("s"))), linededup.line_dedup(x), sharding.shard_documents(x, 2)):
         assert sorted((r["doc_id"] for r in found.collect()), key=lambda i: i or 0) == [None, *BIG[:-1]]
     pages = spark.createDataFrame([(i, "http://u/", "same" if k % 2 else "own") for k, i in enumerate(BIG)], "page_id long, url string, html string").coalesce(1)
     got = {r["page_id"]: r["refers_to"] for r in warc.archive_pages(pages).collect()}

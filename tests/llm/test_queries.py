@@ -110,8 +110,20 @@ def test_op9_base(spark, rows):
         g = got[r["doc_id"]]
         assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(t), sum(c[w] > 0 for w in t), n)
         assert g["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-    long = [g for r in rows if (g := got[r["doc_id"]])["held_out"] and g["n_tokens"] > 50]
-    assert sum(g["bits_per_byte"] < 4.5 for g in long) > 0.8 * len(long)
+    held = [r for r in rows if got[r["doc_id"]]["held_out"] and r["text"]]
+    size = sum(len(r["text"].encode()) + 1 for r in held)
+    bits = -sum(got[r["doc_id"]]["score"] for r in held) / math.log10(2) / size
+    for order in (0, 2):  # held-out bits a byte against a plain model of the last bytes
+        seen, of = Counter(), Counter()
+        for t in train:
+            b = b"\0\0" + lower(t["text"]).encode()
+            seen.update((b[i - order : i], b[i]) for i in range(2, len(b)))
+            of.update(b[i - order : i] for i in range(2, len(b)))
+        plain = 0.0
+        for t in held:
+            b = b"\0\0" + lower(t["text"]).encode()
+            plain -= sum(math.log2((seen[b[i - order : i], b[i]] + 1) / (of[b[i - order : i]] + 256)) for i in range(2, len(b)))
+        assert bits < plain / size * (0.6 if order == 0 else 0.85)
 
 
 def test_op10(spark):
