@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +38,38 @@ def fallback_usage(logs: DataFrame) -> DataFrame:
     return _frequency(logs, "fallbacks", "fallback")
 
 
+def values_at(df: DataFrame, key: str, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(key, n, least, most, and for each name the value at a rank from 0 that is a function of n), over values that aren't null.
+
+    Rows are counted by value first, so a key of very many rows is as many as it has values, and their counting is spread
+    by value; the ranks run over the counts.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(key)
+    upto = F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    x = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(w)})
+    at = [F.min(F.when(F.col("_upto") > rank(F.col("_n")), F.col("_v"))).alias(name) for name, rank in ranks.items()]
+    return x.groupBy(key).agg(F.first("_n").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), *at)
+
+
 def phase_thresholds(timings: DataFrame, min_samples: int = 5) -> DataFrame:
     """timings (phases map) -> per phase of min_samples positive times: n, p50, p75, p90 (linear), max; slowest p75 first."""
     x = timings.select(F.explode("phases").alias("phase", "sec")).where("sec > 0")
-    p = F.percentile("sec", F.array(*map(F.lit, (0.5, 0.75, 0.9))))
-    out = x.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), p.alias("p"), F.max("sec").alias("mx")).where(F.col("n") >= min_samples)
-    return out.select("phase", "n", *[F.round(F.col("p")[i], 1).alias(a) for i, a in enumerate(("p50", "p75", "p90"))], F.round("mx", 1).alias("max_sec")).orderBy(F.desc("p75"), "phase")
+    pcts = {"p50": 0.5, "p75": 0.75, "p90": 0.9}
+    place = lambda p: lambda n: (n - 1) * F.lit(p)
+    below = {f"{a}_low": lambda n, p=p: F.floor(place(p)(n)) for a, p in pcts.items()}
+    above = {f"{a}_high": lambda n, p=p: F.ceil(place(p)(n)) for a, p in pcts.items()}
+    out = values_at(x, "phase", "sec", {**below, **above}).where(F.col("n") >= min_samples)
+    part = lambda p: place(p)(F.col("n")) - F.floor(place(p)(F.col("n")))
+    linear = [F.round(F.col(f"{a}_low") + (F.col(f"{a}_high") - F.col(f"{a}_low")) * part(p), 1).alias(a) for a, p in pcts.items()]
+    return out.select("phase", "n", *linear, F.round("most", 1).alias("max_sec")).orderBy(F.desc("p75"), "phase")
 
 
 def slowest_phases(timings: DataFrame, top_n: int = 5) -> DataFrame:
     x = timings.select(F.explode("phases").alias("phase", "sec")).where("sec > 0")
-    return x.groupBy("phase").agg(F.round(F.avg("sec"), 2).alias("avg_sec"), F.max("sec").alias("max_sec"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("avg_sec"), "phase").limit(top_n)
+    return x.groupBy("phase").agg(
+        F.round(F.avg("sec"), 2).alias("avg_sec"), F.max("sec").alias("max_sec"), F.count(F.lit(1)).alias("n")
+    ).orderBy(F.desc("avg_sec"), "phase").limit(top_n)
 
 
 def calibrate_scene(obs: DataFrame, pcts: tuple[int, int, int] = (75, 50, 25), hard_floors: tuple[float, ...] = (100.0, 50.0, 25.0)) -> DataFrame:
@@ -55,12 +78,15 @@ def calibrate_scene(obs: DataFrame, pcts: tuple[int, int, int] = (75, 50, 25), h
     no_variation: max - min under 50; all_blurry: the first rank under the first hard floor. Scenes without a value
     have the first hard floor three times.
     """
-    v = F.sort_array(F.collect_list("sharpness"))
-    x = obs.groupBy("scene_id").agg(v.alias("v"))
-    ranks = [C.floor_rank(F.col("v"), p) for p in pcts]
-    none = F.size("v") == 0
-    floors = [F.when(none, hard_floors[0]).otherwise(F.greatest(r, F.lit(h))).alias(f"floor_{i + 1}") for i, (r, h) in enumerate(zip(ranks, hard_floors))]
-    return x.select("scene_id", F.size("v").alias("n"), *floors, F.coalesce((F.element_at("v", -1) - F.element_at("v", 1)) < 50, none).alias("no_variation"), F.coalesce(ranks[0] < hard_floors[0], none).alias("all_blurry"))
+    floor_rank = lambda p: lambda n: F.least(n - 1, F.floor(n * F.lit(p / 100)))
+    at = values_at(obs, "scene_id", "sharpness", {f"r{i}": floor_rank(p) for i, p in enumerate(pcts)})
+    x = obs.select("scene_id").distinct().join(at, "scene_id", "left")
+    none = F.col("n").isNull()
+    floors = [F.when(none, F.lit(hard_floors[0])).otherwise(F.greatest(F.col(f"r{i}"), F.lit(h))).alias(f"floor_{i + 1}") for i, h in enumerate(hard_floors)]
+    return x.select(
+        "scene_id", F.coalesce("n", F.lit(0)).cast("int").alias("n"), *floors, (none | (F.col("most") - F.col("least") < 50)).alias("no_variation"),
+        (none | (F.col("r0") < hard_floors[0])).alias("all_blurry")
+    )
 
 
 def calibrate_source(logs: DataFrame, old: DataFrame | None = None, min_scenes: int = 5, keep: int = 50, mode: str = "batch", tolerance: float = 5.0) -> DataFrame:
@@ -81,14 +107,21 @@ def calibrate_source(logs: DataFrame, old: DataFrame | None = None, min_scenes:
     before = old.select("source", F.col("avg_score").cast("double").alias("_old")) if old is not None else x.select("source", F.lit(None).cast("double").alias("_old"))
     delta = F.coalesce(F.when(F.col("_old") != 0, (F.col("_avg") - F.col("_old")) / F.col("_old") * 100), F.lit(0.0))
     x = x.join(before, "source", "left").withColumn("_delta", delta)
-    return x.select("source", "n", F.round("_avg", 2).alias("avg_score"), "p25", "p75", F.round("_delta", 1).alias("delta_pct"), F.when(F.abs("_delta") > tolerance, "shifted").otherwise("stable").alias("verdict"))
+    return x.select(
+        "source", "n", F.round("_avg", 2).alias("avg_score"), "p25", "p75", F.round("_delta", 1).alias("delta_pct"),
+        F.when(F.abs("_delta") > tolerance, "shifted").otherwise("stable").alias("verdict")
+    )
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
     """results (batch_id, outcome, duration_sec) -> counts by outcome, success rate, min, avg and max of positive durations."""
     d = F.when(F.col("duration_sec") > 0, F.col("duration_sec"))
     count = lambda o: F.count_if(F.col("outcome") == o)
-    return results.groupBy("batch_id").agg(F.count(F.lit(1)).alias("attempted"), count("completed").alias("completed"), count("warning").alias("warnings"), count("aborted").alias("aborted"), F.round(count("completed") * 100.0 / F.count(F.lit(1)), 1).alias("success_rate"), F.min(d).alias("min_sec"), F.round(F.avg(d), 2).alias("avg_sec"), F.max(d).alias("max_sec"))
+    return results.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("attempted"), count("completed").alias("completed"), count("warning").alias("warnings"),
+        count("aborted").alias("aborted"), F.round(count("completed") * 100.0 / F.count(F.lit(1)), 1).alias("success_rate"),
+        F.min(d).alias("min_sec"), F.round(F.avg(d), 2).alias("avg_sec"), F.max(d).alias("max_sec")
+    )
 
 
 def feedback_agreement(feedback: DataFrame) -> DataFrame:
@@ -96,13 +129,20 @@ def feedback_agreement(feedback: DataFrame) -> DataFrame:
     labelled = F.col("operator_label").isNotNull() & F.col("model_label").isNotNull()
     both = F.col("operator_score").isNotNull() & F.col("model_score").isNotNull()
     err = F.abs(F.col("operator_score") - F.col("model_score"))
-    return feedback.agg(F.count(F.lit(1)).alias("rows"), F.count_if(labelled).alias("labelled"), _share(F.col("operator_label") == F.col("model_label"), labelled).alias("label_match_pct"), F.count_if(both).alias("scored"), F.round(F.avg(F.when(both, err)), 2).alias("mae"), _share(err <= 5, both).alias("within_5_pct"))
+    return feedback.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(labelled).alias("labelled"),
+        _share(F.col("operator_label") == F.col("model_label"), labelled).alias("label_match_pct"), F.count_if(both).alias("scored"),
+        F.round(F.avg(F.when(both, err)), 2).alias("mae"), _share(err <= 5, both).alias("within_5_pct")
+    )
 
 
 def decision_mix(train: DataFrame) -> DataFrame:
     """train (scene_id, decision, score_100, model_score) -> per scene the mix, the pairs possible and the error."""
     is_ = lambda d: F.count_if(F.col("decision") == d)
-    x = train.groupBy("scene_id").agg(F.count(F.lit(1)).alias("rows"), is_("keep").alias("keep"), is_("maybe").alias("maybe"), is_("reject").alias("reject"), F.round(F.avg(F.abs(F.col("score_100") - F.col("model_score"))), 2).alias("mae"))
+    x = train.groupBy("scene_id").agg(
+        F.count(F.lit(1)).alias("rows"), is_("keep").alias("keep"), is_("maybe").alias("maybe"), is_("reject").alias("reject"),
+        F.round(F.avg(F.abs(F.col("score_100") - F.col("model_score"))), 2).alias("mae")
+    )
     return x.withColumn("pairs_possible", F.col("keep") * F.col("reject") + F.col("keep") * F.col("maybe") + F.col("maybe") * F.col("reject"))
 
 
@@ -111,7 +151,12 @@ def text_completeness(train: DataFrame) -> DataFrame:
     has = lambda c: C.truthy(F.col(c)).isNotNull()
     named = has("name") & has("title")
     titles = F.count_if(has("title"))
-    return train.agg(F.count(F.lit(1)).alias("rows"), _share(has("title"), F.lit(True)).alias("title_pct"), _share(has("description"), F.lit(True)).alias("description_pct"), F.round(F.when(titles > 0, F.countDistinct(F.lower(C.truthy(F.col("title")))) / titles).otherwise(0.0), 4).alias("distinct_title_ratio"), _share(F.contains(F.lower("title"), F.lower("name")), named).alias("name_in_title_pct"))
+    return train.agg(
+        F.count(F.lit(1)).alias("rows"), _share(has("title"), F.lit(True)).alias("title_pct"),
+        _share(has("description"), F.lit(True)).alias("description_pct"),
+        F.round(F.when(titles > 0, F.countDistinct(F.lower(C.truthy(F.col("title")))) / titles).otherwise(0.0), 4).alias("distinct_title_ratio"),
+        _share(F.contains(F.lower("title"), F.lower("name")), named).alias("name_in_title_pct")
+    )
 
 
 def rule_kpis(reviews: DataFrame, cohort_col: str = "cohort") -> DataFrame:
@@ -134,14 +179,25 @@ def rule_kpis(reviews: DataFrame, cohort_col: str = "cohort") -> DataFrame:
         F.round(F.sum("titles") / F.sum("titled"), 2).alias("avg_titles"), F.round(F.sum("diversity") / F.sum("diverse"), 4).alias("title_diversity"),
     )
     edits = scene.select(cohort_col, F.explode(F.arrays_zip("title_edits", "description_edits")).alias("e"))
-    medians = edits.groupBy(cohort_col).agg(F.round(F.percentile("e.title_edits", 0.5), 4).alias("median_title_edit"), F.round(F.percentile("e.description_edits", 0.5), 4).alias("median_description_edit"))
-    out = [cohort_col, "scene_count", "accept_rate", "ready_rate", "median_title_edit", "median_description_edit", "light_edit_rate", "severity_per_scene", "severe_rate", "avg_titles", "title_diversity"]
+    medians = edits.groupBy(cohort_col).agg(
+        F.round(F.percentile("e.title_edits", 0.5), 4).alias("median_title_edit"),
+        F.round(F.percentile("e.description_edits", 0.5), 4).alias("median_description_edit")
+    )
+    out = [
+        cohort_col, "scene_count", "accept_rate", "ready_rate", "median_title_edit", "median_description_edit", "light_edit_rate",
+        "severity_per_scene", "severe_rate", "avg_titles", "title_diversity",
+    ]
     a, m = counted.alias("a"), medians.alias("m")
     return a.join(m, F.col(f"a.{cohort_col}").eqNullSafe(F.col(f"m.{cohort_col}"))).select(F.col(f"a.{cohort_col}"), *out[1:])
 
 
 #: (name, KPI, at least, at most): a candidate's checks; the numbers are defaults that a caller may replace.
-PROMOTION_CHECKS = (("too_few_scenes", "scene_count", 20, None), ("accept_rate", "accept_rate", 0.5, None), ("ready_rate", "ready_rate", 0.5, None), ("title_edits", "median_title_edit", None, 0.35), ("description_edits", "median_description_edit", None, 0.35), ("light_edits", "light_edit_rate", 0.2, None), ("severity", "severity_per_scene", None, 1.0), ("severe_share", "severe_rate", None, 0.2), ("diversity", "title_diversity", 0.2, None))
+PROMOTION_CHECKS = (
+    ("too_few_scenes", "scene_count", 20, None), ("accept_rate", "accept_rate", 0.5, None), ("ready_rate", "ready_rate", 0.5, None),
+    ("title_edits", "median_title_edit", None, 0.35), ("description_edits", "median_description_edit", None, 0.35),
+    ("light_edits", "light_edit_rate", 0.2, None), ("severity", "severity_per_scene", None, 1.0), ("severe_share", "severe_rate", None, 0.2),
+    ("diversity", "title_diversity", 0.2, None)
+)
 
 
 def gates(df: DataFrame, checks: tuple) -> DataFrame:
@@ -185,8 +241,14 @@ def phrase_mining(reviews: DataFrame, min_rows: int = 10, top: int = 5) -> DataF
     w = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
     strings = lambda c: F.col(c) if c in reviews.columns else F.array().cast("array<string>")
     text = lambda c: F.col(c) if c in reviews.columns else F.lit(None).cast("string")
-    sentences = F.filter(F.transform(F.split(F.coalesce(text("description"), F.lit("")), r"[.!?]+"), lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))), lambda s: F.length(s).between(12, 72))
-    x = reviews.where(C.truthy(F.col("title")).isNotNull()).select(w.alias("w"), "tags", F.slice(sentences, 1, 3).alias("sentences"), strings("categories").alias("categories"), F.lower(C.truthy(text("tone"))).alias("tone"))
+    sentences = F.filter(
+        F.transform(F.split(F.coalesce(text("description"), F.lit("")), r"[.!?]+"), lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))),
+        lambda s: F.length(s).between(12, 72)
+    )
+    x = reviews.where(C.truthy(F.col("title")).isNotNull()).select(
+        w.alias("w"), "tags", F.slice(sentences, 1, 3).alias("sentences"), strings("categories").alias("categories"),
+        F.lower(C.truthy(text("tone"))).alias("tone")
+    )
     two = F.size("w") >= 2
     named = lambda values: F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
     pairs = F.concat(
@@ -207,14 +269,26 @@ def flag_summary(obs: DataFrame, min_conf: float = 0.5, evidence: int = 12) -> D
     x = obs.where(F.col("flag_confidence") >= min_conf).select("scene_id", "obs_id", "timestamp_sec", "flag_confidence", F.explode(F.array_distinct("flags")).alias("flag"))
     n = F.row_number().over(Window.partitionBy("scene_id", "flag").orderBy("timestamp_sec", "obs_id"))
     ids = F.array_sort(F.collect_list(F.when(F.col("_n") <= evidence, F.struct("_n", "obs_id"))))
-    return x.withColumn("_n", n).groupBy("scene_id", "flag").agg(F.count(F.lit(1)).alias("n"), F.max("flag_confidence").alias("max_conf"), F.transform(ids, lambda e: e["obs_id"]).alias("evidence"))
+    return x.withColumn("_n", n).groupBy("scene_id", "flag").agg(
+        F.count(F.lit(1)).alias("n"), F.max("flag_confidence").alias("max_conf"), F.transform(ids, lambda e: e["obs_id"]).alias("evidence")
+    )
 
 
 def validation_summary(validated: DataFrame) -> DataFrame:
     """validated (eligible, reject_codes, warnings) -> (kind, code, n): totals and counts by code."""
-    total = validated.agg(F.count(F.lit(1)).alias("total"), F.count_if("eligible").alias("eligible"), F.count_if(~F.col("eligible")).alias("rejected"), F.count_if(F.col("eligible") & (F.size("warnings") > 0)).alias("suspicious"))
+    total = validated.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("eligible").alias("eligible"), F.count_if(~F.col("eligible")).alias("rejected"),
+        F.count_if(F.col("eligible") & (F.size("warnings") > 0)).alias("suspicious")
+    )
     totals = total.select(F.explode(F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(c).alias("code"), F.col(c).alias("n")) for c in total.columns])).alias("x")).select("x.*")
-    codes = validated.select(F.explode(F.concat(F.transform("reject_codes", lambda c: F.struct(F.lit("reject").alias("kind"), c.alias("code"))), F.transform("warnings", lambda c: F.struct(F.lit("warning").alias("kind"), c.alias("code"))))).alias("x"))
+    codes = validated.select(
+        F.explode(
+            F.concat(
+                F.transform("reject_codes", lambda c: F.struct(F.lit("reject").alias("kind"), c.alias("code"))),
+                F.transform("warnings", lambda c: F.struct(F.lit("warning").alias("kind"), c.alias("code")))
+            )
+        ).alias("x")
+    )
     return totals.unionByName(codes.groupBy("x.kind", "x.code").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -249,7 +323,10 @@ def score_buckets(picks: DataFrame) -> DataFrame:
 def resource_totals(logs: DataFrame) -> DataFrame:
     """logs (scene_id, phases map<string, struct<frames_scored, candidates_found, duration_sec>>) -> sums; frames fall back to candidates."""
     x = logs.select("scene_id", F.explode("phases").alias("phase", "p"))
-    return x.groupBy("scene_id").agg(F.sum(F.coalesce("p.frames_scored", "p.candidates_found", F.lit(0))).alias("frames"), F.round(F.sum("p.duration_sec"), 2).alias("seconds"), F.count(F.lit(1)).alias("phases"))
+    return x.groupBy("scene_id").agg(
+        F.sum(F.coalesce("p.frames_scored", "p.candidates_found", F.lit(0))).alias("frames"), F.round(F.sum("p.duration_sec"), 2).alias("seconds"),
+        F.count(F.lit(1)).alias("phases")
+    )
 
 
 def recent_latency(timings: DataFrame, limit: int, key: str = "mode") -> DataFrame:
@@ -261,7 +338,10 @@ def recent_latency(timings: DataFrame, limit: int, key: str = "mode") -> DataFra
 def status_mix(jobs: DataFrame, max_active: int) -> DataFrame:
     """jobs (status) -> counts by status and utilisation min(1, (active + .25 queued) / max_active)."""
     n = lambda s: F.count_if(F.col("status") == s)
-    return jobs.agg(*[n(s).alias(s) for s in ("queued", "active", "done", "failed")], F.round(F.least(F.lit(1.0), (n("active") + n("queued") * 0.25) / max_active), 4).alias("utilisation"))
+    return jobs.agg(
+        *[n(s).alias(s) for s in ("queued", "active", "done", "failed")],
+        F.round(F.least(F.lit(1.0), (n("active") + n("queued") * 0.25) / max_active), 4).alias("utilisation")
+    )
 
 
 def artifact_latest(registry: DataFrame) -> DataFrame:
@@ -279,7 +359,12 @@ def feedback_pivot(feedback: DataFrame) -> DataFrame:
 
 def label_rollup(rows: DataFrame, top: int = 6) -> DataFrame:
     """rows (scene_id, labels_a, labels_b) -> the top labels of both arrays a scene, by count, then label."""
-    x = rows.select("scene_id", F.explode(F.concat(F.coalesce("labels_a", F.array().cast("array<string>")), F.coalesce("labels_b", F.array().cast("array<string>")))).alias("label")).where("label != ''")
+    x = rows.select(
+        "scene_id",
+        F.explode(
+            F.concat(F.coalesce("labels_a", F.array().cast("array<string>")), F.coalesce("labels_b", F.array().cast("array<string>")))
+        ).alias("label")
+    ).where("label != ''")
     return _top(x.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n")), "scene_id", [F.desc("n"), "label"], top)
 
 
@@ -295,26 +380,26 @@ def quota_progress(obs: DataFrame, spec: dict[str, int]) -> DataFrame:
 def failure_profile(obs: DataFrame, floor: float) -> DataFrame:
     """obs (scene_id, parse_succeeded, score) -> scored, over the floor, the share of zeros, failures."""
     zero = F.col("parse_succeeded") & (F.col("score") == 0)
-    return obs.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parse_succeeded") & (F.col("score") >= floor)).alias("over_floor"), F.round(F.count_if(zero) / F.count(F.lit(1)), 4).alias("zero_share"), F.count_if(~F.col("parse_succeeded")).alias("failures"))
+    return obs.groupBy("scene_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("parse_succeeded") & (F.col("score") >= floor)).alias("over_floor"),
+        F.round(F.count_if(zero) / F.count(F.lit(1)), 4).alias("zero_share"), F.count_if(~F.col("parse_succeeded")).alias("failures")
+    )
 
 
 def cohort_timing(logs: DataFrame, predicate: Column, stages: list[str]) -> DataFrame:
     """Mean stage times of the logs that meet the predicate (candidate) and of the others (baseline)."""
-    return logs.withColumn("cohort", F.when(predicate, "candidate").otherwise("baseline")).groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(s), 3).alias(f"avg_{s}") for s in stages])
+    return logs.withColumn("cohort", F.when(predicate, "candidate").otherwise("baseline")).groupBy("cohort").agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.avg(s), 3).alias(f"avg_{s}") for s in stages]
+    )
 
 
 def call_percentiles(calls: DataFrame, pcts: tuple[int, ...] = (50, 95), key: str = "mode") -> DataFrame:
     """calls (key, ms) -> percentiles by the rounded nearest rank, round((n - 1) * p / 100) with halves to even.
 
-    Calls are counted by value first, so a key of very many calls is as many rows as it has values, spread by value; the
-    ranks run over the counts. Null times are no calls.
+    Null times are no calls.
     """
-    counts = calls.where("ms is not null").groupBy(key, "ms").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(key)
-    upto = F.sum("c").over(w.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0))
-    x = counts.withColumns({"upto": upto, "n": F.sum("c").over(w)})
-    rank = lambda p: F.bround((F.col("n") - 1) * F.lit(p / 100), 0)
-    return x.groupBy(key).agg(F.first("n").cast("int").alias("n"), *[F.min(F.when(F.col("upto") > rank(p), F.col("ms"))).alias(f"p{p}") for p in pcts])
+    ranks = {f"p{p}": lambda n, p=p: F.bround((n - 1) * F.lit(p / 100), 0) for p in pcts}
+    return values_at(calls, key, "ms", ranks).select(key, F.col("n").cast("int").alias("n"), *ranks)
 
 
 def library_facets(summaries: DataFrame) -> DataFrame:

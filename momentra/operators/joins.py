@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentra.functions import columns as C
@@ -17,12 +17,20 @@ def review_enriched(reviews: DataFrame, logs: DataFrame, insight: DataFrame) ->
     return reviews.join(logs, "scene_id", "left").join(insight, "scene_id", "left")
 
 
-def library_find(logs: DataFrame, reviews: DataFrame, ready: DataFrame | None = None, *, source: str | None = None, text: str | None = None, min_score: float | None = None, min_picks: int | None = None, since: str | None = None, has_errors: bool | None = None, flagged: bool | None = None, reviewed: bool | None = None, channel: str | None = None, limit: int = 100) -> DataFrame:
+def library_find(
+    logs: DataFrame, reviews: DataFrame, ready: DataFrame | None = None, *, source: str | None = None, text: str | None = None,
+    min_score: float | None = None, min_picks: int | None = None, since: str | None = None, has_errors: bool | None = None,
+    flagged: bool | None = None, reviewed: bool | None = None, channel: str | None = None, limit: int = 100
+) -> DataFrame:
     """logs that meet every given predicate, best score first, then newest. reviewed: True semi, False anti; channel: ready there."""
     out = logs
     for given, cond in (
-        (source, lambda: F.lower("source") == source.lower()), (text, lambda: F.contains(F.lower("title"), F.lit(text.lower()))), (min_score, lambda: F.col("top_score") >= min_score), (min_picks, lambda: F.col("picks") >= min_picks),
-        (since, lambda: F.col("processed_at") >= F.lit(since).cast("timestamp")), (has_errors, lambda: (F.size("error_codes") > 0) == has_errors), (flagged, lambda: F.col("flagged") == flagged),
+        (source, lambda: F.lower("source") == source.lower()), (
+            text, lambda: F.contains(F.lower("title"), F.lit(text.lower()))
+        ), (min_score, lambda: F.col("top_score") >= min_score), (min_picks, lambda: F.col("picks") >= min_picks),
+        (
+            since, lambda: F.col("processed_at") >= F.lit(since).cast("timestamp")
+        ), (has_errors, lambda: (F.size("error_codes") > 0) == has_errors), (flagged, lambda: F.col("flagged") == flagged),
     ):
         if given is not None:
             out = out.where(cond())
@@ -64,7 +72,9 @@ def exclude_near(df: DataFrame, excluded: DataFrame, tol_sec: float) -> DataFram
 
 def _around(picks: DataFrame, obs: DataFrame, offsets: list[float], digits: int) -> DataFrame:
     """picks (scene_id, obs_id, timestamp_sec, sharpness) joined to the observations at each offset, by rounded time."""
-    at = picks.select("scene_id", "obs_id", "timestamp_sec", "sharpness", F.explode(F.array(*map(F.lit, offsets))).alias("dt")).withColumn("_t", F.round(F.col("timestamp_sec") + F.col("dt"), digits))
+    at = picks.select(
+        "scene_id", "obs_id", "timestamp_sec", "sharpness", F.explode(F.array(*map(F.lit, offsets))).alias("dt")
+    ).withColumn("_t", F.round(F.col("timestamp_sec") + F.col("dt"), digits))
     o = obs.select(F.col("scene_id").alias("_s"), F.round("timestamp_sec", digits).alias("_u"), F.col("obs_id").alias("near_id"), F.col("sharpness").alias("near_sharpness"))
     return at.join(o, (F.col("scene_id") == F.col("_s")) & (F.col("_t") == F.col("_u")))
 
@@ -83,7 +93,9 @@ def nearest_clearing_floor(picks: DataFrame, obs: DataFrame, offsets: list[float
     """picks with the observation at the least offset (of equal ones the later) whose sharpness clears the floor; else null."""
     x = _around(picks, obs, offsets, digits).where(F.col("near_sharpness") >= floor)
     best = x.groupBy("scene_id", "obs_id").agg(F.min_by(F.struct("near_id", "dt"), F.struct(F.abs("dt"), F.col("dt") < 0, "near_id")).alias("b"))
-    return picks.select("scene_id", "obs_id").join(best, ["scene_id", "obs_id"], "left").select("scene_id", "obs_id", F.col("b.near_id").alias("near_id"), F.col("b.dt").alias("dt"))
+    return picks.select("scene_id", "obs_id").join(best, ["scene_id", "obs_id"], "left").select(
+        "scene_id", "obs_id", F.col("b.near_id").alias("near_id"), F.col("b.dt").alias("dt")
+    )
 
 
 def temporal_support(df: DataFrame, window_sec: float = 45.0, strong: float = 0.85, min_conf: float = 0.60) -> DataFrame:
@@ -106,7 +118,10 @@ def preference_pairs(points: DataFrame, max_per_scene: int | None = None) -> Dat
     key = lambda c: F.coalesce(F.col(c), F.lit(-1.0))
     by_rank = F.col("a_rank").isNotNull() & F.col("b_rank").isNotNull() & (F.col("a_rank") != F.col("b_rank"))
     first = F.when(by_rank, F.col("a_rank") > F.col("b_rank")).when(key("a_score") != key("b_score"), key("a_score") > key("b_score"))
-    out = pair.withColumn("_f", first).where("_f is not null").select("scene_id", F.when(F.col("_f"), F.col("a_idx")).otherwise(F.col("b_idx")).alias("better"), F.when(F.col("_f"), F.col("b_idx")).otherwise(F.col("a_idx")).alias("worse"), F.when(by_rank, "rank").otherwise("score").alias("by"))
+    out = pair.withColumn("_f", first).where("_f is not null").select(
+        "scene_id", F.when(F.col("_f"), F.col("a_idx")).otherwise(F.col("b_idx")).alias("better"),
+        F.when(F.col("_f"), F.col("b_idx")).otherwise(F.col("a_idx")).alias("worse"), F.when(by_rank, "rank").otherwise("score").alias("by")
+    )
     if max_per_scene is None:
         return out
     n = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.xxhash64("scene_id", "better", "worse"), "better", "worse"))
@@ -119,19 +134,33 @@ def channel_validate(meta: DataFrame, rules: DataFrame, metadata_only: bool = Fa
     -> (scene_id, channel, blockers, warnings, ready, overall_ready): overall means ready somewhere and no blocker of
     the scene itself (no pick). Missing records block where a channel asks for them; a flag warns.
     """
-    r = C.small(rules)
+    fields = (
+        "channel", "title_min", "title_max", "desc_min", "desc_max", "min_tags", "max_tags", "min_categories", "max_categories", "banned_terms",
+        "requires_identity_record", "min_width", "min_height"
+    )
+    given = rules.agg(F.collect_list(F.struct(*fields)).alias("_rules"))  # one row; each scene is tested against every channel
     n = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
     title, text = F.length(F.coalesce("title", F.lit(""))), F.length(F.coalesce("description", F.lit("")))
     said = F.lower(F.concat_ws(" ", "title", "description"))
-    banned = F.exists(F.coalesce("banned_terms", F.array().cast("array<string>")), lambda t: F.contains(said, F.lower(t)))
-    tests = [("title_short", title < F.col("title_min")), ("title_long", title > F.col("title_max")), ("description_short", text < F.col("desc_min")), ("description_long", text > F.col("desc_max")), ("few_tags", n("tags") < F.col("min_tags")), ("few_categories", n("categories") < F.col("min_categories")), ("banned_term", banned)]
-    if not metadata_only:
-        tests += [("no_records", F.col("requires_identity_record") & ~F.coalesce("records_ok", F.lit(False))), ("low_resolution", (F.coalesce("width", F.lit(0)) < F.col("min_width")) | (F.coalesce("height", F.lit(0)) < F.col("min_height")))]
-    warn = [("many_tags", n("tags") > F.col("max_tags")), ("many_categories", n("categories") > F.col("max_categories")), ("flagged", n("flags") > 0)]
     listed = lambda xs: F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in xs]), lambda x: x.isNotNull())
-    x = meta.crossJoin(r).select("scene_id", "channel", listed(tests).alias("blockers"), listed(warn).alias("warnings"), (F.col("picks") > 0).alias("_scene_ok"))
-    x = x.withColumn("ready", F.size("blockers") == 0)
-    return x.withColumn("overall_ready", F.max("ready").over(Window.partitionBy("scene_id")) & F.col("_scene_ok")).drop("_scene_ok")
+
+    def judged(r: Column) -> Column:
+        banned = F.exists(F.coalesce(r["banned_terms"], F.array().cast("array<string>")), lambda t: F.contains(said, F.lower(t)))
+        tests = [
+            ("title_short", title < r["title_min"]), ("title_long", title > r["title_max"]), (
+                "description_short", text < r["desc_min"]
+            ), ("description_long", text > r["desc_max"]),
+            ("few_tags", n("tags") < r["min_tags"]), ("few_categories", n("categories") < r["min_categories"]), ("banned_term", banned),
+        ]
+        if not metadata_only:
+            small = (F.coalesce("width", F.lit(0)) < r["min_width"]) | (F.coalesce("height", F.lit(0)) < r["min_height"])
+            tests += [("no_records", r["requires_identity_record"] & ~F.coalesce("records_ok", F.lit(False))), ("low_resolution", small)]
+        warn = [("many_tags", n("tags") > r["max_tags"]), ("many_categories", n("categories") > r["max_categories"]), ("flagged", n("flags") > 0)]
+        return F.struct(r["channel"].alias("channel"), listed(tests).alias("blockers"), listed(warn).alias("warnings"))
+
+    x = meta.crossJoin(F.broadcast(given)).select("scene_id", (F.col("picks") > 0).alias("_scene_ok"), F.transform("_rules", lambda r: judged(r)).alias("_c"))
+    x = x.withColumn("_any", F.exists("_c", lambda c: F.size(c["blockers"]) == 0)).select("scene_id", "_scene_ok", "_any", F.explode("_c").alias("c"))
+    return x.select("scene_id", "c.channel", "c.blockers", "c.warnings", (F.size("c.blockers") == 0).alias("ready"), (F.col("_any") & F.col("_scene_ok")).alias("overall_ready"))
 
 
 def records_ready(scenes: DataFrame, docs: DataFrame, rules: DataFrame, as_of: str, mode: str = "strict") -> DataFrame:
@@ -150,7 +179,10 @@ def records_ready(scenes: DataFrame, docs: DataFrame, rules: DataFrame, as_of: s
     people = scenes.select("scene_id", F.explode_outer("contributor_keys").alias("contributor_key")).join(kinds, "contributor_key", "left").crossJoin(r)
     no = lambda c: ~F.coalesce(c, F.lit(False))
     release = F.coalesce("release_any", F.lit(False)) | F.coalesce(F.array_contains("release_for", F.col("channel")), F.lit(False))
-    lacks = [("missing_release", F.col("requires_individual_releases") & ~release), ("missing_identity", F.col("requires_identity_record") & no("identity")), ("no_contributor", F.col("contributor_key").isNull())]
+    lacks = [
+        ("missing_release", F.col("requires_individual_releases") & ~release),
+        ("missing_identity", F.col("requires_identity_record") & no("identity")), ("no_contributor", F.col("contributor_key").isNull()),
+    ]
     problems = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in lacks]), lambda x: x.isNotNull())
     each = people.select("scene_id", "channel", problems.alias("p"))
     ready = F.bool_and(F.size("p") == 0) if mode == "strict" else F.bool_or(F.size("p") == 0)
@@ -159,7 +191,9 @@ def records_ready(scenes: DataFrame, docs: DataFrame, rules: DataFrame, as_of: s
 
 def package_eligible(logs: DataFrame, reviews: DataFrame, readiness: DataFrame) -> DataFrame:
     """(scene_id, channel, reasons, eligible): ready there, reviewed, finalised, and at least one pick."""
-    x = logs.select("scene_id", "picks").join(readiness.select("scene_id", "channel", "ready"), "scene_id").join(reviews.select("scene_id", "finalized").withColumn("_r", F.lit(True)), "scene_id", "left")
+    x = logs.select("scene_id", "picks").join(readiness.select("scene_id", "channel", "ready"), "scene_id").join(
+        reviews.select("scene_id", "finalized").withColumn("_r", F.lit(True)), "scene_id", "left"
+    )
     no = [("not_ready", ~F.col("ready")), ("not_reviewed", F.col("_r").isNull()), ("not_final", ~F.coalesce("finalized", F.lit(False))), ("no_pick", F.col("picks") == 0)]
     reasons = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in no]), lambda x: x.isNotNull())
     return x.select("scene_id", "channel", reasons.alias("reasons"), (F.size(reasons) == 0).alias("eligible"))
@@ -174,7 +208,9 @@ def taxonomy_lookup(signals: DataFrame, mapping: DataFrame) -> DataFrame:
 def flagged_sections(sections: DataFrame, flags: DataFrame) -> DataFrame:
     """Sections (scene_id, evidence ids) that share an id with a flag of the scene."""
     f = flags.select(F.col("scene_id").alias("_s"), F.explode("evidence").alias("_e")).distinct()
-    key = sections.select("scene_id", "section", F.explode("evidence").alias("_x")).join(f, (F.col("scene_id") == F.col("_s")) & (F.col("_x") == F.col("_e")), "left_semi").select("scene_id", "section").distinct()
+    key = sections.select("scene_id", "section", F.explode("evidence").alias("_x")).join(
+        f, (F.col("scene_id") == F.col("_s")) & (F.col("_x") == F.col("_e")), "left_semi"
+    ).select("scene_id", "section").distinct()
     return sections.join(key, ["scene_id", "section"], "left_semi")
 
 

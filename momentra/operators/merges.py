@@ -65,9 +65,15 @@ def pointer_update(pointer: DataFrame, runs: DataFrame, action: str, at: str) ->
     at_stage = F.array_position(F.array(*map(F.lit, STAGES)), F.when(same & F.col("p.enabled"), F.col("p.stage")).otherwise("off")).cast("int")
     following = F.element_at(F.array(*map(F.lit, STAGES)), F.least(F.lit(len(STAGES)), at_stage + 1))
     if action == "promote":
-        new = x.where("r.gates_pass").select(F.lit(at).cast("timestamp").alias("updated_at"), F.col("r.rule_pack_id").alias("rule_pack_id"), following.alias("stage"), F.lit(True).alias("enabled"))
+        new = x.where("r.gates_pass").select(
+            F.lit(at).cast("timestamp").alias("updated_at"), F.col("r.rule_pack_id").alias("rule_pack_id"), following.alias("stage"),
+            F.lit(True).alias("enabled")
+        )
     else:
-        new = x.where("p is not null").select(F.lit(at).cast("timestamp").alias("updated_at"), F.col("p.rule_pack_id").alias("rule_pack_id"), F.lit("off").alias("stage"), F.lit(False).alias("enabled"))
+        new = x.where("p is not null").select(
+            F.lit(at).cast("timestamp").alias("updated_at"), F.col("p.rule_pack_id").alias("rule_pack_id"), F.lit("off").alias("stage"),
+            F.lit(False).alias("enabled")
+        )
     return pointer.unionByName(new)
 
 

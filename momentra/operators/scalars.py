@@ -116,7 +116,9 @@ def parse_response(responses: DataFrame, fail_codes: list[str]) -> DataFrame:
     ok = F.coalesce("ok", F.lit(False))
     return responses.select(
         "scene_id", "obs_id", F.when(ok, score).alias("score"), (ok & score.isNotNull()).alias("parse_succeeded"), F.when(failed, fail).alias("fail_code"), (ok & ~failed).alias("gate_pass"),
-        codes("BONUS").alias("bonus_codes"), codes("PENALTY").alias("penalty_codes"), F.coalesce(F.nullif(C.slug_label(field("LABEL")), F.lit("")), F.lit("OTHER")).alias("label"), F.coalesce(C.clamp(number("CONFIDENCE"), 0, 1), F.lit(0.0)).alias("label_confidence"),
+        codes("BONUS").alias("bonus_codes"), codes("PENALTY").alias("penalty_codes"), F.coalesce(
+            F.nullif(C.slug_label(field("LABEL")), F.lit("")), F.lit("OTHER")
+        ).alias("label"), F.coalesce(C.clamp(number("CONFIDENCE"), 0, 1), F.lit(0.0)).alias("label_confidence"),
     )
 
 
@@ -126,7 +128,9 @@ def rubric_score(df: DataFrame, weights: DataFrame, base: float, ceilings: list[
     ceilings: (bonus codes at least, ceiling), the last that holds; below all of them the first.
     """
     codes = df.select(key, F.explode(F.array_distinct("codes")).alias("code"))
-    sums = codes.join(C.small(weights.select("code", "weight")), "code", "left").groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("_w"), F.count_if(F.col("weight") > 0).alias("_n"))
+    sums = codes.join(C.small(weights.select("code", "weight")), "code", "left").groupBy(key).agg(
+        F.sum(F.coalesce("weight", F.lit(0.0))).alias("_w"), F.count_if(F.col("weight") > 0).alias("_n")
+    )
     top = F.lit(ceilings[0][1])
     for least, ceiling in ceilings:
         top = F.when(F.col("_n") >= least, F.lit(ceiling)).otherwise(top)
@@ -182,7 +186,13 @@ def dominant_label(df: DataFrame) -> DataFrame:
     """dominant: hint, a label other than OTHER, the first tag of three arrays, type, UNKNOWN: the first that is not empty."""
     first = lambda c: F.try_element_at(F.filter(F.col(c), lambda x: x.isNotNull() & (x != "")), F.lit(1))
     label = C.truthy(F.col("label"))
-    return df.withColumn("dominant", F.coalesce(C.truthy(F.col("hint")), F.when(label != "OTHER", label), first("group_tags"), first("subgroup_tags"), first("flags"), C.truthy(F.col("type")), F.lit("UNKNOWN")))
+    return df.withColumn(
+        "dominant",
+        F.coalesce(
+            C.truthy(F.col("hint")), F.when(label != "OTHER", label), first("group_tags"), first("subgroup_tags"), first("flags"),
+            C.truthy(F.col("type")), F.lit("UNKNOWN")
+        )
+    )
 
 
 def obs_confidence(df: DataFrame) -> DataFrame:
@@ -233,7 +243,11 @@ def curation_quality(df: DataFrame, generic_words: list[str]) -> DataFrame:
     """curation_score 0..5 and curation_reasons, from the lengths of title and description, the tags and generic words."""
     title, text, tags = F.length(F.coalesce("title", F.lit(""))), F.length(F.coalesce("description", F.lit(""))), F.size(F.coalesce("tags", F.array()))
     generic = F.size(F.array_intersect(C.token_set(F.col("title")), F.array(*map(F.lit, generic_words))))
-    parts = {"title_length": F.when(title.between(18, 110), 1.5).when(title > 0, 0.5).otherwise(0.0), "long_text": F.when(text >= 200, 1.5).when(text >= 80, 1.0).when(text > 0, 0.3).otherwise(0.0), "tag_count": F.when(tags >= 5, 2.0).when(tags >= 2, 1.0).otherwise(0.0)}
+    parts = {
+        "title_length": F.when(title.between(18, 110), 1.5).when(title > 0, 0.5).otherwise(0.0),
+        "long_text": F.when(text >= 200, 1.5).when(text >= 80, 1.0).when(text > 0, 0.3).otherwise(0.0),
+        "tag_count": F.when(tags >= 5, 2.0).when(tags >= 2, 1.0).otherwise(0.0),
+    }
     reasons = F.filter(F.array(*[F.when(v > 0, F.lit(k)) for k, v in parts.items()], F.when(generic > 0, F.lit("generic_words"))), lambda x: x.isNotNull())
     score = sum(parts.values(), F.lit(0.0)) - F.least(F.lit(1.5), generic * 0.5)
     return df.withColumns({"curation_score": F.round(C.clamp(score, 0, 5), 2), "curation_reasons": reasons})
@@ -279,7 +293,12 @@ def inherit_metadata(files: DataFrame, sidecars: DataFrame, fields: dict[str, li
     """
     parts = F.split("path", "/")
     depths = F.sequence(F.lit(1), F.size(parts) - 1)
-    up = files.select("path", F.explode(F.transform(depths, lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, F.lit(1), d), "/").alias("folder")))).alias("x")).select("path", "x.depth", "x.folder")
+    up = files.select(
+        "path",
+        F.explode(
+            F.transform(depths, lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, F.lit(1), d), "/").alias("folder")))
+        ).alias("x")
+    ).select("path", "x.depth", "x.folder")
     side = sidecars.select("folder", *[F.coalesce(*[C.truthy(F.col(c)) for c in cols]).alias(name) for name, cols in fields.items()])
     found = up.join(side, "folder").groupBy("path").agg(*[F.max_by(name, F.when(F.col(name).isNotNull(), F.col("depth"))).alias(name) for name in fields])
     return files.select("path").join(found, "path", "left")
@@ -288,7 +307,12 @@ def inherit_metadata(files: DataFrame, sidecars: DataFrame, fields: dict[str, li
 def sync_labels(df: DataFrame) -> DataFrame:
     """Parsed labels and flags where there are such, else defaults; from_parser tells which."""
     ok = F.coalesce(F.col("parse_succeeded"), F.lit(False)) & C.truthy(F.col("label")).isNotNull()
-    return df.withColumns({"label": F.when(ok, F.col("label")).otherwise("OTHER"), "label_confidence": F.when(ok, F.coalesce("label_confidence", F.lit(0.0))).otherwise(0.0), "from_parser": ok})
+    return df.withColumns(
+        {
+            "label": F.when(ok, F.col("label")).otherwise("OTHER"),
+            "label_confidence": F.when(ok, F.coalesce("label_confidence", F.lit(0.0))).otherwise(0.0), "from_parser": ok,
+        }
+    )
 
 
 def code_class(df: DataFrame, col: str, letters: tuple[str, str], rules: list[tuple[int, int, str]], default: str = "group") -> DataFrame:
@@ -363,7 +387,13 @@ def title_fit(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     r = C.small(rules.select("channel", "title_min", "title_max", "banned_terms"))
     n = F.length(F.coalesce("title", F.lit("")))
     banned = F.exists("banned_terms", lambda t: F.contains(F.lower("title"), F.lower(t)))
-    warn = F.filter(F.array(F.when(n < F.col("title_min"), F.lit("too_short")), F.when(n > F.col("title_max"), F.lit("too_long")), F.when(banned, F.lit("banned_term"))), lambda x: x.isNotNull())
+    warn = F.filter(
+        F.array(
+            F.when(n < F.col("title_min"), F.lit("too_short")), F.when(n > F.col("title_max"), F.lit("too_long")),
+            F.when(banned, F.lit("banned_term"))
+        ),
+        lambda x: x.isNotNull()
+    )
     return df.crossJoin(r).select(key, "channel", n.between(F.col("title_min"), F.col("title_max")).alias("fits"), warn.alias("warnings"))
 
 

@@ -34,11 +34,10 @@ def min_gap_select(df: DataFrame, score_col: str, k: int | Column, gap_sec: floa
 def sharp_gate(df: DataFrame, k: int, pct: float = 25.0, relaxed: float = 10.0, hard_floor: float = 100.0, relaxed_floor: float = 50.0) -> DataFrame:
     """Rows at or over their scene's sharpness floor max(percentile, hard_floor); where fewer than k qualify, over the
     relaxed floor. gate_relaxed tells which."""
-    p = df.groupBy("scene_id").agg(F.percentile("sharpness", F.array(F.lit(pct / 100), F.lit(relaxed / 100))).alias("_p"))
-    x = df.join(p, "scene_id")
+    w = Window.partitionBy("scene_id")
+    x = df.withColumn("_p", F.percentile("sharpness", F.array(F.lit(pct / 100), F.lit(relaxed / 100))).over(w))
     x = x.withColumns({"_hi": F.greatest(F.lit(hard_floor), F.col("_p")[0]), "_lo": F.greatest(F.lit(relaxed_floor), F.col("_p")[1])})
-    n = F.count_if(F.col("sharpness") >= F.col("_hi")).over(Window.partitionBy("scene_id"))
-    x = x.withColumn("gate_relaxed", n < k)
+    x = x.withColumn("gate_relaxed", F.count_if(F.col("sharpness") >= F.col("_hi")).over(w) < k)
     return x.where(F.col("sharpness") >= F.when(F.col("gate_relaxed"), F.col("_lo")).otherwise(F.col("_hi"))).drop("_p", "_hi", "_lo")
 
 
@@ -52,7 +51,9 @@ def live_select(obs: DataFrame, k: int, gap_sec: float = 20.0) -> DataFrame:
 def interval_consolidate(seeds: DataFrame) -> DataFrame:
     """seeds (scene_id, obs_id, timestamp_sec, score, window_sec) -> windows kept, best score first, that overlap none kept before."""
     t, w = F.col("timestamp_sec"), F.col("window_sec")
-    x = seeds.where("window_sec > 0 and timestamp_sec is not null").select("scene_id", "obs_id", (t - w).alias("lo"), (t + w).alias("hi"), F.col("score").cast("double").alias("score"), "timestamp_sec")
+    x = seeds.where("window_sec > 0 and timestamp_sec is not null").select(
+        "scene_id", "obs_id", (t - w).alias("lo"), (t + w).alias("hi"), F.col("score").cast("double").alias("score"), "timestamp_sec"
+    )
     kept = streams.sorted_pass(x, [F.desc("score"), "timestamp_sec", "obs_id"], "scene_id string, obs_id long, lo double, hi double, score double", streams.Disjoint)
     return kept.select("scene_id", "obs_id", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"), "score")
 
@@ -61,7 +62,9 @@ def window_expand(seeds: DataFrame, seen: DataFrame) -> DataFrame:
     """seeds (scene_id, obs_id, timestamp_sec, score, window_sec, step_sec, duration_sec) -> sample times in each window and
     in [0, duration]; a time (1 place) goes to the best seed that claims it, and none that was seen comes back."""
     steps = F.floor(F.col("window_sec") / F.col("step_sec")).cast("int")
-    x = seeds.where("step_sec > 0 and window_sec > 0").select("scene_id", "obs_id", "score", "duration_sec", "timestamp_sec", "step_sec", F.explode(F.sequence(-steps, steps)).alias("i"))
+    x = seeds.where("step_sec > 0 and window_sec > 0").select(
+        "scene_id", "obs_id", "score", "duration_sec", "timestamp_sec", "step_sec", F.explode(F.sequence(-steps, steps)).alias("i")
+    )
     x = x.withColumn("t", F.floor((F.col("timestamp_sec") + F.col("i") * F.col("step_sec")) * 10 + 0.5) / 10).where((F.col("t") >= 0) & (F.col("t") <= F.col("duration_sec")))
     first = x.groupBy("scene_id", "t").agg(F.max_by("obs_id", F.struct("score", -F.col("obs_id"))).alias("seed_id"))
     s = seen.select(F.col("scene_id").alias("_s"), (F.floor(F.col("timestamp_sec") * 10 + 0.5) / 10).alias("_t"))
@@ -123,7 +126,10 @@ def recheck_queue(picks: DataFrame, results: DataFrame, n: int = 8) -> DataFrame
     """The first n picks (by rank) of each scene that are eligible and need a recheck, with the verdict of results if there is one."""
     q = _ranked(picks.where("eligible and needs_recheck"), ["rank", "obs_id"], "queue_rank").where(F.col("queue_rank") <= n)
     x = q.join(results.select("scene_id", "obs_id", "verdict"), ["scene_id", "obs_id"], "left")
-    return x.select("scene_id", "obs_id", "queue_rank", F.coalesce("verdict", F.lit("pending")).alias("verdict"), (F.coalesce("verdict", F.lit("")) != "reject").alias("still_eligible"))
+    return x.select(
+        "scene_id", "obs_id", "queue_rank", F.coalesce("verdict", F.lit("pending")).alias("verdict"),
+        (F.coalesce("verdict", F.lit("")) != "reject").alias("still_eligible")
+    )
 
 
 def recheck_rounds(candidates: DataFrame, results: DataFrame, select: Callable[[DataFrame], DataFrame], n: int = 8, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -208,7 +214,12 @@ def title_sanitize(titles: DataFrame, jaccard: float = 0.72, low: int = 18, high
     times running, first four words new, and tokens unlike all kept before."""
     w = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != "")
     n = F.size("w")
-    run = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 3)), lambda i: (n >= 4) & (F.try_element_at("w", i) == F.try_element_at("w", i + 1)) & (F.try_element_at("w", i) == F.try_element_at("w", i + 2)) & (F.try_element_at("w", i) == F.try_element_at("w", i + 3)))
+    run = F.exists(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), n - 3)),
+        lambda i: (n >= 4) & (
+            F.try_element_at("w", i) == F.try_element_at("w", i + 1)
+        ) & (F.try_element_at("w", i) == F.try_element_at("w", i + 2)) & (F.try_element_at("w", i) == F.try_element_at("w", i + 3))
+    )
     x = titles.where(F.length("text").between(low, high)).withColumn("w", w).where((F.size(F.array_distinct("w")) / n >= 0.5) & ~F.coalesce(run, F.lit(False)))
     x = x.withColumn("head", F.array_join(F.slice("w", 1, 4), " "))
     first = lambda *k: F.row_number().over(Window.partitionBy("scene_id", *k).orderBy("ord"))
@@ -221,7 +232,9 @@ def title_balance(titles: DataFrame, lead: str, hints: list[str], n: int, jaccar
     """titles (scene_id, ord, text) -> n a scene: by points (lead term 3, each hint 1, length 40..80 1), unlike those taken
     before; then the best others fill up. -> (scene_id, ord, points, place)."""
     low = F.lower("text")
-    points = F.when(F.contains(low, F.lit(lead.lower())), 3).otherwise(0) + sum((F.when(F.contains(low, F.lit(h.lower())), 1).otherwise(0) for h in hints), F.lit(0)) + F.when(F.length("text").between(40, 80), 1).otherwise(0)
+    points = F.when(F.contains(low, F.lit(lead.lower())), 3).otherwise(0) + sum(
+        (F.when(F.contains(low, F.lit(h.lower())), 1).otherwise(0) for h in hints), F.lit(0)
+    ) + F.when(F.length("text").between(40, 80), 1).otherwise(0)
     x = titles.select("scene_id", "ord", points.cast("int").alias("points"), C.token_set(F.col("text")).alias("tokens"))
     return streams.sorted_pass(x, [F.desc("points"), "ord"], "scene_id string, ord long, points int, place int", lambda: streams.UnlikeTokens(jaccard, n))
 
@@ -235,7 +248,9 @@ def disagreements(feedback: DataFrame, limit: int = 120, only_errors: bool = Tru
     fields = [F.struct(F.lit(f).alias("field"), F.col(f"model_{f}").cast("string").alias("model"), F.col(f"operator_{f}").cast("string").alias("operator")) for f in ("label", "visible", "score")]
     x = last.select("feedback_id", "ts", F.explode(F.array(*fields)).alias("x")).select("feedback_id", "ts", "x.*").where("model is not null and operator is not null")
     gap = F.abs(F.col("model").try_cast("double") - F.col("operator").try_cast("double"))
-    verdict = F.when(F.col("model") == F.col("operator"), "ok").when((F.col("field") == "score") & (gap == 0), "ok").when((F.col("field") == "score") & (gap <= 10), "warn").otherwise("err")
+    verdict = F.when(F.col("model") == F.col("operator"), "ok").when((F.col("field") == "score") & (gap == 0), "ok").when(
+        (F.col("field") == "score") & (gap <= 10), "warn"
+    ).otherwise("err")
     x = x.withColumn("verdict", verdict)
     return x.where("verdict != 'ok'") if only_errors else x
 
@@ -257,20 +272,31 @@ def coverage_ready(obs: DataFrame, picks: DataFrame, target: int, segments: int
     o = obs.groupBy("scene_id").agg(F.collect_set("label").alias("seen"), F.min("timestamp_sec").alias("start"), (F.max("timestamp_sec") - F.min("timestamp_sec")).alias("len"))
     length = o.select("scene_id", "start", "len")
     segment = F.least(F.lit(segments - 1), F.floor(F.when(F.col("len") > 0, (t - F.col("start")) / F.col("len") * segments).otherwise(0.0)))
-    p = picks.join(length, "scene_id").groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("label").alias("picked"), (F.max("timestamp_sec") - F.min("timestamp_sec")).alias("plen"), F.countDistinct(segment).alias("covered"))
+    p = picks.join(length, "scene_id").groupBy("scene_id").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set("label").alias("picked"), (F.max("timestamp_sec") - F.min("timestamp_sec")).alias("plen"),
+        F.countDistinct(segment).alias("covered")
+    )
     x = o.join(p, "scene_id", "left")
     missing = F.array_sort(F.array_except("seen", F.coalesce("picked", F.array().cast("array<string>"))))
     share = F.round(F.when(F.col("len") > 0, F.coalesce("plen", F.lit(0.0)) / F.col("len")).otherwise(1.0), 4)
     enough = F.coalesce("n", F.lit(0)) >= target
     covered = F.coalesce("covered", F.lit(0)).cast("int")
     wide = (share >= (span_in_segments if segments > 1 else span)) & (covered >= (min(segments, max(2, segments - 1)) if segments > 1 else 0))
-    return x.select("scene_id", enough.alias("enough"), missing.alias("labels_missing"), share.alias("span_share"), covered.alias("segments_covered"), (enough & (F.size(missing) == 0) & wide).alias("ready"))
+    return x.select(
+        "scene_id", enough.alias("enough"), missing.alias("labels_missing"), share.alias("span_share"), covered.alias("segments_covered"),
+        (enough & (F.size(missing) == 0) & wide).alias("ready")
+    )
 
 
 def failure_stop(scored: DataFrame, min_completed: int = 12, rate: float = 0.75) -> DataFrame:
     """(scene_id, stop_at): the first row, in order, by which min_completed are done, none is usable and `rate` or more failed."""
     w = Window.partitionBy("scene_id").orderBy("timestamp_sec", "obs_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = scored.withColumns({"_n": F.count(F.lit(1)).over(w), "_ok": F.count_if(F.col("parse_succeeded") & (F.col("score") > 0)).over(w), "_bad": F.count_if(~F.col("parse_succeeded")).over(w)})
+    x = scored.withColumns(
+        {
+            "_n": F.count(F.lit(1)).over(w), "_ok": F.count_if(F.col("parse_succeeded") & (F.col("score") > 0)).over(w),
+            "_bad": F.count_if(~F.col("parse_succeeded")).over(w),
+        }
+    )
     hit = (F.col("_n") >= min_completed) & (F.col("_ok") == 0) & (F.col("_bad") >= rate * F.col("_n"))
     return x.groupBy("scene_id").agg(F.min(F.when(hit, F.col("_n"))).alias("stop_at"))
 
@@ -281,7 +307,10 @@ PICKS = "scene_id string, obs_id long, timestamp_sec double, label string, bucke
 STATS = "eligible int, runs int, effective_max int, picks int"
 
 
-def _fill(x: pd.DataFrame, spec: dict[str, int], per_label: int, per_run: int, gap: float, tight: float, run_gap: float, max_total: int, min_total: int, cap: int) -> tuple[list, dict]:
+def _fill(
+    x: pd.DataFrame, spec: dict[str, int], per_label: int, per_run: int, gap: float, tight: float, run_gap: float, max_total: int, min_total: int,
+    cap: int
+) -> tuple[list, dict]:
     """One scene, rows in time order. Every pick counts for the gap of the later ones."""
     rows = x.sort_values(["timestamp_sec", "obs_id"]).to_dict("records")
     runs: list[list[dict]] = []
@@ -322,7 +351,10 @@ def _fill(x: pd.DataFrame, spec: dict[str, int], per_label: int, per_run: int, g
     return picked, {"eligible": len(rows), "runs": len(runs), "effective_max": total, "picks": len(picked)}
 
 
-def quota_fill(obs: DataFrame, spec: dict[str, int], max_total: int, min_total: int, per_label: int = 0, per_run: int = 3, gap_sec: float = 20.0, tight_sec: float = 8.0, run_gap: float = 120.0, cap: int = 36) -> tuple[DataFrame, DataFrame]:
+def quota_fill(
+    obs: DataFrame, spec: dict[str, int], max_total: int, min_total: int, per_label: int = 0, per_run: int = 3, gap_sec: float = 20.0,
+    tight_sec: float = 8.0, run_gap: float = 120.0, cap: int = 36
+) -> tuple[DataFrame, DataFrame]:
     """obs (scene_id, obs_id, timestamp_sec, label, label_confidence, bucket, score, motion) -> (picks, stats).
 
     Pass 0 covers each run of a label, pass 1 fills buckets and labels with the gap, 2 tops off with the gap to

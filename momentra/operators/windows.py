@@ -38,7 +38,10 @@ def semantic_sections(obs: DataFrame, gap_sec: float = 75.0, pad: float = 2.0, t
     )
     start = F.greatest(F.lit(0.0), F.col("t0") - pad)
     end = F.greatest(start + 1, F.col("t1") + pad)
-    out = s.select("scene_id", "label", F.round(start, 3).alias("start_sec"), F.round(end, 3).alias("end_sec"), "n", F.round("s", 4).alias("avg_score"), "avg_motion", F.round(F.greatest("c", F.col("s") / 100), 6).alias("confidence"), "thumb_sec", "run")
+    out = s.select(
+        "scene_id", "label", F.round(start, 3).alias("start_sec"), F.round(end, 3).alias("end_sec"), "n", F.round("s", 4).alias("avg_score"),
+        "avg_motion", F.round(F.greatest("c", F.col("s") / 100), 6).alias("confidence"), "thumb_sec", "run"
+    )
     return out.withColumn("section", F.row_number().over(Window.partitionBy("scene_id").orderBy("run"))).where(F.col("section") <= top).drop("run")
 
 
@@ -60,7 +63,12 @@ def motion_delta(obs: DataFrame, vec_col: str, keep: Column, scale: float = 32.0
 def signature(df: DataFrame, vec_col: str, bits: int = 63) -> DataFrame:
     """hash: bit i is whether element i + 1 is larger than element i."""
     at = F.sequence(F.lit(1), F.least(F.lit(bits), F.size(vec_col) - 1))
-    fold = F.aggregate(at, F.lit(0).cast("long"), lambda h, i: F.when(F.element_at(vec_col, i + 1) > F.element_at(vec_col, i), h.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i - 1))).otherwise(h))
+    fold = F.aggregate(
+        at, F.lit(0).cast("long"),
+        lambda h, i: F.when(
+            F.element_at(vec_col, i + 1) > F.element_at(vec_col, i), h.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i - 1))
+        ).otherwise(h)
+    )
     return df.withColumn("hash", fold)
 
 
@@ -74,7 +82,10 @@ def spec_compat(items: DataFrame, fps_tol: float = 0.1) -> DataFrame:
     """items (group_id, position, fps, resolution, codec) with issues against the group's first item."""
     w = Window.partitionBy("group_id").orderBy("position")
     first = lambda c: F.first(c).over(w)
-    issues = F.array(F.when(F.abs(F.col("fps") - first("fps")) > fps_tol, F.lit("fps")), F.when(F.col("resolution") != first("resolution"), F.lit("resolution")), F.when(F.col("codec") != first("codec"), F.lit("codec")))
+    issues = F.array(
+        F.when(F.abs(F.col("fps") - first("fps")) > fps_tol, F.lit("fps")), F.when(F.col("resolution") != first("resolution"), F.lit("resolution")),
+        F.when(F.col("codec") != first("codec"), F.lit("codec"))
+    )
     return items.withColumn("issues", F.filter(issues, lambda x: x.isNotNull()))
 
 
@@ -110,7 +121,9 @@ def latest_status(events: DataFrame) -> DataFrame:
 def even_samples(scenes: DataFrame, n: int, max_duration: float | None = None) -> DataFrame:
     """scenes (scene_id, duration_sec) -> n evenly spaced timestamps, the middles of n equal parts."""
     d = F.col("duration_sec") if max_duration is None else F.least("duration_sec", F.lit(float(max_duration)))
-    return scenes.where("duration_sec > 0").select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), d.alias("_d")).select("scene_id", "i", F.round((F.col("i") + 0.5) * F.col("_d") / n, 3).alias("timestamp_sec"))
+    return scenes.where("duration_sec > 0").select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), d.alias("_d")).select(
+        "scene_id", "i", F.round((F.col("i") + 0.5) * F.col("_d") / n, 3).alias("timestamp_sec")
+    )
 
 
 def segments(obs: DataFrame, scenes: DataFrame, k: int, min_duration: float = 1800.0) -> DataFrame:

@@ -16,41 +16,59 @@ from momentra.plans.window_queries import RUNS
 
 def order_feedback(spark, sf):
     """Feedback on scenes: line items stand for the judged moments."""
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("scene_id"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("operator_score"))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("scene_id"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("operator_score")
+    )
 
 
-@query("feedback_by_source", f"WITH {LOGS} SELECT scene_id, l_linenumber, l_partkey, l_suppkey, l_quantity AS operator_score, source FROM lineitem JOIN scene_log ON l_orderkey = n WHERE source = 'machinery'")
+@query("feedback_by_source", f"""
+    WITH {LOGS} SELECT scene_id, l_linenumber, l_partkey, l_suppkey, l_quantity AS operator_score, source
+    FROM lineitem JOIN scene_log ON l_orderkey = n WHERE source = 'machinery'""")
 def _(spark, sf):
     return J.feedback_by_source(order_feedback(spark, sf), scene_log(spark, sf).select("scene_id", "source"), "MACHINERY")
 
 
-@query("review_enriched", f"WITH {LOGS} SELECT scene_id, finalized, source, ndocs FROM (SELECT scene_id, n % 6 = 0 AS finalized, source, n FROM scene_log WHERE n % 3 = 0) LEFT JOIN (SELECT doc_id, n_chars AS ndocs FROM documents) ON doc_id = n")
+@query("review_enriched", f"""
+    WITH {LOGS} SELECT scene_id, finalized, source, ndocs FROM (SELECT scene_id, n % 6 = 0 AS finalized, source, n
+        FROM scene_log WHERE n % 3 = 0) LEFT JOIN (SELECT doc_id, n_chars AS ndocs FROM documents) ON doc_id = n""")
 def _(spark, sf):
     insight = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("scene_id"), F.col("n_chars").alias("ndocs"))
     return J.review_enriched(final_reviews(spark, sf), scene_log(spark, sf).select("scene_id", "source"), insight)
 
 
-@query("library_find", f"WITH {LOGS} SELECT scene_id, top_score FROM scene_log WHERE source = 'building' AND contains(lower(title), 'high') AND top_score >= 20 AND picks >= 3 AND processed_at >= TIMESTAMP '1995-01-01' AND len(error_codes) > 0 AND NOT flagged AND n % 3 <> 0 AND n % 4 = 0 ORDER BY top_score DESC, processed_at DESC, scene_id LIMIT 100")
+@query("library_find", f"""
+    WITH {LOGS} SELECT scene_id, top_score FROM scene_log WHERE source = 'building' AND contains(lower(title), 'high') AND top_score >= 20 AND picks >= 3 AND processed_at >= TIMESTAMP '1995-01-01' AND len(error_codes) > 0 AND NOT flagged AND n % 3 <> 0 AND n % 4 = 0
+    ORDER BY top_score DESC, processed_at DESC, scene_id LIMIT 100""")
 def _(spark, sf):
     logs = scene_log(spark, sf)
     ready = logs.select("scene_id", F.lit("alpha").alias("channel"), (F.col("n") % 4 == 0).alias("ready"))
-    return J.library_find(logs, final_reviews(spark, sf), ready, source="Building", text="HIGH", min_score=20, min_picks=3, since="1995-01-01", has_errors=True, flagged=False, reviewed=False, channel="alpha").select("scene_id", "top_score")
+    return J.library_find(
+        logs, final_reviews(spark, sf), ready, source="Building", text="HIGH", min_score=20, min_picks=3, since="1995-01-01", has_errors=True,
+        flagged=False, reviewed=False, channel="alpha"
+    ).select("scene_id", "top_score")
 
 
-@query("library_page", f"WITH {LOGS}, s AS (SELECT *, CASE WHEN n % 6 = 0 THEN 'REVIEWED' WHEN picks >= 6 THEN 'REVIEW' WHEN picks > 0 THEN 'DRAFT' ELSE 'FAILED' END AS status FROM scene_log) SELECT scene_id, status, row_number() OVER (ORDER BY CASE status WHEN 'REVIEW' THEN 0 WHEN 'DRAFT' THEN 1 WHEN 'REVIEWED' THEN 2 ELSE 3 END, processed_at DESC, scene_id)::INTEGER AS place FROM s WHERE contains(lower(scene_id || ' ' || source || ' ' || title), 'urgent') QUALIFY place <= 24")
+@query("library_page", f"""
+    WITH {LOGS}, s AS (SELECT *, CASE WHEN n % 6 = 0 THEN 'REVIEWED' WHEN picks >= 6 THEN 'REVIEW' WHEN picks > 0 THEN 'DRAFT' ELSE 'FAILED' END AS status
+        FROM scene_log)
+    SELECT scene_id, status, row_number() OVER (ORDER BY CASE status WHEN 'REVIEW' THEN 0 WHEN 'DRAFT' THEN 1 WHEN 'REVIEWED' THEN 2 ELSE 3 END, processed_at DESC,
+            scene_id)::INTEGER AS place FROM s WHERE contains(lower(scene_id || ' ' || source || ' ' || title), 'urgent')
+    QUALIFY place <= 24""")
 def _(spark, sf):
     from momentra.operators.scalars import scene_status
 
     return J.library_page(scene_status(scene_log(spark, sf), final_reviews(spark, sf)), q="Urgent", sort="status").select("scene_id", "status", "place")
 
 
-@query("exclude_seen", f"WITH {OBS} SELECT obs_id FROM frame_obs a WHERE NOT EXISTS (SELECT 1 FROM frame_obs b WHERE b.k % 4 = 0 AND b.scene_id = a.scene_id AND floor(b.timestamp_sec * 10 + 0.5) = floor(a.timestamp_sec * 10 + 0.5))")
+@query("exclude_seen", f"""
+    WITH {OBS} SELECT obs_id FROM frame_obs a WHERE NOT EXISTS (SELECT 1 FROM frame_obs b WHERE b.k % 4 = 0 AND b.scene_id = a.scene_id AND floor(b.timestamp_sec * 10 + 0.5) = floor(a.timestamp_sec * 10 + 0.5))""")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     return J.exclude_seen(x, x.where("k % 4 = 0")).select("obs_id")
 
 
-@query("exclude_near", f"WITH {OBS} SELECT obs_id FROM frame_obs a WHERE NOT EXISTS (SELECT 1 FROM frame_obs b WHERE b.k % 9 = 0 AND b.scene_id = a.scene_id AND abs(b.timestamp_sec - a.timestamp_sec) <= 5)")
+@query("exclude_near", f"""
+    WITH {OBS} SELECT obs_id FROM frame_obs a WHERE NOT EXISTS (SELECT 1 FROM frame_obs b WHERE b.k % 9 = 0 AND b.scene_id = a.scene_id AND abs(b.timestamp_sec - a.timestamp_sec) <= 5)""")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     return J.exclude_near(x, x.where("k % 9 = 0"), 5.0).select("obs_id")
@@ -61,32 +79,51 @@ near AS (SELECT p.scene_id, p.obs_id, p.sharpness, o.dt, b.obs_id AS near_id, b.
          WHERE b.scene_id = p.scene_id AND floor(b.timestamp_sec + 0.5) = floor(p.timestamp_sec + o.dt + 0.5))"""
 
 
-@query("nearest_better", f"WITH {NEAR}, best AS (SELECT scene_id, obs_id, sharpness, arg_max(near_id, (ns, -abs(dt), dt, -near_id)) AS i, max(ns) AS ns FROM near GROUP BY ALL) SELECT p.scene_id, p.obs_id, CASE WHEN ns - p.sharpness >= 35 AND ns - p.sharpness >= 0.12 * p.sharpness THEN i END AS better_id, CASE WHEN ns - p.sharpness >= 35 AND ns - p.sharpness >= 0.12 * p.sharpness THEN round(ns - p.sharpness, 2) END AS gain FROM frame_obs p LEFT JOIN best USING (scene_id, obs_id) WHERE score >= 40")
+@query("nearest_better", f"""
+    WITH {NEAR}, best AS (SELECT scene_id, obs_id, sharpness, arg_max(near_id, (ns, -abs(dt), dt, -near_id)) AS i, max(ns) AS ns
+        FROM near GROUP BY ALL)
+    SELECT p.scene_id, p.obs_id, CASE WHEN ns - p.sharpness >= 35 AND ns - p.sharpness >= 0.12 * p.sharpness THEN i END AS better_id, CASE WHEN ns - p.sharpness >= 35 AND ns - p.sharpness >= 0.12 * p.sharpness THEN round(ns - p.sharpness,
+            2) END AS gain FROM frame_obs p LEFT JOIN best USING (scene_id, obs_id) WHERE score >= 40""")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     return J.nearest_better(x.where("score >= 40"), x, [-10.0, -5.0, 5.0, 10.0])
 
 
-@query("nearest_clearing_floor", f"WITH {NEAR}, best AS (SELECT scene_id, obs_id, arg_min(near_id, (abs(dt), dt < 0, near_id)) AS near_id, arg_min(dt, (abs(dt), dt < 0, near_id)) AS dt FROM near WHERE ns >= 200 GROUP BY ALL) SELECT scene_id, obs_id, best.near_id, best.dt FROM frame_obs p LEFT JOIN best USING (scene_id, obs_id) WHERE score >= 40")
+@query("nearest_clearing_floor", f"""
+    WITH {NEAR}, best AS (SELECT scene_id, obs_id, arg_min(near_id, (abs(dt), dt < 0, near_id)) AS near_id, arg_min(dt, (abs(dt), dt < 0, near_id)) AS dt
+        FROM near WHERE ns >= 200 GROUP BY ALL)
+    SELECT scene_id, obs_id, best.near_id, best.dt FROM frame_obs p LEFT JOIN best USING (scene_id, obs_id)
+    WHERE score >= 40""")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     return J.nearest_clearing_floor(x.where("score >= 40"), x, [-10.0, -5.0, 5.0, 10.0], 200.0)
 
 
-@query("temporal_support", f"WITH {OBS} SELECT obs_id, label_confidence >= 0.85 OR EXISTS (SELECT 1 FROM frame_obs b WHERE b.scene_id = a.scene_id AND b.label = a.label AND b.obs_id <> a.obs_id AND b.label_confidence >= 0.6 AND b.timestamp_sec BETWEEN a.timestamp_sec - 45 AND a.timestamp_sec + 45) AS supported FROM frame_obs a")
+@query("temporal_support", f"""
+    WITH {OBS} SELECT obs_id, label_confidence >= 0.85 OR EXISTS (SELECT 1 FROM frame_obs b WHERE b.scene_id = a.scene_id AND b.label = a.label AND b.obs_id <> a.obs_id AND b.label_confidence >= 0.6 AND b.timestamp_sec BETWEEN a.timestamp_sec - 45 AND a.timestamp_sec + 45) AS supported
+    FROM frame_obs a""")
 def _(spark, sf):
     return J.temporal_support(frame_obs(spark, sf)).select("obs_id", "supported")
 
 
-@query("preference_pairs", f"WITH {FEEDBACK}, p AS (SELECT (doc_id // 20)::VARCHAR AS scene_id, doc_id AS idx, CASE decision WHEN 'keep' THEN 2 WHEN 'maybe' THEN 1 WHEN 'reject' THEN 0 END AS r, coalesce(operator_score, -1) AS s FROM feedback), x AS (SELECT a.scene_id, a.idx AS i, b.idx AS j, CASE WHEN a.r <> b.r THEN a.r > b.r WHEN a.s <> b.s THEN a.s > b.s END AS f, coalesce(a.r <> b.r, false) AS by_rank FROM p a JOIN p b ON a.scene_id = b.scene_id AND a.idx < b.idx) SELECT scene_id, CASE WHEN f THEN i ELSE j END AS better, CASE WHEN f THEN j ELSE i END AS worse, CASE WHEN by_rank THEN 'rank' ELSE 'score' END AS by FROM x WHERE f IS NOT NULL")
+@query("preference_pairs", f"""
+    WITH {FEEDBACK}, p AS (SELECT (doc_id // 20)::VARCHAR AS scene_id, doc_id AS idx, CASE decision WHEN 'keep' THEN 2 WHEN 'maybe' THEN 1 WHEN 'reject' THEN 0 END AS r,
+            coalesce(operator_score, -1) AS s FROM feedback),
+    x AS (SELECT a.scene_id, a.idx AS i, b.idx AS j, CASE WHEN a.r <> b.r THEN a.r > b.r WHEN a.s <> b.s THEN a.s > b.s END AS f, coalesce(a.r <> b.r, false) AS by_rank
+        FROM p a JOIN p b ON a.scene_id = b.scene_id AND a.idx < b.idx)
+    SELECT scene_id, CASE WHEN f THEN i ELSE j END AS better, CASE WHEN f THEN j ELSE i END AS worse, CASE WHEN by_rank THEN 'rank' ELSE 'score' END AS by
+    FROM x WHERE f IS NOT NULL""")
 def _(spark, sf):
     from momentra.operators.scalars import decision_rank
 
-    p = decision_rank(feedback(spark, sf), "decision").select(F.expr("cast(doc_id div 20 as string)").alias("scene_id"), F.col("doc_id").alias("idx"), "rank", F.col("operator_score").alias("score"))
+    p = decision_rank(feedback(spark, sf), "decision").select(
+        F.expr("cast(doc_id div 20 as string)").alias("scene_id"), F.col("doc_id").alias("idx"), "rank", F.col("operator_score").alias("score")
+    )
     return J.preference_pairs(p)
 
 
-RULES = "channel string, title_min int, title_max int, desc_min int, desc_max int, min_tags int, max_tags int, min_categories int, max_categories int, banned_terms array<string>, requires_identity_record boolean, requires_individual_releases boolean, min_width int, min_height int"
+RULES = """channel string, title_min int, title_max int, desc_min int, desc_max int, min_tags int, max_tags int, min_categories int, max_categories int, banned_terms array<string>,
+        requires_identity_record boolean, requires_individual_releases boolean, min_width int, min_height int"""
 
 
 def channel_rules(spark):
@@ -97,7 +134,12 @@ def delivery(spark, sf):
     """What a scene would be delivered with: its title, texts and tags from the order."""
     n = F.col("n")
     tags = F.slice(F.array(*[F.lit(f"t{i}") for i in range(5)]), F.lit(1), (n % 5).cast("int"))
-    return scene_log(spark, sf).select("scene_id", "title", F.repeat(F.col("source"), (n % 12).cast("int")).alias("description"), tags.alias("tags"), F.slice(F.array(F.lit("c1"), F.lit("c2"), F.lit("c3")), F.lit(1), (n % 4).cast("int")).alias("categories"), F.when(F.col("flagged"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("flags"), (n % 10 != 0).alias("records_ok"), F.lit(1280).alias("width"), F.when(n % 9 == 0, 240).otherwise(720).alias("height"), "picks", n.alias("n"))
+    return scene_log(spark, sf).select(
+        "scene_id", "title", F.repeat(F.col("source"), (n % 12).cast("int")).alias("description"), tags.alias("tags"),
+        F.slice(F.array(F.lit("c1"), F.lit("c2"), F.lit("c3")), F.lit(1), (n % 4).cast("int")).alias("categories"),
+        F.when(F.col("flagged"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("flags"), (n % 10 != 0).alias("records_ok"),
+        F.lit(1280).alias("width"), F.when(n % 9 == 0, 240).otherwise(720).alias("height"), "picks", n.alias("n")
+    )
 
 
 CHANNEL = LOGS + """,
@@ -107,7 +149,9 @@ cv AS (SELECT scene_id, 'alpha' AS channel, list_filter([CASE WHEN tl < 10 THEN
 cr AS (SELECT *, len(b) = 0 AS ready, bool_or(len(b) = 0) OVER (PARTITION BY scene_id) AND picks > 0 AS overall_ready FROM cv)"""
 
 
-@query("channel_validate", f"WITH {CHANNEL} SELECT scene_id, channel, array_to_string(b, '|') AS blockers, array_to_string(w, '|') AS warnings, ready, overall_ready FROM cr")
+@query("channel_validate", f"""
+    WITH {CHANNEL} SELECT scene_id, channel, array_to_string(b, '|') AS blockers, array_to_string(w, '|') AS warnings, ready, overall_ready
+    FROM cr""")
 def _(spark, sf):
     x = J.channel_validate(delivery(spark, sf), channel_rules(spark))
     return x.withColumns({"blockers": joined("blockers"), "warnings": joined("warnings")})
@@ -119,15 +163,28 @@ def registry(spark, sf):
     n = F.col("n")
     none = F.array().cast("array<string>")
     at = F.when(n % 8 == 0, F.to_date(F.lit("2020-01-01"))).otherwise(F.to_date(F.lit("2030-01-01")))
-    release = c.where(n % 6 != 0).select("contributor_key", F.lit("release").alias("document_type"), F.concat(F.lit("r"), n).alias("path"), F.when(n % 2 == 0, F.array(F.lit("alpha"))).otherwise(none).alias("channels"), at.alias("expiry_date"))
-    return release.unionByName(c.where(n % 5 != 0).select("contributor_key", F.lit("identity").alias("document_type"), F.concat(F.lit("i"), n).alias("path"), none.alias("channels"), F.to_date(F.lit("2030-01-01")).alias("expiry_date")))
+    release = c.where(n % 6 != 0).select(
+        "contributor_key", F.lit("release").alias("document_type"), F.concat(F.lit("r"), n).alias("path"),
+        F.when(n % 2 == 0, F.array(F.lit("alpha"))).otherwise(none).alias("channels"), at.alias("expiry_date")
+    )
+    return release.unionByName(
+        c.where(n % 5 != 0).select(
+            "contributor_key", F.lit("identity").alias("document_type"), F.concat(F.lit("i"), n).alias("path"), none.alias("channels"),
+            F.to_date(F.lit("2030-01-01")).alias("expiry_date")
+        )
+    )
 
 
 def people(spark, sf):
     """The contributors of each scene: the order's customer and, for even orders, customer 1."""
     x = scene_log(spark, sf)
     key = lambda i: F.sha2(F.lower(F.concat(F.lit("Customer#"), F.lpad(i.cast("string"), 9, "0"))).cast("binary"), 256)
-    return x.select("scene_id", F.array_distinct(F.when(F.col("n") % 2 == 0, F.array(key(F.col("c_custkey")), key(F.lit(1)))).otherwise(F.array(key(F.col("c_custkey"))))).alias("contributor_keys"))
+    return x.select(
+        "scene_id",
+        F.array_distinct(
+            F.when(F.col("n") % 2 == 0, F.array(key(F.col("c_custkey")), key(F.lit(1)))).otherwise(F.array(key(F.col("c_custkey"))))
+        ).alias("contributor_keys")
+    )
 
 
 RECORDS = LOGS + """,
@@ -141,7 +198,10 @@ def _(spark, sf):
     return J.records_ready(people(spark, sf), registry(spark, sf), channel_rules(spark), "2025-01-01").withColumn("problems", joined("problems"))
 
 
-@query("package_eligible", f"WITH {RECORDS} SELECT scene_id, channel, concat_ws('|', CASE WHEN NOT ready THEN 'not_ready' END, CASE WHEN n % 3 <> 0 THEN 'not_reviewed' END, CASE WHEN n % 6 <> 0 THEN 'not_final' END, CASE WHEN picks = 0 THEN 'no_pick' END) AS reasons, ready AND n % 6 = 0 AND picks > 0 AS eligible FROM scene_log JOIN rr USING (scene_id)")
+@query("package_eligible", f"""
+    WITH {RECORDS} SELECT scene_id, channel, concat_ws('|', CASE WHEN NOT ready THEN 'not_ready' END, CASE WHEN n % 3 <> 0 THEN 'not_reviewed' END,
+            CASE WHEN n % 6 <> 0 THEN 'not_final' END, CASE WHEN picks = 0 THEN 'no_pick' END) AS reasons, ready AND n % 6 = 0 AND picks > 0 AS eligible
+    FROM scene_log JOIN rr USING (scene_id)""")
 def _(spark, sf):
     ready = J.records_ready(people(spark, sf), registry(spark, sf), channel_rules(spark), "2025-01-01")
     return J.package_eligible(scene_log(spark, sf), final_reviews(spark, sf), ready).withColumn("reasons", joined("reasons"))
@@ -153,7 +213,10 @@ def _(spark, sf):
     return J.taxonomy_lookup(frame_obs(spark, sf).select("obs_id", "label"), m).select("obs_id", "category")
 
 
-@query("flagged_sections", f"WITH {OBS}, {RUNS.format(gap=75, keep='true')}, s AS (SELECT scene_id, run::BIGINT AS section, bool_or(label_confidence >= 0.5 AND list_contains(flags, 'eleven')) AS hit, count(*) AS n FROM g GROUP BY ALL) SELECT scene_id, section, n::INTEGER AS n FROM s WHERE hit")
+@query("flagged_sections", f"""
+    WITH {OBS}, {RUNS.format(gap=75, keep='true')}, s AS (SELECT scene_id, run::BIGINT AS section, bool_or(label_confidence >= 0.5 AND list_contains(flags, 'eleven')) AS hit,
+            count(*) AS n FROM g GROUP BY ALL)
+    SELECT scene_id, section, n::INTEGER AS n FROM s WHERE hit""")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     s = W._with_run(x, 75.0).groupBy("scene_id", F.col("run").alias("section")).agg(F.collect_list("obs_id").alias("evidence"))
@@ -164,13 +227,22 @@ def _(spark, sf):
 DELTAS = ("accept_rate", "ready_rate", "median_title_edit", "severity_per_scene", "avg_titles")
 
 
-@query("cohort_delta", f"WITH {KPI.replace('pack || ' + chr(39) + '/' + chr(39) + ' || cohort AS cohort', 'cohort')} SELECT " + ", ".join(f"round(max({c}) FILTER (cohort = 'candidate') - max({c}) FILTER (cohort = 'baseline'), 4) AS delta_{c}" for c in DELTAS) + " FROM kpis")
+@query(
+    "cohort_delta",
+    f"WITH {KPI.replace('pack || ' + chr(39) + '/' + chr(39) + ' || cohort AS cohort', 'cohort')} SELECT " + ", ".join(f"round(max({c}) FILTER (cohort = 'candidate') - max({c}) FILTER (cohort = 'baseline'), 4) AS delta_{c}" for c in DELTAS) + " FROM kpis"
+)
 def _(spark, sf):
     k = A.rule_kpis(kpi_rows(spark, sf).withColumn("cohort", F.split("cohort", "/")[1]))
     return J.cohort_delta(k, list(DELTAS))
 
 
-@query("canary_assign", "SELECT c_custkey, CASE WHEN (('0x' || substr(sha1(c_name), 1, 8))::BIGINT % 10000) / 100.0 < 25 THEN 'pack7' END AS applied_pack FROM customer")
+@query("canary_assign", """
+    SELECT c_custkey, CASE WHEN (('0x' || substr(sha1(c_name), 1, 8))::BIGINT % 10000) / 100.0 < 25 THEN 'pack7' END AS applied_pack
+    FROM customer""")
 def _(spark, sf):
-    p = values(spark, [("2024-01-01", True, "full", "pack6", 0.0), ("2024-02-01", True, "canary", "pack7", 25.0), ("2023-12-01", False, "full", "pack5", 0.0)], "updated_at string, enabled boolean, mode string, rule_pack_id string, canary_pct double")
+    p = values(
+        spark,
+        [("2024-01-01", True, "full", "pack6", 0.0), ("2024-02-01", True, "canary", "pack7", 25.0), ("2023-12-01", False, "full", "pack5", 0.0)],
+        "updated_at string, enabled boolean, mode string, rule_pack_id string, canary_pct double"
+    )
     return J.canary_assign(table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("scene_id")), p).select("c_custkey", "applied_pack")

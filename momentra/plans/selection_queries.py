@@ -17,7 +17,10 @@ topped AS (SELECT scene_id, kept, list_concat(kept, list_filter(rows, lambda r:
 picked AS (SELECT scene_id, unnest(picks) AS p, unnest(range(1, len(picks) + 1)) AS rank, len(kept) AS n_kept FROM topped)"""
 
 
-@query("min_gap_select", f"WITH {OBS}, ranked AS (SELECT scene_id, list({{'t': timestamp_sec, 'id': obs_id, 's': score}} ORDER BY score DESC, timestamp_sec, obs_id) AS rows FROM frame_obs GROUP BY scene_id), {FOLD.format(k=12, gap=300)} SELECT scene_id, p.id AS obs_id, p.s AS score, rank::INTEGER AS rank, rank > n_kept AS relaxed FROM picked")
+@query("min_gap_select", f"""
+    WITH {OBS}, ranked AS (SELECT scene_id, list({{'t': timestamp_sec, 'id': obs_id, 's': score}} ORDER BY score DESC, timestamp_sec, obs_id) AS rows
+        FROM frame_obs GROUP BY scene_id), {FOLD.format(k=12, gap=300)} SELECT scene_id, p.id AS obs_id, p.s AS score, rank::INTEGER AS rank, rank > n_kept AS relaxed
+    FROM picked""")
 def _(spark, sf):
     return P.min_gap_select(frame_obs(spark, sf), "score", 12, 300.0).drop("timestamp_sec")
 
@@ -33,20 +36,35 @@ def _(spark, sf):
     return P.sharp_gate(S.fused_score(zoned(spark, sf)), 25).select("obs_id", "gate_relaxed")
 
 
-@query("live_select", f"WITH {GATED.format(k=10)}, ranked AS (SELECT scene_id, list({{'t': timestamp_sec, 'id': obs_id, 's': fused}} ORDER BY fused DESC, timestamp_sec, obs_id) AS rows FROM pool GROUP BY scene_id), {FOLD.format(k=10, gap=20)} SELECT scene_id, p.id AS obs_id, round(p.s, 4) AS score, rank::INTEGER AS rank, rank > n_kept AS relaxed FROM picked")
+@query("live_select", f"""
+    WITH {GATED.format(k=10)}, ranked AS (SELECT scene_id, list({{'t': timestamp_sec, 'id': obs_id, 's': fused}} ORDER BY fused DESC, timestamp_sec, obs_id) AS rows
+        FROM pool GROUP BY scene_id), {FOLD.format(k=10, gap=20)} SELECT scene_id, p.id AS obs_id, round(p.s, 4) AS score, rank::INTEGER AS rank, rank > n_kept AS relaxed
+    FROM picked""")
 def _(spark, sf):
     return P.live_select(zoned(spark, sf), 10).select("scene_id", "obs_id", F.round("score", 4).alias("score"), "rank", "relaxed")
 
 
-SEEDS = OBS + ", seeds AS (SELECT *, CASE WHEN score BETWEEN 80 AND 100 THEN 30.0::DOUBLE WHEN score BETWEEN 50 AND 79.99 THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END AS window_sec, CASE WHEN score BETWEEN 80 AND 100 THEN 5.0::DOUBLE WHEN score BETWEEN 50 AND 79.99 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS step_sec FROM frame_obs)"
+SEEDS = OBS + """, seeds AS (SELECT *, CASE WHEN score BETWEEN 80 AND 100 THEN 30.0::DOUBLE WHEN score BETWEEN 50 AND 79.99 THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END AS window_sec,
+            CASE WHEN score BETWEEN 80 AND 100 THEN 5.0::DOUBLE WHEN score BETWEEN 50 AND 79.99 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS step_sec
+        FROM frame_obs)"""
 
 
-@query("interval_consolidate", f"WITH {SEEDS}, r AS (SELECT scene_id, list({{'lo': timestamp_sec - window_sec, 'hi': timestamp_sec + window_sec, 'id': obs_id, 's': score}} ORDER BY score DESC, timestamp_sec, obs_id) AS rows FROM seeds WHERE window_sec > 0 GROUP BY scene_id), f AS (SELECT scene_id, unnest(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x[1].lo < y.hi AND y.lo < x[1].hi)) = 0 THEN list_concat(acc, x) ELSE acc END, [])) AS p FROM r) SELECT scene_id, p.id AS obs_id, round(p.lo, 3) AS lo, round(p.hi, 3) AS hi, p.s AS score FROM f")
+@query("interval_consolidate", f"""
+    WITH {SEEDS}, r AS (SELECT scene_id, list({{'lo': timestamp_sec - window_sec, 'hi': timestamp_sec + window_sec, 'id': obs_id, 's': score}} ORDER BY score DESC, timestamp_sec, obs_id) AS rows
+        FROM seeds WHERE window_sec > 0 GROUP BY scene_id),
+    f AS (SELECT scene_id, unnest(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x[1].lo < y.hi AND y.lo < x[1].hi)) = 0 THEN list_concat(acc, x) ELSE acc END, [])) AS p
+        FROM r)
+    SELECT scene_id, p.id AS obs_id, round(p.lo, 3) AS lo, round(p.hi, 3) AS hi, p.s AS score FROM f""")
 def _(spark, sf):
     return P.interval_consolidate(S.score_window(frame_obs(spark, sf), windows_of(spark)))
 
 
-@query("window_expand", f"WITH {SEEDS}, x AS (SELECT scene_id, obs_id, score, duration_sec, floor((timestamp_sec + i * step_sec) * 10 + 0.5) / 10 AS t FROM seeds, range(-6, 7) r(i) WHERE step_sec > 0 AND abs(i) <= floor(window_sec / step_sec)), f AS (SELECT scene_id, t, arg_max(obs_id, (score, -obs_id)) AS seed_id FROM x WHERE t >= 0 AND t <= duration_sec GROUP BY scene_id, t) SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM frame_obs o WHERE o.scene_id = f.scene_id AND floor(o.timestamp_sec * 10 + 0.5) / 10 = f.t)")
+@query("window_expand", f"""
+    WITH {SEEDS}, x AS (SELECT scene_id, obs_id, score, duration_sec, floor((timestamp_sec + i * step_sec) * 10 + 0.5) / 10 AS t
+        FROM seeds, range(-6, 7) r(i) WHERE step_sec > 0 AND abs(i) <= floor(window_sec / step_sec)),
+    f AS (SELECT scene_id, t, arg_max(obs_id, (score, -obs_id)) AS seed_id FROM x WHERE t >= 0 AND t <= duration_sec
+        GROUP BY scene_id, t)
+    SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM frame_obs o WHERE o.scene_id = f.scene_id AND floor(o.timestamp_sec * 10 + 0.5) / 10 = f.t)""")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     return P.window_expand(S.score_window(x, windows_of(spark)), x)
@@ -62,22 +80,36 @@ def _(spark, sf):
     return P.near_dup_keep_first(frame_obs(spark, sf), "phash").select("obs_id")
 
 
-@query("zone_topn", f"WITH {ZONED}, late AS (SELECT * FROM zoned WHERE list_contains(zone_tags, 'late') AND sharpness >= 50), {KEEP.format(source='late', t=2)}, t AS (SELECT late.*, row_number() OVER (PARTITION BY late.scene_id ORDER BY sharpness DESC, obs_id) AS n FROM late JOIN kept ON p.id = obs_id) SELECT scene_id, obs_id, score FROM t WHERE n <= 8 AND score >= 40")
+@query("zone_topn", f"""
+    WITH {ZONED}, late AS (SELECT * FROM zoned WHERE list_contains(zone_tags, 'late') AND sharpness >= 50), {KEEP.format(source='late', t=2)}, t AS (SELECT late.*,
+            row_number() OVER (PARTITION BY late.scene_id ORDER BY sharpness DESC, obs_id) AS n
+        FROM late JOIN kept ON p.id = obs_id)
+    SELECT scene_id, obs_id, score FROM t WHERE n <= 8 AND score >= 40""")
 def _(spark, sf):
     return P.zone_topn(zoned(spark, sf), "late", 8, 2, 40.0).select("scene_id", "obs_id", "score")
 
 
-@query("queue_cap", f"WITH {ZONED}, p AS (SELECT scene_id, obs_id, sharpness - least(50, greatest(0, (motion - 1) * 10)) + CASE WHEN list_contains(zone_tags, 'late') THEN 200 ELSE 0 END + CASE WHEN list_contains(zone_tags, 'build') THEN 120 ELSE 0 END AS priority FROM zoned) SELECT obs_id, row_number() OVER (PARTITION BY scene_id ORDER BY priority DESC, obs_id)::INTEGER AS queue_rank, queue_rank > 40 AS skipped FROM p")
+@query("queue_cap", f"""
+    WITH {ZONED}, p AS (SELECT scene_id, obs_id, sharpness - least(50, greatest(0, (motion - 1) * 10)) + CASE WHEN list_contains(zone_tags, 'late') THEN 200 ELSE 0 END + CASE WHEN list_contains(zone_tags, 'build') THEN 120 ELSE 0 END AS priority
+        FROM zoned)
+    SELECT obs_id, row_number() OVER (PARTITION BY scene_id ORDER BY priority DESC, obs_id)::INTEGER AS queue_rank, queue_rank > 40 AS skipped
+    FROM p""")
 def _(spark, sf):
     return P.queue_cap(S.candidate_priority(zoned(spark, sf)), 40).select("obs_id", "queue_rank", "skipped")
 
 
-@query("tier_escalate", f"WITH {OBS}, c AS (SELECT *, CASE WHEN count(*) FILTER (tier = 'TIER_1' AND score >= 80) OVER w >= 12 THEN 1 WHEN count(*) FILTER (tier IN ('TIER_1', 'TIER_2') AND score >= 45) OVER w >= 22 THEN 2 ELSE 3 END AS level FROM frame_obs WHERE tier IS NOT NULL WINDOW w AS (PARTITION BY scene_id)), d AS (SELECT * FROM c WHERE CASE level WHEN 1 THEN tier = 'TIER_1' AND score >= 80 WHEN 2 THEN tier IN ('TIER_1', 'TIER_2') AND score >= 45 ELSE score >= 30 END) SELECT obs_id, level FROM d")
+@query("tier_escalate", f"""
+    WITH {OBS}, c AS (SELECT *, CASE WHEN count(*) FILTER (tier = 'TIER_1' AND score >= 80) OVER w >= 12 THEN 1 WHEN count(*) FILTER (tier IN ('TIER_1', 'TIER_2') AND score >= 45) OVER w >= 22 THEN 2 ELSE 3 END AS level
+        FROM frame_obs WHERE tier IS NOT NULL WINDOW w AS (PARTITION BY scene_id)),
+    d AS (SELECT * FROM c WHERE CASE level WHEN 1 THEN tier = 'TIER_1' AND score >= 80 WHEN 2 THEN tier IN ('TIER_1', 'TIER_2') AND score >= 45 ELSE score >= 30 END)
+    SELECT obs_id, level FROM d""")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     one = P.tier_escalate(x, (80, 45, 30), 12)
     two = P.tier_escalate(x, (80, 45, 30), 22)
-    return one.where("level = 1").select("obs_id", "level").unionByName(two.join(one.where("level = 1").select("scene_id").distinct(), "scene_id", "left_anti").where("level != 1").select("obs_id", "level"))
+    return one.where("level = 1").select("obs_id", "level").unionByName(
+        two.join(one.where("level = 1").select("scene_id").distinct(), "scene_id", "left_anti").where("level != 1").select("obs_id", "level")
+    )
 
 
 @query("floor_cascade")
@@ -86,7 +118,13 @@ def _(spark, sf):
     return P.floor_cascade(x.where("score >= 95"), x.where("parse_succeeded"), x)
 
 
-@query("recheck_queue", f"WITH {OBS}, p AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, obs_id) AS rank FROM frame_obs), q AS (SELECT scene_id, obs_id, k, row_number() OVER (PARTITION BY scene_id ORDER BY rank, obs_id)::INTEGER AS queue_rank FROM p WHERE score >= 40 AND k % 2 = 0) SELECT scene_id, obs_id, queue_rank, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 4 = 0 THEN 'reject' ELSE 'ok' END ELSE 'pending' END AS verdict, NOT (k % 3 = 0 AND k % 4 = 0) AS still_eligible FROM q WHERE queue_rank <= 8")
+@query("recheck_queue", f"""
+    WITH {OBS}, p AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, obs_id) AS rank
+        FROM frame_obs),
+    q AS (SELECT scene_id, obs_id, k, row_number() OVER (PARTITION BY scene_id ORDER BY rank, obs_id)::INTEGER AS queue_rank
+        FROM p WHERE score >= 40 AND k % 2 = 0)
+    SELECT scene_id, obs_id, queue_rank, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 4 = 0 THEN 'reject' ELSE 'ok' END ELSE 'pending' END AS verdict, NOT (k % 3 = 0 AND k % 4 = 0) AS still_eligible
+    FROM q WHERE queue_rank <= 8""")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     k = F.col("k")
@@ -118,7 +156,10 @@ def _(spark, sf):
     return rechecked(spark, sf)[0]
 
 
-@query("recheck_rounds_queue", f"WITH {ROUNDS}, q AS (SELECT *, 1 AS round FROM q1 UNION ALL SELECT *, 2 FROM q2) SELECT scene_id, obs_id, queue_rank, round, CASE WHEN known THEN CASE WHEN bad THEN 'reject' ELSE 'ok' END ELSE 'pending' END AS verdict, NOT (known AND bad) AS still_eligible FROM q")
+@query("recheck_rounds_queue", f"""
+    WITH {ROUNDS}, q AS (SELECT *, 1 AS round FROM q1 UNION ALL SELECT *, 2 FROM q2)
+    SELECT scene_id, obs_id, queue_rank, round, CASE WHEN known THEN CASE WHEN bad THEN 'reject' ELSE 'ok' END ELSE 'pending' END AS verdict, NOT (known AND bad) AS still_eligible
+    FROM q""")
 def _(spark, sf):
     return rechecked(spark, sf)[1]
 
@@ -127,7 +168,11 @@ def bank_rows(spark, sf):
     """Orders as examples: their attributes are the token sets."""
     n = F.col("n")
     none = F.array().cast("array<string>")
-    return scene_log(spark, sf).select(n.alias("id"), "source", F.array("mode", F.concat(F.lit("p"), F.col("picks"))).alias("tags"), F.col("error_codes").alias("labels"), F.split(F.lower("title"), "[ #]+").alias("title_tokens"), F.array(F.concat(F.lit("c"), F.col("c_custkey"))).alias("contributors"), none.alias("categories"), ((n % 10) / 10.0).alias("acceptance"), ((n % 3) / 10.0).alias("reject_rate"))
+    return scene_log(spark, sf).select(
+        n.alias("id"), "source", F.array("mode", F.concat(F.lit("p"), F.col("picks"))).alias("tags"), F.col("error_codes").alias("labels"),
+        F.split(F.lower("title"), "[ #]+").alias("title_tokens"), F.array(F.concat(F.lit("c"), F.col("c_custkey"))).alias("contributors"),
+        none.alias("categories"), ((n % 10) / 10.0).alias("acceptance"), ((n % 3) / 10.0).alias("reject_rate")
+    )
 
 
 BANK = LOGS + """,
@@ -136,13 +181,22 @@ pairs AS (SELECT q.id AS query_id, x.id, x.acceptance, x.reject, q.source = x.so
 summed AS (SELECT query_id, id, round(0.30 * len(list_intersect(a, xa)) / len(list_distinct(a || xa)) + coalesce(0.22 * len(list_intersect(b, xb)) / nullif(len(list_distinct(b || xb)), 0), 0) + 0.24 * len(list_intersect(c, xc)) / len(list_distinct(c || xc)) + CASE WHEN d = xd THEN 0.14 ELSE 0 END + 0.08 * acceptance - 0.04 * reject + CASE WHEN same THEN 0.22 ELSE 0 END, 6)::DOUBLE AS total FROM pairs)"""
 
 
-@query("retrieve_topk", f"WITH {BANK} SELECT query_id, id, least(1.0::DOUBLE, total) AS signal, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, id)::INTEGER AS rank FROM summed WHERE total > 0 QUALIFY rank <= 3")
+@query("retrieve_topk", f"""
+    WITH {BANK} SELECT query_id, id, least(1.0::DOUBLE, total) AS signal, row_number() OVER (PARTITION BY query_id
+        ORDER BY total DESC, id)::INTEGER AS rank FROM summed WHERE total > 0 QUALIFY rank <= 3""")
 def _(spark, sf):
     b = bank_rows(spark, sf)
     return P.retrieve_topk(b.where("id % 100 = 0"), b)
 
 
-@query("external_accept", f"WITH {OBS}, r AS (SELECT *, CASE WHEN NOT parse_succeeded THEN 'unparsed' WHEN score < 40 THEN 'low_score' END AS why FROM frame_obs), o AS (SELECT *, row_number() OVER (PARTITION BY scene_id, why IS NULL ORDER BY score DESC, obs_id) AS n FROM r), f AS (SELECT obs_id, coalesce(why, CASE WHEN n > least(6, user_slots) THEN 'over_cap' END) AS reason FROM (SELECT *, scene_id::BIGINT % 9 AS user_slots FROM o)) SELECT obs_id, reason, reason IS NULL AS accepted FROM f")
+@query("external_accept", f"""
+    WITH {OBS}, r AS (SELECT *, CASE WHEN NOT parse_succeeded THEN 'unparsed' WHEN score < 40 THEN 'low_score' END AS why
+        FROM frame_obs),
+    o AS (SELECT *, row_number() OVER (PARTITION BY scene_id, why IS NULL ORDER BY score DESC, obs_id) AS n
+        FROM r),
+    f AS (SELECT obs_id, coalesce(why, CASE WHEN n > least(6, user_slots) THEN 'over_cap' END) AS reason
+        FROM (SELECT *, scene_id::BIGINT % 9 AS user_slots FROM o))
+    SELECT obs_id, reason, reason IS NULL AS accepted FROM f""")
 def _(spark, sf):
     x = frame_obs(spark, sf).withColumn("slots_left", F.col("scene_id").cast("long") % 9)
     return P.external_accept(x, 6, 40.0).select("obs_id", "reason", "accepted")
@@ -157,23 +211,54 @@ def titles(spark, sf):
 TITLES = "titles AS (SELECT (p_partkey // 20)::VARCHAR AS scene_id, p_partkey AS ord, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part)"
 
 
-@query("title_sanitize", f"WITH {TITLES}, w AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM titles WHERE length(text) BETWEEN 18 AND 110), c AS (SELECT *, array_to_string(w[1:4], ' ') AS head FROM w WHERE len(w) > 0 AND len(list_distinct(w)) / len(w) >= 0.5 AND len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) = 0), a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY scene_id, lower(text) ORDER BY ord) = 1), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY scene_id, head ORDER BY ord) = 1), r AS (SELECT scene_id, list({{'n': ord, 'text': text, 'tokens': list_distinct(w)}} ORDER BY ord) AS rows FROM b GROUP BY scene_id), f AS (SELECT scene_id, unnest(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: len(list_intersect(y.tokens, x[1].tokens)) / len(list_distinct(list_concat(y.tokens, x[1].tokens))) >= 0.72)) = 0 THEN list_concat(acc, x) ELSE acc END, [])) AS p FROM r) SELECT scene_id, p.n AS ord, p.text AS text FROM f")
+@query("title_sanitize", f"""
+    WITH {TITLES}, w AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w
+        FROM titles WHERE length(text) BETWEEN 18 AND 110),
+    c AS (SELECT *, array_to_string(w[1:4], ' ') AS head FROM w WHERE len(w) > 0 AND len(list_distinct(w)) / len(w) >= 0.5 AND len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) = 0),
+    a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY scene_id, lower(text) ORDER BY ord) = 1),
+    b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY scene_id, head ORDER BY ord) = 1),
+    r AS (SELECT scene_id, list({{'n': ord, 'text': text, 'tokens': list_distinct(w)}} ORDER BY ord) AS rows
+        FROM b GROUP BY scene_id),
+    f AS (SELECT scene_id, unnest(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: len(list_intersect(y.tokens, x[1].tokens)) / len(list_distinct(list_concat(y.tokens, x[1].tokens))) >= 0.72)) = 0 THEN list_concat(acc, x) ELSE acc END, [])) AS p
+        FROM r)
+    SELECT scene_id, p.n AS ord, p.text AS text FROM f""")
 def _(spark, sf):
     return P.title_sanitize(titles(spark, sf))
 
 
-@query("title_balance", f"WITH {TITLES}, t AS (SELECT scene_id, ord, CASE WHEN contains(lower(text), 'red') THEN 3 ELSE 0 END + CASE WHEN contains(lower(text), 'bolt') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'small') THEN 1 ELSE 0 END + CASE WHEN length(text) BETWEEN 40 AND 80 THEN 1 ELSE 0 END AS points, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS tokens FROM titles), r AS (SELECT scene_id, list({{'ord': ord, 'points': points, 'tokens': tokens}} ORDER BY points DESC, ord) AS rows FROM t GROUP BY scene_id), f AS (SELECT scene_id, rows, list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < 6 AND len(list_filter(acc, lambda y: coalesce(len(list_intersect(y.tokens, x[1].tokens)) / nullif(len(list_distinct(list_concat(y.tokens, x[1].tokens))), 0), 0) >= 0.68)) = 0 THEN list_concat(acc, x) ELSE acc END, []) AS kept FROM r), g AS (SELECT scene_id, list_concat(kept, list_filter(rows, lambda x: NOT list_contains(list_transform(kept, lambda y: y.ord), x.ord))[1:6 - len(kept)]) AS o FROM f), h AS (SELECT scene_id, unnest(o) AS p, unnest(range(1, len(o) + 1)) AS place FROM g) SELECT scene_id, p.ord AS ord, p.points::INTEGER AS points, place::INTEGER AS place FROM h")
+@query("title_balance", f"""
+    WITH {TITLES}, t AS (SELECT scene_id, ord, CASE WHEN contains(lower(text), 'red') THEN 3 ELSE 0 END + CASE WHEN contains(lower(text), 'bolt') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'small') THEN 1 ELSE 0 END + CASE WHEN length(text) BETWEEN 40 AND 80 THEN 1 ELSE 0 END AS points,
+            list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS tokens
+        FROM titles),
+    r AS (SELECT scene_id, list({{'ord': ord, 'points': points, 'tokens': tokens}} ORDER BY points DESC, ord) AS rows
+        FROM t GROUP BY scene_id),
+    f AS (SELECT scene_id, rows, list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < 6 AND len(list_filter(acc, lambda y: coalesce(len(list_intersect(y.tokens, x[1].tokens)) / nullif(len(list_distinct(list_concat(y.tokens, x[1].tokens))), 0), 0) >= 0.68)) = 0 THEN list_concat(acc, x) ELSE acc END, []) AS kept
+        FROM r),
+    g AS (SELECT scene_id, list_concat(kept, list_filter(rows, lambda x: NOT list_contains(list_transform(kept, lambda y: y.ord), x.ord))[1:6 - len(kept)]) AS o
+        FROM f),
+    h AS (SELECT scene_id, unnest(o) AS p, unnest(range(1, len(o) + 1)) AS place FROM g)
+    SELECT scene_id, p.ord AS ord, p.points::INTEGER AS points, place::INTEGER AS place FROM h""")
 def _(spark, sf):
     return P.title_balance(titles(spark, sf), "red", ["bolt", "small"], 6)
 
 
-@query("disagreements", f"WITH {FEEDBACK}, l AS (SELECT * FROM feedback ORDER BY ts DESC, doc_id DESC LIMIT 120), x AS (SELECT doc_id, 'label' AS field, CASE WHEN model_label = operator_label THEN 'ok' ELSE 'err' END AS verdict FROM l WHERE operator_label IS NOT NULL UNION ALL SELECT doc_id, 'visible', CASE WHEN doc_id % 2 = doc_id % 3 THEN 'ok' ELSE 'err' END FROM l UNION ALL SELECT doc_id, 'score', CASE WHEN model_score = operator_score THEN 'ok' WHEN abs(model_score - operator_score) <= 10 THEN 'warn' ELSE 'err' END FROM l WHERE operator_score IS NOT NULL) SELECT doc_id AS feedback_id, field, verdict FROM x WHERE verdict <> 'ok'")
+@query("disagreements", f"""
+    WITH {FEEDBACK}, l AS (SELECT * FROM feedback ORDER BY ts DESC, doc_id DESC LIMIT 120),
+    x AS (SELECT doc_id, 'label' AS field, CASE WHEN model_label = operator_label THEN 'ok' ELSE 'err' END AS verdict
+        FROM l WHERE operator_label IS NOT NULL UNION ALL SELECT doc_id, 'visible', CASE WHEN doc_id % 2 = doc_id % 3 THEN 'ok' ELSE 'err' END
+        FROM l UNION ALL SELECT doc_id, 'score', CASE WHEN model_score = operator_score THEN 'ok' WHEN abs(model_score - operator_score) <= 10 THEN 'warn' ELSE 'err' END
+        FROM l WHERE operator_score IS NOT NULL)
+    SELECT doc_id AS feedback_id, field, verdict FROM x WHERE verdict <> 'ok'""")
 def _(spark, sf):
     x = feedback(spark, sf).withColumns({"feedback_id": F.col("doc_id"), "model_visible": F.col("doc_id") % 2, "operator_visible": F.col("doc_id") % 3})
     return P.disagreements(x).select("feedback_id", "field", "verdict")
 
 
-@query("repair_fill", f"WITH {LOGS}, x AS (SELECT scene_id, ['a', 'b', 'c', 'd', 'e'][1:n % 6] AS have, ['b', 'x', 'e', 'y', 'z'] AS cand FROM scene_log) SELECT scene_id, array_to_string(list_concat(have, list_filter(cand, lambda y: NOT list_contains(have, y)))[1:greatest(len(have), 4)], '|') AS repaired FROM x")
+@query("repair_fill", f"""
+    WITH {LOGS}, x AS (SELECT scene_id, ['a', 'b', 'c', 'd', 'e'][1:n % 6] AS have, ['b', 'x', 'e', 'y', 'z'] AS cand
+        FROM scene_log)
+    SELECT scene_id, array_to_string(list_concat(have, list_filter(cand, lambda y: NOT list_contains(have, y)))[1:greatest(len(have), 4)], '|') AS repaired
+    FROM x""")
 def _(spark, sf):
     lit = lambda s: F.array(*map(F.lit, s))
     x = scene_log(spark, sf).select("scene_id", F.slice(lit("abcde"), F.lit(1), (F.col("n") % 6).cast("int")).alias("have"), lit("bxeyz").alias("candidates"))
@@ -199,7 +284,10 @@ def _(spark, sf):
     return P.coverage_ready(x, x.where("score >= 90"), 8, segments=6).withColumn("labels_missing", joined("labels_missing"))
 
 
-@query("failure_stop", f"WITH {OBS}, x AS (SELECT scene_id, row_number() OVER w AS n, count(*) FILTER (k > 60 AND k % 10 <> 9 AND score > 0) OVER w AS ok, count(*) FILTER (k <= 60 OR k % 10 = 9) OVER w AS bad FROM frame_obs WINDOW w AS (PARTITION BY scene_id ORDER BY timestamp_sec, obs_id ROWS UNBOUNDED PRECEDING)) SELECT scene_id, min(n) FILTER (n >= 3 AND ok = 0 AND bad >= 0.75 * n) AS stop_at FROM x GROUP BY scene_id")
+@query("failure_stop", f"""
+    WITH {OBS}, x AS (SELECT scene_id, row_number() OVER w AS n, count(*) FILTER (k > 60 AND k % 10 <> 9 AND score > 0) OVER w AS ok, count(*) FILTER (k <= 60 OR k % 10 = 9) OVER w AS bad
+        FROM frame_obs WINDOW w AS (PARTITION BY scene_id ORDER BY timestamp_sec, obs_id ROWS UNBOUNDED PRECEDING))
+    SELECT scene_id, min(n) FILTER (n >= 3 AND ok = 0 AND bad >= 0.75 * n) AS stop_at FROM x GROUP BY scene_id""")
 def _(spark, sf):
     x = frame_obs(spark, sf).withColumn("parse_succeeded", (F.col("k") > 60) & (F.col("k") % 10 != 9))
     return P.failure_stop(x, 3)

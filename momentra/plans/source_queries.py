@@ -47,10 +47,14 @@ def _(spark, sf):
     return files.read_scene_docs(spark, f"{path}/part=*", "scene_id string, source string", f"{path}-compact")
 
 
-@query("read_label_csv", "SELECT doc_id::VARCHAR AS scene_id, quality::VARCHAR AS operator_score, CASE WHEN toxic = 1 THEN 'reject' END AS decision FROM labels")
+@query("read_label_csv", """
+    SELECT doc_id::VARCHAR AS scene_id, quality::VARCHAR AS operator_score, CASE WHEN toxic = 1 THEN 'reject' END AS decision
+    FROM labels""")
 def _(spark, sf):
     path = _new(spark, "csv")
-    table(spark, sf, "labels").select(F.col("doc_id").alias("Scene ID"), F.col("quality").alias("Human-Score"), F.when(F.col("toxic") == 1, "reject").alias("Verdict")).write.option("header", True).csv(path)
+    table(spark, sf, "labels").select(
+        F.col("doc_id").alias("Scene ID"), F.col("quality").alias("Human-Score"), F.when(F.col("toxic") == 1, "reject").alias("Verdict")
+    ).write.option("header", True).csv(path)
     return files.read_label_csv(spark, path).select("scene_id", "operator_score", "decision")
 
 
@@ -61,7 +65,10 @@ def assets(spark, sf):
     folder = F.concat(F.lit("/lib/"), F.regexp_replace("p_brand", "#", ""), F.lit("/"), (F.expr("p_partkey div 10")).cast("string"))
     name = F.when(i % 30 == 2, "identity_record").when(i % 30 == 12, "Identity-Record").when(i % 15 == 0, "trailer").otherwise("clip")
     path = F.concat(folder, F.when(i % 35 == 0, "/_work/").otherwise("/"), name, F.when(name == "identity_record", "").otherwise(i.cast("string")), F.lit("."), ext)
-    return table(spark, sf, "part").select(i.alias("n"), path.alias("path"), folder.alias("scene_id"), (F.col("p_retailprice") * 2000).cast("long").alias("length"), F.col("p_size").cast("double").alias("duration_sec"), F.col("p_partkey").alias("size"))
+    return table(spark, sf, "part").select(
+        i.alias("n"), path.alias("path"), folder.alias("scene_id"), (F.col("p_retailprice") * 2000).cast("long").alias("length"),
+        F.col("p_size").cast("double").alias("duration_sec"), F.col("p_partkey").alias("size")
+    )
 
 
 ASSETS = """
@@ -69,7 +76,9 @@ a0 AS (SELECT *, CASE p_partkey % 5 WHEN 0 THEN 'mp4' WHEN 1 THEN 'jpg' WHEN 2 T
 assets AS (SELECT p_partkey AS n, folder || CASE WHEN p_partkey % 35 = 0 THEN '/_work/' ELSE '/' END || nm || CASE WHEN nm = 'identity_record' THEN '' ELSE p_partkey::VARCHAR END || '.' || ext AS path, folder AS scene_id, (p_retailprice * 2000)::BIGINT AS length, p_size::DOUBLE AS duration_sec, p_partkey AS size, ext, nm FROM a0)"""
 
 
-@query("asset_inventory", "SELECT 'part=' || event_type || '.' || CASE WHEN event_id % 3 = 0 THEN 'mp4' ELSE 'doc' END AS folder, count(*) * 2 AS length FROM events WHERE event_id % 3 = 0 AND event_type <> 'click' GROUP BY ALL HAVING count(*) * 2 >= 20")
+@query("asset_inventory", """
+    SELECT 'part=' || event_type || '.' || CASE WHEN event_id % 3 = 0 THEN 'mp4' ELSE 'doc' END AS folder, count(*) * 2 AS length
+    FROM events WHERE event_id % 3 = 0 AND event_type <> 'click' GROUP BY ALL HAVING count(*) * 2 >= 20""")
 def _(spark, sf):
     """Writes a file of two bytes a row for each kind of event, then lists the folder; click files lie in a work folder."""
     path = _new(spark, "assets")
@@ -86,22 +95,35 @@ def _(spark, sf):
     return files.inventory_filter(assets(spark, sf), min_bytes=1_850_000).select("path")
 
 
-@query("asset_manifest", f"WITH {ASSETS}, t AS (SELECT * FROM assets QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY path) <= 3) SELECT scene_id, count(*) FILTER (ext = 'pdf') AS document, count(*) FILTER (ext = 'jpg') AS image, count(*) FILTER (ext = 'json') AS metadata, count(*) FILTER (lower(ext) IN ('mp4', 'mov')) AS video, 0::BIGINT AS other, min(path) FILTER (lower(ext) IN ('mp4', 'mov') AND nm <> 'trailer') AS primary_path FROM t GROUP BY scene_id")
+@query("asset_manifest", f"""
+    WITH {ASSETS}, t AS (SELECT * FROM assets QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY path) <= 3)
+    SELECT scene_id, count(*) FILTER (ext = 'pdf') AS document, count(*) FILTER (ext = 'jpg') AS image, count(*) FILTER (ext = 'json') AS metadata,
+        count(*) FILTER (lower(ext) IN ('mp4', 'mov')) AS video, 0::BIGINT AS other, min(path) FILTER (lower(ext) IN ('mp4', 'mov') AND nm <> 'trailer') AS primary_path
+    FROM t GROUP BY scene_id""")
 def _(spark, sf):
     return files.asset_manifest(assets(spark, sf), 3)
 
 
-@query("companion_files", f"WITH {ASSETS}, x AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, path, CASE WHEN path LIKE '%.json' THEN 0 WHEN path LIKE '%.pdf' THEN 1 END AS p FROM assets) SELECT folder, arg_min(path, (p, path)) FILTER (p IS NOT NULL) AS companion FROM x GROUP BY folder")
+@query("companion_files", f"""
+    WITH {ASSETS}, x AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, path, CASE WHEN path LIKE '%.json' THEN 0 WHEN path LIKE '%.pdf' THEN 1 END AS p
+        FROM assets)
+    SELECT folder, arg_min(path, (p, path)) FILTER (p IS NOT NULL) AS companion FROM x GROUP BY folder""")
 def _(spark, sf):
     return files.companion_files(assets(spark, sf), [".json", ".pdf"])
 
 
-@query("record_presence", f"WITH {ASSETS}, x AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, max(CASE WHEN nm = 'identity_record' THEN 3 WHEN nm = 'Identity-Record' THEN 1 END) AS h FROM assets GROUP BY 1) SELECT folder, CASE h WHEN 3 THEN 'exact' WHEN 1 THEN 'pattern' ELSE 'none' END AS found, CASE WHEN h IS NULL THEN 'RECORD_MISSING' END AS error_code, h IS NULL AS blocked FROM x")
+@query("record_presence", f"""
+    WITH {ASSETS}, x AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, max(CASE WHEN nm = 'identity_record' THEN 3 WHEN nm = 'Identity-Record' THEN 1 END) AS h
+        FROM assets GROUP BY 1)
+    SELECT folder, CASE h WHEN 3 THEN 'exact' WHEN 1 THEN 'pattern' ELSE 'none' END AS found, CASE WHEN h IS NULL THEN 'RECORD_MISSING' END AS error_code,
+        h IS NULL AS blocked FROM x""")
 def _(spark, sf):
     return files.record_presence(assets(spark, sf))
 
 
-@query("primary_asset", f"WITH {ASSETS} SELECT scene_id, path FROM assets QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY duration_sec DESC, size DESC, path) = 1")
+@query("primary_asset", f"""
+    WITH {ASSETS} SELECT scene_id, path FROM assets QUALIFY row_number() OVER (PARTITION BY scene_id
+        ORDER BY duration_sec DESC, size DESC, path) = 1""")
 def _(spark, sf):
     return files.primary_asset(assets(spark, sf))
 
@@ -113,14 +135,18 @@ def _(spark, sf):
     return files.write_splits(hash_split(train(spark, sf)), _new(spark, "splits"))
 
 
-@query("handoff_metadata", f"WITH {CHANNEL} SELECT channel, scene_id, d.title AS title, nullif(array_to_string(['t0', 't1', 't2', 't3', 't4'][1:nt], ','), '') AS tags FROM cr JOIN d USING (scene_id) WHERE ready")
+@query("handoff_metadata", f"""
+    WITH {CHANNEL} SELECT channel, scene_id, d.title AS title, nullif(array_to_string(['t0', 't1', 't2', 't3', 't4'][1:nt], ','), '') AS tags
+    FROM cr JOIN d USING (scene_id) WHERE ready""")
 def _(spark, sf):
     x = delivery(spark, sf)
     ok = J.channel_validate(x, channel_rules(spark)).select("scene_id", "channel", F.col("ready").alias("eligible"))
     return files.handoff_metadata(x, ok, _new(spark, "handoff")).select("channel", F.col("scene_id").cast("string"), "title", "tags")
 
 
-@query("checksum_manifest", "SELECT sha256(event_type || chr(10)) AS sha256, octet_length((event_type || chr(10))::BLOB) AS length FROM (SELECT DISTINCT event_type FROM events)")
+@query("checksum_manifest", """
+    SELECT sha256(event_type || chr(10)) AS sha256, octet_length((event_type || chr(10))::BLOB) AS length
+    FROM (SELECT DISTINCT event_type FROM events)""")
 def _(spark, sf):
     path = _new(spark, "sums")
     table(spark, sf, "events").select(F.col("event_type").alias("value"), F.col("event_type").alias("part")).distinct().repartition("part").write.partitionBy("part").text(path)
@@ -129,27 +155,44 @@ def _(spark, sf):
 
 # streams --------------------------------------------------------------------------------------------------------
 
-@query("stream_status", f"WITH {PUBLICATION} SELECT scene_id, lower(trim(channel)) AS channel, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts, count(*) AS events FROM publication GROUP BY 1, 2")
+@query("stream_status", f"""
+    WITH {PUBLICATION} SELECT scene_id, lower(trim(channel)) AS channel, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts, count(*) AS events
+    FROM publication GROUP BY 1, 2""")
 def _(spark, sf):
     e = open_stream(spark, sf, "events")
     v = F.col("value")
-    x = e.select("event_id", F.col("user_id").cast("string").alias("scene_id"), F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), "event_type")).alias("channel"), F.when(v < 10, "submitted").when(v < 40, "accepted").when(v < 80, "published").otherwise("rejected").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    x = e.select(
+        "event_id", F.col("user_id").cast("string").alias("scene_id"),
+        F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), "event_type")).alias("channel"),
+        F.when(v < 10, "submitted").when(v < 40, "accepted").when(v < 80, "published").otherwise("rejected").alias("status"),
+        F.col("ts").cast("timestamp").alias("ts")
+    )
     return run_available(feeds.stream_status(x, "40 days"), "complete")
 
 
-@query("stream_status_batch", f"WITH {PUBLICATION} SELECT scene_id, lower(trim(channel)) AS channel, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts, count(*) AS events FROM publication GROUP BY 1, 2")
+@query("stream_status_batch", f"""
+    WITH {PUBLICATION} SELECT scene_id, lower(trim(channel)) AS channel, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts, count(*) AS events
+    FROM publication GROUP BY 1, 2""")
 def _(spark, sf):
     return feeds.stream_status(publication(spark, sf))
 
 
-@query("stream_phase_windows", "SELECT date_trunc('hour', ts) AS start_ts, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_ts, event_type AS phase, count(*) AS n, round(avg(value), 6) AS avg_sec, max(value) AS max_sec FROM events WHERE value > 0 GROUP BY ALL")
+@query("stream_phase_windows", """
+    SELECT date_trunc('hour', ts) AS start_ts, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_ts, event_type AS phase, count(*) AS n, round(avg(value),
+            6) AS avg_sec, max(value) AS max_sec FROM events WHERE value > 0 GROUP BY ALL""")
 def _(spark, sf):
     e = open_stream(spark, sf, "events")
     x = e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("phase"), F.col("value").alias("sec"))
     return run_available(feeds.stream_phase_windows(x), "complete")
 
 
-@query("stream_phase_sessions", "WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE value > 0 WINDOW w AS (PARTITION BY event_type ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT min(ts) AS start_ts, max(ts) + INTERVAL 20 MINUTE AS end_ts, event_type AS phase, count(*) AS n, max(value) AS max_sec FROM s GROUP BY event_type, g")
+@query("stream_phase_sessions", """
+    WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new
+        FROM events WHERE value > 0 WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g
+        FROM x)
+    SELECT min(ts) AS start_ts, max(ts) + INTERVAL 20 MINUTE AS end_ts, event_type AS phase, count(*) AS n, max(value) AS max_sec
+    FROM s GROUP BY event_type, g""")
 def _(spark, sf):
     x = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("phase"), F.col("value").alias("sec"))
     return feeds.stream_phase_windows(x, session_gap="20 minutes").drop("avg_sec")
@@ -177,7 +220,11 @@ def sieve_feed(spark, sf):
     """The events as a stream of observations."""
     e, k, v = open_stream(spark, sf, "events"), F.get_json_object("props", "$.k").cast("int"), F.col("value")
     hashed = F.conv(F.substring(F.md5(k.cast("string").cast("binary")), 1, 15), 16, 10).cast("long").bitwiseXOR(F.col("event_id") % 4)
-    return e.select(F.col("user_id").cast("string").alias("scene_id"), F.col("event_id").alias("obs_id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("timestamp_sec"), (v * 6).alias("sharpness"), (v / 20.0).alias("brightness"), (k / 20.0).alias("motion"), hashed.alias("phash"))
+    return e.select(
+        F.col("user_id").cast("string").alias("scene_id"), F.col("event_id").alias("obs_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("timestamp_sec"), (v * 6).alias("sharpness"),
+        (v / 20.0).alias("brightness"), (k / 20.0).alias("motion"), hashed.alias("phash")
+    )
 
 
 @query("stream_sieve", f"WITH {SIEVE} SELECT * FROM sieved")

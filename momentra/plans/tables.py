@@ -33,7 +33,11 @@ frame_obs AS (
 
 def frame_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations: a scene is a user, its time the user's, 30 days as an hour."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("scene_id"), F.col("event_id").alias("obs_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").alias("v"), F.upper("event_type").alias("label"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("scene_id"), F.col("event_id").alias("obs_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").alias("v"), F.upper("event_type").alias("label"),
+        F.get_json_object("props", "$.k").cast("int").alias("k")
+    )
     span = e.groupBy("scene_id").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     x = e.join(span, "scene_id")
     v, k = F.col("v"), F.col("k")
@@ -41,8 +45,12 @@ def frame_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(k % 3 == 0, "wide").when(k % 3 == 1, "close").otherwise("mid")
     return x.select(
         "scene_id", "obs_id", sec("us", "lo").alias("timestamp_sec"), sec("hi", "lo").alias("duration_sec"), (v * 6).alias("sharpness"), (k / 20.0).alias("motion"), (v / 20.0).alias("brightness"), "label", (k / 100.0).alias("label_confidence"), F.least(F.lit(100.0), v).alias("score"), (k % 10 != 0).alias("parse_succeeded"),
-        F.when(k % 7 != 0, v * 1.1).alias("model_score_raw"), F.conv(F.substring(F.md5(k.cast("string").cast("binary")), 1, 15), 16, 10).cast("long").bitwiseXOR(F.col("obs_id") % 4).alias("phash"),
-        F.when(v >= 50, "TIER_1").when(v >= 20, "TIER_2").when(v >= 5, "TIER_3").alias("tier"), kind.alias("type"), listed((k % 5 == 0, "five"), (k % 11 == 0, "eleven")).alias("flags"), "k", "v",
+        F.when(k % 7 != 0, v * 1.1).alias("model_score_raw"), F.conv(
+            F.substring(F.md5(k.cast("string").cast("binary")), 1, 15), 16, 10
+        ).cast("long").bitwiseXOR(F.col("obs_id") % 4).alias("phash"),
+        F.when(v >= 50, "TIER_1").when(v >= 20, "TIER_2").when(v >= 5, "TIER_3").alias("tier"), kind.alias("type"), listed(
+            (k % 5 == 0, "five"), (k % 11 == 0, "eleven")
+        ).alias("flags"), "k", "v",
     )
 
 
@@ -77,9 +85,15 @@ def scene_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("o_orderkey")
     x = o.join(c, o["o_custkey"] == c["c_custkey"])
     return x.select(
-        n.cast("string").alias("scene_id"), n.alias("n"), F.lower("c_mktsegment").alias("source"), F.col("o_orderdate").cast("timestamp").alias("processed_at"), F.when(n % 17 == 0, 0.0).otherwise(F.least(F.lit(100.0), F.col("o_totalprice") / 4000.0)).alias("top_score"), (n % 20).cast("int").alias("picks"), (F.col("o_totalprice") / 1000.0).alias("duration_sec"),
-        listed((F.col("o_orderstatus") == "P", "SCAN_TIMEOUT"), (F.col("o_orderstatus") == "F", "DECODE"), (n % 13 == 0, "LOW_LIGHT")).alias("error_codes"), listed((n % 3 == 0, "A"), (n % 7 == 0, "D")).alias("fallbacks"),
-        F.concat("o_orderpriority", F.lit(" "), "c_name").alias("title"), (n % 11 == 0).alias("flagged"), F.col("o_orderpriority").alias("mode"), F.when(F.col("o_orderstatus") == "O", "completed").when(F.col("o_orderstatus") == "F", "warning").otherwise("aborted").alias("outcome"), "c_custkey", "o_totalprice",
+        n.cast("string").alias("scene_id"), n.alias("n"), F.lower("c_mktsegment").alias("source"), F.col("o_orderdate").cast("timestamp").alias("processed_at"), F.when(n % 17 == 0, 0.0).otherwise(
+            F.least(F.lit(100.0), F.col("o_totalprice") / 4000.0)
+        ).alias("top_score"), (n % 20).cast("int").alias("picks"), (F.col("o_totalprice") / 1000.0).alias("duration_sec"),
+        listed(
+            (F.col("o_orderstatus") == "P", "SCAN_TIMEOUT"), (F.col("o_orderstatus") == "F", "DECODE"), (n % 13 == 0, "LOW_LIGHT")
+        ).alias("error_codes"), listed((n % 3 == 0, "A"), (n % 7 == 0, "D")).alias("fallbacks"),
+        F.concat("o_orderpriority", F.lit(" "), "c_name").alias("title"), (n % 11 == 0).alias("flagged"), F.col("o_orderpriority").alias("mode"), F.when(
+            F.col("o_orderstatus") == "O", "completed"
+        ).when(F.col("o_orderstatus") == "F", "warning").otherwise("aborted").alias("outcome"), "c_custkey", "o_totalprice",
     )
 
 
@@ -89,8 +103,13 @@ phase_rows AS (SELECT l_orderkey::VARCHAR AS job_id, l_returnflag || l_linestatu
 
 def run_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job_id, ts, phases map<string, double>)"""
-    x = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("job_id"), F.concat("l_returnflag", "l_linestatus").alias("phase")).agg(F.sum("l_quantity").alias("sec"), F.count(F.lit(1)).alias("frames"), F.max(F.col("l_shipdate").cast("timestamp")).alias("ts"))
-    return x.groupBy("job_id").agg(F.max("ts").alias("ts"), F.map_from_entries(F.collect_list(F.struct("phase", "sec"))).alias("phases"), F.map_from_entries(F.collect_list(F.struct("phase", "frames"))).alias("frames"))
+    x = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("job_id"), F.concat("l_returnflag", "l_linestatus").alias("phase")).agg(
+        F.sum("l_quantity").alias("sec"), F.count(F.lit(1)).alias("frames"), F.max(F.col("l_shipdate").cast("timestamp")).alias("ts")
+    )
+    return x.groupBy("job_id").agg(
+        F.max("ts").alias("ts"), F.map_from_entries(F.collect_list(F.struct("phase", "sec"))).alias("phases"),
+        F.map_from_entries(F.collect_list(F.struct("phase", "frames"))).alias("frames")
+    )
 
 
 FEEDBACK = """
@@ -106,8 +125,12 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = d.join(lab, "doc_id", "left")
     i = F.col("doc_id")
     return x.select(
-        "doc_id", F.col("source").alias("scene_id"), F.concat(F.lit("f"), i.cast("string")).alias("filename"), F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "keep").when(F.col("quality") == 0, "maybe").alias("decision"), F.when(F.col("quality").isNotNull(), F.col("quality") * 60.0 + i % 40 - F.col("toxic") * 30).alias("operator_score"),
-        (F.col("n_chars") % 101).cast("double").alias("model_score"), F.col("lang").alias("model_label"), F.when(F.col("quality").isNotNull(), F.when(i % 7 == 0, "xx").otherwise(F.col("lang"))).alias("operator_label"), F.col("text").alias("title"), "text", F.timestamp_seconds(i + F.lit(1704067200)).alias("ts"), "n_chars", "quality", "toxic",
+        "doc_id", F.col("source").alias("scene_id"), F.concat(F.lit("f"), i.cast("string")).alias("filename"), F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "keep").when(F.col("quality") == 0, "maybe").alias("decision"), F.when(
+            F.col("quality").isNotNull(), F.col("quality") * 60.0 + i % 40 - F.col("toxic") * 30
+        ).alias("operator_score"),
+        (F.col("n_chars") % 101).cast("double").alias("model_score"), F.col("lang").alias("model_label"), F.when(
+            F.col("quality").isNotNull(), F.when(i % 7 == 0, "xx").otherwise(F.col("lang"))
+        ).alias("operator_label"), F.col("text").alias("title"), "text", F.timestamp_seconds(i + F.lit(1704067200)).alias("ts"), "n_chars", "quality", "toxic",
     )
 
 
@@ -119,7 +142,12 @@ publication AS (
 
 def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("scene_id"), F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), "event_type")).alias("channel"), F.when(v < 10, "submitted").when(v < 40, "accepted").when(v < 80, "published").otherwise("rejected").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").cast("string").alias("scene_id"),
+        F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), "event_type")).alias("channel"),
+        F.when(v < 10, "submitted").when(v < 40, "accepted").when(v < 80, "published").otherwise("rejected").alias("status"),
+        F.col("ts").cast("timestamp").alias("ts")
+    )
 
 
 def values(spark: SparkSession, rows: list, schema: str) -> DataFrame:

@@ -33,7 +33,11 @@ def read_scene_docs(spark: SparkSession, path: str, schema: str, compact_to: str
     return _good(spark.read.parquet(compact_to))
 
 
-LABEL_ALIASES = {"scene_id": ["scene", "sceneid"], "filename": ["file", "file_name"], "model_score": ["ai_score"], "operator_score": ["score", "human_score"], "decision": ["verdict"], "should_have_picked": ["should_pick"], "categories": ["category"], "tags": ["tag", "keywords"], "title": ["name"], "notes": ["note", "comment"]}
+LABEL_ALIASES = {
+    "scene_id": ["scene", "sceneid"], "filename": ["file", "file_name"], "model_score": ["ai_score"], "operator_score": ["score", "human_score"],
+    "decision": ["verdict"], "should_have_picked": ["should_pick"], "categories": ["category"], "tags": ["tag", "keywords"], "title": ["name"],
+    "notes": ["note", "comment"],
+}
 
 
 def read_label_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]] = LABEL_ALIASES) -> DataFrame:
@@ -50,7 +54,10 @@ EXTENSION = r"\.([^./]+)$"
 VIDEO = ("mp4", "mov", "mkv", "avi", "m4v", "wmv", "webm")
 
 
-def asset_inventory(spark: SparkSession, root: str, extensions: tuple[str, ...] = VIDEO, min_bytes: int = 1 << 20, skip: str = r"/(_work|\.cache|output)/", kind_of: str = EXTENSION) -> DataFrame:
+def asset_inventory(
+    spark: SparkSession, root: str, extensions: tuple[str, ...] = VIDEO, min_bytes: int = 1 << 20, skip: str = r"/(_work|\.cache|output)/",
+    kind_of: str = EXTENSION
+) -> DataFrame:
     """Files below root with a known extension and min_bytes, work folders left out; contents are not read.
 
     kind_of: the pattern whose first group is a path's extension.
@@ -59,7 +66,9 @@ def asset_inventory(spark: SparkSession, root: str, extensions: tuple[str, ...]
     return inventory_filter(x, extensions, min_bytes, skip, kind_of)
 
 
-def inventory_filter(files: DataFrame, extensions: tuple[str, ...] = VIDEO, min_bytes: int = 1 << 20, skip: str = r"/(_work|\.cache|output)/", kind_of: str = EXTENSION) -> DataFrame:
+def inventory_filter(
+    files: DataFrame, extensions: tuple[str, ...] = VIDEO, min_bytes: int = 1 << 20, skip: str = r"/(_work|\.cache|output)/", kind_of: str = EXTENSION
+) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", kind_of, 1))
     return files.where(ext.isin(*extensions) & (F.col("length") >= min_bytes) & ~F.col("path").rlike(skip))
 

@@ -15,7 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def stream_status(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """events (event_id, scene_id, channel, status, ts) -> latest status of each scene and channel; an event_id counts once."""
     once = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
-    x = once.groupBy("scene_id", F.lower(F.trim("channel")).alias("channel")).agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id")).alias("l"), F.count(F.lit(1)).alias("events"))
+    x = once.groupBy("scene_id", F.lower(F.trim("channel")).alias("channel")).agg(
+        F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id")).alias("l"), F.count(F.lit(1)).alias("events")
+    )
     return x.select("scene_id", "channel", "l.status", "l.ts", "events")
 
 
@@ -68,7 +70,10 @@ class Sieve:
         return out, sharp, hashes, head
 
 
-def stream_sieve(obs: DataFrame, state_rows: int = 200, state_hashes: int = 600, threshold: int = 5, dark: float = 0.1, motion_cap: float = 4.5, event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+def stream_sieve(
+    obs: DataFrame, state_rows: int = 200, state_hashes: int = 600, threshold: int = 5, dark: float = 0.1, motion_cap: float = 4.5,
+    event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = 3_600_000
+) -> DataFrame:
     """obs (scene_id, obs_id, timestamp_sec, sharpness, brightness, motion, phash) -> each row's floor and verdict; see verdict_counts.
 
     State of a scene: two bounded lists and the last time; rows before it are late, not put in order. With event_time, a
