@@ -107,7 +107,7 @@ def floor_cascade(picks: DataFrame, scored: DataFrame, metric_obs: DataFrame, ta
 
     -> (scene_id, obs_id, stage, rank); stage P are the picks.
     """
-    h = F.xxhash64("scene_id", "obs_id")
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "scene_id", "obs_id").cast("binary")), 1, 13), 16, 10)
     pool = (
         picks.select("scene_id", "obs_id", F.lit("P").alias("stage"), F.lit(0).alias("o"), (-F.col("score")).alias("k"))
         .unionByName(scored.where("score >= 30 and score < 50").select("scene_id", "obs_id", F.lit("A").alias("stage"), F.lit(1).alias("o"), (-F.col("score")).alias("k")))

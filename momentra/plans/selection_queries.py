@@ -1,4 +1,4 @@
-"""Queries of the selections. Sorted passes have SQL folds beside them; quota_fill and floor_cascade have tests."""
+"""Queries of the selections. Sorted passes have SQL folds beside them; quota_fill has tests."""
 
 from __future__ import annotations
 
@@ -112,7 +112,19 @@ def _(spark, sf):
     )
 
 
-@query("floor_cascade")
+CASCADE = OBS + """,
+pool AS (
+    SELECT scene_id, obs_id, 'P' AS stage, 0 AS o, -score AS k FROM frame_obs WHERE score >= 95
+    UNION ALL SELECT scene_id, obs_id, 'A', 1, -score FROM frame_obs WHERE parse_succeeded AND score >= 30 AND score < 50
+    UNION ALL SELECT scene_id, obs_id, 'C', 2, ('0x' || substr(md5(scene_id || ':' || obs_id::VARCHAR), 1, 13))::BIGINT::DOUBLE FROM frame_obs WHERE parse_succeeded AND score > 0
+    UNION ALL SELECT scene_id, obs_id, 'D', 3, -sharpness FROM frame_obs
+),
+once AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY scene_id, obs_id ORDER BY o, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY o, k, obs_id)::INTEGER AS rank FROM once),
+begun AS (SELECT *, min(rank) OVER (PARTITION BY scene_id, o) - 1 AS before FROM ranked)"""
+
+
+@query("floor_cascade", f"WITH {CASCADE} SELECT scene_id, obs_id, stage, rank FROM begun WHERE o = 0 OR before < 15 AND rank <= 20")
 def _(spark, sf):
     x = frame_obs(spark, sf)
     return P.floor_cascade(x.where("score >= 95"), x.where("parse_succeeded"), x)
