@@ -65,7 +65,8 @@ def obs_sieve(df: DataFrame, motion_cap: float = 4.5, dark: float = 0.1, dup_thr
     x = df.withColumn("drop_reason", reason)
     fit = x.where("drop_reason is null").select("scene_id", "obs_id", F.col("phash").cast("long").alias("h"), "timestamp_sec")
     kept = streams.sorted_pass(fit, ["timestamp_sec", "obs_id"], "scene_id string, obs_id long", lambda: streams.UnlikeBits(dup_threshold, horizon))
-    joined = x.join(kept.withColumn("_kept", F.lit(True)), ["scene_id", "obs_id"], "left")
+    kept = kept.select(F.col("scene_id").alias("_s"), F.col("obs_id").alias("_o"), F.lit(True).alias("_kept"))
+    joined = x.join(kept, F.col("scene_id").eqNullSafe(F.col("_s")) & F.col("obs_id").eqNullSafe(F.col("_o")), "left").drop("_s", "_o")
     return joined.withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("_kept").isNull(), "duplicate"))).drop("_kept")
 
 

@@ -75,7 +75,8 @@ def near_dup_keep_first(obs: DataFrame, hash_col: str, threshold: int = 5, horiz
     """Rows in time order, each kept if over threshold bits from all kept before it (the last `horizon`); a null hash is kept."""
     x = obs.select("scene_id", "obs_id", F.col(hash_col).cast("long").alias("h"), "timestamp_sec")
     kept = streams.sorted_pass(x, ["timestamp_sec", "obs_id"], "scene_id string, obs_id long", lambda: streams.UnlikeBits(threshold, horizon))
-    return obs.join(kept, ["scene_id", "obs_id"], "left_semi")
+    kept = kept.select(F.col("scene_id").alias("_s"), F.col("obs_id").alias("_o"))
+    return obs.join(kept, F.col("scene_id").eqNullSafe(F.col("_s")) & F.col("obs_id").eqNullSafe(F.col("_o")), "left_semi")
 
 
 def zone_topn(obs: DataFrame, zone: str, n: int, dup_threshold: int = 2, min_score: float = 70.0, floor: float = 50.0) -> DataFrame:

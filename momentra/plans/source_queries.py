@@ -186,18 +186,30 @@ def _(spark, sf):
     return run_available(feeds.stream_phase_windows(x), "complete")
 
 
-@query("stream_phase_sessions", """
-    WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new
+SESSIONS = """
+WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new
         FROM events WHERE value > 0 WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
     s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g
         FROM x)
     SELECT min(ts) AS start_ts, max(ts) + INTERVAL 20 MINUTE AS end_ts, event_type AS phase, count(*) AS n, max(value) AS max_sec
-    FROM s GROUP BY event_type, g""")
-def _(spark, sf):
-    x = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("phase"), F.col("value").alias("sec"))
+    FROM s GROUP BY event_type, g"""
+
+
+def sessions_of(events):
+    x = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("phase"), F.col("value").alias("sec"))
     return feeds.stream_phase_windows(x, session_gap="20 minutes").drop("avg_sec")
 
 
+@query("stream_phase_sessions", SESSIONS)
+def _(spark, sf):
+    return run_available(sessions_of(open_stream(spark, sf, "events")), "complete")
+
+
+@query("stream_phase_sessions_batch", SESSIONS)
+def _(spark, sf):
+    return sessions_of(table(spark, sf, "events"))
+
+
 @query("stream_feedback_mix", f"WITH {FEEDBACK} SELECT scene_id, coalesce(decision, 'other') AS decision, count(*) AS n FROM feedback GROUP BY 1, 2")
 def _(spark, sf):
     d = open_stream(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")

@@ -230,3 +230,9 @@ def test_hot_keys_are_dealt_to_blocks(spark, monkeypatch):
     vals = [r["h"] for r in x.orderBy("id").collect()]
     want = sorted((a, b, (vals[a] ^ vals[b]).bit_count()) for a, b in itertools.combinations(range(120), 2) if (vals[a] ^ vals[b]).bit_count() <= 3)
     assert rows(D.near_dup_pairs(x, "h", 3), "a", "b", "distance") == want
+
+
+def test_rows_without_a_scene_are_one_scene(spark):
+    x = spark.createDataFrame([(None, 0, 0.0, 7, 1.0), (None, 1, 1.0, 7, 1.0), ("s", 2, 2.0, 7, 1.0)], HASHED)
+    assert rows(P.near_dup_keep_first(x, "phash", 0), "obs_id") == [(0,), (2,)]
+    assert rows(D.near_dup_clusters(x.where("scene_id is not null"), "phash", 0), "obs_id", "cluster_id") == [(2, 2)]
