@@ -22,7 +22,9 @@ def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, size, text_crc32, virtual_slot). Null text: no bytes; null id: hashed as such."""
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
-    return docs.select("doc_id", size.alias("size"), crc.cast("long").alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    return docs.select("doc_id", size.alias("size"), crc.cast("long").alias("text_crc32")).withColumn(
+        "virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")
+    )
 
 
 def slot_sizes(slotted: DataFrame) -> dict[int, tuple[int, int]]:

@@ -69,7 +69,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, rounds: int = 200, rate: floa
     urls = labelled.where("url is not null and verdict in ('allow', 'block')").groupBy("url").agg(F.max("verdict").alias("verdict"))
     rows = []
     for verdict in ("allow", "block"):
-        rows += urls.where(F.col("verdict") == verdict).orderBy(F.xxhash64("url"), "url").limit(sample).select(url_host(F.col("url")).alias("h"), url_path(F.col("url")).alias("p"), "verdict").collect()
+        rows += urls.where(F.col("verdict") == verdict).orderBy(F.xxhash64("url"), "url").limit(sample).select(
+            url_host(F.col("url")).alias("h"), url_path(F.col("url")).alias("p"), "verdict"
+        ).collect()
     y = np.array([r["verdict"] == "block" for r in rows], np.float64)
     if not len(y) or y.all() or not y.any():
         return UrlModel(np.zeros(FEATURES), 30.0 if len(y) and y.all() else -30.0)
@@ -110,8 +112,13 @@ def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple
     rules. A rule's verdict holds; else the model's. Null URLs have an empty host and path, which the model judges as
     any other.
     """
-    split = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    split = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).select(
+        "page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")
+    )
     judged = split.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
     model = fit(labelled_table(pages.sparkSession) if labelled is None else labelled)
     scored = judged.withColumn("block_probability", scorer(model, pages.sparkSession)("host", "path"))
-    return scored.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", F.when(F.col("block_probability") > limit, "block").otherwise("allow")).alias("verdict"), "block_probability")
+    return scored.select(
+        "page_id", "host", "path", F.col("_r.rule").alias("rule"),
+        F.coalesce("_r.verdict", F.when(F.col("block_probability") > limit, "block").otherwise("allow")).alias("verdict"), "block_probability"
+    )

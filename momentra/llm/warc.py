@@ -29,8 +29,18 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 #: Repeated payloads that are broadcast at most; more are joined.
 BROADCAST_PAYLOADS = 200_000
-INDEX = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+INDEX = pa.schema(
+    [
+        ("page_id", pa.int64()), ("url", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
+        ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+    ]
+)
+RECORD = pa.schema(
+    [
+        ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()), ("payload", pa.binary()),
+    ]
+)
 DDL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
@@ -58,7 +68,10 @@ def _record(page_id: int | None, url: str | None, payload: bytes | None, size: i
     response = payload is not None
     block = http + payload if response else http
     safe = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = [
+        "WARC/1.1", f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha1:{digest}",
+    ]
     if not response:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -90,13 +103,19 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     BROADCAST_PAYLOADS, else by a join that adaptive execution can split where very many pages share a payload.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("html"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).cast("long").alias("bytes"))
+    p = pages.select(
+        F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("html"), F.sha1(body.cast("binary")).alias("sha"),
+        F.octet_length(body).cast("long").alias("bytes")
+    )
     groups = p.groupBy("sha", "bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     again = cut(groups.where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).select("sha", "bytes", "first", F.lit(True).alias("shared")))
     again = F.broadcast(again) if again.count() <= BROADCAST_PAYLOADS else again
     revisit = F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     x = p.join(again, ["sha", "bytes"], "left").withColumn("revisit", revisit)
-    return x.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "sha", "bytes", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
+    return x.select(
+        "page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "sha", "bytes",
+        F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first")).alias("refers_to")
+    )
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
@@ -160,7 +179,12 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
             if response and payload_digest(payload) != digest:
                 raise ValueError(f"{path} at {o}: the payload does not match its digest")
             size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-            rows.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], number(fields.get("WARC-Refers-To")), size, digest, payload if response else None))
+            rows.append(
+                (
+                    number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], number(fields.get("WARC-Refers-To")), size,
+                    digest, payload if response else None
+                )
+            )
         return _batch(rows, RECORD)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -367,3 +367,27 @@ def test_payload_of_very_many_pages(spark, tmp_path, monkeypatch):
     want = sorted(map(tuple, warc.plan_records(pages).select("page_id", "record_type", "refers_to", "html").collect()))
     monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", 0)
     assert sorted(map(tuple, warc.plan_records(pages).select("page_id", "record_type", "refers_to", "html").collect())) == want
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    import corpus_pipeline as c
+
+    stages = dict(c.STAGES)
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((i or 0) for i, _ in ODD)
+    got = {n: stages[n](spark, odd, sf) for n in stages}
+    ids = {n: sorted((r["doc_id"] or 0) for r in x.collect()) for n, x in got.items()}
+    assert ids["language"] == [0, 4, 5, 6, 7, 7, 9, 10]  # what has no letter goes
+    assert ids["lines"] == ids["benchmark"] == ids["tokens"] == rows
+    assert ids["near_copies"] == [1, 4, 5, 6, 7, 8, 9, 10]  # texts without a word are one group
+    assert all(x.columns == c.COLUMNS for n, x in got.items() if n != "tokens")
+    assert all(stages[n](spark, none, sf).count() == 0 for n in stages)
+
+
+def test_pipeline_drops_planted_passages_only(spark, tmp_path):
+    import corpus_pipeline as c
+
+    items = [(1, " ".join(f"q{i}" for i in range(14))), (2, "short one")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = frame(spark, [(1, "x " + " ".join(f"Q{i}," for i in range(2, 12))), (2, " ".join(f"q{i}" for i in range(9))), (None, "a SHORT-one b"), (3, None)])
+    assert sorted(r["doc_id"] for r in c.benchmark(spark, docs, str(tmp_path)).collect()) == [2, 3]
