@@ -26,7 +26,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from all but the largest doc_id; every document stays, n_chars follows the text."""
     kept = linededup.line_dedup(docs.select(*COLUMNS))
     gone = F.col("n_dropped") > 0
-    return kept.withColumns({"text": F.when(gone, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(gone, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
+    return kept.withColumns(
+        {
+            "text": F.when(gone, F.col("kept_text")).otherwise(F.col("text")),
+            "n_chars": F.when(gone, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")),
+        }
+    ).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
