@@ -21,7 +21,7 @@ from momentra.llm.common import crc_mod, cut
 FEATURES, GRAMS = 4096, (1, 2, 3, 4)
 #: Training texts a language at most, distinct, the ones of the least hash. The fit is bounded by this parameter.
 SAMPLE = 300
-#: The table of the last hash by language is broadcast up to so many languages.
+#: Tables of one row a language are broadcast up to so many languages.
 MOST_LANGUAGES = 10_000
 #: A decision whose probability is less is flagged as ambiguous.
 SURE = 0.55
@@ -94,8 +94,13 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     that has `sample` distinct texts trains on so many.
     """
     keyed = docs.where("lang is not null and text is not null and text != ''").select("lang", "text", F.xxhash64("text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    first = keyed.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    pairs = cut(keyed.select("lang", "h").distinct())
+    size = cut(pairs.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n")))
+    size = F.broadcast(size) if size.count() <= MOST_LANGUAGES else size
+    # hashes are even, so about 4 * sample of a language lie below this bound: a window needs no more of them
+    place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    low = pairs.join(size, F.col("lang") == F.col("_lang")).where(place * F.col("_n") < 4 * sample)
+    first = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample)
     last = cut(first.groupBy(F.col("lang").alias("_lang")).agg(F.max("h").alias("_last")))
     last = F.broadcast(last) if last.count() <= MOST_LANGUAGES else last
     few = keyed.join(last, (F.col("lang") == F.col("_lang")) & (F.col("h") <= F.col("_last")))
