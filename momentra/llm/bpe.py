@@ -1,4 +1,4 @@
-"""Byte-level BPE by recursive DuckDB queries, one database a Python worker.
+"""Byte-level BPE by recursive DuckDB queries, one database a Spark partition.
 
 Pretokens are numbered once. New ones are contracted by a recursive query: rows are (word, position, token), each step
 joins neighbouring tokens with the merge table and contracts every word's leftmost pair of least rank, until no word has
@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text characters that go through the database at once; longer texts go in segments of so many.
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 512 << 10
 #: Pieces that the word tables hold before they are begun anew.
 PIECES = 600_000
 #: Words of up to STEP_BYTES go through CONTRACT, whose rows are as many as the sum of the words' squares: SQUARES at once.
 #: Longer ones go through CONTRACT_RUNS, which keeps one row a byte: RUN_BYTES at once, or one word if that is longer.
-STEP_BYTES, SQUARES, RUN_BYTES = 64, 4 << 20, 256 << 10
+STEP_BYTES, SQUARES, RUN_BYTES = 64, 2 << 20, 256 << 10
 #: What the database may hold in memory.
-MEMORY = "700MB"
+MEMORY = "400MB"
 
 #: start: a token (id) of word w at pos, the places before and after it (-1: none) and the next token.
 #: best: a word's leftmost pair of least rank, the second place of the pair and what follows it. One pair a word and step.
@@ -166,7 +166,12 @@ class Codec:
         pos = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         last = pos == np.repeat(size, size) - 1
-        return pa.table({"w": w, "pos": pos, "after": np.where(last, -1, pos + 1).astype(np.int32), "before": pos - 1, "id": ids, "next_id": np.where(last, -1, np.roll(ids, -1)).astype(np.int32)})
+        return pa.table(
+            {
+                "w": w, "pos": pos, "after": np.where(last, -1, pos + 1).astype(np.int32), "before": pos - 1, "id": ids,
+                "next_id": np.where(last, -1, np.roll(ids, -1)).astype(np.int32),
+            }
+        )
 
     def learn_words(self, new: list[str], first: int) -> None:
         """Contract the words numbered from `first` on."""
@@ -292,38 +297,30 @@ def decode_ids(db: duckdb.DuckDBPyConnection, encoded: pa.Table) -> list[bytes]:
     return found["decoded"].to_pylist()
 
 
-@functools.lru_cache(maxsize=1)
-def worker_codec(path: str, pattern: str) -> Codec:
-    """The codec of this Python worker; the words it has learned serve all tasks that the worker runs."""
-    return Codec(path, pattern)
-
-
-def _digests(texts: pd.Series, path: str, pattern: str) -> pd.DataFrame:
-    rows = []
-    for parts in worker_codec(path, pattern).documents(t or "" for t in texts):
-        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        for i, (k, x, raw) in enumerate(parts):
-            n += k
-            ids.update(f"{',' * (i > 0)}{x}".encode())
-            decoded.update(raw)
-        rows.append((n, ids.hexdigest(), decoded.hexdigest()))
-    return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+def _digests(parts: list[tuple[int, str, bytes]]) -> tuple[int, str, str]:
+    n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+    for i, (k, x, raw) in enumerate(parts):
+        n += k
+        ids.update(f"{',' * (i > 0)}{x}".encode())
+        decoded.update(raw)
+    return n, ids.hexdigest(), decoded.hexdigest()
 
 
-def _whole(texts: pd.Series, path: str, pattern: str) -> pd.DataFrame:
-    rows = []
-    for parts in worker_codec(path, pattern).documents(t or "" for t in texts):
-        ids = [int(i) for _, x, _ in parts if x for i in x.split(",")]
-        rows.append((len(ids), ids, b"".join(raw for *_, raw in parts)))
-    return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
+def _whole(parts: list[tuple[int, str, bytes]]) -> tuple[int, list[int], bytes]:
+    ids = [int(i) for _, x, _ in parts if x for i in x.split(",")]
+    return len(ids), ids, b"".join(raw for *_, raw in parts)
 
 
-def _through(docs: DataFrame, run: Callable[..., pd.DataFrame], path: str, pattern: str, schema: str) -> DataFrame:
-    """Python sees the texts alone; ids of any size stay as they are."""
+def _through(docs: DataFrame, row: Callable[[list], tuple], path: str, pattern: str, schema: str) -> DataFrame:
+    """Python sees the texts alone, so ids of any size stay as they are. A partition has one codec, which ends with it."""
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     @F.pandas_udf(schema)
-    def coded(texts: pd.Series) -> pd.DataFrame:
-        return run(texts, path, pattern)
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = Codec(path, pattern)
+        for texts in batches:
+            yield pd.DataFrame([row(parts) for parts in codec.documents(t or "" for t in texts)], columns=columns)
+        codec.db.close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), coded(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
 
