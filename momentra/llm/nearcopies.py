@@ -5,8 +5,8 @@ the radius are then checked shingle by shingle. Blocks are keyed by shingles: wi
 many texts hold at the end, two similar sets share one among the first n - ceil(t n) + 1 of each, so no similar pair is
 kept apart by the blocks. What the radius loses is a matter of the fingerprint's bits (RADIUS).
 
-First links that connect each block's near rows are checked, so a large group of copies gives few links; then all near
-pairs that are still in different groups. A wrong link can't hide a right one.
+Links that connect each block's near rows are checked first, so a large group of copies gives few links; blocks in which
+one fails are then compared pair by pair. A wrong link can't hide a right one.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ MIN_NUM, MIN_DEN = 4, 5
 #: The share of texts (1 in so many) that shows which shingles are frequent, the least count there and the most
 #: shingles so marked. They only set the order, never the result.
 HINT, HINT_COUNT, HINT_ROWS = 16, 4, 200_000
-#: Words of a fingerprint and the radius within which pairs are checked. Two sets of similarity 0.8 differ in 39 of 256
-#: bits on average with a deviation of 6 (small sets: in 48 at most), so fewer than 1 in 5,000 lie beyond 72 bits.
-WORDS, RADIUS = 4, 72
-#: Rounds of connecting links before all remaining pairs are checked.
-ROUNDS = 2
+#: Words of a fingerprint and the radius within which pairs are checked. Two sets of similarity 0.8 differ in 19 of 128
+#: bits on average with a deviation of 4 (small sets: in 24 at most), so fewer than 1 in 1000 lie beyond 38 bits.
+WORDS, RADIUS = 2, 38
+#: Keys of each set by which large groups are connected before all keys are used.
+FIRST = 3
 #: Bits of the map of text hashes by which texts that no pair needs are left out before they are shuffled.
 MAP_BITS = 1 << 26
 
@@ -133,27 +133,36 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> Data
     return cut(both.where(F.pandas_udf(same, "boolean")(F.col("ta"), F.col("tb"))).select("a", "b"))
 
 
-def components(docs: DataFrame, keyed: DataFrame, prints: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """keyed (id, key), prefixes; prints (id, n, w0, ...); reps (id, doc_id, text_hash) -> (node, component) of all ids
-    linked by similar pairs."""
-    held = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = cut(keyed.repartition(shuffle_parts(docs.sparkSession), "key").withColumn("_c", held).where("_c > 1").select("key", "id"))
-    edges = docs.sparkSession.createDataFrame([], "a long, b long")
-    rows = shared.join(prints.withColumns({"comp": F.col("id"), "size": F.col("n")}), "id")
-    for _ in range(ROUNDS):
-        links = cut(block_links(rows, WORDS, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        good = verified(links, docs, reps, k)
-        tried, right = links.count(), good.count()
-        edges = cut(edges.unionAll(good))
-        comp = connected_components(edges)
-        if right == tried:
-            return comp
-        named = prints.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumns({"comp": F.coalesce("component", "id"), "size": F.col("n")})
-        rows = shared.join(cut(named), "id")
-        if 2 * right < tried:
-            break
-    rest = cut(_bounded(block_links(rows, WORDS, RADIUS, every=True)))
-    return connected_components(edges.unionAll(verified(rest, docs, reps, k)))
+def components(docs: DataFrame, prints: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """prints (id, n, keys, w0, ...); reps (id, doc_id, text_hash) -> (node, component) of all ids linked by similar pairs.
+
+    First a few keys of each set connect the large groups, at a few links a set; then all keys, where only blocks of
+    different groups are left; then, pair by pair, the blocks in which a connecting link has failed its check.
+    """
+    cols = [f"w{i}" for i in range(WORDS)]
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    first = prints.select("id", F.col("id").alias("comp"), F.col("n").alias("size"), *cols, F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    tried = cut(block_links(first, WORDS, RADIUS).select(*ends).distinct())
+    good = verified(tried, docs, reps, k)
+
+    def grouped() -> DataFrame:
+        return connected_components(good).withColumnRenamed("node", "id")
+
+    keyed = prints.join(grouped(), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), F.col("n").alias("size"), *cols, F.explode("keys").alias("key"))
+    w = Window.partitionBy("key")
+    shared = keyed.repartition(shuffle_parts(docs.sparkSession), "key").withColumns({"_a": F.min("comp").over(w), "_b": F.max("comp").over(w)})
+    shared = cut(shared.where("_a != _b").drop("_a", "_b"))
+    found = cut(block_links(shared, WORDS, RADIUS, placed=True).select(*ends, "origin"))
+    links = cut(found.select("a", "b").distinct())
+    right = verified(links.join(tried, ["a", "b"], "left_anti"), docs, reps, k)
+    good = cut(good.unionAll(right))
+    again = cut(found.join(right, ["a", "b"], "left_anti").select(F.col("origin").alias("key")).distinct())
+    if not again.count():
+        return connected_components(good)
+    rows = shared.drop("comp").join(again, "key", "left_semi").join(grouped(), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    rest = cut(_bounded(block_links(cut(rows), WORDS, RADIUS, every=True)))
+    rest = rest.join(tried.unionAll(links), ["a", "b"], "left_anti")
+    return connected_components(good.unionAll(verified(rest, docs, reps, k)))
 
 
 def survivors(docs: DataFrame, k: int) -> DataFrame:
@@ -168,7 +177,6 @@ def survivors(docs: DataFrame, k: int) -> DataFrame:
     first = cut(rows.groupBy("id").agg(F.min(best).alias("row")))
     one = rows.groupBy("id").agg(F.min(F.struct("n", "keys", *[f"w{i}" for i in range(WORDS)])).alias("s"))
     prints = cut(one.select("id", "s.n", "s.keys", *[f"s.w{i}" for i in range(WORDS)]))
-    keyed = prints.select("id", F.explode("keys").alias("key"))
-    comp = components(docs, keyed, prints.drop("keys"), first.select("id", "row.doc_id", "row.text_hash"), k)
+    comp = components(docs, prints, first.select("id", "row.doc_id", "row.text_hash"), k)
     named = first.join(comp, first["id"] == comp["node"], "left").groupBy(F.coalesce("component", "id").alias("c")).agg(F.min("row").alias("row"))
     return named.select("row.doc_id", "row.text_hash")

@@ -157,7 +157,9 @@ def within(planes: np.ndarray, d: int, alive: np.ndarray, radius: int) -> np.nda
     return out
 
 
-def spanning_links(key: np.ndarray, fp: np.ndarray, radius: int, root: np.ndarray | None = None, size: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(
+    key: np.ndarray, fp: np.ndarray, radius: int, root: np.ndarray | None = None, size: np.ndarray | None = None, every: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key -> positions (i, j) of near rows of one key that connect all near rows of it.
 
     A pair already connected is not compared again, so a group of copies gives about as many links as it has rows.
@@ -204,34 +206,39 @@ def spanning_links(key: np.ndarray, fp: np.ndarray, radius: int, root: np.ndarra
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def split_hot(dealt: DataFrame) -> DataFrame:
-    """dealt (key, id, ...) with every key of over BLOCK_ROWS rows dealt anew to pairs of blocks: any two of its rows meet."""
+def hot_keys(dealt: DataFrame) -> DataFrame | None:
+    """(key, n_blocks) of the keys of over BLOCK_ROWS rows of dealt (key, id, ...), about; None if there is none."""
     hint = dealt.where(F.pmod(F.xxhash64("id"), F.lit(HINT)) == 0).groupBy("key").count()
     hot = cut(hint.where(F.col("count") > BLOCK_ROWS // HINT).select("key", F.ceil(F.col("count") * HINT * 2 / BLOCK_ROWS).cast("int").alias("n_blocks")))
-    keys_hot = hot.count()
-    if not keys_hot:
-        return dealt
-    marked = dealt.join(F.broadcast(hot) if keys_hot <= 100_000 else hot, "key", "left")
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= 100_000 else hot
+
+
+def in_blocks(dealt: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of hot keys, with key replaced by pairs of blocks: any two rows of a key meet."""
     own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_blocks"))
     pair = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-    keys = F.explode(F.when(F.col("n_blocks").isNull(), F.array("key")).otherwise(pair))
-    return marked.select(*[c for c in dealt.columns if c != "key"], keys.alias("key"))
+    x = dealt.join(hot, "key").select("*", F.explode(pair).alias("_block"))
+    return x.drop("n_blocks", "key").withColumnRenamed("_block", "key")
+
 
+LINKS = "a long, b long, n int, m int, origin long"
 
-def block_links(dealt: DataFrame, words: int, radius: int, every: bool = False) -> DataFrame:
-    """dealt (key, id, comp, size, w0, ...) -> (a, b, n, m): links between near rows of one key and different comp, with
-    their sizes; spanning ones, or every one. size null: sizes don't matter."""
+
+def block_links(dealt: DataFrame, words: int, radius: int, every: bool = False, placed: bool = False) -> DataFrame:
+    """dealt (key, id, comp, size, w0, ...) -> (a, b, n, m, origin): links between near rows of one key (origin) and different
+    comp, with their sizes; spanning ones, or every one. size null: sizes don't matter. placed: a key's rows already lie
+    in one partition. The rows of a key of over BLOCK_ROWS rows are dealt anew to pairs of blocks."""
     cols = [f"w{i}" for i in range(words)]
-    rows = split_hot(dealt.select("key", "id", "comp", F.coalesce("size", F.lit(-1)).cast("int").alias("size"), *cols))
-    rows = rows.repartition(shuffle_parts(dealt.sparkSession), "key").sortWithinPartitions("key", "comp", "id")
+    rows = dealt.select("key", F.col("key").alias("origin"), "id", "comp", F.coalesce("size", F.lit(-1)).cast("int").alias("size"), *cols)
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
-        key, comp, size, ids = (x[c].to_numpy() for c in ("key", "comp", "size", "id"))
+        key, origin, comp, size, ids = (x[c].to_numpy() for c in ("key", "origin", "comp", "size", "id"))
         begin = np.r_[True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])]
         root = np.flatnonzero(begin)[np.cumsum(begin) - 1]
         fp = np.ascontiguousarray(x[cols].to_numpy()).view(np.uint64).reshape(len(x), words)
         i, j = spanning_links(key, fp, radius, root, size if size.min() >= 0 else None, every)
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "n": size[i], "m": size[j]})
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "n": size[i], "m": size[j], "origin": origin[i]})
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -247,7 +254,14 @@ def block_links(dealt: DataFrame, words: int, radius: int, every: bool = False)
         if held:
             yield links(pd.concat(held, ignore_index=True))
 
-    return rows.mapInPandas(run, "a long, b long, n int, m int")
+    def through(x: DataFrame, placed: bool) -> DataFrame:
+        x = x if placed else x.repartition(shuffle_parts(dealt.sparkSession), "key")
+        return x.sortWithinPartitions("key", "comp", "id").mapInPandas(run, LINKS)
+
+    hot = hot_keys(dealt)
+    if hot is None:
+        return through(rows, placed)
+    return through(rows.join(hot, "key", "left_anti"), placed).unionAll(through(in_blocks(rows, hot).select(*rows.columns), False))
 
 
 def near_links(reps: DataFrame, words: int, radius: int, masks: list[list[int]]) -> DataFrame:

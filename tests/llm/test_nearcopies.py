@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from momentra.llm import nearcopies
+from momentra.llm import nearcopies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,11 +29,11 @@ def _texts(rng):
     return [" ".join(t) for t in texts]
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_near_copies_against_brute_force(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("block_rows", [20_000, 32])
+def test_near_copies_against_brute_force(spark, monkeypatch, block_rows):
     import corpus_pipeline as c
 
-    monkeypatch.setattr(nearcopies, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block_rows)
     texts = _texts(random.Random(5))
     sets = [nearcopies.shingle_set(t, 5) for t in texts]
     root = list(range(len(texts)))
