@@ -44,9 +44,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def crc32_text(c: Column) -> Column:
+    return F.crc32(c.cast("binary"))
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
+    return crc32_text(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(m)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

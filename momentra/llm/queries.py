@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentra.llm import bpe, decontam, langid, linededup, lm, quality, sharding, simhash, urlfilter, warc
-from momentra.llm.common import crc_mod, read_table
+from momentra.llm import bpe, decontam, langid, linededup, lm, periodic, quality, sharding, simhash, spelling, urlfilter, warc
+from momentra.llm.common import crc32_text, crc_mod, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -71,7 +73,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_bpe, op4_quality, op5_langid, op6_decontaminate, op7_line_dedup, op8_sharding, op9_lm, op10_url_filter)}
+def looped(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """Every tenth document's words, by the id's hash: from some word on a cycle of the words from there."""
+    h = zlib.crc32(str("" if doc_id is None else doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    cycle = words[a : a + p]
+    return words[:a] + (cycle * ((n - a) // p + 1))[: n - a]
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"), looped)
+    more = lambda x, b: x["length"] * b["period"] > b["length"] * x["period"]
+    best = F.aggregate("runs", F.expr("cast(null as struct<start: long, length: long, period: long>)"), lambda b, x: F.when(b.isNull() | more(x, b), x).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), sha(listed).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.explode(spelling.letter_runs(F.col("text"), 5)).alias("w"))
+    h = crc32_text(F.concat_ws(":", "i", "w"))
+    at = (h % F.length("w")).cast("int")
+    less = F.concat(F.substr("w", F.lit(1), at), F.substr("w", at + 2))
+    return spelling.variants(docs.select(F.when(h % 97 == 0, less).otherwise(F.col("w")).alias("word")))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_bpe, op4_quality, op5_langid, op6_decontaminate, op7_line_dedup, op8_sharding, op9_lm, op10_url_filter, op11_periodic, op13_spelling)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = r"[ \t\n\x0B\f\r]"
