@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentra.llm import bpe, decontam, langid, linededup, lm, periodic, quality, sharding, simhash, spelling, urlfilter, warc
+from momentra.llm import bpe, decontam, langid, linededup, lm, periodic, private, quality, sharding, simhash, spelling, urlfilter, warc
 from momentra.llm.common import crc32_text, crc_mod, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -95,6 +95,15 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [k.name for k in private.KINDS if k.base]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(listed(F.filter("spans", lambda x: x["kind"].isin(base))).cast("binary"), 256)
+    return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.explode(spelling.letter_runs(F.col("text"), 5)).alias("w"))
     h = crc32_text(F.concat_ws(":", "i", "w"))
@@ -103,11 +112,51 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(docs.select(F.when(h % 97 == 0, less).otherwise(F.col("w")).alias("word")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_bpe, op4_quality, op5_langid, op6_decontaminate, op7_line_dedup, op8_sharding, op9_lm, op10_url_filter, op11_periodic, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_bpe, op4_quality, op5_langid, op6_decontaminate, op7_line_dedup, op8_sharding, op9_lm, op10_url_filter, op11_periodic, op12_private, op13_spelling)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = r"[ \t\n\x0B\f\r]"
 
+def private_sql() -> str:
+    """The spans by running sums over rows; patterns without look-around, whose failing matches are dropped."""
+    alnum, digits = "[A-Za-z0-9]", "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 0 THEN substr({digits}, i, 1)::INT ELSE substr('0246813579', substr({digits}, i, 1)::INT + 1, 1)::INT END)) % 10 = 0"
+    number = "list_reduce(list_prepend(0, list_transform(string_split(substr(x, 5) || substr(x, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE 100 + ascii(c) - 55 END)), lambda r, y: CASE WHEN y < 10 THEN (r * 10 + y) % 97 ELSE (r * 100 + y - 100) % 97 END)"
+    heads = "list_transform(range(len(string_split(v, ' ')), 0, -1), lambda k: array_to_string(string_split(v, ' ')[1:k], ' '))"
+    account = f"list_filter({heads}, lambda h: length(replace(h, ' ', '')) BETWEEN 15 AND 34 AND list_transform([replace(h, ' ', '')], lambda x: {number})[1] = 1)[1]"
+    parts = "len(list_filter(string_split(v, '.'), lambda p: NOT regexp_full_match(p, '0*([0-9]|[0-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])'))) = 0"
+    apart = lambda more, after="a": f"NOT regexp_matches(b, '[A-Za-z0-9{more}]$') AND NOT regexp_matches({after}, '^[A-Za-z0-9{more}]')"
+    rules = {  # pattern, check, the span's text
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "v"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", parts, "v"),
+        "card": ("[0-9](?:[ -]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}", "v"),
+        "phone": (r"\+[0-9][ ().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15", "v"),
+        "iban": ("[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", f"{account} IS NOT NULL AND {apart('', f"(CASE WHEN {account} = v THEN a ELSE '' END)")}", account),
+        "ssn": ("[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{apart('-')} AND NOT regexp_matches(v, '^(?:000|666|9)|-00-|-0000$')", "v"),
+        "local_phone": (r"\(?[0-9]{2,5}\)?(?:[ -][0-9]{2,5}){1,4}", rf"{apart('-')} AND NOT regexp_matches(b, '[+.]$|\+[0-9][0-9 ().-]*$') AND length({digits}) BETWEEN 9 AND 15", "v"),
+    }
+    low = f"translate(CASE WHEN length(b) <= {private.BEFORE} THEN ' ' ELSE '' END || right(b, {private.BEFORE}) || ' ' || left(a, {private.AFTER}) || CASE WHEN length(a) <= {private.AFTER} THEN ' ' ELSE '' END, '{UPPER}', '{LOWER}')"
+    near = lambda words: f"regexp_matches({low}, '[^a-zà-ÿ](?:{'|'.join(words)})[^a-zà-ÿ]')"
+    steps = []
+    for at, k in enumerate(private.KINDS):
+        pattern, check, value = rules[k.name]
+        score = f"{k.score} + CASE WHEN {near(k.words)} THEN {k.gain} ELSE 0 END - CASE WHEN {near(private.AGAINST)} THEN {private.LESS} ELSE 0 END"
+        steps.append(rf"""m{at} AS (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d WHERE regexp_matches(t, '{pattern}')),
+        u{at} AS (SELECT r, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS v, unnest(g[1:len(m)]) AS b0, unnest(g[2:]) AS a0 FROM m{at}),
+        w{at} AS (SELECT *, right(b0, {private.BEFORE + 1}) AS b, left(a0, {private.AFTER + 1}) AS a, (sum(length(b0) + length(v)) OVER (PARTITION BY r ORDER BY i))::BIGINT - length(v) AS s FROM u{at}),
+        k{at} AS (SELECT r, {at} AS k, '{k.name}' AS kind, s, s + length({value}) AS e FROM w{at} WHERE {check}{"" if k.base else f" AND {score} >= {private.ACCEPT}"})""")
+    n_base = sum(k.base for k in private.KINDS)
+    counts = ", ".join(f"coalesce(count(*) FILTER (k = {at}), 0)::BIGINT AS n_{k.name}" for at, k in enumerate(private.KINDS) if k.base)
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        {", ".join(steps)},
+        p AS ({" UNION ALL ".join(f"SELECT * FROM k{at}" for at in range(len(private.KINDS)))})
+        SELECT doc_id, {counts},
+               sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < {n_base}), '')) AS base_sha256,
+               coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s), '') AS spans
+        FROM d LEFT JOIN p USING (r) GROUP BY d.r, doc_id"""
+
+
 ORACLE = {
     # each 40 bits of the digest are ten hex digits and eight base-32 digits
     "op2_warc": """
@@ -160,4 +209,5 @@ ORACLE = {
         t AS (SELECT r, i, x, holder IS NOT NULL AND l.doc_id <> holder AS gone FROM l LEFT JOIN f USING (k))
         SELECT d.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM t JOIN d USING (r) GROUP BY d.r, d.doc_id""",
+    "op12_private": private_sql(),
 }
