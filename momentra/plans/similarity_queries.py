@@ -184,7 +184,54 @@ def _(spark, sf):
     return D.near_dup_clusters(frame_obs(spark, sf), "phash")
 
 
-@query("text_near_dup")
+#: difflib's ratio of the pairs of p (id, a, b) of texts under 200 characters: the longest common block, then both sides of it.
+MATCHED = """
+    states AS (
+        SELECT id, a, b, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS size FROM p
+        UNION ALL
+        SELECT id, a, b, unnest([alo, i + size]), unnest([i, ahi]), unnest([blo, j + size]), unnest([j, bhi]), unnest([size, 0])
+        FROM (
+            SELECT *, row_number() OVER (PARTITION BY id, alo, ahi, blo, bhi ORDER BY size DESC, i, j) AS place
+            FROM (
+                SELECT id, a, b, alo, ahi, blo, bhi, min(i) AS i, min(j) AS j, count(*)::INTEGER AS size
+                FROM (
+                    SELECT *, i - row_number() OVER (PARTITION BY id, alo, ahi, blo, bhi, i - j ORDER BY i) AS island
+                    FROM (SELECT s.id, s.a, s.b, alo, ahi, blo, bhi, x.i::INTEGER AS i, y.i::INTEGER AS j
+                        FROM states s JOIN places x ON x.i >= alo AND x.i < ahi JOIN places y ON y.i >= blo AND y.i < bhi
+                        WHERE substr(s.a, x.i, 1) = substr(s.b, y.i, 1))
+                )
+                GROUP BY id, a, b, alo, ahi, blo, bhi, i - j, island
+            )
+        )
+        WHERE place = 1
+    ),
+    matched AS (SELECT id, 2.0::DOUBLE * sum(size) / (length(a) + length(b)) AS ratio FROM states GROUP BY id, a, b)"""
+
+
+@query("text_near_dup", f"""
+    WITH RECURSIVE {TITLES},
+    x AS (SELECT ord AS id, lower(text) AS n, ord % 8 >= 3 AS ok FROM titles),
+    f AS (SELECT n, min(id) AS id FROM x WHERE ok GROUP BY n),
+    places AS (SELECT unnest(range(1, 200)) AS i),
+    chars AS (SELECT f.id, substr(n, i::BIGINT, 1) AS c, count(*) AS k FROM f JOIN places ON i <= length(n) GROUP BY ALL),
+    most AS (SELECT x.id AS a, y.id AS b, sum(least(x.k, y.k)) AS k FROM chars x JOIN chars y ON x.c = y.c AND x.id > y.id GROUP BY ALL),
+    p AS (SELECT {{'a': a.id, 'b': b.id}} AS id, a.n AS a, b.n AS b FROM most JOIN f a ON a.id = most.a JOIN f b ON b.id = most.b
+        WHERE 2 * k >= 0.86 * (length(a.n) + length(b.n))),
+    {MATCHED},
+    near AS (SELECT id.a AS id, list(id.b ORDER BY id.b) AS ids, list({{'r': ratio, 'b': id.b}} ORDER BY ratio DESC, id.b) AS best
+        FROM matched WHERE ratio >= 0.86 GROUP BY id.a),
+    r AS (SELECT list({{'id': f.id, 'ids': coalesce(ids, [])}} ORDER BY f.id) AS rows FROM f LEFT JOIN near USING (id)),
+    g AS (SELECT list_transform(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN list_has_any(list_transform(acc, lambda y: y.id), x[1].ids) THEN acc ELSE list_concat(acc, x) END), lambda y: y.id) AS kept FROM r),
+    told AS (SELECT f.n, f.id AS first, list_filter(best, lambda y: list_contains(kept, y.b))[1].b AS near FROM f CROSS JOIN g LEFT JOIN near USING (id))
+    SELECT x.id, CASE WHEN NOT ok THEN 'low_quality' WHEN near IS NOT NULL THEN 'near' WHEN x.id <> first THEN 'exact' END AS reason,
+        CASE WHEN ok THEN coalesce(near, nullif(first, x.id)) END AS dup_of
+    FROM x LEFT JOIN told USING (n)""")
+def _(spark, sf):
+    x = titles(spark, sf).select(F.col("ord").alias("id"), "text", (F.col("ord") % 8).cast("double").alias("q"))
+    return D.text_near_dup(x, "id", "text", "q", k=3)
+
+
+@query("text_near_dup_turns")
 def _(spark, sf):
     x = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", (F.length("text") % 7).cast("double").alias("q"))
     return D.text_near_dup(x, "id", "text", "q")

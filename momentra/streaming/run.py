@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a new one on one machine, an error on a cluster."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="momentra-")
-        sc.setCheckpointDir(root)
-    return root
+from momentra.functions.shared import shared_dir
 
 
 def open_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

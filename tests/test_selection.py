@@ -198,30 +198,67 @@ def test_retrieval_by_common_tokens_is_exact(spark):
     assert key(P.retrieve_topk(b.where("id < 30"), b, k=4, max_df=5)) == key(P.retrieve_topk(b.where("id < 30"), b, k=4))
 
 
-def test_text_near_dup_recall(spark):
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+def greedy_texts(texts, limit=0.86):
+    """The plain loop: (near id, of the accepted the most alike) of every text."""
+    accepted, out = [], []
+    for t in texts:
+        near = [(-r, i) for i in accepted if (r := D.difflib.SequenceMatcher(None, t, texts[i]).ratio()) >= limit]
+        out.append(min(near)[1] if near else None)
+        if not near:
+            accepted.append(len(out) - 1)
+    return out
+
+
+def edited(rng, text, n):
+    t = list(text)
+    for at in rng.sample(range(len(t)), n):
+        t[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+    return "".join(t)
+
+
+def chains(rng):
+    """Texts of 100 characters, each 9 of them off the one before."""
     texts = []
-    for _ in range(40):
-        base = [word() for _ in range(rng.randint(8, 16))]
-        texts.append(base)
-        texts.append([word(), *base])
-        for _ in range(2):
-            t = list(base)
-            t[rng.randrange(len(t))] = word()
-            texts.append(t)
-    texts = [" ".join(t) for t in texts]
-    rng.shuffle(texts)
-    near = {j: {i for i in range(j) if round(D.difflib.SequenceMatcher(None, texts[i], texts[j]).ratio(), 4) >= 0.86} for j in range(len(texts))}
-    accepted = set()
-    for j in range(len(texts)):
-        if not near[j] & accepted:
-            accepted.add(j)
+    for _ in range(60):
+        texts.append("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=100)).replace("  ", "ab").strip() + "z")
+        texts.extend(texts[-1:])
+        for _ in range(4):
+            texts.append(edited(rng, texts[-1], 9))
+    return texts
+
+
+def hot(rng):
+    """Texts that share most of their characters, so that they meet in the same buckets, near and far."""
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=120))
+    return [base + edited(rng, base, 40) if rng.random() < 0.5 else base + "".join(rng.choices("abcdefgh", k=rng.randint(10, 60))) for _ in range(150)]
+
+
+@pytest.mark.parametrize("block", [10_000, 16])
+@pytest.mark.parametrize("make", [chains, hot])
+def test_text_near_dup_is_the_greedy_loop(spark, monkeypatch, make, block):
+    monkeypatch.setattr(D, "BLOCK_ROWS", block)
+    rng = random.Random(8)
+    texts = make(rng)
+    if make is chains:
+        rng.shuffle(texts)
+    firsts = {}
+    for i, t in enumerate(texts):
+        firsts.setdefault(t, i)
+    once = [t for i, t in enumerate(texts) if firsts[t] == i]
+    near = {t: None if d is None else firsts[once[d]] for t, d in zip(once, greedy_texts(once))}
+    want = [("near", near[t]) if near[t] is not None else ("exact", firsts[t]) if firsts[t] != i else (None, None) for i, t in enumerate(texts)]
     x = spark.createDataFrame([(i, t, 5.0) for i, t in enumerate(texts)], "id long, t string, q double")
-    found = {r["id"]: r["dup_of"] for r in D.text_near_dup(x, "id", "t", "q").where("reason = 'near'").collect()}
-    want = set(range(len(texts))) - accepted
-    assert len(want) > 60 and len(want & set(found)) >= 0.97 * len(want)
-    assert all(d in near[i] for i, d in found.items())
+    got = {r["id"]: (r["reason"], r["dup_of"]) for r in D.text_near_dup(x, "id", "t", "q").collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert {d for r, d in want if r} <= {i for i, w in enumerate(want) if w[0] is None}
+    assert len({r for r, _ in want}) > 1
+
+
+def test_text_near_dup_of_odd_rows(spark):
+    x = spark.createDataFrame([(1, None, 5.0), (2, "  ", 5.0), (3, "a", None), (4, "a", 5.0), (5, "A ", 5.0)], "id long, t string, q double")
+    got = {r["id"]: (r["reason"], r["dup_of"]) for r in D.text_near_dup(x, "id", "t", "q").collect()}
+    assert got == {1: (None, None), 2: ("exact", 1), 3: ("low_quality", None), 4: (None, None), 5: ("exact", 4)}
+    assert D.text_near_dup(x.where("false"), "id", "t", "q").count() == 0
 
 
 def test_hot_keys_are_dealt_to_blocks(spark, monkeypatch):
