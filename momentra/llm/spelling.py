@@ -24,12 +24,16 @@ from momentra.llm.common import ascii_lower, cut
 #: Letters of a word: A-Z, a-z and U+00C0 to U+00FF.
 LETTERS = "A-Za-zÀ-ÿ"
 #: Groups of letters; a letter's group is its code point modulo GROUPS. The trie's levels take every fourth group in turn.
-GROUPS = 16
-LEVELS = [(1 + 4 * (j % 4) + j // 4) % GROUPS for j in range(GROUPS)]
+GROUPS = 32
+LEVELS = [(1 + 4 * (j % 8) + j // 8) % GROUPS for j in range(GROUPS)]
 #: Levels of the trie that deal words out to tasks.
 TOP = 4
 #: Resting words that a task holds at once.
 LANE_ROWS = 2048
+#: Words of fewer letters are compared as rows of a matrix, about CHUNK pairs at once; longer ones one by one.
+SHORT, CHUNK = 32, 50_000
+#: Words below a node of the trie whose paths are followed together.
+FEW = 16
 
 
 def letter_runs(text: Column, least: int) -> Column:
@@ -77,11 +81,26 @@ def dealt(vocab: DataFrame) -> DataFrame:
 
 def vectors(words: list[str]) -> np.ndarray:
     """Counts of the words' letter groups in the order of the trie's levels."""
-    out = np.zeros((len(words), GROUPS), np.int32)
-    size = np.fromiter((len(w) for w in words), np.int64, len(words))
+    size = np.fromiter(map(len, words), np.int64, len(words))
     code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) % GROUPS
-    np.add.at(out, (np.repeat(np.arange(len(words)), size), code), 1)
-    return out[:, LEVELS]
+    out = np.bincount(np.repeat(np.arange(len(words)), size) * GROUPS + code, minlength=len(words) * GROUPS)
+    return out.reshape(-1, GROUPS).astype(np.int32)[:, LEVELS]
+
+
+def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' first SHORT code points as rows that zeros fill up, and their lengths."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    rows = "".join(w[:SHORT].ljust(SHORT, "\0") for w in words).encode("utf-32-le")
+    return np.frombuffer(rows, np.uint32).reshape(-1, SHORT), size
+
+
+def near_rows(a: np.ndarray, b: np.ndarray, same_size: np.ndarray) -> np.ndarray:
+    """near for rows of letters under SHORT, where b is as long as a or one longer."""
+    off = a != b
+    first = off.argmax(1)
+    shifted = np.c_[a[:, :-1] != b[:, 1:], a[:, -1] != 0]
+    last = SHORT - 1 - shifted[:, ::-1].argmax(1)
+    return np.where(same_size, off.sum(1) == 1, ~shifted.any(1) | (last < first))
 
 
 def near(a: str, b: str) -> bool:
@@ -101,64 +120,83 @@ class Trie:
         v = vectors(words)
         order = np.lexsort(v.T[::-1])
         self.words, self.vectors = [words[i] for i in order], v[order]
+        self.rows, self.size = letters(self.words)
 
-    def search(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """wanted: vectors -> (rows of wanted, begin, end): the leaf [begin, end) within the budget of these rows."""
+    def search(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """wanted: vectors -> (rows of wanted, places of words) within the budget, each pair once, in pieces."""
         stack = [(0, len(self.words), 0, np.arange(len(wanted)), np.zeros(len(wanted), np.int32), np.zeros(len(wanted), np.int32))]
         while stack:
             begin, end, level, rows, surplus, deficit = stack.pop()
-            if end - begin == 1 and level < GROUPS:  # the rest of a single word's path at once
-                off = self.vectors[begin, level:] - wanted[rows, level:]
-                ok = (surplus + np.maximum(off, 0).sum(1) <= 1) & (deficit - np.minimum(off, 0).sum(1) <= 1)
-                level, rows = GROUPS, rows[ok]
-            if level == GROUPS:
-                if len(rows):
-                    yield rows, begin, end
-                continue
-            counts = self.vectors[begin:end, level]
-            edges = np.r_[0, np.flatnonzero(np.diff(counts)) + 1, end - begin]
-            for a, b in zip(edges, edges[1:]):
-                off = counts[a] - wanted[rows, level]
-                s, d = surplus + np.maximum(off, 0), deficit - np.minimum(off, 0)
-                ok = (s <= 1) & (d <= 1)
-                if ok.any():
-                    stack.append((begin + a, begin + b, level + 1, rows[ok], s[ok], d[ok]))
+            if level == GROUPS:  # a leaf: all its words have the vector
+                for at in range(0, len(rows), step := max(1, CHUNK // (end - begin))):
+                    yield np.repeat(rows[at : at + step], end - begin), np.tile(np.arange(begin, end), len(rows[at : at + step]))
+            elif end - begin <= FEW:  # the rest of a few words' paths at once
+                off = self.vectors[None, begin:end, level:] - wanted[rows, None, level:]
+                up = np.maximum(off, 0).sum(2)
+                row, word = np.nonzero((surplus[:, None] + up <= 1) & (deficit[:, None] + up - off.sum(2) <= 1))
+                yield rows[row], begin + word
+            else:
+                counts = self.vectors[begin:end, level]
+                edges = [0, *(np.flatnonzero(counts[1:] != counts[:-1]) + 1).tolist(), end - begin]
+                want = wanted[rows, level]
+                for a, b in zip(edges, edges[1:]):
+                    off = counts[a] - want
+                    s, d = surplus + np.maximum(off, 0), deficit - np.minimum(off, 0)
+                    ok = np.flatnonzero((s <= 1) & (d <= 1))
+                    if len(ok):
+                        stack.append((begin + a, begin + b, level + 1, rows[ok], s[ok], d[ok]))
+
+    def candidates(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What search gives, in pieces of about CHUNK pairs."""
+        held, n = [], 0
+        for piece in self.search(wanted):
+            held.append(piece)
+            n += len(piece[0])
+            if n >= CHUNK:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, n = [], 0
+        if n:
+            yield tuple(np.concatenate(x) for x in zip(*held))
 
     def pairs(self, visitors: list[str]) -> Iterator[tuple[int, str]]:
         """(visitor's number, resting word) that are near; of one length and top, a visitor is given the lesser words only."""
-        wanted = vectors(visitors)
-        for rows, begin, end in self.search(wanted):
-            home = (wanted[rows, :TOP] == self.vectors[begin, :TOP]).all(1)
-            for r, at_home in zip(rows.tolist(), home.tolist()):
-                w = visitors[r]
-                for other in self.words[begin:end]:
-                    if near(w, other) and not (at_home and len(w) == len(other) and other > w):
-                        yield r, other
+        wanted, (rows, size) = vectors(visitors), letters(visitors)
+        for v, w in self.candidates(wanted):
+            short = size[v] < SHORT
+            maybe = ~short | near_rows(rows[v], self.rows[w], size[v] == self.size[w])
+            v, w, short = v[maybe], w[maybe], short[maybe]
+            home = (size[v] == self.size[w]) & (wanted[v, :TOP] == self.vectors[w, :TOP]).all(1)
+            for r, at, at_home, known in zip(v.tolist(), w.tolist(), home.tolist(), short.tolist()):
+                other = self.words[at]
+                if (known or near(visitors[r], other)) and not (at_home and other > visitors[r]):
+                    yield r, other
+
+
+PAIRS = "a string, b string, na long, nb long"
+ARROW = pa.schema([("a", pa.string()), ("b", pa.string()), ("na", pa.int64()), ("nb", pa.int64())])
+
+
+def matched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """dealt rows by block and lane, those at rest first -> near pairs. One lane's resting words are held."""
+    at, trie, rest = None, None, {}
+    for batch in batches:
+        block, lane, visits, word, n = (c.to_pylist() for c in batch.columns)
+        edges = [*(i for i in range(len(block)) if not i or (block[i], lane[i], visits[i]) != (block[i - 1], lane[i - 1], visits[i - 1])), len(block)]
+        out: list[tuple] = []
+        for lo, hi in zip(edges, edges[1:]):
+            if (block[lo], lane[lo]) != at:
+                at, trie, rest = (block[lo], lane[lo]), None, {}
+            if not visits[lo]:
+                rest |= zip(word[lo:hi], n[lo:hi])
+            elif rest:
+                trie = trie or Trie(list(rest))
+                out.extend((word[lo + i], other, n[lo + i], rest[other]) for i, other in trie.pairs(word[lo:hi]))
+        yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(ARROW)], schema=ARROW)
 
 
 def near_pairs(vocab: DataFrame) -> DataFrame:
     """vocab (word, n), distinct words -> (a, b, na, nb): every pair of near words once."""
-    schema = "a string, b string, na long, nb long"
-    arrow = pa.schema([("a", pa.string()), ("b", pa.string()), ("na", pa.int64()), ("nb", pa.int64())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, trie, rest = None, None, {}
-        for batch in batches:
-            block, lane, visits, word, n = (c.to_pylist() for c in batch.columns)
-            edges = [*(i for i in range(len(block)) if not i or (block[i], lane[i], visits[i]) != (block[i - 1], lane[i - 1], visits[i - 1])), len(block)]
-            out: list[tuple] = []
-            for lo, hi in zip(edges, edges[1:]):
-                if (block[lo], lane[lo]) != at:
-                    at, trie, rest = (block[lo], lane[lo]), None, {}
-                if not visits[lo]:
-                    rest |= zip(word[lo:hi], n[lo:hi])
-                elif rest:
-                    trie = trie or Trie(list(rest))
-                    out.extend((word[lo + i], other, n[lo + i], rest[other]) for i, other in trie.pairs(word[lo:hi]))
-            yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
-    rows = dealt(vocab).repartition("block", "lane").sortWithinPartitions("block", "lane", "visits")
-    return rows.mapInArrow(run, schema)
+    return dealt(vocab).repartition("block", "lane").sortWithinPartitions("block", "lane", "visits").mapInArrow(matched, PAIRS)
 
 
 def roots(forms: DataFrame) -> DataFrame:
