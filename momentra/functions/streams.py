@@ -6,6 +6,7 @@ Exact for keys of any size: no rows are left out, and no key's rows are held tog
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -97,24 +98,76 @@ class Disjoint(Greedy):
         return (row[:-1],)
 
 
+#: Hashes up to which all are compared, rather than those that share a band.
+FEW_HASHES = 2048
+
+
+class Band:
+    """One band's value: the hashes that have it and their places, in order."""
+
+    __slots__ = ("hashes", "places")
+
+    def __init__(self) -> None:
+        self.hashes, self.places = array("Q"), array("q")
+
+    def first_near(self, h: int, threshold: int, begin: int) -> int | None:
+        old = bisect.bisect_left(self.places, begin) if begin else 0
+        if 2 * old > len(self.places):
+            del self.hashes[:old], self.places[:old]
+            old = 0
+        near = np.bitwise_count(np.frombuffer(self.hashes, np.uint64)[old:] ^ np.uint64(h)) <= threshold if len(self.places) > old else np.zeros(0, bool)
+        at = int(near.argmax()) if len(near) else 0
+        return self.places[old + at] if len(near) and near[at] else None
+
+
 class Hashes:
-    """64-bit hashes in order, and which of them (the last `horizon`) is the first within threshold bits of another."""
+    """64-bit hashes in order, and which of them (the last `horizon`) is the first within threshold bits of another.
+
+    Two hashes within threshold bits agree in one of threshold + 1 bands of bits, so beyond FEW_HASHES only hashes that
+    share a band are compared. Places before the horizon are let go.
+    """
 
     def __init__(self, threshold: int, horizon: int | None = None) -> None:
-        self.threshold, self.horizon = threshold, horizon
-        self.held, self.n = np.zeros(64, np.uint64), 0
+        self.threshold, self.horizon, self.n = threshold, horizon, 0
+        cuts = [round(i * 64 / (threshold + 1)) for i in range(threshold + 2)]
+        self.bands = [(lo, (1 << hi - lo) - 1) for lo, hi in zip(cuts, cuts[1:])] if threshold < 64 else []
+        self.all, self.tables = Band(), None
+
+    def values(self, h: int) -> list[int]:
+        return [h >> lo & mask for lo, mask in self.bands]
 
     def first_near(self, h: int) -> int | None:
+        h &= 2**64 - 1
         begin = 0 if self.horizon is None else max(0, self.n - self.horizon)
-        near = np.bitwise_count(self.held[begin : self.n] ^ np.uint64(h & (2**64 - 1))) <= self.threshold
-        return begin + int(near.argmax()) if near.any() else None
+        if self.tables is None:
+            return self.all.first_near(h, self.threshold, begin)
+        shared = [t[v] for t, v in zip(self.tables, self.values(h)) if v in t]
+        whole = next((b for b in shared if len(b.places) >= self.n - begin), None)  # a band that doesn't vary shows all
+        found = [at for b in ([whole] if whole else shared) if (at := b.first_near(h, self.threshold, begin)) is not None]
+        return min(found, default=None)
 
     def add(self, h: int) -> None:
-        if self.n == len(self.held):
-            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
-        self.held[self.n] = h & (2**64 - 1)
+        h &= 2**64 - 1
+        if self.tables is None:
+            self.all.hashes.append(h)
+            self.all.places.append(self.n)
+            if len(self.all.places) > FEW_HASHES and self.bands:
+                self.tables = [{} for _ in self.bands]
+                for at, old in zip(self.all.places, self.all.hashes):
+                    self._file(at, old)
+                self.all = Band()
+        else:
+            self._file(self.n, h)
         self.n += 1
 
+    def _file(self, at: int, h: int) -> None:
+        for t, v in zip(self.tables, self.values(h)):
+            b = t.get(v)
+            if b is None:
+                b = t[v] = Band()
+            b.hashes.append(h)
+            b.places.append(at)
+
 
 class UnlikeBits(Greedy):
     """Rows (key, id, h, t) in time order -> (key, id) of those over threshold bits from all kept (the last `horizon`); null h is kept."""

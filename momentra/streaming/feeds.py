@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import bisect
+from collections import deque
+from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, ListState, TimerValues
+
+from momentra.functions import streams
 
 
 def stream_status(events: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -36,70 +40,137 @@ def stream_feedback_mix(feedback: DataFrame) -> DataFrame:
 
 
 SIEVE = "scene_id string, obs_id long, timestamp_sec double, floor double, verdict string"
-STATE = "sharp array<double>, hashes array<long>, head double"
-
-
-class Sieve:
-    """One scene's rolling floor over the last state_rows values and its last state_hashes kept hashes."""
-
-    def __init__(self, state_rows: int, state_hashes: int, threshold: int, dark: float, motion_cap: float) -> None:
-        self.args = (state_rows, state_hashes, threshold, dark, motion_cap)
-
-    def run(self, x: pd.DataFrame, sharp: list[float], hashes: list[int], head: float) -> tuple[list[tuple], list[float], list[int], float]:
-        rows, keep, threshold, dark, motion_cap = self.args
-        out = []
-        for r in x.sort_values(["timestamp_sec", "obs_id"]).itertuples():
-            if r.timestamp_sec < head:
-                out.append((r.scene_id, r.obs_id, r.timestamp_sec, None, "late"))
-                continue
-            head = r.timestamp_sec
-            if r.brightness < dark:
-                out.append((r.scene_id, r.obs_id, r.timestamp_sec, None, "dark"))
-                continue
-            sharp = [*sharp, r.sharpness][-rows:]
-            floor = max(50.0, float(np.percentile(sharp, 10)) if len(sharp) >= 30 else 25.0)
-            if r.sharpness < floor:
-                verdict = "below_floor"
-            elif r.motion > motion_cap:
-                verdict = "high_motion"
-            elif any(((int(r.phash) ^ h) & (2**64 - 1)).bit_count() <= threshold for h in hashes):
-                verdict = "duplicate"
-            else:
-                verdict, hashes = "kept", [*hashes, int(r.phash)][-keep:]
-            out.append((r.scene_id, r.obs_id, r.timestamp_sec, round(floor, 4), verdict))
-        return out, sharp, hashes, head
+SIEVED = [c.split()[0] for c in SIEVE.split(", ")]
+
+
+class Sieve(streams.Greedy):
+    """One scene's rows (scene_id, obs_id, timestamp_sec, sharpness, brightness, motion, phash) in time order -> verdicts.
+
+    State: the last `rows` values of sharpness, in order and sorted, the last `hashes` kept hashes, and the last time.
+    """
+
+    def __init__(self, rows: int, hashes: int, threshold: int, dark: float, motion_cap: float) -> None:
+        self.rows, self.dark, self.motion_cap = rows, dark, motion_cap
+        self.sharp: deque[float] = deque()
+        self.sorted: list[float] = []
+        self.kept = streams.Hashes(threshold, hashes)
+        self.head = float("-inf")
+
+    def see(self, sharpness: float) -> None:
+        self.sharp.append(sharpness)
+        bisect.insort(self.sorted, sharpness)
+        if len(self.sharp) > self.rows:
+            del self.sorted[bisect.bisect_left(self.sorted, self.sharp.popleft())]
+
+    def floor(self) -> float:
+        """The 10th percentile of the values seen, linear, from 30 values on; 50 at least."""
+        n = len(self.sorted)
+        if n < 30:
+            return 50.0
+        at = (n - 1) * 0.1
+        a, b = self.sorted[int(at)], self.sorted[min(int(at) + 1, n - 1)]
+        part = at - int(at)
+        return max(50.0, a + (b - a) * part if part < 0.5 else b - (b - a) * (1 - part))
+
+    def feed(self, row: tuple) -> tuple[tuple, ...]:
+        scene, i, t, sharpness, brightness, motion, phash = row
+        if t < self.head:
+            return ((scene, i, t, None, "late"),)
+        self.head = t
+        if brightness is not None and brightness < self.dark:
+            return ((scene, i, t, None, "dark"),)
+        self.see(sharpness)
+        floor = self.floor()
+        if sharpness < floor:
+            verdict = "below_floor"
+        elif motion is not None and motion > self.motion_cap:
+            verdict = "high_motion"
+        elif self.kept.first_near(phash) is not None:
+            verdict = "duplicate"
+        else:
+            verdict = "kept"
+            self.kept.add(phash)
+        return ((scene, i, t, round(floor, 4), verdict),)
+
+
+class SieveProcessor(StatefulProcessor):
+    """The sieve as a stateful operator: two lists, to which a batch's values are appended and which are cut to their bounds
+    when twice as long, and a value (the last time, the timer that is set)."""
+
+    def __init__(self, args: tuple, idle_ms: int, event_time: bool, ttl_ms: int | None) -> None:
+        self.args, self.idle_ms, self.event_time, self.ttl_ms = args, idle_ms, event_time, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sharp = handle.getListState("sharp", "v double", self.ttl_ms)
+        self.hashes = handle.getListState("hashes", "h long", self.ttl_ms)
+        self.last = handle.getValueState("last", "t double, timer long, sharp int, hashes int", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        most_sharp, most_hashes, *_ = self.args
+        sieve = Sieve(*self.args)
+        timer, n_sharp, n_hashes = -1, 0, 0
+        if self.last.exists():
+            sieve.head, timer, n_sharp, n_hashes = self.last.get()
+            for (v,) in list(self.sharp.get())[-most_sharp:]:
+                sieve.see(v)
+            for (h,) in list(self.hashes.get())[-most_hashes:]:
+                sieve.kept.add(h)
+        x = pd.concat(list(rows)).sort_values(["timestamp_sec", "obs_id"], kind="stable")
+        seen, kept, out = [], [], []
+        for row in zip(*(x[c].tolist() for c in SIEVE_INPUT)):
+            for verdict in sieve.feed(row):
+                out.append(verdict)
+                if verdict[4] not in ("late", "dark"):
+                    seen.append((row[3],))
+                if verdict[4] == "kept":
+                    kept.append((row[6],))
+        n_sharp, n_hashes = (self._append(*s) for s in ((self.sharp, seen, n_sharp, most_sharp), (self.hashes, kept, n_hashes, most_hashes)))
+        if self.event_time:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentWatermarkInMs() + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.last.update((sieve.head, timer, n_sharp, n_hashes))
+        yield pd.DataFrame(out, columns=SIEVED)
+
+    def _append(self, state: ListState, new: list[tuple], n: int, most: int) -> int:
+        if n + len(new) > 2 * most:
+            state.put([*(state.get() if n else ()), *new][-most:])
+            return most
+        if new:
+            state.appendList(new)
+        return n + len(new)
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for state in (self.sharp, self.hashes, self.last):
+            state.clear()
+        return iter([])
+
+
+SIEVE_INPUT = ["scene_id", "obs_id", "timestamp_sec", "sharpness", "brightness", "motion", "phash"]
 
 
 def stream_sieve(
     obs: DataFrame, state_rows: int = 200, state_hashes: int = 600, threshold: int = 5, dark: float = 0.1, motion_cap: float = 4.5,
-    event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = 3_600_000
+    event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = 3_600_000, ttl_ms: int | None = None
 ) -> DataFrame:
     """obs (scene_id, obs_id, timestamp_sec, sharpness, brightness, motion, phash) -> each row's floor and verdict; see verdict_counts.
 
-    State of a scene: two bounded lists and the last time; rows before it are late, not put in order. With event_time, a
-    timestamp column, a scene idle for idle_ms beyond the watermark is forgotten; without, its state stays. On a batch
-    frame a scene's rows are sieved in one group.
+    Rows without a phash, a time or a sharpness are left out; null brightness is light, null motion still. State of a scene:
+    two bounded lists and the last time; rows before it are late, not put in order. With event_time, a timestamp column, a
+    timer forgets a scene that is idle for idle_ms beyond the watermark; without, ttl_ms of processing time does (run it
+    with no_data=False), or nothing.
+    On a batch frame a scene's rows stream in time order past the same state. A stream needs the RocksDB state store; see
+    run.run_available, which sets it and goes on from where an earlier run has stopped.
     """
-    sieve = Sieve(state_rows, state_hashes, threshold, dark, motion_cap)
-    cols = [c.split()[0] for c in SIEVE.split(", ")]
-
-    def step(key: tuple[Any, ...], batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        sharp, hashes, head = state.get if state.exists else ([], [], float("-inf"))
-        out, sharp, hashes, head = sieve.run(pd.concat(list(batches)), list(sharp), list(hashes), head)
-        state.update((sharp, hashes, head))
-        if event_time:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
-        yield pd.DataFrame(out, columns=cols)
-
-    rows = obs.select("scene_id", "obs_id", "timestamp_sec", "sharpness", "brightness", "motion", "phash", *([event_time] if event_time else [])).where("phash is not null")
-    if obs.isStreaming:
-        timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
-        rows = rows.withWatermark(event_time, watermark) if event_time else rows
-        return rows.groupBy("scene_id").applyInPandasWithState(step, SIEVE, STATE, "append", timeout)
-    return rows.groupBy("scene_id").applyInPandas(lambda x: pd.DataFrame(sieve.run(x, [], [], float("-inf"))[0], columns=cols), SIEVE)
+    args = (state_rows, state_hashes, threshold, dark, motion_cap)
+    rows = obs.select(*SIEVE_INPUT, *([event_time] if event_time else [])).where("phash is not null and timestamp_sec is not null and sharpness is not null")
+    if not obs.isStreaming:
+        return streams.sorted_pass(rows.select(*SIEVE_INPUT), ["timestamp_sec", "obs_id"], SIEVE, lambda: Sieve(*args))
+    rows = rows.withWatermark(event_time, watermark) if event_time else rows
+    mode = "EventTime" if event_time else "ProcessingTime" if ttl_ms else "None"
+    return rows.groupBy("scene_id").transformWithStateInPandas(SieveProcessor(args, idle_ms, bool(event_time), None if event_time else ttl_ms), SIEVE, "Append", mode)
 
 
 def verdict_counts(sieved: DataFrame) -> DataFrame:

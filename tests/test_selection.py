@@ -273,3 +273,23 @@ def test_rows_without_a_scene_are_one_scene(spark):
     x = spark.createDataFrame([(None, 0, 0.0, 7, 1.0), (None, 1, 1.0, 7, 1.0), ("s", 2, 2.0, 7, 1.0)], HASHED)
     assert rows(P.near_dup_keep_first(x, "phash", 0), "obs_id") == [(0,), (2,)]
     assert rows(D.near_dup_clusters(x.where("scene_id is not null"), "phash", 0), "obs_id", "cluster_id") == [(2, 2)]
+
+
+@pytest.mark.parametrize(("few", "horizon", "threshold", "spread"), [(10, None, 5, 64), (10, 40, 5, 64), (10, None, 3, 20), (10, 25, 0, 4), (2048, 30, 2, 12)])
+def test_hashes_equal_the_scan(monkeypatch, few, horizon, threshold, spread):
+    from momentra.functions import streams
+
+    monkeypatch.setattr(streams, "FEW_HASHES", few)
+    rng = random.Random(11)
+    table, held = streams.Hashes(threshold, horizon), []
+    centres = [rng.getrandbits(spread) - (1 << 63 if spread == 64 else 0) for _ in range(40)]
+    for _ in range(1200):
+        h = rng.choice(centres)
+        for _ in range(rng.randint(0, 6)):
+            h ^= 1 << rng.randrange(min(spread, 62))
+        begin = 0 if horizon is None else max(0, len(held) - horizon)
+        want = next((i for i in range(begin, len(held)) if ((held[i] ^ h) & (2**64 - 1)).bit_count() <= threshold), None)
+        assert table.first_near(h) == want
+        if want is None or rng.random() < 0.3:
+            table.add(h)
+            held.append(h)

@@ -1,6 +1,8 @@
 """Streams give what the batch forms give on ordered input; repeated and late rows are told apart."""
 
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -35,6 +37,44 @@ def test_sieve_stream_equals_batch(spark, tmp_path):
     assert {r["verdict"] for r in b.collect()} >= {"dark", "below_floor", "kept"}
 
 
+def test_sieve_goes_on_after_a_stop(spark, tmp_path):
+    """Many micro-batches, a stop and a restart from the checkpoint, lists cut several times: equal to the batch form."""
+    rng = random.Random(3)
+    row = lambda i: json.dumps({"scene_id": f"s{i % 3}", "obs_id": i, "timestamp_sec": float(i // 2), "sharpness": rng.choice([30.0, 60.0, 80.0, 90.0]) + rng.random(), "brightness": 0.05 if i % 11 == 0 else 0.5, "motion": 5.0 if i % 13 == 0 else 1.0, "phash": rng.randrange(40) * 2**30 + rng.randrange(2)})
+    parts = [[row(i) for i in range(at, at + 60)] for at in range(0, 720, 60)]
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    x = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).json(str(inbox))
+    sieve = lambda df: feeds.stream_sieve(df, state_rows=40, state_hashes=9)
+    for run, batches in enumerate((parts[:7], parts[7:])):
+        for i, lines in enumerate(batches):
+            (inbox / f"{run}{i:02}.json").write_text("\n".join(lines))
+            os.utime(inbox / f"{run}{i:02}.json", (1_000_000_000 + 1000 * run + 10 * i,) * 2)
+        got = run_available(sieve(x), base=f"file://{tmp_path}/base")
+    key = lambda df: sorted((r["obs_id"], r["verdict"], r["floor"]) for r in df.collect())
+    want = key(sieve(spark.read.schema(OBS).json(str(inbox))))
+    assert key(got) == want and len(want) == 720
+    assert {v for _, v, _ in want} == {"dark", "below_floor", "high_motion", "duplicate", "kept"}
+
+
+def test_sieve_forgets_idle_scenes(spark, tmp_path):
+    row = lambda i, scene, day: json.dumps({"scene_id": scene, "obs_id": i, "timestamp_sec": 1.0, "sharpness": 90.0, "brightness": 0.5, "motion": 1.0, "phash": 7, "at": f"2024-01-{day:02}T00:00:00Z"})
+    x = spark.readStream.schema(OBS + ", at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    for n, (scene, day) in enumerate([("a", 1), ("a", 1), ("b", 5), ("b", 6), ("a", 7)]):
+        (tmp_path / f"{n}.json").write_text(row(n, scene, day))
+        os.utime(tmp_path / f"{n}.json", (1_000_000_000 + n,) * 2)
+    got = {r["obs_id"]: r["verdict"] for r in run_available(feeds.stream_sieve(x, event_time="at")).collect()}
+    assert got == {0: "kept", 1: "duplicate", 2: "kept", 3: "duplicate", 4: "kept"}
+
+
+def test_sieve_with_a_time_to_live_and_odd_rows(spark, tmp_path):
+    rows = [{"scene_id": None, "obs_id": 1, "timestamp_sec": 1.0, "sharpness": 90.0, "phash": 5}, {"scene_id": None, "obs_id": 2, "timestamp_sec": 1.0, "sharpness": 90.0, "phash": 5}, {"scene_id": "s", "obs_id": 3, "timestamp_sec": 1.0, "phash": 5}, {"scene_id": "s", "obs_id": 4, "sharpness": 90.0, "phash": 5}, {"scene_id": "s", "obs_id": 5}]
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    s = run_available(feeds.stream_sieve(stream(spark, tmp_path, OBS), ttl_ms=60_000), no_data=False)
+    b = feeds.stream_sieve(spark.read.schema(OBS).json(str(tmp_path)))
+    assert [{r["obs_id"]: r["verdict"] for r in df.collect()} for df in (s, b)] == [{1: "kept", 2: "duplicate"}] * 2
+
+
 def test_sieve_flags_late_rows(spark, tmp_path):
     row = lambda i, t: json.dumps({"scene_id": "s", "obs_id": i, "timestamp_sec": t, "sharpness": 90.0, "brightness": 0.5, "motion": 1.0, "phash": i * 1023})
     (tmp_path / "a.json").write_text(row(1, 10.0))
