@@ -5,17 +5,19 @@ with one vector. One inserted, deleted or replaced letter puts at most one lette
 in another, so a depth-first search goes to the children whose counts spend no more than a surplus and a deficit of one
 each; the words of the leaves it reaches are then compared letter by letter.
 
-The trie's top (the length and the first TOP counts) deals the words out to tasks: a word rests in the block of its own
+The trie's top (the length and the first counts, more of them for more words) deals the words out to tasks: a word rests in the block of its own
 top and visits those within the same budget. A block's resting words are held in lanes of LANE_ROWS words at most, the
 visitors stream past them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,8 @@ LETTERS = "A-Za-zÀ-ÿ"
 #: Groups of letters; a letter's group is its code point modulo GROUPS. The trie's levels take every fourth group in turn.
 GROUPS = 32
 LEVELS = [(1 + 4 * (j % 8) + j // 8) % GROUPS for j in range(GROUPS)]
-#: Levels of the trie that deal words out to tasks.
-TOP = 4
 #: Resting words that a task holds at once.
-LANE_ROWS = 2048
+LANE_ROWS = 4096
 #: Words of fewer letters are compared as rows of a matrix, about CHUNK pairs at once; longer ones one by one.
 SHORT, CHUNK = 32, 50_000
 #: Words below a node of the trie whose paths are followed together.
@@ -56,21 +56,26 @@ def _block(length: Column, counts: list[Column]) -> Column:
     return F.concat_ws(",", length, *counts)
 
 
-def dealt(vocab: DataFrame) -> DataFrame:
+def top_levels(words: int) -> int:
+    """Levels of the trie that deal so many words out to tasks: one more for twice the words, so that blocks stay as large."""
+    return min(GROUPS // 2, max(2, math.ceil(math.log2(max(1, words) / (16 * LANE_ROWS)))))
+
+
+def dealt(vocab: DataFrame, top: int) -> DataFrame:
     """vocab (word, n) -> (block, lane, visits, word, n): each word once at rest, and once a lane of each block it visits.
 
     A pair of one length is looked for by the word of the smaller top, in one block by the greater word; of two lengths by
     the shorter word. So every pair meets once.
     """
-    tops = [group_count(F.col("word"), LEVELS[j]).alias(f"c{j}") for j in range(TOP)]
+    tops = [group_count(F.col("word"), LEVELS[j]).alias(f"c{j}") for j in range(top)]
     x = vocab.select("word", "n", F.length("word").alias("len"), *tops)
-    c = [F.col(f"c{j}") for j in range(TOP)]
+    c = [F.col(f"c{j}") for j in range(top)]
     plus = lambda up, down=None: [v + 1 if j == up else v - 1 if j == down else v for j, v in enumerate(c)]
     own = _block(F.col("len"), c)
-    longer = [_block(F.col("len") + 1, plus(up)) for up in range(TOP + 1)]  # TOP: a group below the top
+    longer = [_block(F.col("len") + 1, plus(up)) for up in range(top + 1)]  # top: a group below the top
     # of two tops of one length the first count that differs is greater in the visited one
-    same = [F.when(c[down] > 0, _block(F.col("len"), plus(up, down))) for up in range(TOP) for down in range(up + 1, TOP)]
-    same += [_block(F.col("len"), plus(up)) for up in range(TOP)]
+    same = [F.when(c[down] > 0, _block(F.col("len"), plus(up, down))) for up in range(top) for down in range(up + 1, top)]
+    same += [_block(F.col("len"), plus(up)) for up in range(top)]
     rest = x.select(own.alias("block"), "word", "n")
     lanes = cut(rest.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LANE_ROWS).cast("int").alias("lanes")))
     goes = x.select("word", "n", F.explode(F.filter(F.array(own, *longer, *same), lambda b: b.isNotNull())).alias("block"))
@@ -116,8 +121,8 @@ def near(a: str, b: str) -> bool:
 class Trie:
     """A frequency-vector trie over sorted vectors: a node is the range of the words that share its counts so far."""
 
-    def __init__(self, words: list[str]) -> None:
-        v = vectors(words)
+    def __init__(self, words: list[str], top: int) -> None:
+        self.top, v = top, vectors(words)
         order = np.lexsort(v.T[::-1])
         self.words, self.vectors = [words[i] for i in order], v[order]
         self.rows, self.size = letters(self.words)
@@ -165,7 +170,7 @@ class Trie:
             short = size[v] < SHORT
             maybe = ~short | near_rows(rows[v], self.rows[w], size[v] == self.size[w])
             v, w, short = v[maybe], w[maybe], short[maybe]
-            home = (size[v] == self.size[w]) & (wanted[v, :TOP] == self.vectors[w, :TOP]).all(1)
+            home = (size[v] == self.size[w]) & (wanted[v, : self.top] == self.vectors[w, : self.top]).all(1)
             for r, at, at_home, known in zip(v.tolist(), w.tolist(), home.tolist(), short.tolist()):
                 other = self.words[at]
                 if (known or near(visitors[r], other)) and not (at_home and other > visitors[r]):
@@ -176,27 +181,33 @@ PAIRS = "a string, b string, na long, nb long"
 ARROW = pa.schema([("a", pa.string()), ("b", pa.string()), ("na", pa.int64()), ("nb", pa.int64())])
 
 
-def matched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def matched(batches: Iterable[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
     """dealt rows by block and lane, those at rest first -> near pairs. One lane's resting words are held."""
     at, trie, rest = None, None, {}
     for batch in batches:
-        block, lane, visits, word, n = (c.to_pylist() for c in batch.columns)
-        edges = [*(i for i in range(len(block)) if not i or (block[i], lane[i], visits[i]) != (block[i - 1], lane[i - 1], visits[i - 1])), len(block)]
+        changes = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in batch.columns[:3]] if batch.num_rows else []
+        edges = [0, *(np.flatnonzero(np.logical_or.reduce(changes)) + 1).tolist(), batch.num_rows] if changes else []
         out: list[tuple] = []
         for lo, hi in zip(edges, edges[1:]):
-            if (block[lo], lane[lo]) != at:
-                at, trie, rest = (block[lo], lane[lo]), None, {}
-            if not visits[lo]:
-                rest |= zip(word[lo:hi], n[lo:hi])
-            elif rest:
-                trie = trie or Trie(list(rest))
-                out.extend((word[lo + i], other, n[lo + i], rest[other]) for i, other in trie.pairs(word[lo:hi]))
+            block, lane, visits = (c[lo].as_py() for c in batch.columns[:3])
+            if (block, lane) != at:
+                at, trie, rest = (block, lane), None, {}
+            if visits and not rest:
+                continue
+            word, n = (c.slice(lo, hi - lo).to_pylist() for c in batch.columns[3:])
+            if not visits:
+                rest |= zip(word, n)
+            else:
+                trie = trie or Trie(list(rest), top)
+                out.extend((word[i], other, n[i], rest[other]) for i, other in trie.pairs(word))
         yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(ARROW)], schema=ARROW)
 
 
 def near_pairs(vocab: DataFrame) -> DataFrame:
     """vocab (word, n), distinct words -> (a, b, na, nb): every pair of near words once."""
-    return dealt(vocab).repartition("block", "lane").sortWithinPartitions("block", "lane", "visits").mapInArrow(matched, PAIRS)
+    top = top_levels(vocab.count())
+    rows = dealt(vocab, top).repartition("block", "lane").sortWithinPartitions("block", "lane", "visits")
+    return rows.mapInArrow(lambda batches: matched(batches, top), PAIRS)
 
 
 def roots(forms: DataFrame) -> DataFrame:
