@@ -29,10 +29,12 @@ class Greedy:
         return ()
 
 
-def sorted_pass(df: DataFrame, order: list[str | Column], schema: str, make: Callable[[], Greedy]) -> DataFrame:
-    """df, whose first column is the key, through a state of make() for each key, a key's rows by order."""
+def sorted_pass(df: DataFrame, order: list[str | Column], schema: str, make: Callable[[], Greedy], spread: bool = False) -> DataFrame:
+    """df, whose first column is the key, through a state of make() for each key, a key's rows by order. spread: small data
+    as well go to as many tasks as shuffles have partitions, for states that take long over a row."""
     key = df.columns[0]
-    rows = df.repartition(key).sortWithinPartitions(key, *order)
+    parts = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if spread else []
+    rows = df.repartition(*parts, key).sortWithinPartitions(key, *order)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def given(out: list[tuple]) -> pa.RecordBatch:

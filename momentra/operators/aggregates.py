@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentra.functions import columns as C
+from momentra.functions.shared import cut
 
 
 def _share(hit: Column, of: Column, places: int = 1) -> Column:
@@ -41,28 +42,43 @@ def fallback_usage(logs: DataFrame) -> DataFrame:
 def values_at(df: DataFrame, key: str, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(key, n, least, most, and for each name the value at a rank from 0 that is a function of n), over values that aren't null.
 
-    Rows are counted by value first, so a key of very many rows is as many as it has values, and their counting is spread
-    by value; the ranks run over the counts.
+    Exact selection without a key's values in one task: rows are counted by value, the counts range-partitioned by
+    (key, value), so that a key of many values lies over many tasks; each task's sum for each of its keys, a row a task and
+    key, gives the offset at which the key goes on in the next task, and ranks are picked from offset and running sum.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(key)
-    upto = F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    x = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(w)})
-    at = [F.min(F.when(F.col("_upto") > rank(F.col("_n")), F.col("_v"))).alias(name) for name, rank in ranks.items()]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(counts.repartitionByRange(parts, key, "_v").withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy("_part", key).agg(F.sum("_c").alias("_s"))
+    of_key = Window.partitionBy(key)
+    before = F.coalesce(F.sum("_s").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut(sums.select("_part", F.col(key).alias("_k"), before.alias("_before"), F.sum("_s").over(of_key).alias("_n")))
+    here = F.sum("_c").over(Window.partitionBy("_part", key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    x = placed.join(offsets.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
+    x = x.withColumn("_upto", F.col("_before") + here)
+    first = lambda rank: (F.col("_upto") > rank(F.col("_n"))) & (F.col("_upto") - F.col("_c") <= rank(F.col("_n")))
+    at = [F.min(F.when(first(rank), F.col("_v"))).alias(name) for name, rank in ranks.items()]
     return x.groupBy(key).agg(F.first("_n").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), *at)
 
 
+def _around(shares: dict[str, float]) -> dict[str, Callable[[Column], Column]]:
+    """Ranks of linear percentiles: the two values around place (n - 1) * share."""
+    place = lambda p: lambda n: (n - 1) * F.lit(p)
+    below = {f"{a}_low": lambda n, p=p: F.floor(place(p)(n)) for a, p in shares.items()}
+    return {**below, **{f"{a}_high": lambda n, p=p: F.ceil(place(p)(n)) for a, p in shares.items()}}
+
+
+def _linear(name: str, share: float) -> Column:
+    part = (F.col("n") - 1) * F.lit(share) - F.floor((F.col("n") - 1) * F.lit(share))
+    return F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part
+
+
 def phase_thresholds(timings: DataFrame, min_samples: int = 5) -> DataFrame:
     """timings (phases map) -> per phase of min_samples positive times: n, p50, p75, p90 (linear), max; slowest p75 first."""
     x = timings.select(F.explode("phases").alias("phase", "sec")).where("sec > 0")
     pcts = {"p50": 0.5, "p75": 0.75, "p90": 0.9}
-    place = lambda p: lambda n: (n - 1) * F.lit(p)
-    below = {f"{a}_low": lambda n, p=p: F.floor(place(p)(n)) for a, p in pcts.items()}
-    above = {f"{a}_high": lambda n, p=p: F.ceil(place(p)(n)) for a, p in pcts.items()}
-    out = values_at(x, "phase", "sec", {**below, **above}).where(F.col("n") >= min_samples)
-    part = lambda p: place(p)(F.col("n")) - F.floor(place(p)(F.col("n")))
-    linear = [F.round(F.col(f"{a}_low") + (F.col(f"{a}_high") - F.col(f"{a}_low")) * part(p), 1).alias(a) for a, p in pcts.items()]
-    return out.select("phase", "n", *linear, F.round("most", 1).alias("max_sec")).orderBy(F.desc("p75"), "phase")
+    out = values_at(x, "phase", "sec", _around(pcts)).where(F.col("n") >= min_samples)
+    return out.select("phase", "n", *[F.round(_linear(a, p), 1).alias(a) for a, p in pcts.items()], F.round("most", 1).alias("max_sec")).orderBy(F.desc("p75"), "phase")
 
 
 def slowest_phases(timings: DataFrame, top_n: int = 5) -> DataFrame:
@@ -162,14 +178,16 @@ def text_completeness(train: DataFrame) -> DataFrame:
 def rule_kpis(reviews: DataFrame, cohort_col: str = "cohort") -> DataFrame:
     """reviews (cohort, scene_id, title_edit, description_edit, accepted, ready, severity, n_titles, title_diversity) -> KPIs a cohort.
 
-    Denominators are distinct scenes; edit distances are clamped to 0..1 and .25 where missing; medians are linear. Rows
-    are reduced to one a scene first, so no row is expanded for a distinct count.
+    Denominators are distinct scenes; edit distances are clamped to 0..1 and .25 where missing; medians are linear, over
+    reviews. Rows are reduced to one a scene first, so no row is expanded for a distinct count, and the scenes are counted
+    in parts before their cohort meets.
     """
     edit = lambda c: F.coalesce(C.clamp(F.col(c), 0, 1), F.lit(0.25))
     any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    scene = reviews.withColumns({"title_edit": edit("title_edit"), "description_edit": edit("description_edit")}).groupBy(cohort_col, "scene_id").agg(
+    reviews = reviews.withColumns({"title_edit": edit("title_edit"), "description_edit": edit("description_edit")})
+    scene = reviews.groupBy(cohort_col, "scene_id").agg(
         any_of(F.col("accepted")).alias("accepted"), any_of(F.col("ready")).alias("ready"), any_of(F.col("title_edit") <= 0.1).alias("light"), any_of(F.col("severity") >= 2).alias("severe"), F.sum("severity").alias("severity"),
-        F.collect_list("title_edit").alias("title_edits"), F.collect_list("description_edit").alias("description_edits"), F.sum("n_titles").alias("titles"), F.count("n_titles").alias("titled"), F.sum("title_diversity").alias("diversity"), F.count("title_diversity").alias("diverse"),
+        F.sum("n_titles").alias("titles"), F.count("n_titles").alias("titled"), F.sum("title_diversity").alias("diversity"), F.count("title_diversity").alias("diverse"),
     )
     known = F.col("scene_id").isNotNull()
     scenes = F.count_if(known)
@@ -178,11 +196,10 @@ def rule_kpis(reviews: DataFrame, cohort_col: str = "cohort") -> DataFrame:
         scenes.alias("scene_count"), of("accepted").alias("accept_rate"), of("ready").alias("ready_rate"), of("light").alias("light_edit_rate"), F.round(F.sum("severity") / scenes, 4).alias("severity_per_scene"), of("severe").alias("severe_rate"),
         F.round(F.sum("titles") / F.sum("titled"), 2).alias("avg_titles"), F.round(F.sum("diversity") / F.sum("diverse"), 4).alias("title_diversity"),
     )
-    edits = scene.select(cohort_col, F.explode(F.arrays_zip("title_edits", "description_edits")).alias("e"))
-    medians = edits.groupBy(cohort_col).agg(
-        F.round(F.percentile("e.title_edits", 0.5), 4).alias("median_title_edit"),
-        F.round(F.percentile("e.description_edits", 0.5), 4).alias("median_description_edit")
-    )
+    both = reviews.select(cohort_col, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ("title_edit", "description_edit")])).alias("e"))
+    middle = values_at(both.select(F.struct(cohort_col, "e.c").alias("k"), F.col("e.v").alias("v")), "k", "v", _around({"m": 0.5}))
+    median = lambda c: F.round(F.max(F.when(F.col("k.c") == c, _linear("m", 0.5))), 4).alias(f"median_{c}")
+    medians = middle.groupBy(F.col(f"k.{cohort_col}").alias(cohort_col)).agg(median("title_edit"), median("description_edit"))
     out = [
         cohort_col, "scene_count", "accept_rate", "ready_rate", "median_title_edit", "median_description_edit", "light_edit_rate",
         "severity_per_scene", "severe_rate", "avg_titles", "title_diversity",

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from momentra.functions import columns as C
-from momentra.functions import streams
+from momentra.functions import literals, streams
 from momentra.functions.folds import first_by_key
+from momentra.functions.shared import cut
 
 
 def _band(df: DataFrame, value: str, bands: DataFrame, *cols: str) -> DataFrame:
@@ -261,30 +262,63 @@ def acceptance_score(df: DataFrame) -> DataFrame:
     return df.withColumn("acceptance", F.round(F.greatest(F.lit(0.0), base - F.least(F.lit(0.6), F.col("blockers") * 0.08)), 4))
 
 
-#: Dictionary patterns that one expression tests; a larger dictionary is an error.
-MOST_PATTERNS = 2000
+#: Patterns or needles up to which each row is tested against all of them in one expression; more are looked for by grams.
+FEW = 200
 
 
-def dictionary_tags(df: DataFrame, col: str, patterns: DataFrame, key: str) -> DataFrame:
-    """(key, tags): the tags of which a pattern matches the lower-cased text, sorted. The dictionary becomes one expression a
-    row, without a join; over MOST_PATTERNS patterns are an error."""
-    given = patterns.select("tag", "pattern").where("tag is not null and pattern is not null").distinct().limit(MOST_PATTERNS + 1).collect()
-    if len(given) > MOST_PATTERNS:
-        raise ValueError(f"over {MOST_PATTERNS} patterns")
+def _texts(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """df with two hashes of its lower-cased text, and the distinct texts (h1, h2, low)."""
     low = F.lower(F.col(col))
-    by_tag: dict[str, list[Column]] = {}
-    for r in sorted(given):
-        by_tag.setdefault(r["tag"], []).append(low.rlike(r["pattern"]))
-    hits = [F.when(functools.reduce(lambda a, b: a | b, tests), F.lit(tag)) for tag, tests in sorted(by_tag.items())]
-    tags = F.filter(F.array(*hits), lambda t: t.isNotNull()) if hits else F.array().cast("array<string>")
-    return df.select(key, tags.alias("tags"))
+    return df.withColumns({"h1": F.xxhash64(low), "h2": F.xxhash64(F.lit(1), low)}), df.select(low.alias("low")).where("low is not null").distinct().select(F.xxhash64("low").alias("h1"), F.xxhash64(F.lit(1), "low").alias("h2"), "low")
+
+
+def dictionary_tags(df: DataFrame, col: str, patterns: DataFrame, key: str) -> DataFrame:
+    """(key, tags), one row a row of df: the tags of which a pattern matches the lower-cased text, sorted.
+
+    A dictionary of FEW patterns becomes one expression a row, without a join. Of a larger one each pattern is looked for by
+    the texts that its matches must hold (functions/literals), and what is found is verified by the pattern; patterns
+    without such a text are tested against all texts. Null tags, patterns and texts match nothing.
+    """
+    given = patterns.select("tag", "pattern").where("tag is not null and pattern is not null").distinct()
+    few = given.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        low, by_tag = F.lower(F.col(col)), {}
+        for r in sorted(few):
+            by_tag.setdefault(r["tag"], []).append(low.rlike(r["pattern"]))
+        hits = [F.when(functools.reduce(lambda a, b: a | b, tests), F.lit(tag)) for tag, tests in sorted(by_tag.items())]
+        tags = F.filter(F.array(*hits), lambda t: t.isNotNull()) if hits else F.array().cast("array<string>")
+        return df.select(key, tags.alias("tags"))
+    rows, texts = _texts(df.select(F.col(key), F.col(col)), col)
+    texts = cut(texts)
+    given = cut(given.withColumn("needles", literals.required(F.col("pattern"))))
+    known = literals.holding(texts, given.where("needles is not null").select("tag", "pattern", F.explode("needles").alias("needle")))
+    found = texts.join(known.select("h1", "h2", "tag", "pattern"), ["h1", "h2"]).where("rlike(low, pattern)").select("h1", "h2", "tag")
+    rest = texts.join(C.small(given.where("needles is null").select("tag", "pattern")), F.expr("rlike(low, pattern)")).select("h1", "h2", "tag")
+    tags = cut(found.unionAll(rest).groupBy("h1", "h2").agg(F.array_sort(F.collect_set("tag")).alias("tags")))
+    return rows.join(tags, ["h1", "h2"], "left").select(key, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def source_detect(df: DataFrame, col: str, patterns: DataFrame, key: str) -> DataFrame:
-    """(key, source): the first dictionary entry, by its order, that the lower-cased path contains."""
-    p = C.small(patterns.select(F.col("ord").alias("_ord"), F.col("source").alias("_source"), F.lower("needle").alias("_needle")))
-    found = df.select(key, F.lower(F.col(col)).alias("_p")).join(p, F.expr("contains(_p, _needle)"), "left")
-    return found.groupBy(key).agg(F.min_by("_source", "_ord").alias("source"))
+    """(key, source), one row a row of df: the first dictionary entry, by its order, that the lower-cased path contains; of
+    ties the least source, entries without an order last.
+
+    FEW entries become one expression; more are looked for by a gram of each needle in an equi join (functions/literals)
+    and verified. Null needles and paths match nothing, an empty needle all paths.
+    """
+    given = patterns.select(F.struct(F.col("ord").isNull().alias("last"), "ord", "source").alias("entry"), F.lower("needle").alias("needle")).where("needle is not null")
+    few = given.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        low, out = F.lower(F.col(col)), F.lit(None).cast("string")
+        for r in sorted(few, key=lambda r: (r["entry"]["last"], r["entry"]["ord"] or 0, r["entry"]["source"] or ""), reverse=True):
+            out = F.when(low.contains(r["needle"]), F.lit(r["entry"]["source"])).otherwise(out)
+        return df.select(key, out.alias("source"))
+    rows, texts = _texts(df.select(F.col(key), F.col(col)), col)
+    texts = cut(texts)
+    found = texts.join(literals.holding(texts, given.where("needle != ''")), ["h1", "h2"]).where("contains(low, needle)").select("h1", "h2", "entry")
+    every = given.where("needle = ''").agg(F.min("entry").alias("every"))
+    first = cut(found.groupBy("h1", "h2").agg(F.min("entry").alias("entry")))
+    joined = rows.join(first, ["h1", "h2"], "left").join(F.broadcast(every), how="cross")
+    return joined.select(key, F.when(F.col(col).isNotNull(), F.least("entry", "every"))["source"].alias("source"))
 
 
 def inherit_metadata(files: DataFrame, sidecars: DataFrame, fields: dict[str, list[str]]) -> DataFrame:

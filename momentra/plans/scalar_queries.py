@@ -274,6 +274,32 @@ def _(spark, sf):
     return S.source_detect(table(spark, sf, "pages"), "url", p, "page_id")
 
 
+#: Words of the benchmark's items as a dictionary: a tag for each pair of first letters.
+WORDS = "words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM benchmark)"
+
+
+def words(spark, sf):
+    return table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("w")).distinct()
+
+
+@query("dictionary_tags_many", f"""
+    WITH {WORDS}, t AS (SELECT doc_id, lower(text) AS low FROM documents), p AS (SELECT substr(w, 1, 2) AS tag, w, CASE WHEN length(w) % 2 = 0 THEN '[ .,]' || w ELSE w || '[a-z]' END AS pattern FROM words),
+    h AS (SELECT DISTINCT doc_id, tag FROM t, p WHERE contains(low, w) AND regexp_matches(low, pattern))
+    SELECT d.doc_id, coalesce(string_agg(tag, '|' ORDER BY tag), '') AS tags FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id""")
+def _(spark, sf):
+    pattern = F.when(F.length("w") % 2 == 0, F.concat(F.lit("[ .,]"), "w")).otherwise(F.concat("w", F.lit("[a-z]")))
+    p = words(spark, sf).select(F.substring("w", 1, 2).alias("tag"), pattern.alias("pattern"))
+    return S.dictionary_tags(table(spark, sf, "documents"), "text", p, "doc_id").select("doc_id", joined("tags").alias("tags"))
+
+
+@query("source_detect_many", f"""
+    WITH {WORDS}, t AS (SELECT doc_id, lower(text) AS low FROM documents), f AS (SELECT doc_id, min({{'o': length(w), 's': w}}) AS f FROM t, words WHERE contains(low, w) GROUP BY doc_id)
+    SELECT doc_id, f.s AS source FROM documents LEFT JOIN f USING (doc_id)""")
+def _(spark, sf):
+    p = words(spark, sf).select(F.length("w").alias("ord"), F.col("w").alias("source"), F.upper("w").alias("needle"))
+    return S.source_detect(table(spark, sf, "documents"), "text", p, "doc_id")
+
+
 @query("inherit_metadata", """
     SELECT 'lib/' || c_mktsegment || '/' || (c_custkey % 50)::VARCHAR || '/f' || c_custkey::VARCHAR || '.mp4' AS path, CASE WHEN (c_custkey % 50) % 2 = 0 THEN 'deep' || (c_custkey % 50)::VARCHAR ELSE c_mktsegment END AS title,
         CASE WHEN (c_custkey % 50) % 5 = 0 THEN 't' || (c_custkey % 50)::VARCHAR END AS tags FROM customer""")

@@ -1,6 +1,7 @@
 """Literal cases of scalars, joins, aggregates, merges and sources."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -183,3 +184,23 @@ def test_canary_takes_the_latest_pointer(spark):
 def test_few_reviews_give_the_default(spark):
     x = spark.createDataFrame([("a title", ["t"])], "title string, tags array<string>")
     assert [tuple(r) for r in A.phrase_mining(x).collect()] == [("default", "", 1, 1)]
+
+
+def test_ranks_of_a_key_over_many_tasks(spark):
+    """One key lies over all tasks, several lie in one; the ranks equal those of the sorted values."""
+    rng = random.Random(4)
+    data = [("hot", rng.randrange(5_000) / 8) for _ in range(20_000)] + [(k, float(rng.randrange(50))) for k in ("a", "b", None) for _ in range(rng.randint(1, 300))] + [("hot", None), ("none", None)]
+    x = spark.createDataFrame(data, "k string, v double").repartition(7)
+    ranks = {"first": lambda n: F.lit(0), "mid": lambda n: F.floor((n - 1) / 2), "last": lambda n: n - 1, "late": lambda n: F.floor((n - 1) * 0.9)}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r["k"]: tuple(r)[1:] for r in A.values_at(x, "k", "v", ranks).collect()}
+        counts = x.where("v is not null").groupBy("k", "v").count()
+        spread = counts.repartitionByRange(16, "k", "v").where("k = 'hot'").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {}
+    for k in {k for k, v in data if v is not None}:
+        v = sorted(v for key, v in data if key == k and v is not None)
+        want[k] = (len(v), v[0], v[-1], v[0], v[(len(v) - 1) // 2], v[-1], v[int((len(v) - 1) * 0.9)])
+    assert got == want and spread > 8
