@@ -35,6 +35,11 @@ def sorted_pass(df: DataFrame, order: list[str | Column], schema: str, make: Cal
     key = df.columns[0]
     parts = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if spread else []
     rows = df.repartition(*parts, key).sortWithinPartitions(key, *order)
+    return passed(rows, schema, make)
+
+
+def passed(rows: DataFrame, schema: str, make: Callable[[], Greedy]) -> DataFrame:
+    """sorted_pass over rows that are partitioned by the key, their first column, and sorted by it and the order."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def given(out: list[tuple]) -> pa.RecordBatch:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentra.functions import columns as C
 from momentra.functions import streams
+from momentra.functions.shared import cut
 
 
 def _ranked(df: DataFrame, order: list, name: str = "_n") -> DataFrame:
@@ -308,48 +310,54 @@ PICKS = "scene_id string, obs_id long, timestamp_sec double, label string, bucke
 STATS = "eligible int, runs int, effective_max int, picks int"
 
 
-def _fill(
-    x: pd.DataFrame, spec: dict[str, int], per_label: int, per_run: int, gap: float, tight: float, run_gap: float, max_total: int, min_total: int,
-    cap: int
-) -> tuple[list, dict]:
-    """One scene, rows in time order. Every pick counts for the gap of the later ones."""
-    rows = x.sort_values(["timestamp_sec", "obs_id"]).to_dict("records")
-    runs: list[list[dict]] = []
-    seen: dict[str, int] = {}
-    for r in rows:
-        if not runs or runs[-1][-1]["label"] != r["label"] or r["timestamp_sec"] - runs[-1][-1]["timestamp_sec"] > run_gap:
-            runs.append([])
-            seen[r["label"]] = seen.get(r["label"], 0) + 1
-        r["run_label"] = f"{r['label']}_{seen[r['label']]:02d}"
-        runs[-1].append(r)
-    best = lambda rs: sorted(rs, key=lambda r: (-r["score"], -r["label_confidence"], -r["motion"], r["timestamp_sec"], r["obs_id"]))
-    total = min(cap, max(max_total, per_run * len(runs)))
-    picked: list[tuple[dict, int]] = []
-    taken: set[int] = set()
-
-    def take(pool: list[dict], want: int, apart: float, number: int) -> int:
-        got = 0
-        for r in best(pool):
-            if got >= want or len(picked) >= total:
-                break
-            if r["obs_id"] not in taken and all(abs(r["timestamp_sec"] - p["timestamp_sec"]) >= apart for p, _ in picked):
-                picked.append((r, number))
-                taken.add(r["obs_id"])
-                got += 1
-        return got
-
-    for run in runs:
-        got = take(run, per_run, gap, 0)
-        if got < per_run:
-            take(run, per_run - got, tight, 0)
-    for bucket, want in spec.items():
-        take([r for r in rows if r["bucket"] == bucket], want - sum(p["bucket"] == bucket for p, _ in picked), gap, 1)
-    for label in sorted(seen):
-        take([r for r in rows if r["label"] == label], per_label - sum(p["label"] == label for p, _ in picked), gap, 1)
-    for number, apart in ((2, gap), (3, 0.0)):
-        if len(picked) < min_total:
-            take(rows, min_total - len(picked), apart, number)
-    return picked, {"eligible": len(rows), "runs": len(runs), "effective_max": total, "picks": len(picked)}
+#: The passes in order: each run with the gap, the run with the tight gap, buckets, labels, the best with the gap, the best.
+RUN, TIGHT, BUCKET, LABEL, GAP, ANY = range(6)
+#: pick_pass of each.
+NUMBER = (0, 0, 1, 1, 2, 3)
+
+
+class Quota(streams.Greedy):
+    """One scene's visits (scene_id, step, pass, obs_id, timestamp_sec, label, bucket, run, run_label, score, eligible, runs)
+    in order -> picks as they are made, in the end the stats as the row of rank 0. Holds the picks only."""
+
+    def __init__(self, spec: dict[str, int], per_label: int, per_run: int, gap: float, tight: float, max_total: int, min_total: int, cap: int) -> None:
+        self.spec, self.per_label, self.per_run, self.min_total = spec, per_label, per_run, min_total
+        self.apart = (gap, tight, gap, gap, gap, 0.0)
+        self.most = lambda runs: min(cap, max(max_total, per_run * runs))
+        self.ids: set[int] = set()
+        self.times: list[float] = []
+        self.runs, self.buckets, self.labels = Counter(), Counter(), Counter()
+        self.stats: tuple = ()
+
+    def wanted(self, step: int, label: str | None, bucket: str | None, run: int) -> bool:
+        if step <= TIGHT:
+            return self.runs[run] < self.per_run
+        if step == BUCKET:
+            return self.buckets[bucket] < self.spec[bucket]
+        if step == LABEL:
+            return self.labels[label] < self.per_label
+        return len(self.ids) < self.min_total
+
+    def far(self, t: float, apart: float) -> bool:
+        at = bisect.bisect_left(self.times, t)
+        return all(abs(t - x) >= apart for x in self.times[max(0, at - 1) : at + 1])
+
+    def feed(self, row: tuple) -> Iterable[tuple]:
+        scene, step, i, t, label, bucket, run, run_label, score, eligible, runs = row
+        self.stats = (scene, eligible, runs, self.most(runs))
+        if len(self.ids) >= self.stats[-1] or i in self.ids or not self.wanted(step, label, bucket, run) or not self.far(t, self.apart[step]):
+            return ()
+        self.ids.add(i)
+        bisect.insort(self.times, t)
+        self.buckets[bucket] += 1
+        self.labels[label] += 1
+        if step <= TIGHT:
+            self.runs[run] += 1
+        return ((scene, i, t, label, bucket, run_label, score, NUMBER[step], len(self.ids), None, None, None, None),)
+
+    def close(self) -> Iterable[tuple]:
+        scene, *counts = self.stats
+        return ((scene, *[None] * 7, 0, *counts, len(self.ids)),)
 
 
 def quota_fill(
@@ -358,21 +366,34 @@ def quota_fill(
 ) -> tuple[DataFrame, DataFrame]:
     """obs (scene_id, obs_id, timestamp_sec, label, label_confidence, bucket, score, motion) -> (picks, stats).
 
-    Pass 0 covers each run of a label, pass 1 fills buckets and labels with the gap, 2 tops off with the gap to
-    min_total, 3 without. The total grows with the runs, up to cap. One grouped map over each whole scene, as later picks
-    depend on all earlier ones; it holds the eight columns of one scene.
+    Pass 0 covers each run of a label, pass 1 fills buckets and labels with the gap, 2 tops off with the gap to min_total, 3
+    without; every pick counts for the gap of the later ones. The total grows with the runs, up to cap. Runs are found by
+    windows; then a row visits its scene once a pass that may take it, in the passes' order, and the visits stream past the
+    picks, of which there are cap at most. One shuffle gives picks and stats, which are cut. Null labels are a label of
+    their own; rows without a time are left out; a scene without rows has neither picks nor stats.
     """
-    x = obs.select("scene_id", "obs_id", "timestamp_sec", "label", "label_confidence", "bucket", "score", "motion")
-    args = (spec, per_label, per_run, gap_sec, tight_sec, run_gap, max_total, min_total, cap)
-    names = [c.split()[0] for c in f"{PICKS}, {STATS}".split(", ")]
-
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """The stats as the row of rank 0, then the picks."""
-        found, stats = _fill(rows, *args)
-        head = (key[0], None, None, None, None, None, None, None, 0, *stats.values())
-        out = [(key[0], p["obs_id"], p["timestamp_sec"], p["label"], p["bucket"], p["run_label"], p["score"], n, i, None, None, None, None) for i, (p, n) in enumerate(found, 1)]
-        return pd.DataFrame([head, *out], columns=names, dtype=object)
-
-    both = x.groupBy("scene_id").applyInPandas(fill, f"{PICKS}, {STATS}")
+    x = obs.select("scene_id", "obs_id", "timestamp_sec", "label", "label_confidence", "bucket", "score", "motion").where("timestamp_sec is not null").repartition("scene_id")
+    time = Window.partitionBy("scene_id").orderBy("timestamp_sec", "obs_id")
+    new = F.lag("obs_id").over(time).isNull() | ~F.col("label").eqNullSafe(F.lag("label").over(time)) | (F.col("timestamp_sec") - F.lag("timestamp_sec").over(time) > run_gap)
+    upto = lambda w: F.sum(F.col("_new").cast("int")).over(w.orderBy("timestamp_sec", "obs_id").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    scene = Window.partitionBy("scene_id")
+    x = x.withColumn("_new", new).withColumns({"run": upto(scene), "_nth": upto(Window.partitionBy("scene_id", "label"))})
+    name = F.concat(F.coalesce("label", F.lit("")), F.lit("_"), F.lpad(F.col("_nth").cast("string"), F.greatest(F.lit(2), F.length(F.col("_nth").cast("string"))), F.lit("0")))
+    x = x.withColumns({"run_label": name, "eligible": F.count(F.lit(1)).over(scene).cast("int"), "runs": F.max("run").over(scene)})
+    place = F.coalesce(*[F.when(F.col("bucket") == b, i) for i, b in enumerate(spec)], F.lit(-1)) if spec else F.lit(-1)
+    go = lambda when, step, group, name=F.lit(None).cast("string"): F.when(when, F.struct(F.lit(step).alias("step"), group.alias("g"), name.alias("name")))
+    none = F.lit(0)
+    visits = [go(F.lit(per_run > 0), RUN, 2 * F.col("run")), go(F.lit(per_run > 0), TIGHT, 2 * F.col("run") + 1), go(place >= 0, BUCKET, place), go(F.lit(per_label > 0), LABEL, none, F.col("label"))]
+    visits += [go(F.lit(min_total > 0), GAP, none), go(F.lit(min_total > 0), ANY, none)]
+    # a row visits its scene at least once, so that the scene has its stats
+    visits = F.filter(F.array(*visits, go(F.lit(per_run <= 0), RUN, none)), lambda v: v.isNotNull())
+    rows = x.select("*", F.explode(visits).alias("v")).select(
+        "scene_id", F.col("v.step").alias("step"), "obs_id", "timestamp_sec", "label", "bucket", "run", "run_label", "score", "eligible", "runs",
+        F.greatest(F.lit(TIGHT), F.col("v.step")).alias("_o1"), F.col("v.g").alias("_o2"), F.col("v.name").alias("_o3"), (-F.col("score")).alias("_o4"), (-F.col("label_confidence")).alias("_o5"), (-F.col("motion")).alias("_o6"),
+    )
+    args = (spec, per_label, per_run, gap_sec, tight_sec, max_total, min_total, cap)
+    order = [f"_o{i}" for i in range(1, 7)]
+    rows = rows.sortWithinPartitions("scene_id", *order[:3], *map(F.asc_nulls_last, order[3:]), "timestamp_sec", "obs_id").drop(*order)
+    both = cut(streams.passed(rows, f"{PICKS}, {STATS}", lambda: Quota(*args)))
     stats = [c.split()[0] for c in STATS.split(", ")]
     return both.where("rank > 0").drop(*stats), both.where("rank = 0").select("scene_id", *stats)

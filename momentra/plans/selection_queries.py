@@ -1,4 +1,4 @@
-"""Queries of the selections. Sorted passes have SQL folds beside them; quota_fill has tests."""
+"""Queries of the selections. Sorted passes have SQL folds beside them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from momentra.operators import scalars as S
 from momentra.operators import selection as P
 from momentra.plans.registry import query
-from momentra.plans.scalar_queries import FUSED, bucketed, windows_of
+from momentra.plans.scalar_queries import BUCKETED, FUSED, bucketed, windows_of
 from momentra.plans.tables import FEEDBACK, LOGS, OBS, ZONED, feedback, frame_obs, joined, scene_log, table, zoned
 
 #: rows: (scene_id, list of (t, id, s) in order); picks kept apart by gap, up to k, then topped off.
@@ -309,11 +309,35 @@ def _quota(spark, sf):
     return P.quota_fill(bucketed(spark, sf), {"best": 4, "wide": 3, "click": 2}, 18, 12, per_label=2, per_run=1, run_gap=240.0)
 
 
-@query("quota_fill")
+#: Visits in the order of the passes, folded past the picks so far.
+QUOTA = BUCKETED + """,
+    n AS (SELECT *, lag(label) OVER w IS DISTINCT FROM label OR timestamp_sec - lag(timestamp_sec) OVER w > 240 AS new FROM bucketed WINDOW w AS (PARTITION BY scene_id ORDER BY timestamp_sec, obs_id)),
+    q AS (SELECT *, sum(new::INT) OVER (PARTITION BY scene_id ORDER BY timestamp_sec, obs_id) AS run, sum(new::INT) OVER (PARTITION BY scene_id, label ORDER BY timestamp_sec, obs_id) AS nth FROM n),
+    total AS (SELECT scene_id, count(*)::INTEGER AS eligible, max(run)::INTEGER AS runs, least(36, greatest(18, max(run)))::INTEGER AS most FROM q GROUP BY scene_id),
+    visits AS (
+        SELECT *, 0 AS step, 0 AS o1, 2 * run AS o2, '' AS o3 FROM q UNION ALL SELECT *, 1, 0, 2 * run + 1, '' FROM q
+        UNION ALL SELECT *, 2, 2, CASE bucket WHEN 'best' THEN 0 WHEN 'wide' THEN 1 ELSE 2 END, '' FROM q WHERE bucket IN ('best', 'wide', 'click')
+        UNION ALL SELECT *, 3, 3, 0, label FROM q UNION ALL SELECT *, 4, 4, 0, '' FROM q UNION ALL SELECT *, 5, 5, 0, '' FROM q
+    ),
+    listed AS (SELECT scene_id, list({'id': obs_id, 't': timestamp_sec, 'label': label, 'bucket': bucket, 'run': run, 'name': label || '_' || lpad(nth::VARCHAR, greatest(2, length(nth::VARCHAR))::INTEGER, '0'), 'score': score, 'step': step, 'most': most, 'gap': CASE step WHEN 1 THEN 8.0 WHEN 5 THEN 0.0 ELSE 20.0 END}
+        ORDER BY o1, o2, o3, -score, -label_confidence, -motion, timestamp_sec, obs_id) AS rows FROM visits JOIN total USING (scene_id) GROUP BY scene_id),
+    folded AS (SELECT scene_id, list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE
+        WHEN len(acc) < x[1].most AND NOT list_contains(list_transform(acc, lambda y: y.id), x[1].id) AND len(list_filter(acc, lambda y: abs(y.t - x[1].t) < x[1].gap)) = 0
+            AND CASE WHEN x[1].step <= 1 THEN len(list_filter(acc, lambda y: y.step <= 1 AND y.run = x[1].run)) < 1
+                WHEN x[1].step = 2 THEN len(list_filter(acc, lambda y: y.bucket = x[1].bucket)) < CASE x[1].bucket WHEN 'best' THEN 4 WHEN 'wide' THEN 3 ELSE 2 END
+                WHEN x[1].step = 3 THEN len(list_filter(acc, lambda y: y.label = x[1].label)) < 2
+                ELSE len(acc) < 12 END
+        THEN list_concat(acc, x) ELSE acc END, []) AS picks FROM listed)"""
+
+
+@query("quota_fill", f"""
+    WITH {QUOTA}, u AS (SELECT scene_id, unnest(picks) AS p, unnest(range(1, len(picks) + 1)) AS rank FROM folded)
+    SELECT scene_id, p.id AS obs_id, p.t AS timestamp_sec, p.label AS label, p.bucket AS bucket, p.name AS run_label, p.score AS score,
+        CASE WHEN p.step <= 1 THEN 0 WHEN p.step <= 3 THEN 1 ELSE p.step - 2 END AS pick_pass, rank::INTEGER AS rank FROM u""")
 def _(spark, sf):
     return _quota(spark, sf)[0]
 
 
-@query("quota_fill_stats")
+@query("quota_fill_stats", f"WITH {QUOTA} SELECT scene_id, eligible, runs, most AS effective_max, len(picks)::INTEGER AS picks FROM folded JOIN total USING (scene_id)")
 def _(spark, sf):
     return _quota(spark, sf)[1]

@@ -66,6 +66,71 @@ def test_quota_fill_covers_runs(spark):
     assert tuple(stats.select("runs", "effective_max", "picks").first()) == (3, 9, 9)
 
 
+def plain_fill(
+    x: pd.DataFrame, spec: dict[str, int], per_label: int, per_run: int, gap: float, tight: float, run_gap: float, max_total: int, min_total: int,
+    cap: int
+) -> tuple[list, dict]:
+    """One scene, rows in time order. Every pick counts for the gap of the later ones."""
+    rows = x.sort_values(["timestamp_sec", "obs_id"]).to_dict("records")
+    runs: list[list[dict]] = []
+    seen: dict[str, int] = {}
+    for r in rows:
+        if not runs or runs[-1][-1]["label"] != r["label"] or r["timestamp_sec"] - runs[-1][-1]["timestamp_sec"] > run_gap:
+            runs.append([])
+            seen[r["label"]] = seen.get(r["label"], 0) + 1
+        r["run_label"] = f"{r['label']}_{seen[r['label']]:02d}"
+        runs[-1].append(r)
+    best = lambda rs: sorted(rs, key=lambda r: (-r["score"], -r["label_confidence"], -r["motion"], r["timestamp_sec"], r["obs_id"]))
+    total = min(cap, max(max_total, per_run * len(runs)))
+    picked: list[tuple[dict, int]] = []
+    taken: set[int] = set()
+
+    def take(pool: list[dict], want: int, apart: float, number: int) -> int:
+        got = 0
+        for r in best(pool):
+            if got >= want or len(picked) >= total:
+                break
+            if r["obs_id"] not in taken and all(abs(r["timestamp_sec"] - p["timestamp_sec"]) >= apart for p, _ in picked):
+                picked.append((r, number))
+                taken.add(r["obs_id"])
+                got += 1
+        return got
+
+    for run in runs:
+        got = take(run, per_run, gap, 0)
+        if got < per_run:
+            take(run, per_run - got, tight, 0)
+    for bucket, want in spec.items():
+        take([r for r in rows if r["bucket"] == bucket], want - sum(p["bucket"] == bucket for p, _ in picked), gap, 1)
+    for label in sorted(seen):
+        take([r for r in rows if r["label"] == label], per_label - sum(p["label"] == label for p, _ in picked), gap, 1)
+    for number, apart in ((2, gap), (3, 0.0)):
+        if len(picked) < min_total:
+            take(rows, min_total - len(picked), apart, number)
+    return picked, {"eligible": len(rows), "runs": len(runs), "effective_max": total, "picks": len(picked)}
+
+
+@pytest.mark.parametrize(
+    ("spec", "max_total", "min_total", "more"),
+    [({}, 6, 0, {}), ({"best": 4, "wide": 3}, 12, 8, {"per_label": 2, "per_run": 1}), ({"wide": 9}, 30, 40, {"per_run": 2, "cap": 20}), ({"best": 2}, 5, 5, {"per_run": 0, "per_label": 3, "run_gap": 15.0}), ({}, 0, 0, {"per_run": 0})],
+)
+def test_quota_fill_equals_the_plain_loop(spark, spec, max_total, min_total, more):
+    rng = random.Random(6)
+    cols = "scene_id string, obs_id long, timestamp_sec double, label string, label_confidence double, bucket string, score double, motion double"
+    data = [(None if s == 0 else f"s{s}", 1000 * s + i, float(rng.randrange(600)), rng.choice("ABC"), rng.randrange(3) / 2, rng.choice(["best", "wide", "other"]), float(rng.randrange(8)), float(rng.randrange(2))) for s in range(9) for i in range(rng.choice([1, 5, 60, 200]))]
+    args = {"per_label": 0, "per_run": 3, "gap_sec": 20.0, "tight_sec": 8.0, "run_gap": 120.0, "cap": 36} | more
+    picks, stats = P.quota_fill(spark.createDataFrame(data, cols), spec, max_total, min_total, **args)
+    want_picks, want_stats = [], []
+    for scene in {r[0] for r in data}:
+        x = pd.DataFrame([r for r in data if r[0] == scene], columns=[c.split()[0] for c in cols.split(", ")])
+        found, told = plain_fill(x, spec, args["per_label"], args["per_run"], args["gap_sec"], args["tight_sec"], args["run_gap"], max_total, min_total, args["cap"])
+        want_picks += [(str(scene), i, p["obs_id"], p["run_label"], n, p["bucket"], p["score"]) for i, (p, n) in enumerate(found, 1)]
+        want_stats.append((str(scene), *told.values()))
+    got = [(str(r["scene_id"]), r["rank"], r["obs_id"], r["run_label"], r["pick_pass"], r["bucket"], r["score"]) for r in picks.collect()]
+    assert sorted(got) == sorted(want_picks)
+    assert sorted((str(r["scene_id"]), *tuple(r)[1:]) for r in stats.collect()) == sorted(want_stats)
+
+
 def test_quota_fill_empty(spark):
     picks, stats = P.quota_fill(quota_obs(spark).where("false"), {}, 6, 0)
     assert picks.count() == 0 and stats.count() == 0
