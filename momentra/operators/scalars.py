@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,27 +204,56 @@ def obs_confidence(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", C.clamp(c, 0, 1))
 
 
-#: Rules that quota_bucket takes at most: each row is tested against all of them.
-MOST_RULES = 1000
+RULE_KEYS = ("tier", "type", "label")
 
 
 def quota_bucket(df: DataFrame, rules: DataFrame, default: str = "other") -> DataFrame:
-    """bucket of the first rule (by priority) whose given tier, type and label all agree; a null in a rule agrees with all.
+    """bucket of the first rule (by priority) whose given tier, type and label all agree; a null in a rule agrees with all, a
+    null in a row with nothing else. A rule with min_confidence needs that much label_confidence; of ties the least rule in
+    the order of its fields counts.
 
-    The rules become one literal expression; more than MOST_RULES of them are an error.
+    FEW rules become one expression. More are joined with the distinct (tier, type, label) of the rows, once for each set of
+    fields that rules give, and each row takes the first of its combination's rules that its confidence allows.
     """
-    fields = ("priority", "tier", "type", "label", "min_confidence", "bucket")
-    given = rules.select(*fields).orderBy(*fields).limit(MOST_RULES + 1).collect()
-    if len(given) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} bucket rules")
-    bucket = F.lit(default)
-    for r in reversed(given):
-        fits = F.lit(True)
-        for c in ("tier", "type", "label"):
-            fits = fits & (F.col(c) == r[c]) if r[c] is not None else fits
-        fits = fits & (F.col("label_confidence") >= r["min_confidence"]) if r["min_confidence"] is not None else fits
-        bucket = F.when(fits, F.lit(r["bucket"])).otherwise(bucket)
-    return df.withColumn("bucket", F.coalesce(bucket, F.lit(default)))
+    fields = ("priority", *RULE_KEYS, "min_confidence", "bucket")
+    given = rules.select(*fields)
+    few = given.orderBy(*fields).limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        bucket = F.lit(default)
+        for r in reversed(few):
+            fits = F.lit(True)
+            for c in RULE_KEYS:
+                fits = fits & (F.col(c) == r[c]) if r[c] is not None else fits
+            fits = fits & (F.col("label_confidence") >= r["min_confidence"]) if r["min_confidence"] is not None else fits
+            bucket = F.when(fits, F.lit(r["bucket"])).otherwise(bucket)
+        return df.withColumn("bucket", F.coalesce(bucket, F.lit(default)))
+    combos = cut(df.select(*[F.col(c).alias(f"_{c}") for c in RULE_KEYS]).distinct())
+    rule = F.struct(*fields).alias("rule")
+    found = []
+    for mask in itertools.product((True, False), repeat=len(RULE_KEYS)):
+        of = given
+        for c, has in zip(RULE_KEYS, mask):
+            of = of.where(F.col(c).isNotNull() if has else F.col(c).isNull())
+        keys = [F.col(f"_{c}") == F.col(c) for c, has in zip(RULE_KEYS, mask) if has]
+        found.append(combos.join(of, keys or F.lit(True)).select(*combos.columns, rule))
+    listed = functools.reduce(DataFrame.unionAll, found).groupBy(*combos.columns).agg(F.array_sort(F.collect_set("rule"), _in_order(fields)).alias("_rules"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RULE_KEYS])
+    x = df.join(cut(listed), same, "left")
+    allowed = F.filter("_rules", lambda r: r["min_confidence"].isNull() | (F.col("label_confidence") >= r["min_confidence"]))
+    return x.withColumn("bucket", F.coalesce(F.get(allowed, F.lit(0))["bucket"], F.lit(default))).drop("_rules", *combos.columns)
+
+
+def _in_order(fields: tuple[str, ...]) -> Callable[[Column, Column], Column]:
+    """Structs by their fields, nulls first."""
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for c in reversed(fields):
+            less = (a[c].isNull() & b[c].isNotNull()) | (a[c] < b[c])
+            out = F.when(a[c].eqNullSafe(b[c]), out).when(F.coalesce(less, F.lit(False)), -1).otherwise(1)
+        return out
+
+    return compare
 
 
 def validate_obs(df: DataFrame, min_score: float = 40.0, min_sharpness: float = 60.0, warn_confidence: float = 0.4, mode: str = "hard_block") -> DataFrame:

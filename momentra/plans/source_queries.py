@@ -11,7 +11,7 @@ from momentra.plans.join_queries import CHANNEL, channel_rules, delivery
 from momentra.plans.registry import query
 from momentra.plans.similarity_queries import SPLIT, train
 from momentra.plans.tables import FEEDBACK, OBS, PUBLICATION, feedback, frame_obs, publication, table
-from momentra.sources import files
+from momentra.sources import files, versions
 from momentra.streaming import feeds
 from momentra.streaming.run import open_stream, run_available, shared_dir
 
@@ -249,6 +249,16 @@ def _(spark, sf):
     return feeds.verdict_counts(run_available(feeds.stream_sieve(sieve_feed(spark, sf))))
 
 
+@query("erase_versions", """
+    SELECT 2::BIGINT AS version, count(*) FILTER (user_id % 7 = 0 AND event_id % 50 <> 0) AS removed, count(*) FILTER (user_id % 7 <> 0 OR event_id % 50 = 0) AS kept
+    FROM events""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("user_id")).alias("scene_id"))
+    root = _new(spark, "ledger")
+    versions.append_rows(e, root)
+    return versions.erase_keys(spark, root, e.where("scene_id % 7 = 0").select("scene_id")).drop("rewritten")
+
+
 @query("feedback_rows", f"WITH {FEEDBACK} SELECT doc_id, scene_id, decision, operator_score, model_score FROM feedback")
 def _(spark, sf):
     return feedback(spark, sf).select("doc_id", "scene_id", "decision", "operator_score", "model_score")

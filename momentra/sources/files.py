@@ -51,7 +51,7 @@ def read_label_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]
 
 
 EXTENSION = r"\.([^./]+)$"
-VIDEO = ("mp4", "mov", "mkv", "avi", "m4v", "wmv", "webm")
+VIDEO = ("mp4", "mov", "mkv", "avi", "m4v", "wmv", "webm", "flv")
 
 
 def asset_inventory(
@@ -73,7 +73,7 @@ def inventory_filter(
     return files.where(ext.isin(*extensions) & (F.col("length") >= min_bytes) & ~F.col("path").rlike(skip))
 
 
-KINDS = (("document", r"\.(pdf|docx?|txt)$"), ("image", r"\.(jpe?g|png|webp)$"), ("metadata", r"\.(json|csv|xml)$"), ("video", r"\.(mp4|mov|mkv|avi|m4v|wmv|webm)$"))
+KINDS = (("document", r"\.(pdf|docx?|txt)$"), ("image", r"\.(jpe?g|png|webp)$"), ("metadata", r"\.(json|csv|xml)$"), ("video", r"\.(mp4|mov|mkv|avi|m4v|wmv|webm|flv)$"))
 
 
 def asset_manifest(assets: DataFrame, max_files: int = 200, secondary: str = r"(trailer|preview|sample)") -> DataFrame:

@@ -63,3 +63,14 @@ def test_thousands_of_needles(spark):
     want = [(i, next((s for _, s, n in needles if n in p), None)) for i, p in enumerate(paths)]
     got = S.source_detect(spark.createDataFrame(list(enumerate(paths)), "id long, p string"), "p", spark.createDataFrame(needles, "ord int, source string, needle string"), "id")
     assert sorted((r["id"], r["source"]) for r in got.collect()) == want
+
+
+def test_many_bucket_rules_equal_few(spark, monkeypatch):
+    rng = random.Random(5)
+    pick = lambda xs: rng.choice([None, *xs])
+    rules = spark.createDataFrame([(rng.randrange(30), pick("AB"), pick("xy"), pick("pqr"), pick([0.3, 0.6, 0.9]), f"b{i}") for i in range(150)], "priority int, tier string, type string, label string, min_confidence double, bucket string")
+    df = spark.createDataFrame([(i, pick("ABC"), pick("xyz"), pick("pq"), pick([0.1, 0.5, 0.7, 1.0])) for i in range(400)], "id long, tier string, type string, label string, label_confidence double")
+    told = lambda: sorted((r["id"], r["bucket"]) for r in S.quota_bucket(df, rules).collect())
+    few = told()
+    monkeypatch.setattr(S, "FEW", 100)
+    assert told() == few and len({b for _, b in few}) > 10
