@@ -107,14 +107,39 @@ def temporal_support(df: DataFrame, window_sec: float = 45.0, strong: float = 0.
     return df.withColumn("supported", (F.col("label_confidence") >= strong) | (others > 0))
 
 
+#: Pairs that are drawn for each pair wanted, as some are ties.
+DRAWS = 4
+
+
+def _drawn(points: DataFrame, most: int) -> DataFrame:
+    """(scene_id, a_idx, a_rank, ..., b_score), a_idx < b_idx: all pairs of a scene that has DRAWS * most at most, else so many
+    drawn from its pair numbers 0 .. n(n-1)/2 - 1 by hash; a number is turned into its two places, so nothing else is paired."""
+    at = points.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy("idx")).cast("long") - 1)
+    scenes = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.expr("_n * (_n - 1) div 2")).where("_all > 0")
+    k = scenes.select("scene_id", "_all", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_all", F.lit(DRAWS * most)) - 1)).alias("_k"))
+    number = F.when(F.col("_all") <= DRAWS * most, F.col("_k")).otherwise(F.pmod(F.xxhash64("scene_id", "_k"), F.col("_all")))
+    x = k.select("scene_id", number.alias("_r")).distinct().withColumn("_j", F.floor((1 + F.sqrt(1 + 8 * F.col("_r").cast("double"))) / 2).cast("long"))
+    before = lambda j: F.expr(f"{j} * ({j} - 1) div 2")  # noqa: E731  the pairs whose greater place is below j
+    x = x.withColumn("_j", F.when(before("_j") > F.col("_r"), F.col("_j") - 1).when(before("(_j + 1)") <= F.col("_r"), F.col("_j") + 1).otherwise(F.col("_j")))
+    x = x.withColumn("_i", F.col("_r") - before("_j"))
+    side = lambda p, place: at.select(F.col("scene_id").alias(f"_{p}"), F.col("_at").alias(place), *[F.col(c).alias(f"{p}_{c}") for c in ("idx", "rank", "score")])
+    x = x.join(side("a", "_pa"), (F.col("scene_id") == F.col("_a")) & (F.col("_i") == F.col("_pa")))
+    return x.join(side("b", "_pb"), (F.col("scene_id") == F.col("_b")) & (F.col("_j") == F.col("_pb")))
+
+
 def preference_pairs(points: DataFrame, max_per_scene: int | None = None) -> DataFrame:
     """points (scene_id, idx, rank, score) -> (scene_id, better, worse, by): higher rank wins, else higher score; ties give none.
 
-    All pairs of a scene are the result, so it grows with the square of a scene's points; a scene is a short group by
-    nature, and what a training run wants of a longer one is max_per_scene, the pairs of least hash.
+    Without max_per_scene all pairs of a scene are the result, so it grows with the square of a scene's points. With it, the
+    pairs of least hash are taken: of all pairs where a scene has DRAWS * max_per_scene at most, else of so many pairs drawn
+    by hash, so that the work is bounded too; where most pairs are ties it may then be fewer than max_per_scene. idx tells a
+    scene's points apart; points without a scene make no pairs.
     """
-    a, b = (points.select("scene_id", *[F.col(c).alias(f"{p}_{c}") for c in ("idx", "rank", "score")]) for p in "ab")
-    pair = a.join(b, "scene_id").where("a_idx < b_idx")
+    if max_per_scene is None:
+        a, b = (points.select("scene_id", *[F.col(c).alias(f"{p}_{c}") for c in ("idx", "rank", "score")]) for p in "ab")
+        pair = a.join(b, "scene_id").where("a_idx < b_idx")
+    else:
+        pair = _drawn(points.where("scene_id is not null").select("scene_id", "idx", "rank", "score"), max_per_scene)
     key = lambda c: F.coalesce(F.col(c), F.lit(-1.0))
     by_rank = F.col("a_rank").isNotNull() & F.col("b_rank").isNotNull() & (F.col("a_rank") != F.col("b_rank"))
     first = F.when(by_rank, F.col("a_rank") > F.col("b_rank")).when(key("a_score") != key("b_score"), key("a_score") > key("b_score"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from momentra.operators import aggregates as A
@@ -204,3 +205,17 @@ def test_ranks_of_a_key_over_many_tasks(spark):
         v = sorted(v for key, v in data if key == k and v is not None)
         want[k] = (len(v), v[0], v[-1], v[0], v[(len(v) - 1) // 2], v[-1], v[int((len(v) - 1) * 0.9)])
     assert got == want and spread > 8
+
+
+def test_capped_pairs_are_drawn_not_made(spark):
+    """Up to four pairs a pair wanted: the ones of least hash of all. Beyond, a million points make no quadratic join."""
+    data = [(f"s{s}", i, i % 3 if i % 4 else None, float(i % 5)) for s, n in enumerate((1, 2, 7, 12)) for i in range(n)]
+    x = spark.createDataFrame(data, "scene_id string, idx long, rank int, score double")
+    w = Window.partitionBy("scene_id").orderBy(F.xxhash64("scene_id", "better", "worse"), "better", "worse")
+    least = J.preference_pairs(x).withColumn("n", F.row_number().over(w)).where("n <= 20").drop("n")
+    assert rows(J.preference_pairs(x, 20), "scene_id", "better", "worse", "by") == rows(least, "scene_id", "better", "worse", "by")
+    big = spark.range(1_000_000).select(F.lit("s").alias("scene_id"), F.col("id").alias("idx"), F.lit(None).cast("int").alias("rank"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("score"))
+    got = J.preference_pairs(big, 1000)
+    found = got.join(big.select(F.col("idx").alias("better"), F.col("score").alias("x")), "better").join(big.select(F.col("idx").alias("worse"), F.col("score").alias("y")), "worse")
+    assert got.count() == 1000 and found.where("x > y").count() == 1000 and got.distinct().count() == 1000
+    assert got.select(F.max("better")).first()[0] > 900_000 and got.select(F.min("better")).first()[0] < 100_000
