@@ -9,7 +9,7 @@ adders count differing bits and words of rows that have all exceeded the radius
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ from momentra.llm.components import connected_components
 BLOCK_ROWS = 20_000
 #: The share of ids (1 in so many) that shows which keys are so large. It only steers the split, never the result.
 HINT = 16
+#: Of positions (i, j) of rows, which pairs pass.
+PairTest = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 # fingerprints ---------------------------------------------------------------------------------------------------
@@ -94,16 +96,6 @@ def pigeonhole_masks(radius: int, extra: int = 2) -> list[list[int]]:
     return [[sum(1 << int(b) for i in pick for b in cuts[i])] for pick in itertools.combinations(range(radius + extra), extra)]
 
 
-def sampled_masks(words: int, bits: int, count: int, seed: int = 7) -> list[list[int]]:
-    """Masks of `bits` random bits over all words, for radii beyond the reach of the pigeonhole."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(count):
-        picked = rng.choice(64 * words, bits, replace=False)
-        out.append([sum(1 << int(b % 64) for b in picked if b // 64 == w) for w in range(words)])
-    return out
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -158,13 +150,13 @@ def within(planes: np.ndarray, d: int, alive: np.ndarray, radius: int) -> np.nda
 
 
 def spanning_links(
-    key: np.ndarray, fp: np.ndarray, radius: int, root: np.ndarray | None = None, size: np.ndarray | None = None, every: bool = False
+    key: np.ndarray, fp: np.ndarray, radius: int, root: np.ndarray | None = None, every: bool = False, before: PairTest | None = None, after: PairTest | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key -> positions (i, j) of near rows of one key that connect all near rows of it.
 
     A pair already connected is not compared again, so a group of copies gives about as many links as it has rows.
-    root: the first place of those rows of the key that are connected from the start. size: only rows whose sizes
-    differ by a quarter at most are linked. every: all near pairs not connected from the start, none passed over.
+    root: the first place of those rows of the key that are connected from the start. every: all near pairs not connected
+    from the start, none passed over. before: which pairs are compared at all. after: which near pairs count.
     """
     n = len(key)
     planes, root = bit_planes(fp), np.arange(n) if root is None else root.copy()
@@ -176,13 +168,15 @@ def spanning_links(
     d = 1
     while len(rows):
         test = rows[root[rows] != root[rows + d]]
-        if size is not None and len(test):
-            test = test[5 * np.minimum(size[test], size[test + d]) >= 4 * np.maximum(size[test], size[test + d])]
+        if before and len(test):
+            test = test[before(test, test + d)]
         if len(test):
             marks = np.zeros((planes.shape[1] - 1) * 64, bool)
             marks[test] = True
             near = within(planes, d, np.packbits(marks, bitorder="little").view(np.uint64), radius)
             hit = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
+            if after and len(hit):
+                hit = hit[after(hit, hit + d)]
             if len(hit) and not every:
                 links = []
                 for i in hit.tolist():
@@ -222,23 +216,25 @@ def in_blocks(dealt: DataFrame, hot: DataFrame) -> DataFrame:
     return x.drop("n_blocks", "key").withColumnRenamed("_block", "key")
 
 
-LINKS = "a long, b long, n int, m int, origin long"
+LINKS = "a long, b long, origin long"
 
 
-def block_links(dealt: DataFrame, words: int, radius: int, every: bool = False, placed: bool = False) -> DataFrame:
-    """dealt (key, id, comp, size, w0, ...) -> (a, b, n, m, origin): links between near rows of one key (origin) and different
-    comp, with their sizes; spanning ones, or every one. size null: sizes don't matter. placed: a key's rows already lie
-    in one partition. The rows of a key of over BLOCK_ROWS rows are dealt anew to pairs of blocks."""
+def block_links(
+    dealt: DataFrame, words: int, radius: int, every: bool = False, more: list[str] | None = None, tests: Callable[[pd.DataFrame], tuple[PairTest, PairTest]] | None = None
+) -> DataFrame:
+    """dealt (key, id, comp, w0, ..., more) -> (a, b, origin): links between near rows of one key (origin) and different comp;
+    spanning ones, or every one. tests makes the tests before and after a comparison from rows with the columns `more`.
+    The rows of a key of over BLOCK_ROWS rows are dealt anew to pairs of blocks."""
     cols = [f"w{i}" for i in range(words)]
-    rows = dealt.select("key", F.col("key").alias("origin"), "id", "comp", F.coalesce("size", F.lit(-1)).cast("int").alias("size"), *cols)
+    rows = dealt.select("key", F.col("key").alias("origin"), "id", "comp", *cols, *(more or []))
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
-        key, origin, comp, size, ids = (x[c].to_numpy() for c in ("key", "origin", "comp", "size", "id"))
+        key, origin, comp, ids = (x[c].to_numpy() for c in ("key", "origin", "comp", "id"))
         begin = np.r_[True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])]
         root = np.flatnonzero(begin)[np.cumsum(begin) - 1]
         fp = np.ascontiguousarray(x[cols].to_numpy()).view(np.uint64).reshape(len(x), words)
-        i, j = spanning_links(key, fp, radius, root, size if size.min() >= 0 else None, every)
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "n": size[i], "m": size[j], "origin": origin[i]})
+        i, j = spanning_links(key, fp, radius, root, every, *(tests(x) if tests else ()))
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "origin": origin[i]})
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -254,36 +250,36 @@ def block_links(dealt: DataFrame, words: int, radius: int, every: bool = False,
         if held:
             yield links(pd.concat(held, ignore_index=True))
 
-    def through(x: DataFrame, placed: bool) -> DataFrame:
-        x = x if placed else x.repartition(shuffle_parts(dealt.sparkSession), "key")
-        return x.sortWithinPartitions("key", "comp", "id").mapInPandas(run, LINKS)
+    def through(x: DataFrame) -> DataFrame:
+        return x.repartition(shuffle_parts(dealt.sparkSession), "key").sortWithinPartitions("key", "comp", "id").mapInPandas(run, LINKS)
 
     hot = hot_keys(dealt)
     if hot is None:
-        return through(rows, placed)
-    return through(rows.join(hot, "key", "left_anti"), placed).unionAll(through(in_blocks(rows, hot).select(*rows.columns), False))
+        return through(rows)
+    return through(rows.join(hot, "key", "left_anti")).unionAll(through(in_blocks(rows, hot).select(*rows.columns)))
 
 
 def near_links(reps: DataFrame, words: int, radius: int, masks: list[list[int]]) -> DataFrame:
     """reps (id, w0, ...), distinct fingerprints -> (a, b): links that connect all within `radius` sharing a mask's bits."""
     cols = [f"w{i}" for i in range(words)]
     keys = [F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(cols, mask) if m]) for i, mask in enumerate(masks)]
-    dealt = reps.select("id", F.col("id").alias("comp"), F.lit(None).cast("int").alias("size"), *cols, F.explode(F.array(*keys)).alias("key"))
+    dealt = reps.select("id", F.col("id").alias("comp"), *cols, F.explode(F.array(*keys)).alias("key"))
     return block_links(dealt, words, radius).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, masks: list[list[int]] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, w0.., component_id): the least doc_id reachable over links of <= radius bits.
 
     One row per row of docs; rows with one doc_id share its component only through their fingerprints. Fingerprints are
     linked, not ids: a row without an id links and bridges as any other, but names its component only if no row of it
-    has an id; component_id is null then. Copies meet as one fingerprint before anything is compared. With masks=None
-    the search is exact (pigeonhole); other masks set its recall.
+    has an id; component_id is null then. Copies meet as one fingerprint before anything is compared. The search
+    is exact (pigeonhole masks). Further columns of docs are not looked at; an empty table gives an empty one; texts of
+    any length are read whole.
     """
     cols = [f"w{i}" for i in range(words)]
     fps = cut(fingerprints(docs, shingle, words))
     reps = cut(fps.groupBy(*cols).agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()))
-    comp = connected_components(near_links(reps.select("id", *cols), words, radius, masks or pigeonhole_masks(radius)))
+    comp = connected_components(near_links(reps.select("id", *cols), words, radius, pigeonhole_masks(radius)))
     named = cut(reps.join(comp, reps["id"] == comp["node"], "left").withColumn("c", F.coalesce("component", "id")))
     least = cut(named.groupBy("c").agg(F.min("doc_id").alias("component_id")))
     found = named.join(least, "c").select(*[F.col(c).alias(f"r_{c}") for c in cols], "component_id")
