@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from momentra.llm.common import release_memory
+
 #: Text characters that go through the database at once; longer texts go in segments of so many.
 CHUNK_CHARS = 512 << 10
 #: Pieces that the word tables hold before they are begun anew.
@@ -317,10 +319,12 @@ def _through(docs: DataFrame, row: Callable[[list], tuple], path: str, pattern:
 
     @F.pandas_udf(schema)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_memory()
         codec = Codec(path, pattern)
         for texts in batches:
             yield pd.DataFrame([row(parts) for parts in codec.documents(t or "" for t in texts)], columns=columns)
         codec.db.close()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), coded(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentra.llm.common import cut
+from momentra.llm.common import cut, release_memory
 from momentra.llm.components import connected_components
 from momentra.llm.simhash import PairTest, block_links, hot_keys, majority, shingle_hashes
 
@@ -112,6 +112,7 @@ def prefixes(docs: DataFrame, k: int) -> DataFrame:
                 rank = np.where(often[at] == s, count[at], 0)
             first = s[np.lexsort((s, rank))[: prefix_size(len(s))]]
             out.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).astype(np.int64), len(s), first.view(np.int64), *majority(s, WORDS), *parities(s)))
+        release_memory()
         return pd.DataFrame(out, columns=["id", "n", "keys", *SIGNATURE])
 
     made = F.pandas_udf(run, "id long, n int, keys array<long>, " + ", ".join(f"{c} long" for c in SIGNATURE))(F.col("text"))
@@ -142,7 +143,10 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> Data
 
     def same(a: pd.Series, b: pd.Series) -> pd.Series:
         whole = lru_cache(256)(lambda t: shingle_set(t, k))
-        return pd.Series([similar(whole(x), whole(y)) for x, y in zip(a, b)], dtype=bool)
+        found = pd.Series([similar(whole(x), whole(y)) for x, y in zip(a, b)], dtype=bool)
+        whole.cache_clear()
+        release_memory()
+        return found
 
     some = docs.where(_listed(rows, "_t")(F.xxhash64("text")))
     texts = cut(some.join(rows, some["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(some["text"]) == F.col("_t"))).select("id", "text").dropDuplicates(["id"]))

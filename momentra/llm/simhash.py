@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from momentra.llm.common import ASCII_LOWER, cut, shuffle_parts
+from momentra.llm.common import ASCII_LOWER, cut, release_memory, shuffle_parts
 from momentra.llm.components import connected_components
 
 #: Rows of one key that one task compares; a key with more is split into pairs of blocks.
@@ -249,6 +249,8 @@ def block_links(
                 held = [x[whole:]]
         if held:
             yield links(pd.concat(held, ignore_index=True))
+        held.clear()
+        release_memory()
 
     def through(x: DataFrame) -> DataFrame:
         return x.repartition(shuffle_parts(dealt.sparkSession), "key").sortWithinPartitions("key", "comp", "id").mapInPandas(run, LINKS)
