@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A-Z to a-z, every other byte as it is.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Rows that make a task of their own in a table that is known to be small; see packed.
+PACKED_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, of `rows` rows, in a partition for every PACKED_ROWS of them at most: a table of few rows over all shuffle
+    partitions goes on as hundreds of tasks, each with files of its own. Large tables stay as they are."""
+    parts = rows // PACKED_ROWS + 1
+    return df.coalesce(parts) if parts < shuffle_parts(df.sparkSession) else df
+
+
+def let_go(spark: SparkSession) -> None:
+    """The shuffle files and checkpoints of frames that are no longer held go once the driver collects its garbage, which a
+    loop of many small rounds would not wait for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release_memory() -> None:
     """In a task: what the allocators of this worker hold unused goes back to the machine, as the worker may wait, or serve
     another stage, for long. Without effect where the C library has no malloc_trim."""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentra.llm.common import cut
+from momentra.llm.common import cut, let_go, packed
 
 
-def _stars(pairs: DataFrame, small: bool) -> DataFrame:
-    """One star round over (a, b) with a < b: every node's larger (small: no larger) neighbours move to its least one."""
+def _stars(pairs: DataFrame, small: bool, n: int) -> DataFrame:
+    """One star round over n pairs (a, b) with a < b: every node's larger (small: no larger) neighbours move to its least one."""
     if small:  # b's smaller neighbours and b itself move to the least of them
         near = pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))
     else:
@@ -20,7 +20,8 @@ def _stars(pairs: DataFrame, small: bool) -> DataFrame:
         moved = joined.select(F.col("v").alias("x"), "m").unionAll(least.select(F.col("u").alias("x"), "m"))
     else:
         moved = joined.where("v > u").select(F.col("v").alias("x"), "m")
-    return moved.where("x != m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
+    found = packed(moved.where("x != m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")), n)
+    return packed(found.distinct(), n)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Nodes without an edge do not appear; loops, repeats and null ends are ignored; an empty table gives an empty one.
     Every round is cut through the shared folder, so a lost executor repeats one round only. A hub's rows are
-    partially aggregated before they are shuffled, and its join is one that adaptive execution can split.
+    partially aggregated before they are shuffled, and its join is one that adaptive execution can split. Rounds over few
+    pairs run as few tasks, and leave no files behind.
     """
     pairs = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sign = None
@@ -37,6 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == sign or not now[0]:
             break
         sign = now
-        pairs = cut(_stars(_stars(pairs, False), True))
+        n = now[0]
+        pairs = packed(pairs, n)
+        pairs = cut(_stars(_stars(pairs, False, n), True, n))
+        let_go(pairs.sparkSession)
     stars = pairs.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return stars.unionAll(pairs.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()

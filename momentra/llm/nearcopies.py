@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentra.llm.common import cut, release_memory
+from momentra.llm.common import cut, let_go, packed, release_memory
 from momentra.llm.components import connected_components
 from momentra.llm.simhash import PairTest, block_links, hot_keys, majority, shingle_hashes
 
@@ -138,8 +138,10 @@ def _listed(rows: DataFrame, col: str) -> Callable[[Column], Column]:
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """Of pairs (a, b) those whose shingle sets are similar. reps: (id, doc_id, text_hash), one row for each set."""
     pairs = cut(pairs)
+    n = pairs.count()
+    pairs = packed(pairs, n)
     used = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = cut(reps.join(used, "id", "left_semi").select("id", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")))
+    rows = packed(cut(reps.join(used, "id", "left_semi").select("id", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))), 2 * n)
 
     def same(a: pd.Series, b: pd.Series) -> pd.Series:
         whole = lru_cache(256)(lambda t: shingle_set(t, k))
@@ -152,7 +154,9 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> Data
     texts = cut(some.join(rows, some["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(some["text"]) == F.col("_t"))).select("id", "text").dropDuplicates(["id"]))
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return cut(both.where(F.pandas_udf(same, "boolean")(F.col("ta"), F.col("tb"))).select("a", "b"))
+    found = cut(both.where(F.pandas_udf(same, "boolean")(F.col("ta"), F.col("tb"))).select("a", "b"))
+    let_go(docs.sparkSession)
+    return packed(found, n)
 
 
 def shared_keys(prints: DataFrame) -> DataFrame:
