@@ -27,10 +27,10 @@ from momentra.llm.common import release_memory
 #: Text characters that go through the database at once; longer texts go in segments of so many.
 CHUNK_CHARS = 512 << 10
 #: Pieces that the word tables hold before they are begun anew.
-PIECES = 600_000
+PIECES = 400_000
 #: Words of up to STEP_BYTES go through CONTRACT, whose rows are as many as the sum of the words' squares: SQUARES at once.
 #: Longer ones go through CONTRACT_RUNS, which keeps one row a byte: RUN_BYTES at once, or one word if that is longer.
-STEP_BYTES, SQUARES, RUN_BYTES = 64, 2 << 20, 256 << 10
+STEP_BYTES, SQUARES, RUN_BYTES = 64, 1 << 20, 256 << 10
 #: What the database may hold in memory.
 MEMORY = "400MB"
 
@@ -319,8 +319,8 @@ def _through(docs: DataFrame, row: Callable[[list], tuple], path: str, pattern:
 
     @F.pandas_udf(schema)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        release_memory()
         codec = Codec(path, pattern)
+        release_memory()
         for texts in batches:
             yield pd.DataFrame([row(parts) for parts in codec.documents(t or "" for t in texts)], columns=columns)
         codec.db.close()
