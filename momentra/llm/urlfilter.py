@@ -14,7 +14,7 @@ from momentra.llm import url_labels
 from momentra.llm.common import ascii_lower
 
 #: (verdict, host, path): fixed by the policy that is asked for.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 FEATURES, GRAMS = 4096, (3, 4, 5)
 #: Rows of the labelled table that train, at most a verdict: those with the least hash. The fit is bounded by this.
 SAMPLE = 1000
