@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -173,14 +173,15 @@ def deep_evidence(words: list[bytes], counts: np.ndarray, begin: int, end: int |
 @dataclass
 class Tables:
     """What the tasks share. row: of each context of two bytes; the others have a row for each that was seen, then one for
-    each last byte, then the root's. p(one) = stay + go * (the deeper node's estimate), or flat where there is none."""
+    each last byte, then the root's. p(bit) = stay + go * (the deeper node's estimate), or leaf where there is none. stay and
+    leaf are kept for zero and for one: in 32 bits one minus a probability near 1 would be nothing."""
 
     row: np.ndarray
-    stay: np.ndarray
+    stay: np.ndarray  # bit, row, heap index
     go: np.ndarray
-    leaf: np.ndarray
-    shallow: np.ndarray  # log10 of each byte's probability where no word's beginning counts
-    ending: np.ndarray  # log10 of each ending's
+    leaf: np.ndarray  # bit, row, heap index
+    shallow: np.ndarray | None  # log10 of each byte's probability where no word's beginning counts
+    ending: np.ndarray | None  # log10 of each ending's
 
 
 def word_scores(words: list[bytes], counts: np.ndarray, begin: int, end: int | None, t: Tables) -> np.ndarray:
@@ -191,8 +192,8 @@ def word_scores(words: list[bytes], counts: np.ndarray, begin: int, end: int | N
         row = t.row[level.context]
         for first, v, a, b, decision, bit in level.decisions():
             r = row[first]
-            one = np.where(a + b > 0, t.stay[r, v] + t.go[r, v] * _kt(a, b), t.leaf[r, v])[decision]
-            log += np.log10(np.where(bit > 0, one, 1 - one))
+            zero, one = (np.where(a + b > 0, t.stay[i, r, v] + t.go[r, v] * k, t.leaf[i, r, v]) for i, k in enumerate((_kt(b, a), _kt(a, b))))
+            log += np.log10(np.where(bit > 0, one[decision], zero[decision]))
         out[level.rows] += log[level.node]
     return out
 
@@ -320,7 +321,7 @@ def context_tables(counts: DataFrame) -> Tables:
         return pd.DataFrame(
             {
                 "last": [int(key[0])], "single": [single], "context": [context.tobytes()],
-                "double": [np.stack([stay2, _kt(a, b), _kt(zeros, ones)]).astype(np.float32).tobytes()],
+                "double": [np.stack([stay2, _kt(a, b), _kt(zeros, ones)]).tobytes()],
             }
         )
 
@@ -328,30 +329,39 @@ def context_tables(counts: DataFrame) -> Tables:
     singles = {r["last"]: np.frombuffer(bytes(r["single"])).reshape(4, 256) for r in found}
     a0, b0 = (sum((x[i] for x in singles.values()), np.zeros(256)) for i in (1, 2))
     _, stay0 = _mixed(_log_kt(a0, b0), sum((x[0] for x in singles.values()), np.zeros(256)))
-    root, contexts, parts, edge = _kt(a0, b0), [], [], []
-    for r in found:
-        _, a1, b1, stay1 = singles[r["last"]]
-        stay2, k2, none = np.frombuffer(bytes(r["double"]), np.float32).reshape(3, -1, 256).astype(np.float64)
-        upper, down = stay0 * root + (1 - stay0) * stay1 * _kt(a1, b1), (1 - stay0) * (1 - stay1)
-        contexts.append(np.frombuffer(bytes(r["context"]), np.int64))
-        parts.append(np.stack([upper + down * stay2 * k2, down * (1 - stay2), upper + down * k2, upper + down * (stay2 * k2 + (1 - stay2) * none)]).astype(np.float32))
-        edge.append((r["last"], (stay0 * root + (1 - stay0) * _kt(a1, b1)).astype(np.float32)))
+    root, contexts = _kt(a0, b0), [np.frombuffer(bytes(r["context"]), np.int64) for r in found]
     seen = np.concatenate([np.zeros(0, np.int64), *contexts])
-    row = np.full(1 << 16, len(seen) + len(edge), np.int32)
-    for i, (last, _) in enumerate(edge):
-        row[last << 8 : (last + 1) << 8] = len(seen) + i
+    size = len(seen) + len(found) + 1
+    row = np.full(1 << 16, size - 1, np.int32)
+    stay, leaf = (np.zeros((2, size, 256), np.float32) for _ in range(2))
+    go, shallow = (np.zeros((size, 256), np.float32) for _ in range(2))
+    sides = lambda one: np.stack([1 - one, one])
+    at = 0
+    for i, r in enumerate(found):
+        _, a1, b1, stay1 = singles[r["last"]]
+        stay2, k2, none = np.frombuffer(bytes(r["double"])).reshape(3, -1, 256)
+        upper, down = stay0 * sides(root) + (1 - stay0) * stay1 * sides(_kt(a1, b1)), (1 - stay0) * (1 - stay1)
+        here = slice(at, at + len(k2))
+        stay[:, here], go[here] = upper[:, None] + down * stay2 * sides(k2), down * (1 - stay2)
+        leaf[:, here] = upper[:, None] + down * sides(k2)
+        shallow[here] = byte_log10(upper[1] + down * (stay2 * k2 + (1 - stay2) * none))
+        row[r["last"] << 8 : (r["last"] + 1) << 8] = len(seen) + i
+        edge = stay0 * root + (1 - stay0) * _kt(a1, b1)
+        stay[:, len(seen) + i] = leaf[:, len(seen) + i] = sides(edge)
+        shallow[len(seen) + i] = byte_log10(edge)
+        at = here.stop
+    stay[:, -1] = leaf[:, -1] = sides(root)
+    shallow[-1] = byte_log10(root)
     row[seen] = np.arange(len(seen))
-    ends = np.array([*[x for _, x in edge], root.astype(np.float32)]).reshape(-1, 256)
-    whole = np.concatenate([np.zeros((4, 0, 256), np.float32), *parts, np.stack([ends, np.zeros_like(ends), ends, ends])], axis=1)
     endings = np.zeros(256)
     for r in counts.where(F.col("kind") == 2).collect():
         endings[r["key"]] = r["n"]
-    return Tables(row, whole[0], whole[1], whole[2], byte_log10(whole[3].astype(np.float64)).astype(np.float32), np.log10((endings + 0.5) / (endings.sum() + 0.5 * ENDINGS)))
+    return Tables(row, stay, go, leaf, shallow, np.log10((endings + 0.5) / (endings.sum() + 0.5 * ENDINGS)))
 
 
 def code_lengths(counts: DataFrame, tables: Tables) -> DataFrame:
     """corpus_counts -> (key, s): log10 of the probability of each token of WHOLE bytes or more from its byte WHOLE on."""
-    shared = counts.sparkSession.sparkContext.broadcast(tables)
+    shared = counts.sparkSession.sparkContext.broadcast(replace(tables, shallow=None, ending=None))
     words = counts.where(F.col("kind") == 1).where(F.octet_length("word") >= WHOLE).select("key", "word", F.col("n").alias("c"))
 
     def scored(keys: np.ndarray, found: list[bytes], c: np.ndarray, begin: int, end: int | None) -> pd.DataFrame:

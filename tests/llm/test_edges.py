@@ -324,6 +324,19 @@ def test_lm_against_direct_recursion(spark, monkeypatch, head, split, words):
         assert got[i] == pytest.approx(want, rel=2e-6), i
 
 
+def test_lm_scores_are_finite_after_many_letters(spark):
+    big = spark.range(8).selectExpr("id as doc_id", "repeat('the thing then ', 300000) as text", "true as learn")
+    odd = ["a_b the_n", "then_ [x]", "the@n ~", "th\x7fing thing\x7f thing\u00ff", "the thing"]
+    x = big.unionAll(spark.createDataFrame([(100 + i, t, False) for i, t in enumerate(odd)], big.schema))
+    got = [r["score"] for r in lm.score_documents(x, F.col("learn")).collect()]
+    assert len(got) == 8 + len(odd) and all(math.isfinite(s) and s < 0 for s in got)
+    counts = [(0, 97 << 16 | 32 << 8 | 98, None, 10**11), (0, 98 << 16 | 97 << 8 | 32, None, 10**11), (1, lm.token_hash(b"ab" * 9), b"ab" * 9, 10**11), (1, 1, b"abb", 0), (1, 2, b"ab" * 9 + b"c_", 0)]
+    counts = spark.createDataFrame(counts, "kind int, key long, word binary, n long")
+    tables = lm.context_tables(counts)
+    assert np.isfinite(tables.shallow).all() and all((x[..., 1:] > 0).all() for x in (tables.stay + tables.go, tables.leaf))
+    assert all(math.isfinite(r["s"]) for r in lm.code_lengths(counts, tables).collect())
+
+
 def test_lm_is_a_distribution():
     counts = np.random.default_rng(2).integers(0, 9, (5, 256)).astype(float)
     zeros, ones = lm._bit_counts(counts)
