@@ -117,8 +117,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """(pair, rank): every pair of tokens whose joined bytes are a token, as a * 65536 + b; its rank is that token's."""
+@functools.lru_cache(maxsize=2)
+def merge_table(path: str) -> pa.Table:
+    """(pair, rank): every pair of tokens whose joined bytes are a token, as a * 65536 + b; its rank is that token's.
+
+    Kept for a worker's further partitions."""
+    ranks = load_ranks(path)
     rows = [(ranks[t[:i]] * 65536 + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
     pair, rank = zip(*rows) if rows else ((), ())
     return pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int32())})
@@ -137,7 +141,7 @@ class Codec:
             raise ValueError("pairs are packed for ranks below 65536")
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = vocabulary(self.ranks)
-        self.fill("CREATE TABLE merges AS SELECT * FROM given", given=merge_table(self.ranks))
+        self.fill("CREATE TABLE merges AS SELECT * FROM given", given=merge_table(path))
         self.forget()
 
     def fill(self, query: str, **tables: pa.Table) -> None:

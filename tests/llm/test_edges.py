@@ -369,6 +369,12 @@ def test_url_rules_are_those_of_the_contract(spark):
     assert got == dict(enumerate(want.values()))
 
 
+def test_bpe_merge_table_is_built_once_a_worker():
+    path = public_tokenizers.path(RANKS)
+    one, two = (bpe.Codec(path, public_tokenizers.PATTERN) for _ in range(2))
+    assert bpe.merge_table(path) is bpe.merge_table(path) and one.run(["naïve thththe"]) == two.run(["naïve thththe"])
+
+
 BIG = [2**53 + 1, 2**53 + 3, 2**53 + 5, 2**63 - 1, None]
 
 
