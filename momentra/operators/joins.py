@@ -70,12 +70,18 @@ def exclude_near(df: DataFrame, excluded: DataFrame, tol_sec: float) -> DataFram
     return df.join(e, on, "left_anti")
 
 
+def _half_up(c: Column, digits: int) -> Column:
+    """c at so many digits, halves upwards below zero too, where round() takes them away from zero. NaN stays."""
+    x = c * float(10**digits) + 0.5
+    return F.when(F.isnan(x), x).otherwise(F.floor(x).cast("double"))
+
+
 def _around(picks: DataFrame, obs: DataFrame, offsets: list[float], digits: int) -> DataFrame:
     """picks (scene_id, obs_id, timestamp_sec, sharpness) joined to the observations at each offset, by rounded time."""
     at = picks.select(
         "scene_id", "obs_id", "timestamp_sec", "sharpness", F.explode(F.array(*map(F.lit, offsets))).alias("dt")
-    ).withColumn("_t", F.round(F.col("timestamp_sec") + F.col("dt"), digits))
-    o = obs.select(F.col("scene_id").alias("_s"), F.round("timestamp_sec", digits).alias("_u"), F.col("obs_id").alias("near_id"), F.col("sharpness").alias("near_sharpness"))
+    ).withColumn("_t", _half_up(F.col("timestamp_sec") + F.col("dt"), digits))
+    o = obs.select(F.col("scene_id").alias("_s"), _half_up(F.col("timestamp_sec"), digits).alias("_u"), F.col("obs_id").alias("near_id"), F.col("sharpness").alias("near_sharpness"))
     return at.join(o, (F.col("scene_id") == F.col("_s")) & (F.col("_t") == F.col("_u")))
 
 

@@ -219,3 +219,12 @@ def test_capped_pairs_are_drawn_not_made(spark):
     found = got.join(big.select(F.col("idx").alias("better"), F.col("score").alias("x")), "better").join(big.select(F.col("idx").alias("worse"), F.col("score").alias("y")), "worse")
     assert got.count() == 1000 and found.where("x > y").count() == 1000 and got.distinct().count() == 1000
     assert got.select(F.max("better")).first()[0] > 900_000 and got.select(F.min("better")).first()[0] < 100_000
+
+
+def test_offsets_round_halves_upwards_below_zero(spark):
+    """9.5 - 10 is the second 0, as 0.4 is; the second before it holds nothing."""
+    data = [("s", 1, 9.5, 10.0), ("s", 2, 0.4, 300.0), ("t", 3, 4.5, 10.0), ("t", 4, 0.0, 400.0), ("u", 5, 9.4, 10.0), ("u", 6, 0.0, 500.0)]
+    x = spark.createDataFrame(data, "scene_id string, obs_id long, timestamp_sec double, sharpness double")
+    picks = x.where("sharpness < 100")
+    assert rows(J.nearest_clearing_floor(picks, x, [-10.0, -5.0], 200.0), "obs_id", "near_id", "dt") == [(1, 2, -10.0), (3, 4, -5.0), (5, None, None)]
+    assert rows(J.nearest_better(picks, x, [-10.0, -5.0]), "obs_id", "better_id") == [(1, 2), (3, 4), (5, None)]
