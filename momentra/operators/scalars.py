@@ -6,7 +6,7 @@ import functools
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from momentra.functions import columns as C
@@ -293,7 +293,7 @@ def acceptance_score(df: DataFrame) -> DataFrame:
     return df.withColumn("acceptance", F.round(F.greatest(F.lit(0.0), base - F.least(F.lit(0.6), F.col("blockers") * 0.08)), 4))
 
 
-#: Patterns or needles up to which each row is tested against all of them in one expression; more are looked for by grams.
+#: Patterns or needles up to which each row is tested against all of them in one expression; more are looked for in one scan of the row.
 FEW = 200
 
 
@@ -303,30 +303,36 @@ def _texts(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     return df.withColumns({"h1": F.xxhash64(low), "h2": F.xxhash64(F.lit(1), low)}), df.select(low.alias("low")).where("low is not null").distinct().select(F.xxhash64("low").alias("h1"), F.xxhash64(F.lit(1), "low").alias("h2"), "low")
 
 
+def _tags_of(low: Column, patterns: list[Row]) -> Column:
+    """array<string>: the tags of which a pattern (tag, pattern) matches, sorted; one expression."""
+    by_tag: dict[str, list[Column]] = {}
+    for r in sorted(patterns):
+        by_tag.setdefault(r["tag"], []).append(low.rlike(r["pattern"]))
+    hits = [F.when(functools.reduce(lambda a, b: a | b, tests), F.lit(tag)) for tag, tests in sorted(by_tag.items())]
+    return F.filter(F.array(*hits), lambda t: t.isNotNull()) if hits else F.array().cast("array<string>")
+
+
 def dictionary_tags(df: DataFrame, col: str, patterns: DataFrame, key: str) -> DataFrame:
     """(key, tags), one row a row of df: the tags of which a pattern matches the lower-cased text, sorted.
 
-    A dictionary of FEW patterns becomes one expression a row, without a join. Of a larger one each pattern is looked for by
-    the texts that its matches must hold (functions/literals), and what is found is verified by the pattern; patterns
-    without such a text are tested against all texts. Null tags, patterns and texts match nothing.
+    A dictionary of FEW patterns becomes one expression a row. Of a larger one the texts that matches must hold are looked
+    for in one scan of a row (functions/literals), and what is found is verified; patterns without such a text are tested
+    against all texts. Either way rows are not shuffled. Null tags, patterns and texts match nothing.
     """
     given = patterns.select("tag", "pattern").where("tag is not null and pattern is not null").distinct()
     few = given.limit(FEW + 1).collect()
     if len(few) <= FEW:
-        low, by_tag = F.lower(F.col(col)), {}
-        for r in sorted(few):
-            by_tag.setdefault(r["tag"], []).append(low.rlike(r["pattern"]))
-        hits = [F.when(functools.reduce(lambda a, b: a | b, tests), F.lit(tag)) for tag, tests in sorted(by_tag.items())]
-        tags = F.filter(F.array(*hits), lambda t: t.isNotNull()) if hits else F.array().cast("array<string>")
-        return df.select(key, tags.alias("tags"))
-    rows, texts = _texts(df.select(F.col(key), F.col(col)), col)
-    texts = cut(texts)
+        return df.select(key, _tags_of(F.lower(F.col(col)), few).alias("tags"))
     given = cut(given.withColumn("needles", literals.required(F.col("pattern"))))
-    known = literals.holding(texts, given.where("needles is not null").select("tag", "pattern", F.explode("needles").alias("needle")))
-    found = texts.join(known.select("h1", "h2", "tag", "pattern"), ["h1", "h2"]).where("rlike(low, pattern)").select("h1", "h2", "tag")
-    rest = texts.join(C.small(given.where("needles is null").select("tag", "pattern")), F.expr("rlike(low, pattern)")).select("h1", "h2", "tag")
-    tags = cut(found.unionAll(rest).groupBy("h1", "h2").agg(F.array_sort(F.collect_set("tag")).alias("tags")))
-    return rows.join(tags, ["h1", "h2"], "left").select(key, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    rows = literals.tagged(df.select(key, F.lower(F.col(col)).alias("_low")), "_low", given.where("needles is not null"))
+    rest = given.where("needles is null").select("tag", "pattern")
+    few = rest.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        more = _tags_of(F.col("_low"), few)
+    else:
+        rows = rows.join(F.broadcast(rest.agg(F.collect_list(F.struct("tag", "pattern")).alias("_rest"))), how="cross")
+        more = F.transform(F.filter("_rest", lambda p: F.rlike(F.col("_low"), p["pattern"])), lambda p: p["tag"])
+    return rows.select(key, F.array_sort(F.array_distinct(F.concat("tags", more))).alias("tags"))
 
 
 def source_detect(df: DataFrame, col: str, patterns: DataFrame, key: str) -> DataFrame:
@@ -496,8 +502,6 @@ def supported_candidates(df: DataFrame, min_conf: float = 0.25, base: str = "bas
 
 def context_digest(df: DataFrame, max_chars: int = 120, top: int = 5) -> DataFrame:
     """df (scene_id, label, weight) -> (scene_id, digest): the top labels with their weights, cut to max_chars."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("weight"), "label"))
     ranked = df.withColumn("_n", n).where(F.col("_n") <= top)
     item = F.concat("label", F.lit("="), F.format_string("%.2f", "weight"))

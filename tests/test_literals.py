@@ -74,3 +74,31 @@ def test_many_bucket_rules_equal_few(spark, monkeypatch):
     few = told()
     monkeypatch.setattr(S, "FEW", 100)
     assert told() == few and len({b for _, b in few}) > 10
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        ("abc", [("abc", ())]), ("[ .,]abc", [("abc", ((-3, " .,"),))]), ("abc[x-z]", [("abc", ((1, "xyz"),))]), ("a[bc]def|gh", [("def", ((-4, "a"), (-3, "bc"))), ("gh", ())]),
+        ("[ab]", None), ("a.c", None), (r"a\.c", None), ("[^a]bc", None), ("[a&&b]bc", None), ("[z-a]bc", None), ("(a)bc", None), ("ab|", None), ("", None),
+    ],
+)
+def test_what_stands_beside_a_text(pattern, want):
+    assert literals._fixed(pattern) == want
+
+
+@pytest.mark.parametrize("chars", [40, 1 << 20])
+def test_large_dictionary_is_one_scan(spark, monkeypatch, chars):
+    """No row is shuffled, however many slices the dictionary has; classes hold at the texts' ends too."""
+    monkeypatch.setattr(literals, "SLICE_CHARS", chars)
+    monkeypatch.setattr(S, "FEW", 5)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    shapes = (lambda: f"[ .,]{word(3)}", lambda: f"{word(3)}[a-b]", lambda: f"{word(4)}", lambda: rf"\b{word(3)}", lambda: f"{word(2)}[bc]{word(2)}|[a ]{word(4)}", lambda: f"{word(2)}.{word(2)}", lambda: "[ab]{3} ")
+    patterns = sorted({(f"t{i % 12}", shapes[i % 7]()) for i in range(40)})
+    texts = ["".join(rng.choices("abc .", k=rng.randint(0, 25))).upper() for _ in range(150)] + [None]
+    want = [(i, sorted({t for t, p in patterns if x is not None and re.search(p, x.lower())})) for i, x in enumerate(texts)]
+    got = S.dictionary_tags(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t", spark.createDataFrame(patterns, "tag string, pattern string"), "id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["tags"]) for r in got.collect()) == want
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")
