@@ -297,12 +297,6 @@ def acceptance_score(df: DataFrame) -> DataFrame:
 FEW = 200
 
 
-def _texts(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
-    """df with two hashes of its lower-cased text, and the distinct texts (h1, h2, low)."""
-    low = F.lower(F.col(col))
-    return df.withColumns({"h1": F.xxhash64(low), "h2": F.xxhash64(F.lit(1), low)}), df.select(low.alias("low")).where("low is not null").distinct().select(F.xxhash64("low").alias("h1"), F.xxhash64(F.lit(1), "low").alias("h2"), "low")
-
-
 def _tags_of(low: Column, patterns: list[Row]) -> Column:
     """array<string>: the tags of which a pattern (tag, pattern) matches, sorted; one expression."""
     by_tag: dict[str, list[Column]] = {}
@@ -339,8 +333,8 @@ def source_detect(df: DataFrame, col: str, patterns: DataFrame, key: str) -> Dat
     """(key, source), one row a row of df: the first dictionary entry, by its order, that the lower-cased path contains; of
     ties the least source, entries without an order last.
 
-    FEW entries become one expression; more are looked for by a gram of each needle in an equi join (functions/literals)
-    and verified. Null needles and paths match nothing, an empty needle all paths.
+    FEW entries become one expression; more are looked for in one scan of a row (functions/literals), without a shuffle.
+    Null needles and paths match nothing, an empty needle all paths.
     """
     given = patterns.select(F.struct(F.col("ord").isNull().alias("last"), "ord", "source").alias("entry"), F.lower("needle").alias("needle")).where("needle is not null")
     few = given.limit(FEW + 1).collect()
@@ -349,13 +343,12 @@ def source_detect(df: DataFrame, col: str, patterns: DataFrame, key: str) -> Dat
         for r in sorted(few, key=lambda r: (r["entry"]["last"], r["entry"]["ord"] or 0, r["entry"]["source"] or ""), reverse=True):
             out = F.when(low.contains(r["needle"]), F.lit(r["entry"]["source"])).otherwise(out)
         return df.select(key, out.alias("source"))
-    rows, texts = _texts(df.select(F.col(key), F.col(col)), col)
-    texts = cut(texts)
-    found = texts.join(literals.holding(texts, given.where("needle != ''")), ["h1", "h2"]).where("contains(low, needle)").select("h1", "h2", "entry")
     every = given.where("needle = ''").agg(F.min("entry").alias("every"))
-    first = cut(found.groupBy("h1", "h2").agg(F.min("entry").alias("entry")))
-    joined = rows.join(first, ["h1", "h2"], "left").join(F.broadcast(every), how="cross")
-    return joined.select(key, F.when(F.col(col).isNotNull(), F.least("entry", "every"))["source"].alias("source"))
+    ranked = given.where("needle != ''").groupBy("needle").agg(F.min("entry").alias("entry"))
+    ranked = cut(ranked.withColumn("rank", F.row_number().over(Window.orderBy("entry", "needle")).cast("long")))
+    rows = literals.first_held(df.select(key, F.lower(F.col(col)).alias("_low")), "_low", ranked.select("needle", "rank"))
+    joined = rows.join(C.small(ranked.select("rank", "entry")), "rank", "left").join(F.broadcast(every), how="cross")
+    return joined.select(key, F.when(F.col("_low").isNotNull(), F.least("entry", "every"))["source"].alias("source"))
 
 
 def inherit_metadata(files: DataFrame, sidecars: DataFrame, fields: dict[str, list[str]]) -> DataFrame:

@@ -102,3 +102,20 @@ def test_large_dictionary_is_one_scan(spark, monkeypatch, chars):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["id"], r["tags"]) for r in got.collect()) == want
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+@pytest.mark.parametrize("chars", [30, 1 << 20])
+def test_many_needles_are_one_scan(spark, monkeypatch, chars):
+    """The first entry held, whatever slice its needle lies in; no row is shuffled."""
+    monkeypatch.setattr(literals, "SLICE_CHARS", chars)
+    monkeypatch.setattr(S, "FEW", 5)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcd", k=n))
+    entries = [(rng.choice([None, *range(9)]), f"s{i % 25}", word(rng.randint(1, 5)).upper()) for i in range(40)]
+    texts = [word(rng.randint(0, 9)).upper() for _ in range(120)] + [None]
+    order = sorted(entries, key=lambda e: (e[0] is None, e[0] or 0, e[1]))
+    want = [(i, next((s for _, s, n in order if x is not None and n in x), None)) for i, x in enumerate(texts)]
+    got = S.source_detect(spark.createDataFrame(list(enumerate(texts)), "id long, p string"), "p", spark.createDataFrame(entries, "ord int, source string, needle string"), "id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["source"]) for r in got.collect()) == want
+    assert "id#" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
