@@ -1,5 +1,6 @@
 """Literal cases and invariants of the greedy selections."""
 
+import difflib
 import itertools
 import random
 
@@ -358,3 +359,42 @@ def test_hashes_equal_the_scan(monkeypatch, few, horizon, threshold, spread):
         if want is None or rng.random() < 0.3:
             table.add(h)
             held.append(h)
+
+
+def test_bounds_before_difflib_lose_no_pair(monkeypatch):
+    """Near texts, moved halves and unrelated texts of the same syllables: all near pairs are found, and hardly another is compared."""
+    rng = random.Random(4)
+    syllables = ["th", "er", "ing", "on", "ea", "an", "st", "he", "nd", "ou", "ly", "tion", "re", "ha", "wh", " ", ". ", ", "]
+    text = lambda n: "".join(rng.choices(syllables, k=n))
+
+    def changed(t):
+        x = list(t)
+        for _ in range(int(rng.choice([0.01, 0.02, 0.04, 0.06, 0.1]) * len(x))):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "z", "th"])
+        return "".join(x[len(x) // 2 :] + x[: len(x) // 2]) if rng.random() < 0.2 else "".join(x)
+
+    base = [text(n) for n in (30, 60, 100, 101, 150, 250)]
+    texts = base + [changed(t) for t in base for _ in range(5)] + ["", "a", "ab", "a" * 300, "ab" * 200]
+    for limit in (0.86, 0.7):
+        want = {(i, j): r for j, b in enumerate(texts) for i, a in enumerate(texts) if i > j and (r := difflib.SequenceMatcher(None, a, b).ratio()) >= limit}
+        held, got = D.Held(limit), {}
+        for i, t in enumerate(texts):
+            got |= {(i, at): r for at, r in held.near(t)}
+            held.add(i, t)
+        assert got == want and len(want) >= 20
+    compared = []
+    monkeypatch.setattr(D, "_remembered", type("Counted", (), {"__call__": lambda _, a, b: compared.append(a) or 0.0, "__wrapped__": staticmethod(lambda a, b: compared.append(a) or 0.0)})())
+    held = D.Held(0.86)
+    for i in range(60):
+        t = text(300)
+        list(held.near(t))
+        held.add(i, t)
+    assert len(compared) < 20
+
+
+def test_texts_wait_only_for_near_ones():
+    """A near pair makes its second text wait, not the rest of the bucket."""
+    state = D.Round(0.86)
+    texts = ["the red fox jumps over it", "the red fox jumps over it.", "a wholly other sentence", "1234567890 and more"]
+    assert [state.feed((0, i, t, False))[0][1] for i, t in enumerate(texts)] == [D.FREE, D.WAITS, D.FREE, D.FREE]
