@@ -159,8 +159,12 @@ def recheck_rounds(candidates: DataFrame, results: DataFrame, select: Callable[[
 RETRIEVAL = {"tags": 0.30, "labels": 0.22, "title_tokens": 0.24, "contributors": 0.14, "categories": 0.10}
 
 
+#: Common tokens up to which a row's are told by one expression, and tokens of the queries up to which others are passed by.
+COMMON, HELD = 2_000, 1_000_000
+
+
 def _token_sets(sets: list[str]) -> list[Column]:
-    return [F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))).alias(c) for c in sets]
+    return [F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>")))).alias(c) for c in sets]
 
 
 def _tokens(df: DataFrame, sets: list[str]) -> DataFrame:
@@ -169,34 +173,92 @@ def _tokens(df: DataFrame, sets: list[str]) -> DataFrame:
     return df.select("id", F.explode(F.concat(*[marked(c) for c in sets])).alias("x")).select("id", "x.s", "x.t")
 
 
+def _often(df: DataFrame, tokens: DataFrame, sets: list[str], common: DataFrame, few: dict[str, list[str]] | None) -> DataFrame:
+    """df with often, its (s, t) that are common, of rows that have any, and two hashes of what makes rows alike: these
+    tokens, the sets' sizes and the source. few: the common tokens by set, where they are few."""
+    if few is not None:
+        of = lambda c: F.transform(F.array_sort(F.filter(c, lambda t: t.isin(few[c]))), lambda t: F.struct(F.lit(c).alias("s"), t.alias("t")))
+        x = df.withColumn("often", F.concat(*[of(c) for c in sets if c in few])) if few else df.withColumn("often", F.array(F.struct(F.lit("").alias("s"), F.lit("").alias("t")))).limit(0)
+    else:
+        x = df.join(tokens.join(common, ["s", "t"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "t"))).alias("often")), "id")
+    what = [F.col("often"), F.col("source").isNull(), F.lower("source"), *[F.size(c) for c in sets]]
+    return x.where(F.size("often") > 0).withColumns({"h1": F.xxhash64(*what), "h2": F.xxhash64(F.lit(1), *what)})
+
+
+def _near(both: dict[str, Column], a: dict[str, Column], b: dict[str, Column], weights: dict[str, float]) -> Column:
+    """The weighted Jaccard similarities of the sets, of the sizes of what both have, a and b."""
+    one = lambda c: F.when(a[c] + b[c] - both[c] > 0, both[c] / (a[c] + b[c] - both[c])).otherwise(F.lit(0.0))
+    return sum((one(c) * w for c, w in weights.items()), F.lit(0.0))
+
+
+def _total(near: Column, extra: Column, a: str, b: str) -> Column:
+    return F.round(near + extra + F.when(F.col(a) == F.col(b), 0.22).otherwise(0.0), 6)
+
+
+def _class_candidates(qs: DataFrame, bs: DataFrame, sets: list[str], weights: dict[str, float], k: int) -> DataFrame:
+    """(q, id): for each query of qs the k + 1 rows of bs that are best by their common tokens alone. qs, bs as _often
+    gives them.
+
+    Queries and rows that are alike are compared once. Of alike rows only those can be among the best that are among the
+    k + 1 of least id with their extra, and whose extra is within rounding of the (k + 1)th greatest of these.
+    """
+    near_tie = 2e-6  # sums are rounded to 6 places, and of equal ones the least id is the best
+    each, rows = Window.partitionBy("h1", "h2", "extra").orderBy("id"), Window.partitionBy("h1", "h2").orderBy(F.desc("extra"), "id")
+    x = bs.where("extra is not null").select("h1", "h2", "extra", "id").withColumn("n", F.row_number().over(each)).where(F.col("n") <= k + 1)
+    last = F.nth_value("extra", k + 1).over(rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    x = x.withColumn("last", last).where(F.col("last").isNull() | (F.col("extra") >= F.col("last") - near_tie))
+    classes = x.groupBy("h1", "h2").agg(F.min("id").alias("g"), F.max("extra").alias("most"))
+    members = cut(x.join(classes, ["h1", "h2"]).select("g", "id", "extra", "most"))
+    asked = cut(qs.select("id", "h1", "h2").withColumn("c", F.min("id").over(Window.partitionBy("h1", "h2"))).select("id", "c"))
+    sized = [F.lower("source").alias("source"), *[F.size(c).alias(c) for c in sets]]
+    one = lambda df, heads, p: cut(df.join(C.small(heads), "id").select(F.col("id").alias(p), "often", F.struct(*sized).alias(f"{p}_is")))
+    q = one(qs, asked.where("id = c").select("id"), "c")
+    b = one(bs, members.where("id = g").select("id"), "g")
+    shared = q.select("c", F.explode("often").alias("x")).join(b.select("g", F.explode("often").alias("x")), "x")
+    shared = shared.groupBy("c", "g").agg(*[F.count_if(F.col("x.s") == c).alias(c) for c in sets])
+    heads = members.where("id = g").select("g", "most")
+    x = shared.join(q.drop("often"), "c").join(b.drop("often"), "g").join(heads, "g")
+    side = lambda p: {c: F.col(f"{p}_is.{c}") for c in sets}
+    x = x.withColumn("near", _near({c: F.col(c) for c in sets}, side("c"), side("g"), weights)).withColumn("best", _total(F.col("near"), F.col("most"), "c_is.source", "g_is.source"))
+    x = x.withColumn("n", F.rank().over(Window.partitionBy("c").orderBy(F.desc("best")))).where(F.col("n") <= k + 1)
+    x = x.select("c", "g", "near", F.col("c_is.source").alias("a"), F.col("g_is.source").alias("b")).join(members, "g").withColumn("total", _total(F.col("near"), F.col("extra"), "a", "b"))
+    x = x.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("total"), "id"))).where(F.col("n") <= k + 1)
+    return asked.withColumnRenamed("id", "q").join(x.select("c", "id"), "c").select("q", "id")
+
+
 def retrieve_topk(queries: DataFrame, bank: DataFrame, weights: dict[str, float] = RETRIEVAL, k: int = 3, max_df: int = 10_000) -> DataFrame:
     """queries, bank (id, source, one array a set; bank also acceptance, reject_rate) -> (query_id, id, signal, rank).
 
     Weighted Jaccard of the sets, +.08 acceptance, -.04 reject rate, +.22 for one source, clamped to 0..1; only rows
-    over 0 and with a token in common are ranked, by signal, the sum before clamping, and id.
-
-    Candidates come from an equi join on (set, token) for tokens of up to max_df bank rows. Rows that agree in all their
-    commoner tokens, in the sets' sizes and in the source differ for a query, beyond rarer shared tokens, by acceptance and
-    reject rate only, so of each such group the k + 1 best are candidates. Every pair with a token in common is so
-    ranked as if it were compared; max_df moves cost, not the result.
+    over 0 and with a token in common are ranked, by signal, the sum before clamping, and id. Nulls are no tokens.
+
+    Rows that share a token of up to max_df bank rows with a query are candidates one by one. A row that shares commoner
+    tokens only has just the sum that these give; to any other row they give no more than it has. So of all rows the k + 1
+    best by common tokens alone, one of which may be the query itself, hold those of the k best that share no other token.
+    These are found once for all queries that are alike in their common tokens, sizes and source, among rows that are
+    alike (_class_candidates). Every pair with a token in common is so ranked as if it were compared; max_df moves cost,
+    not the result.
     """
     sets = list(weights)
     q0 = queries.select("id", "source", *_token_sets(sets))
-    b0 = bank.select("id", "source", "acceptance", "reject_rate", *_token_sets(sets))
     extra = F.col("acceptance") * 0.08 - F.col("reject_rate") * 0.04
-    q, b = _tokens(q0, sets).withColumnRenamed("id", "q"), _tokens(b0, sets)
-    common = C.small(b.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_df).select("s", "t"))
-    rare = q.join(b.join(common, ["s", "t"], "left_anti"), ["s", "t"]).select("q", "id")
-    often = b.join(common, ["s", "t"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "t"))).alias("often"))
-    alike = F.xxhash64("often", F.lower("source"), *[F.size(c) for c in sets])
-    best = F.row_number().over(Window.partitionBy("alike").orderBy(F.desc("extra"), "id"))
-    groups = often.join(b0, "id").select("id", "often", alike.alias("alike"), extra.alias("extra")).withColumn("n", best).where(F.col("n") <= k + 1)
-    frequent = q.join(groups.select("id", F.explode("often").alias("x")).select("id", "x.s", "x.t"), ["s", "t"]).select("q", "id")
-    pairs = rare.unionAll(frequent).where("q != id").distinct()
-    named = lambda df, p, *more: df.select(F.col("id").alias(p), F.col("source").alias(f"{p}_source"), *[F.col(c).alias(f"{p}_{c}") for c in sets], *more)
-    x = pairs.join(named(q0, "q"), "q").join(named(b0, "id", extra.alias("extra")), "id")
-    near = sum((C.jaccard(F.col(f"q_{c}"), F.col(f"id_{c}")) * w for c, w in weights.items()), F.lit(0.0))
-    total = F.round(near + F.col("extra") + F.when(F.lower("q_source") == F.lower("id_source"), 0.22).otherwise(0.0), 6)
+    b0 = bank.select("id", "source", extra.alias("extra"), *_token_sets(sets))
+    q = _tokens(q0, sets).withColumnRenamed("id", "q")
+    token = F.xxhash64("s", "t").alias("h")
+    asked = C.small(cut(q.select(token).distinct()), HELD)
+    b = _tokens(b0, sets).withColumn("h", token).join(asked, "h", "left_semi").drop("h")
+    common = cut(b.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_df).select("s", "t"))
+    told = common.limit(COMMON + 1).collect()
+    few = None if len(told) > COMMON else {c: [r["t"] for r in told if r["s"] == c] for c in sorted({r["s"] for r in told})}
+    small = C.small(common)
+    rare = q.join(b.join(small, ["s", "t"], "left_anti"), ["s", "t"]).select("q", "id")
+    often = lambda df: _often(df, _tokens(df, sets), sets, small, few)
+    pairs = rare.unionAll(_class_candidates(often(q0), often(b0), sets, weights, k)).where("q != id").distinct()
+    named = lambda df, p, *more: df.select(F.col("id").alias(p), F.lower("source").alias(f"{p}_source"), *[F.col(c).alias(f"{p}_{c}") for c in sets], *more)
+    x = pairs.join(named(q0, "q"), "q").join(named(b0, "id", "extra"), "id")
+    both = {c: F.size(F.array_intersect(f"q_{c}", f"id_{c}")) for c in sets}
+    near = _near(both, {c: F.size(f"q_{c}") for c in sets}, {c: F.size(f"id_{c}") for c in sets}, weights)
+    total = _total(near, F.col("extra"), "q_source", "id_source")
     x = x.select(F.col("q").alias("query_id"), "id", total.alias("total"), C.clamp(total, 0, 1).alias("signal")).where("signal > 0")
     n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "id"))
     return x.withColumn("rank", n).where(F.col("rank") <= k).drop("total")

@@ -398,3 +398,13 @@ def test_texts_wait_only_for_near_ones():
     state = D.Round(0.86)
     texts = ["the red fox jumps over it", "the red fox jumps over it.", "a wholly other sentence", "1234567890 and more"]
     assert [state.feed((0, i, t, False))[0][1] for i, t in enumerate(texts)] == [D.FREE, D.WAITS, D.FREE, D.FREE]
+
+
+def test_retrieval_compares_alike_rows_once(spark):
+    """Ties within rounding fall to the least id, whatever the noise of their sums; queries that are alike share candidates."""
+    data = [(i, "a", ["x"], [], ["y", f"z{i // 2}"], [None], [], 0.2 + (i >= 20) * 1e-7, 0.1) for i in range(40)]
+    b = spark.createDataFrame(data, "id long, source string, tags array<string>, labels array<string>, title_tokens array<string>, contributors array<string>, categories array<string>, acceptance double, reject_rate double")
+    got = {}
+    for r in P.retrieve_topk(b.where("id >= 30"), b, max_df=5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    assert got == {i: {1: i ^ 1, 2: 0, 3: 1} for i in range(30, 40)}
