@@ -41,10 +41,11 @@ def _(spark, sf):
 @query("read_scene_docs", "SELECT s_suppkey::VARCHAR AS scene_id, s_name AS source FROM supplier WHERE s_suppkey % 5 <> 0")
 def _(spark, sf):
     path = _new(spark, "docs")
-    key = F.col("s_suppkey")  # a file a supplier, every fifth of them broken
+    key = F.col("s_suppkey")  # a file a supplier, every fifth of them broken, a thousand a folder
     doc = F.when(key % 5 == 0, '{\n "scene_id": ').otherwise(F.concat(F.lit('{\n "scene_id": "'), key.cast("string"), F.lit('",\n "source": "'), "s_name", F.lit('"\n}')))
-    table(spark, sf, "supplier").select(doc.alias("value"), key.alias("part")).write.partitionBy("part").text(path)
-    return files.read_scene_docs(spark, f"{path}/part=*", "scene_id string, source string", f"{path}-compact")
+    folder = F.concat(F.lit("docs-"), F.floor(key / 1000).cast("string"))
+    files.write_docs(table(spark, sf, "supplier").select(folder.alias("folder"), F.concat(key.cast("string"), F.lit(".json")).alias("name"), doc.alias("value")), path)
+    return files.read_scene_docs(spark, f"{path}/docs-*", "scene_id string, source string", f"{path}-compact")
 
 
 @query("read_label_csv", """

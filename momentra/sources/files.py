@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from momentra.functions import columns as C
 
+#: Files that a task writes at a time.
+WRITERS = 4
+
 
 def _typed(schema: str) -> T.StructType:
     return T.StructType.fromDDL(f"{schema}, _bad string")
@@ -24,12 +32,36 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _good(x.select("r.*"))
 
 
+def write_docs(docs: DataFrame, path: str) -> int:
+    """docs (folder, name, value): each row's value as a file of its own, in a shared folder that pyarrow.fs can open; their
+    number. Tasks put whole files in place themselves, many at a time, so nothing waits for a driver that moves them."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+
+        def put(row: tuple[str, str, str]) -> None:
+            with store.open_output_stream(f"{base}/{row[0]}/{row[1]}") as out:
+                out.write(row[2].encode())
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            for b in batches:
+                rows = list(zip(*(c.to_pylist() for c in b.columns)))
+                for folder in {r[0] for r in rows}:
+                    store.create_dir(f"{base}/{folder}")
+                yield pa.record_batch({"n": pa.array([len(list(pool.map(put, rows)))], pa.int64())})
+
+    written = docs.select("folder", "name", "value").where("value is not null").repartition(4 * cores, "folder", "name").mapInArrow(run, "n long")
+    return written.agg(F.sum("n")).first()[0] or 0
+
+
 def read_scene_docs(spark: SparkSession, path: str, schema: str, compact_to: str | None = None) -> DataFrame:
     """One multi-line JSON document a file, unreadable ones skipped; compact_to lands them as Parquet first."""
     x = spark.read.schema(_typed(schema)).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
     if not compact_to:
         return _good(x)
-    x.write.mode("overwrite").parquet(compact_to)
+    # Spark reads few small files a task: without fewer tasks the compact form would be as many small files.
+    x.coalesce(16 * spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(compact_to)
     return _good(spark.read.parquet(compact_to))
 
 

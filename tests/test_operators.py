@@ -228,3 +228,13 @@ def test_offsets_round_halves_upwards_below_zero(spark):
     picks = x.where("sharpness < 100")
     assert rows(J.nearest_clearing_floor(picks, x, [-10.0, -5.0], 200.0), "obs_id", "near_id", "dt") == [(1, 2, -10.0), (3, 4, -5.0), (5, None, None)]
     assert rows(J.nearest_better(picks, x, [-10.0, -5.0]), "obs_id", "better_id") == [(1, 2), (3, 4), (5, None)]
+
+
+def test_documents_are_written_in_tasks(spark, tmp_path):
+    """Every document is a file of its own in its folder; broken ones are skipped and the compact form has few files."""
+    docs = spark.range(1500).selectExpr("concat('d-', id div 500) as folder", "concat(id, '.json') as name", "if(id % 5 = 0, '{', concat('{\\n\"scene_id\": \"', id, '\"\\n}')) as value")
+    path = f"file://{tmp_path}/docs"
+    assert files.write_docs(docs, path) == 1500 and len(list((tmp_path / "docs").glob("d-*/*.json"))) == 1500
+    got = files.read_scene_docs(spark, f"{path}/d-*", "scene_id string", f"file://{tmp_path}/compact")
+    assert sorted(int(r["scene_id"]) for r in got.collect()) == [i for i in range(1500) if i % 5]
+    assert files.write_docs(docs.limit(0), f"file://{tmp_path}/none") == 0
